@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from . import decontaminate, urlfilter
 from .bpe import op6_bpe
+from .decontaminate import op2_decontaminate
+from .licences import op4_licences
 from .media import op7_media
+from .urlfilter import op8_url_filter
 from .wordpiece import op10_token_counts
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_licences": op4_licences,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
+    "op8_url_filter": op8_url_filter,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op8_url_filter": urlfilter.ORACLE,
+}
