@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate, urlfilter
+from . import decontaminate, jaccard, urlfilter
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
+from .jaccard import op9_jaccard
 from .licences import op4_licences
 from .media import op7_media
 from .urlfilter import op8_url_filter
@@ -16,10 +17,12 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
+    "op9_jaccard": jaccard.ORACLE,
 }
