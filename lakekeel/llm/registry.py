@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, urlfilter
+from . import decontaminate, jaccard, linededup, urlfilter
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
 from .jaccard import op9_jaccard
 from .licences import op4_licences
+from .linededup import op1_line_dedup
 from .media import op7_media
 from .urlfilter import op8_url_filter
 from .wordpiece import op10_token_counts
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op4_licences": op4_licences,
     "op6_bpe": op6_bpe,
@@ -22,6 +24,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_line_dedup": linededup.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
