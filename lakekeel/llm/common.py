@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,23 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+_shipped: set[str] = set()
+
+
+def ship(df: DataFrame) -> DataFrame:
+    """Sends this package to the executors, once per application, so that they need no installation of it."""
+    sc = df.sparkSession.sparkContext
+    if sc.applicationId not in _shipped:
+        root = Path(__file__).resolve().parent.parent
+        to = Path(tempfile.mkdtemp(prefix="lakekeel-ship-")) / "lakekeel.zip"
+        with zipfile.ZipFile(to, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        sc.addPyFile(str(to))
+        _shipped.add(sc.applicationId)
+    return df
+
+
 def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow whose step yields plain dicts of columns for `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -64,7 +83,7 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return ship(df).mapInArrow(run, schema)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, folded_words, utf8
+from .common import arrow_map, folded_words, ship, utf8
 
 WINDOW = 13
 #: Text bytes of benchmark items per automaton.
@@ -219,7 +219,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type))
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return ship(docs).mapInArrow(run, docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

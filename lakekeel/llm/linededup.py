@@ -211,7 +211,7 @@ firsts as (select line, min(doc_id * 10000000 + line_no) as place from line wher
 near as (
   select distinct case when x.place > y.place then x.line else y.line end as line
   from firsts x join firsts y on length(x.line) - length(y.line) between 0 and {EDITS} and x.line <> y.line
-   and (left(x.line, 6) = left(y.line, 6) or right(x.line, 6) = right(y.line, 6) or substr(x.line, length(x.line) // 2 - 2, 2) in (substr(y.line, length(y.line) // 2 - 5, 2), substr(y.line, length(y.line) // 2 - 4, 2), substr(y.line, length(y.line) // 2 - 3, 2), substr(y.line, length(y.line) // 2 - 2, 2), substr(y.line, length(y.line) // 2 - 1, 2), substr(y.line, length(y.line) // 2, 2)))
+   and (left(x.line, 6) = left(y.line, 6) or right(x.line, 6) = right(y.line, 6) or substr(x.line, length(x.line) // 2 - 2, 2) in (substr(y.line, length(y.line) // 2 - 5, 2), substr(y.line, length(y.line) // 2 - 4, 2), substr(y.line, length(y.line) // 2 - 3, 2), substr(y.line, length(y.line) // 2 - 2, 2), substr(y.line, length(y.line) // 2 - 1, 2), substr(y.line, length(y.line) // 2, 2), substr(y.line, length(y.line) // 2 + 1, 2)))
    and levenshtein(x.line, y.line) <= {EDITS}),
 stays as (
   select l.doc_id, l.line_no, l.line from line l left join firsts f on f.line = l.line

@@ -9,6 +9,7 @@ from .jaccard import op9_jaccard
 from .licences import op4_licences
 from .linededup import op1_line_dedup
 from .media import op7_media
+from .quality import op5_quality
 from .urlfilter import op8_url_filter
 from .wordpiece import op10_token_counts
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op4_licences": op4_licences,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
     "op8_url_filter": op8_url_filter,
