@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate, jaccard, linededup, urlfilter
 from .bpe import op6_bpe
 from .decontaminate import op2_decontaminate
+from .htmltext import op3_html
 from .jaccard import op9_jaccard
 from .licences import op4_licences
 from .linededup import op1_line_dedup
@@ -16,6 +17,7 @@ from .wordpiece import op10_token_counts
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_html": op3_html,
     "op4_licences": op4_licences,
     "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
