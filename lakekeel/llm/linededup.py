@@ -208,11 +208,16 @@ ORACLE = f"""
 with line as (
   select doc_id, i - 1 as line_no, s[i] as line from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null), unnest(range(1, len(s) + 1)) as u(i)),
 firsts as (select line, min(doc_id * 10000000 + line_no) as place from line where length(line) >= {MIN_CHARS} group by line),
-near as (
-  select distinct case when x.place > y.place then x.line else y.line end as line
-  from firsts x join firsts y on length(x.line) - length(y.line) between 0 and {EDITS} and x.line <> y.line
-   and (left(x.line, 6) = left(y.line, 6) or right(x.line, 6) = right(y.line, 6) or substr(x.line, length(x.line) // 2 - 2, 2) in (substr(y.line, length(y.line) // 2 - 5, 2), substr(y.line, length(y.line) // 2 - 4, 2), substr(y.line, length(y.line) // 2 - 3, 2), substr(y.line, length(y.line) // 2 - 2, 2), substr(y.line, length(y.line) // 2 - 1, 2), substr(y.line, length(y.line) // 2, 2), substr(y.line, length(y.line) // 2 + 1, 2)))
-   and levenshtein(x.line, y.line) <= {EDITS}),
+sized as (select line, place, length(line) as n from firsts),
+probe as (select line, place, n, n - d as m from sized, (values (0), (1), (2)) t(d)),
+shifts as (select * from (values (-2), (-1), (0), (1), (2)) t(s)),
+middle as (select line, place, n, substr(line, n // 2 - 2, 6) as part, n // 2 - 2 as at from sized),
+shifted as (select p.line, p.place, p.m, substr(p.line, p.m // 2 - 2 + s, 6) as part from probe p, shifts),
+pair as (
+  select x.line as a, x.place as pa, y.line as b, y.place as pb from probe x join sized y on y.n = x.m and left(x.line, 6) = left(y.line, 6)
+  union select x.line, x.place, y.line, y.place from probe x join sized y on y.n = x.m and right(x.line, 6) = right(y.line, 6)
+  union select x.line, x.place, y.line, y.place from shifted x join middle y on y.n = x.m and x.part = y.part),
+near as (select distinct case when pa > pb then a else b end as line from pair where a <> b and levenshtein(a, b) <= {EDITS}),
 stays as (
   select l.doc_id, l.line_no, l.line from line l left join firsts f on f.line = l.line
   where length(l.line) < {MIN_CHARS} or (f.place = l.doc_id * 10000000 + l.line_no and l.line not in (select line from near))),
