@@ -1,0 +1,133 @@
+"""Simulated growth: how many chunks a step brings, which ones, and who upgrades when."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Defaults of the shapes.
+COUNT, BULK, EVERY = 1000, 10_000, 5
+
+
+def parse_rate(spec: str) -> tuple[str, dict]:
+    """`name:key=value,...`; points take step=count pairs."""
+    name, _, rest = (p.strip() for p in spec.partition(":"))
+    known = {
+        "constant": {"n": COUNT}, "ramp": {"from": 0, "to": COUNT}, "triangle": {"peak": COUNT, "center": None}, "gaussian": {"peak": COUNT, "sigma": None, "center": None},
+        "pulse": {"size": BULK, "at": None, "base": 0, "width": 1}, "bursts": {"size": BULK, "every": EVERY, "base": 0, "until": None}, "points": {},
+    }
+    if name not in known:
+        raise ValueError(f"unknown shape: {name}")
+    given = dict(part.split("=", 1) for part in rest.split(",") if part.strip())
+    given = {k.strip(): v.strip() for k, v in given.items()}
+    if name == "points":
+        points = sorted((int(k), int(v)) for k, v in given.items())
+        if not points:
+            raise ValueError("points need at least one step=count")
+        return name, {"points": points}
+    if unknown := set(given) - set(known[name]):
+        raise ValueError(f"unknown parameter of {name}: {sorted(unknown)}")
+    params = known[name] | {k: float(v) if k == "sigma" else int(v) for k, v in given.items()}
+    for k in ("sigma", "width", "every"):
+        if params.get(k) is not None and params[k] <= 0:
+            raise ValueError(f"{name}: {k} must be positive")
+    return name, params
+
+
+def line(x: Column, x0: int, y0: int, x1: int, y1: int) -> Column:
+    """From (x0, y0) to (x1, y1), clamped; half away from zero."""
+    if x1 <= x0:
+        return F.lit(y1).cast("double")
+    at = F.greatest(F.lit(x0), F.least(F.lit(x1), x))
+    return F.round(F.lit(float(y0)) + F.lit(float(y1 - y0)) * ((at - x0) / F.lit(float(x1 - x0))))
+
+
+def rate_column(spec: str, steps: int, step: Column) -> Column:
+    """Chunks at a step from 1 to steps."""
+    name, p = parse_rate(spec)
+    middle = lambda v: max(1, v if v is not None else -(-steps // 2))
+    if name == "constant":
+        out = F.lit(p["n"])
+    elif name == "ramp":
+        out = line(step, 1, p["from"], steps, p["to"])
+    elif name == "triangle":
+        c = middle(p["center"])
+        out = F.when(step <= c, line(step, 1, 0, c, p["peak"])).otherwise(line(step, c, p["peak"], steps, 0))
+    elif name == "gaussian":
+        c, sigma = middle(p["center"]), p["sigma"] or max(1.0, steps / 6)
+        out = F.round(F.lit(float(p["peak"])) * F.exp(-F.pow(step - c, 2) / (2 * sigma * sigma)))
+    elif name == "pulse":
+        at = middle(p["at"])
+        out = F.when((step >= at) & (step < at + p["width"]), p["size"]).otherwise(p["base"])
+    elif name == "bursts":
+        within = F.lit(True) if p["until"] is None else step <= p["until"]
+        out = F.when(within & (step % p["every"] == 0), p["size"]).otherwise(p["base"])
+    else:
+        points = p["points"]
+        out = F.lit(points[0][1]).cast("double")
+        for (x0, y0), (x1, y1) in zip(points, points[1:]):
+            out = F.when(step >= x0, line(step, x0, y0, x1, y1)).otherwise(out)
+    return out.cast("bigint")
+
+
+def rates(spark: SparkSession, specs: list[str], steps: int) -> DataFrame:
+    frame = spark.range(1, steps + 1).withColumnRenamed("id", "step")
+    out = None
+    for spec in specs:
+        one = frame.select(F.lit(spec.partition(":")[0]).alias("shape"), "step", rate_column(spec, steps, F.col("step")).alias("count"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def parse_upgrades(text: str) -> list[tuple[int, float]]:
+    """`step:fraction,...` with rising steps."""
+    out: list[tuple[int, float]] = []
+    for part in filter(None, (p.strip() for p in text.split(","))):
+        step, _, fraction = part.partition(":")
+        s, f = int(step), float(fraction)
+        if not 0 <= f <= 1:
+            raise ValueError(f"fraction out of range: {fraction}")
+        if out and s <= out[-1][0]:
+            raise ValueError("steps must rise")
+        out.append((s, f))
+    return out
+
+
+def upgrades(spark: SparkSession, text: str, steps: int, workers: int) -> DataFrame:
+    """Per step the target fraction and how many workers are upgraded; nobody goes back."""
+    fraction = F.lit(0.0)
+    for s, f in parse_upgrades(text):
+        fraction = F.when(F.col("step") >= s, F.lit(f)).otherwise(fraction)
+    from pyspark.sql import Window
+
+    frame = spark.range(1, steps + 1).withColumnRenamed("id", "step").withColumn("fraction", fraction)
+    count = F.least(F.lit(workers), F.round(F.col("fraction") * workers)).cast("bigint")
+    return frame.withColumn("upgraded", F.max(count).over(Window.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def generate_chunks(stats: DataFrame, n: int, seed: int) -> DataFrame:
+    """n new chunks after the datasets' heads: datasets drawn in proportion to their chunks, ranges of average span. Drawn by
+    hash, so that every run gives the same."""
+    from pyspark.sql import Window
+
+    total = stats.agg(F.sum("chunk_count").alias("total"))
+    upto = F.sum("chunk_count").over(Window.orderBy("dataset"))  # one row per dataset
+    table = F.broadcast(stats.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("chunk_count")))
+    draws = stats.sparkSession.range(n).crossJoin(F.broadcast(total)).withColumn("draw", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("total")))
+    own = draws.join(table, (F.col("draw") >= F.col("from")) & (F.col("draw") < F.col("upto")))
+    k = F.row_number().over(Window.partitionBy("dataset").orderBy("id"))
+    first = F.col("head_block") + 1 + (k - 1) * F.col("avg_span")
+    return own.select("dataset", first.alias("first_block"), (first + F.col("avg_span") - 1).alias("last_block"), F.col("avg_size").alias("size"))
+
+
+def copy_dataset(chunks: DataFrame, source: str, target: str, schema_id: int | None = None) -> DataFrame:
+    out = chunks.where(F.col("dataset") == source).withColumn("dataset", F.lit(target))
+    return out if schema_id is None else out.withColumn("schema_id", F.lit(schema_id))
+
+
+def replace_dataset(chunks: DataFrame, dataset: str, first_new_pk: int) -> DataFrame:
+    """A correction of the same range for every chunk of a dataset: old_pk, new_pk and the new chunk's columns."""
+    from pyspark.sql import Window
+
+    own = chunks.where(F.col("dataset") == dataset)
+    return own.select(F.col("chunk_pk").alias("old_pk"), (F.lit(first_new_pk - 1) + F.row_number().over(Window.orderBy("first_block"))).cast("bigint").alias("new_pk"), "first_block", "last_block", "size")

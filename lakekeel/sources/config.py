@@ -1,0 +1,76 @@
+"""Scheduler configuration and the command line's state file."""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@dataclass
+class Segment:
+    seg_from: int
+    weight: int
+    minimum_worker_version: str | None = None
+
+
+@dataclass
+class Config:
+    network: str
+    datasets: dict[str, list[Segment]]
+    worker_storage_bytes: int
+    min_replication: int = 1
+    saturation: float = 0.95
+    min_supported_worker_version: str = "0.0.0"
+    recommended_worker_version: str = "0.0.0"
+    worker_stale_bytes: int = 0
+    worker_inactive_timeout_sec: int = 600
+    max_epoch_lag: int | None = None
+    ignore_reliability: bool = False
+    extra: dict = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        for name, segments in self.datasets.items():
+            if not segments:
+                raise ValueError(f"{name}: no segments")
+            for kind in ([s.seg_from for s in segments if s.seg_from >= 0], [s.seg_from for s in segments if s.seg_from < 0]):
+                if any(b <= a for a, b in zip(kind, kind[1:])):
+                    raise ValueError(f"{name}: segments must rise")
+            if any(s.weight < 1 for s in segments):
+                raise ValueError(f"{name}: weights must be positive")
+        if not 0 < self.saturation <= 1:
+            raise ValueError("saturation must be in (0, 1]")
+
+
+def parse(text: str) -> dict:
+    """YAML where its reader is installed, else JSON."""
+    try:
+        import yaml
+    except ImportError:
+        return json.loads(text)
+    return yaml.safe_load(text)
+
+
+def load_config(text: str) -> Config:
+    raw = parse(text)
+    datasets = {n: [Segment(s["from"], s["weight"], s.get("minimum_worker_version")) for s in segs] for n, segs in raw.pop("datasets").items()}
+    known = {k: raw.pop(k) for k in list(raw) if k in Config.__dataclass_fields__}
+    return Config(datasets=datasets, extra=raw, **known)
+
+
+def segments_frame(spark: SparkSession, config: Config) -> DataFrame:
+    rows = [(f"s3://{n}", i, s.seg_from, s.weight, s.minimum_worker_version) for n, segs in config.datasets.items() for i, s in enumerate(segs)]
+    return spark.createDataFrame(rows, "dataset string, position int, seg_from bigint, weight int, minimum_worker_version string")
+
+
+def load_state(spark: SparkSession, text: str) -> tuple[DataFrame, DataFrame]:
+    """Workers and known chunks of a state file; buckets become s3:// datasets."""
+    raw = parse(text)
+    workers = spark.createDataFrame([(w["peer_id"], w["status"], w.get("version")) for w in raw["workers"]], "peer_id string, status string, version string")
+    rows = []
+    for bucket, chunks in raw.get("known_chunks", {}).items():
+        for c in chunks:
+            s = c.get("summary") or {}
+            rows.append((f"s3://{bucket}", c["id"], c["size"], ",".join(c["files"]), s.get("lastBlockHash"), s.get("lastBlockTimestamp", 0)))
+    return workers, spark.createDataFrame(rows, "dataset string, id string, size bigint, files string, last_block_hash string, last_block_timestamp bigint")
