@@ -3,7 +3,9 @@
 Method. A pre-tokeniser cuts each text into words. Texts are taken in blocks; a block keeps, for each
 text, the positions of its words as numbers into the block's list of distinct words. These lists are
 shuffled by a hash of the word, so every distinct word of the corpus meets in one place and is encoded
-once there; the ids go back to the blocks, and each text is put together by position. Decoding joins the
+once there; the ids go back to the blocks, and each text is put together by position. Words and positions
+come from two readings of the input, so that positions are shuffled only once; blocks carry the hash of their
+contents, and readings that differ (an input that is not deterministic) end in an error. Decoding joins the
 ids with the table of token bytes (a fixed vocabulary of about 50,000 entries).
 
 Defined cases: null text counts as empty (no tokens); any text length; repeated rows give repeated
@@ -15,21 +17,20 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import arrow_map, materialise, ranges
+from .common import arrow_map, ranges
 
-#: Text bytes per block of documents.
-BLOCK_BYTES = 4 << 20
-#: Word groups into which the distinct words of a block are dealt by hash.
-WORD_GROUPS = 64
+#: Text characters per block of documents.
+BLOCK_CHARS = 8 << 20
+#: Bounds on the number of groups into which a block's distinct words are dealt by hash.
+LEAST_GROUPS, MOST_GROUPS = 16, 1024
 
 
 @functools.lru_cache(maxsize=2)
@@ -68,55 +69,54 @@ def unpack(value: bytes) -> list[bytes]:
     return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
-def group_of(word: bytes) -> int:
-    import xxhash
+def group_of(word: bytes, groups: int) -> int:
+    return xxhash.xxh3_64_intdigest(word) % groups
 
-    return xxhash.xxh3_64_intdigest(word) % WORD_GROUPS
 
-
-def blocks(docs: DataFrame, pattern: str) -> DataFrame:
-    """Rows (block, grp, kind, payload): kind 0 holds documents as word numbers, kind 1 distinct words of a group."""
+def blocks(docs: DataFrame, pattern: str, groups: int, kind: int) -> DataFrame:
+    """Rows (block, grp, kind, payload) of one kind. 0: a block's documents as word numbers, with the group of each
+    distinct word. 1: the distinct words of a block in one group. Blocks are named by their contents, so that the
+    two kinds, which are computed apart, agree on them.
+    """
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words_of = splitter(pattern).findall
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
-            for a, b in ranges([len(t) for t in texts], BLOCK_BYTES):
-                block = uuid.uuid4().hex
+            for a, b in ranges([len(t) for t in texts], BLOCK_CHARS):
                 index: dict[str, int] = {}
                 rows = []
                 for text in texts[a:b]:
                     found = words_of(text)
                     rows.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found)))
                 # numbers by falling frequency, so that they compress well
-                every = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
+                every = np.concatenate(rows)
                 order = np.argsort(-np.bincount(every, minlength=len(index)), kind="stable")
-                rank = np.empty(len(index), np.uint32)
-                rank[order] = np.arange(len(index), dtype=np.uint32)
-                listed = list(index)
-                sorted_words = [listed[i].encode() for i in order.tolist()]
-                doc_ids = pa.RecordBatch.from_arrays([ids.slice(a, b - a)], ["i"])
+                listed = [w.encode() for w in index]
+                words = [listed[i] for i in order.tolist()]
+                group = [group_of(w, groups) for w in words]
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, doc_ids.schema) as out:
-                    out.write_batch(doc_ids)
-                numbers = [rank[r] for r in rows]
-                lanes = np.concatenate(numbers).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() if every.size else b""
+                part = pa.RecordBatch.from_arrays([ids.slice(a, b - a)], ["i"])
+                with pa.ipc.new_stream(sink, part.schema) as out:
+                    out.write_batch(part)
+                head = sink.getvalue().to_pybytes()
                 counts = np.array([len(r) for r in rows], np.uint32).tobytes()
-                groups: list[list[bytes]] = [[] for _ in range(WORD_GROUPS)]
-                members: list[list[int]] = [[] for _ in range(WORD_GROUPS)]
-                for i, word in enumerate(sorted_words):
-                    g = group_of(word)
-                    groups[g].append(word)
-                    members[g].append(i)
-                kept = [g for g in range(WORD_GROUPS) if groups[g]]
-                yield {
-                    "block": [block] * (1 + len(kept)),
-                    "grp": [-1, *kept],
-                    "kind": [0] + [1] * len(kept),
-                    "payload": [pack([sink.getvalue().to_pybytes(), counts, lanes])]
-                    + [pack([np.array(members[g], np.uint32).tobytes(), *groups[g]]) for g in kept],
-                }
+                digest = xxhash.xxh3_128(head + counts)
+                for word in words:
+                    digest.update(word)
+                block = digest.hexdigest()
+                if kind == 0:
+                    rank = np.empty(len(index), np.uint32)
+                    rank[order] = np.arange(len(index), dtype=np.uint32)
+                    lanes = rank[every].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                    yield {"block": [block], "grp": [-1], "kind": [0], "payload": [pack([head, counts, lanes, np.array(group, np.uint16).tobytes()])]}
+                else:
+                    dealt: dict[int, list[bytes]] = {}
+                    for g, word in zip(group, words):
+                        dealt.setdefault(g, []).append(word)
+                    n = len(dealt)
+                    yield {"block": [block] * n, "grp": [*dealt], "kind": [1] * n, "payload": [*map(pack, dealt.values())]}
 
     return arrow_map(docs, step, "block string, grp int, kind int, payload binary")
 
@@ -130,16 +130,15 @@ def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             blocks_, grps, payloads = (batch.column(i).to_pylist() for i in range(3))
             for block, grp, payload in zip(blocks_, grps, payloads):
-                members, *own = unpack(payload)
                 ids = []
-                for word in own:
+                for word in unpack(payload):
                     got = known.get(word)
                     if got is None:
                         if len(known) > 400_000:
                             known.clear()
                         got = known[word] = np.array(encode(word.decode()), np.uint16 if len(vocabulary(path)[0]) <= 65536 else np.uint32).tobytes()
                     ids.append(got)
-                yield {"block": [block], "grp": [grp], "kind": [1], "payload": [pack([members, *ids])]}
+                yield {"block": [block], "grp": [grp], "kind": [1], "payload": [pack(ids)]}
 
     return arrow_map(words, step, "block string, grp int, kind int, payload binary")
 
@@ -150,17 +149,27 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     Columns: id_col, n_tokens, then ids (array<int>) and decoded (binary), or ids_sha256 and decoded_sha256.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = materialise(blocks(docs.select(id_col, text_col), pattern), "uncompressed")
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    words = made.filter("kind = 1").select("block", "grp", "payload").repartition(n, "grp")
+    own = docs.select(id_col, text_col)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = min(max(n, LEAST_GROUPS), MOST_GROUPS)
+    words = blocks(own, pattern, groups, 1).select("block", "grp", "payload").repartition(n, "grp")
     coded = encoded_words(words, path, pattern)
-    both = made.filter("kind = 0").unionByName(coded).repartition(n, "block").sortWithinPartitions("block", "kind", F.col("grp"))
+    both = blocks(own, pattern, groups, 0).unionByName(coded).repartition(n, "block").sortWithinPartitions("block", "kind")
     wide = len(vocabulary(path)[0]) > 65536
     out_cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
 
-    def finish(head: list[bytes], table: list[bytes]) -> dict:
-        ids_raw, counts_raw, lanes_raw = head
+    def finish(head: list[bytes] | None, coded: dict[int, list[bytes]]) -> dict:
+        if head is None:
+            raise RuntimeError("the input changed between its two readings; materialise it first")
+        ids_raw, counts_raw, lanes_raw, group_raw = head
+        group = np.frombuffer(group_raw, np.uint16)
+        table: list[bytes] = [b""] * len(group)
+        by_group = np.argsort(group, kind="stable")
+        found = [w for g in sorted(coded) for w in coded[g]]
+        if len(found) != len(table):
+            raise RuntimeError("the input changed between its two readings; materialise it first")
+        for i, w in zip(by_group.tolist(), found):
+            table[i] = w
         ids = pa.ipc.open_stream(ids_raw).read_all().column(0)
         counts = np.frombuffer(counts_raw, np.uint32)
         numbers = np.ascontiguousarray(np.frombuffer(lanes_raw, np.uint8).reshape(4, -1).T).view("<u4").ravel() if lanes_raw else np.zeros(0, np.uint32)
@@ -189,20 +198,19 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         return cols
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        current, head, table, size = None, None, {}, 0
+        current, head, coded = None, None, {}
         for batch in batches:
-            for block, kind, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for block, grp, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if block != current:
-                    if head is not None:
-                        yield finish(head, [table[i] for i in range(len(table))])
-                    current, head, table = block, None, {}
-                parts = unpack(payload)
+                    if current is not None:
+                        yield finish(head, coded)
+                    current, head, coded = block, None, {}
                 if kind == 0:
-                    head = parts
+                    head = unpack(payload)
                 else:
-                    table.update(zip(np.frombuffer(parts[0], np.uint32).tolist(), parts[1:]))
-        if head is not None:
-            yield finish(head, [table[i] for i in range(len(table))])
+                    coded[grp] = unpack(payload)
+        if current is not None:
+            yield finish(head, coded)
 
     return arrow_map(both, step, f"{id_col} {id_type}, n_tokens bigint, {out_cols}")
 
