@@ -1,0 +1,146 @@
+"""Placement kernels: properties and the rules of eviction."""
+
+import random
+
+import numpy as np
+import pytest
+
+from lakekeel.operators import placement as P
+from lakekeel.operators.weights import NotEnoughCapacity
+
+
+def fleet(n, versions=None, rings=30, seed=0):
+    rng = np.random.default_rng(seed)
+    hashes = np.sort(rng.integers(0, 1 << 59, (rings, n)), axis=1)
+    return P.Fleet([P.version_tuple(v) for v in (versions or [None] * n)], hashes, np.stack([rng.permutation(n) for _ in range(rings)]).astype(np.int32))
+
+
+def chunks(sizes, caps, minimum=None, seed=1):
+    rng = random.Random(seed)
+    return P.Chunks(sizes, caps, [[rng.randrange(1 << 59) for _ in range(max(c, 4))] for c in caps], [P.version_tuple(v) for v in minimum] if minimum else [])
+
+
+def loads(made, holders, n):
+    out = [0] * n
+    for i, own in enumerate(holders):
+        for w in own:
+            out[w] += made.sizes[i]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_distribute_properties(seed):
+    rng = random.Random(seed)
+    n = rng.randint(2, 8)
+    made = chunks([rng.randint(1, 60) for _ in range(rng.randint(1, 40))], [rng.randint(2, n)] * 40, seed=seed)
+    made.caps = made.caps[: len(made.sizes)]
+    room = [1000] * n
+    try:
+        got = P.distribute(made, fleet(n, seed=seed), room, 2)
+    except NotEnoughCapacity:
+        return
+    assert all(2 <= len(own) <= cap for own, cap in zip(got, made.caps))
+    assert all(len(set(own)) == len(own) for own in got)
+    assert all(load <= 1000 for load in loads(made, got, n))
+    assert got == P.distribute(made, fleet(n, seed=seed), room, 2)
+
+
+def test_floor_must_fit():
+    with pytest.raises(NotEnoughCapacity):
+        P.distribute(chunks([10], [2]), fleet(2), [10, 9], 2)
+
+
+def test_minimum_version_is_kept():
+    made = chunks([1] * 30, [2] * 30, ["2.0.0" if i % 2 else None for i in range(30)])
+    got = P.distribute(made, fleet(4, ["1.0.0", "2.0.0", None, "3.0.0"]), [100] * 4, 2)
+    assert all(set(own) <= {1, 3} for i, own in enumerate(got) if i % 2)
+
+
+def test_uniform_load():
+    made = chunks([1] * 20000, [3] * 20000)
+    load = loads(made, P.distribute(made, fleet(20, rings=600), [10**9] * 20, 3), 20)
+    assert max(load) < 1.25 * np.mean(load) and min(load) > 0.75 * np.mean(load)
+
+
+def test_one_worker_more_moves_little():
+    made = chunks([1] * 5000, [2] * 5000)
+    big = fleet(21, rings=300)
+    a = P.distribute(made, big.only(range(20)), [10**9] * 21, 2)
+    b = P.distribute(made, big, [10**9] * 21, 2)
+    gained_by_old = sum(len(set(y) - set(x) - {20}) for x, y in zip(a, b))
+    assert gained_by_old < 0.02 * 10000
+
+
+def test_two_pass_keeps_reliable_placement():
+    made = chunks([1] * 200, [2] * 200)
+    reliable = [w % 4 != 0 for w in range(8)]
+    f = fleet(8)
+    got = P.two_pass(made, f, reliable, [1000] * 8, 2)
+    alone = P.distribute(made, f.only([w for w in range(8) if reliable[w]]), [1000] * 8, 2)
+    assert [[w for w in own if reliable[w]] for own in got] == alone
+    assert any(not reliable[w] for own in got for w in own)
+
+
+def views(ideal, held, committed=None, routed=None, visible=None):
+    return P.Views(ideal, held, committed if committed is not None else held, routed if routed is not None else [[] for _ in held], visible or [False] * len(held))
+
+
+def test_reconcile_is_a_fixed_point_on_its_ideal():
+    made = chunks([5] * 60, [3] * 60)
+    f = fleet(6)
+    ideal = P.distribute(made, f, [400] * 6, 2)
+    got, evicted = P.reconcile(made, f, 400, views(ideal, ideal, visible=[True] * 60), 2)
+    assert [sorted(x) for x in got] == [sorted(x) for x in ideal] and not evicted
+
+
+def test_new_chunk_is_all_or_nothing():
+    made = chunks([10, 10], [2, 2])
+    f = fleet(2)
+    got, _ = P.reconcile(made, f, 10, views([[0, 1], [0, 1]], [[], []]), 2)
+    assert sorted(map(len, got)) == [0, 2]
+
+
+def test_excluded_chunk_stops_growth():
+    made = chunks([10, 10, 4], [2, 2, 3])
+    f = fleet(3)
+    got, _ = P.reconcile(made, f, 14, views([[0, 1], [0, 1], [0, 1, 2]], [[0, 1], [], [0, 1, 2]], visible=[True, False, True]), 2)
+    assert not got[1] and len(got[2]) == 2
+
+
+def test_floor_evicts_a_drained_copy():
+    # chunk 0 drains from worker 0 (committed elsewhere), chunk 1 is visible and has no copy
+    made = chunks([10, 10], [1, 1])
+    f = fleet(2)
+    v = views([[1], [0]], [[0, 1], []], committed=[[0, 1], []], visible=[False, True])
+    kernel = P.Reconciliation(made, f, 10, v, 1)
+    got, evicted = kernel.run()
+    assert len(got[1]) == 1 and len(evicted) == 1 and evicted[0][0] == 0
+
+
+def guard(**kw):
+    base = {"ideal": [[0], [0]], "held": [[0, 1], [0, 1]], "committed": [[0, 1], [0, 1]], "routed": [[], []], "visible": [True, False]}
+    made = chunks([10, 10], [1, 1])
+    return P.Reconciliation(made, fleet(2), 100, P.Views(**{**base, **kw}), 1)
+
+
+def test_eviction_guards():
+    assert guard().may_evict(1, 0, 0)
+    assert not guard().may_evict(0, 0, 0)  # never its own copy
+    assert not guard(committed=[[0, 1], [0]]).may_evict(1, 0, 0)  # the committed floor
+    assert guard(committed=[[0, 1], []]).may_evict(1, 0, 0)  # nothing committed, nothing to keep
+    assert not guard(routed=[[], [0]]).may_evict(1, 0, 0)  # a routed copy needs a routed survivor
+    assert guard(routed=[[], [0, 1]]).may_evict(1, 0, 0)
+    assert not guard(routed=[[], [0, 1]], visible=[False, False]).may_evict(1, 0, 0)  # veto for an unseen chunk
+    assert not guard(held=[[0, 1], [0]], committed=[[0, 1], []], visible=[True, True]).may_evict(1, 0, 0)  # a seen donor keeps one
+    k = guard()
+    k.published[1].append(0)
+    assert not k.may_evict(1, 0, 0)
+    k = guard()
+    k._gone.add((1, 1))
+    assert not k.may_evict(1, 0, 0)  # net of earlier evictions
+
+
+def test_version_tuples():
+    order = ["1.0.0-1", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0", "1.0.1-rc1", "1.0.1"]
+    keys = [P.version_tuple(v) for v in order]
+    assert keys == sorted(keys) and P.version_tuple("x") is None
