@@ -126,3 +126,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """Column names like these that are not taken, in any case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
