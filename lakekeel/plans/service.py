@@ -1,0 +1,110 @@
+"""The ingest service's routes as functions over tables: (status, body). Transport is the caller's matter."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import catalogue, lifecycle, schema_registry
+from .state import checkpoint
+
+
+class IngestService:
+    def __init__(self, datasets: DataFrame, schemas: DataFrame, read: DataFrame, chunks: DataFrame, meta: DataFrame, corrections: DataFrame, width: int = 1024):
+        self.datasets, self.schemas, self.read = datasets, schemas, read
+        self.chunks, self.meta, self.corrections, self.width = chunks, meta, corrections, width
+
+    def _known(self, name: str) -> bool:
+        return not self.datasets.where(F.col("dataset") == name).isEmpty()
+
+    def create_dataset(self, name: str) -> tuple[int, dict]:
+        if self._known(name):
+            return 200, {"dataset": name}
+        self.datasets = checkpoint(self.datasets.unionByName(self.datasets.sparkSession.createDataFrame([(name,)], "dataset string")))
+        return 201, {"dataset": name}
+
+    def put_write_schema(self, name: str, schema: dict) -> tuple[int, dict]:
+        if not self._known(name):
+            return 404, {}
+        try:
+            schema_registry.validate(schema)
+        except schema_registry.SchemaError as e:
+            return 400, {"error": str(e)}
+        digest = schema_registry.schema_hash(schema)
+        own = self.schemas.where((F.col("dataset") == name) & (F.col("hash") == digest)).first()
+        if own:
+            return 200, {"schema_id": own["schema_id"]}
+        number = (self.schemas.agg(F.max("schema_id")).first()[0] or 0) + 1
+        row = self.schemas.sparkSession.createDataFrame([(number, name, digest, schema_registry.canonical(schema))], self.schemas.schema)
+        self.schemas = checkpoint(self.schemas.unionByName(row))
+        return 201, {"schema_id": number}
+
+    def list_write_schemas(self, name: str) -> tuple[int, list]:
+        if not self._known(name):
+            return 404, []
+        own = schema_registry.active_schemas(self.schemas.where(F.col("dataset") == name), self.chunks, self.meta)
+        return 200, [{"schema_id": r["schema_id"], "active": r["active"]} for r in own.orderBy("schema_id").collect()]
+
+    def get_write_schema(self, name: str, schema_id: int) -> tuple[int, str]:
+        own = self.schemas.where((F.col("dataset") == name) & (F.col("schema_id") == schema_id)).first()
+        return (200, own["document"]) if own else (400, "")
+
+    def put_read_schema(self, name: str, schema: dict, now: int) -> tuple[int, dict]:
+        if not self._known(name):
+            return 404, {}
+        self.read = checkpoint(schema_registry.promote_read_schema(self.read, name, schema_registry.schema_hash(schema), now))
+        return 200, {"hash": schema_registry.schema_hash(schema)}
+
+    def get_read_schema(self, name: str) -> tuple[int, dict]:
+        own = self.read.where((F.col("dataset") == name) & F.col("current")).first()
+        return (200, {"hash": own["hash"]}) if own else (404, {})
+
+    def post_chunks(self, name: str, rows: list[dict]) -> tuple[int, dict]:
+        """rows: chunk_id, first_block, last_block, size, schema_id. 409 on overlaps (nothing written) or for ids that were
+        there already (the new ones are written)."""
+        if not self._known(name):
+            return 404, {}
+        if not rows:
+            return 200, {}
+        spark = self.chunks.sparkSession
+        base = (self.chunks.agg(F.max("chunk_pk")).first()[0] or 0) + 1
+        new = spark.createDataFrame([(base + i, name, r["chunk_id"], r["first_block"], r["last_block"], r["size"], r["schema_id"]) for i, r in enumerate(rows)], self.chunks.schema)
+        bad = new.withColumn("why", C.validate_chunk_range("first_block", "last_block", "size")).where("why is not null").first()
+        known = {r[0] for r in self.schemas.where(F.col("dataset") == name).select("schema_id").collect()}
+        if bad or any(r["schema_id"] not in known for r in rows):
+            return 400, {"error": bad["why"] if bad else "unknown schema"}
+        got = lifecycle.insert_chunks(new, self.chunks, self.meta, self.width)
+        if not got["duplicate_in_batch"].isEmpty():
+            return 400, {"error": "id repeats in the batch"}
+        if not got["overlap_in_batch"].isEmpty() or not got["overlap_stored"].isEmpty():
+            return 409, {"error": "overlap"}
+        duplicates = sorted(r["chunk_id"] for r in got["duplicates"].collect())
+        self.chunks = checkpoint(self.chunks.unionByName(got["inserted"].select(*self.chunks.columns)))
+        return (409, {"duplicates": duplicates}) if duplicates else (200, {})
+
+    def post_corrections(self, name: str, rows: list[dict]) -> tuple[int, dict]:
+        """rows: old_pk and the new chunk's columns; all or nothing."""
+        spark = self.chunks.sparkSession
+        new = spark.createDataFrame([(r["old_pk"], r["first_block"], r["last_block"]) for r in rows], "old_pk bigint, first_block bigint, last_block bigint")
+        refused = [r for r in lifecycle.register_corrections(new, self.corrections, self.chunks, self.meta).collect() if r["refused"]]
+        if refused:
+            return 409, {str(r["old_pk"]): r["refused"] for r in refused}
+        base = (self.chunks.agg(F.max("chunk_pk")).first()[0] or 0) + 1
+        fresh = spark.createDataFrame([(base + i, name, r["chunk_id"], r["first_block"], r["last_block"], r["size"], r["schema_id"]) for i, r in enumerate(rows)], self.chunks.schema)
+        links = spark.createDataFrame([(r["old_pk"], base + i, None) for i, r in enumerate(rows)], self.corrections.schema)
+        self.chunks, self.corrections = checkpoint(self.chunks.unionByName(fresh)), checkpoint(self.corrections.unionByName(links))
+        return 200, {}
+
+    def get_head(self, name: str) -> tuple[int, dict]:
+        if not self._known(name):
+            return 404, {}
+        own = catalogue.head(self.chunks.where(F.col("dataset") == name), self.meta).first()
+        return 200, {"last_block": own["last_block"] if own else None}
+
+    def get_chunk_status(self, name: str, chunk_id: str) -> tuple[int, dict]:
+        own = lifecycle.chunk_status(self.chunks.where((F.col("dataset") == name) & (F.col("chunk_id") == chunk_id)), self.meta).first()
+        return (200, {"status": own["status"]}) if own else (404, {"status": "not_found"})
+
+    def get_health(self) -> tuple[int, dict]:
+        return 200, {"status": "ok"}
