@@ -8,8 +8,8 @@ Method. Equal lines are found by hash: an aggregation gives the first place of e
 line is cut into EDITS + 1 segments, whose places depend on its length alone; two lines within EDITS edits share a
 segment (one segment is untouched), nearly in its place. Each line gives its segments to an index keyed by length,
 segment number and content, and probes it with those of its substrings that can be such a segment of a line of
-equal or smaller length (positions that leave too many edits on one side are left out). Pairs that meet and have
-similar letter counts are verified by banded bit-parallel edit distance: the band of 2 * EDITS + 1 diagonals is one
+equal or smaller length (positions that leave too many edits on one side are left out). Keys that
+only one line has are dropped at once; of the lines that are left, pairs that meet and have similar letter counts are verified by banded bit-parallel edit distance: the band of 2 * EDITS + 1 diagonals is one
 integer, advanced by a code point a step.
 
 All of it is DataFrame operations; no Python runs on the data. Of the most frequent lines (a list of bounded
@@ -22,7 +22,7 @@ further columns pass through. Equality of lines is that of 64-bit hashes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -33,10 +33,10 @@ EDITS = 2
 MIN_CHARS = 20
 #: Most frequent lines that are broadcast with their first place.
 FREQUENT_LINES = 1 << 16
-#: Line ids that may be broadcast for verification; more are joined by shuffling.
-BROADCAST_IDS = 1 << 20
+#: Shared keys whose line ids may be broadcast for verification; those of more are joined by shuffling.
+BROADCAST_IDS = 1 << 21
 #: Letters whose counts filter candidates.
-LETTERS = "etna"
+LETTERS = "etaoinsrhldcumpg"
 
 
 def cut(length: Column | int, i: int, edits: int) -> Column:
@@ -48,13 +48,10 @@ def segment_key(length: Column, i: int, start: Column, past: Column, text: Colum
     return F.hash(length, F.lit(i), F.substring(text, start + 1, past - start))
 
 
-def index_keys(text: Column, n: Column, edits: int) -> Column:
-    return F.array(*[segment_key(n, i, cut(n, i, edits), cut(n, i + 1, edits), text) for i in range(edits + 1)])
-
-
-def probe_keys(text: Column, n: Column, edits: int) -> Column:
-    """Structs (key, shorter): substrings that can be a segment of a line shorter by `shorter`."""
-    out = []
+def segment_keys(text: Column, n: Column, edits: int) -> Column:
+    """Structs (key, shorter): the line's own segments (shorter = -1, for the index), then the substrings that can be a
+    segment of a line shorter by `shorter`."""
+    out = [F.struct(segment_key(n, i, cut(n, i, edits), cut(n, i + 1, edits), text).alias("key"), F.lit(-1).alias("shorter")) for i in range(edits + 1)]
     for shorter in range(edits + 1):
         m = n - F.lit(shorter)
         for i in range(edits + 1):
@@ -65,21 +62,17 @@ def probe_keys(text: Column, n: Column, edits: int) -> Column:
 
 
 def letter_counts(text: Column, n: Column) -> Column:
-    """Counts of some letters, modulo 256, in one integer."""
-    packed = None
-    for i, letter in enumerate(LETTERS):
-        count = F.shiftleft((n - F.length(F.replace(text, F.lit(letter), F.lit("")))).bitwiseAND(255), 8 * i)
-        packed = count if packed is None else packed.bitwiseOR(count)
-    return packed
+    """Counts of some letters."""
+    return F.array(*[n - F.length(F.replace(text, F.lit(letter), F.lit(""))) for letter in LETTERS])
 
 
 def near_counts(a: str, b: str, edits: int) -> Column:
     """An edit changes two counts by one at most."""
-    total = None
+    apart = None
     for i in range(len(LETTERS)):
-        apart = F.expr(f"abs(((shiftright({a}, {8 * i}) & 255) - (shiftright({b}, {8 * i}) & 255) + 384) % 256 - 128)")
-        total = apart if total is None else total + apart
-    return total <= 2 * edits
+        one = F.abs(F.get(a, F.lit(i)) - F.get(b, F.lit(i)))
+        apart = one if apart is None else apart + one
+    return apart <= 2 * edits
 
 
 def _let(value: Column, body) -> Column:
@@ -153,27 +146,24 @@ def dedup_lines(
     frequent = firsts.where("copies > 1").orderBy(F.desc("copies"), "id").limit(FREQUENT_LINES)
     known = frequent.select("id", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_no"))
     single = lines.join(F.broadcast(known), "id", "left").where("first_doc is null or (doc = first_doc and line_no = first_no)")
-    keyed = single.select("id", F.col("line"), "n", letter_counts(F.col("line"), F.col("n")).alias("letters"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = (
-        keyed.select("id", "letters", F.explode(index_keys(F.col("line"), F.col("n"), edits)).alias("key"))
-        .repartition(parts, "key").dropDuplicates(["key", "id"])
-        .select("key", F.col("id").alias("b"), F.col("letters").alias("letters_b"))
-    )
-    probe = (
-        keyed.select("id", "letters", F.explode(probe_keys(F.col("line"), F.col("n"), edits)).alias("p"))
-        .select(F.col("p.key").alias("key"), "id", "letters", F.col("p.shorter").alias("shorter"))
-        .repartition(parts, "key").dropDuplicates(["key", "id"])
-        .select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), "shorter")
-    )
+    entries = single.select("id", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("p")).select("id", "p.key", "p.shorter")
+    # keys that an index entry shares with another line: few, so all that follows is small
+    w = Window.partitionBy("key")
+    seen = entries.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("least", F.min("shorter").over(w))
+    shared = materialise(seen.where("low <> high and least < 0").select("key", "id", "shorter"))
+
+    wanted = shared.select("id").distinct()
+    if shared.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = materialise(lines.join(wanted, "id").groupBy("id").agg(F.first("line").alias("line")))
+    letters = materialise(texts.select("id", letter_counts(F.col("line"), F.length("line")).alias("letters")))
+    own = shared.dropDuplicates(["key", "id", "shorter"]).join(letters, "id")
+    index = own.where("shorter < 0").select("key", F.col("id").alias("b"), F.col("letters").alias("letters_b"))
+    probe = own.where("shorter >= 0").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), "shorter")
     apart = (F.col("a") != F.col("b")) & ((F.col("shorter") > 0) | (F.col("a") < F.col("b")))
     met = probe.join(index, (probe["key"] == index["key"]) & apart & near_counts("letters_a", "letters_b", edits))
     pairs = materialise(met.select("a", "b").distinct())
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    if pairs.count() * 2 <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    chars = materialise(lines.join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))).select("id", characters(F.col("line")).alias("chars"))
+    chars = texts.select("id", characters(F.col("line")).alias("chars"))
     checked = (
         pairs.join(chars.select(F.col("id").alias("a"), F.col("chars").alias("x")), "a")
         .join(chars.select(F.col("id").alias("b"), F.col("chars").alias("y")), "b")
