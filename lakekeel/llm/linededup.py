@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import fresh, materialise
 
 #: Largest edit distance of lines that count as copies.
 EDITS = 2
@@ -179,13 +179,14 @@ def dedup_lines(
     kept = firsts.join(dropped, "id", "left_anti").select(F.col("first.doc").alias("kept_doc"), F.col("first.line_no").alias("no"))
     listed = kept.groupBy("kept_doc").agg(F.sort_array(F.collect_list("no")).alias("nos"))
     gaps = F.transform("nos", lambda no, i: F.concat(F.repeat(F.lit("0"), no - F.when(i == 0, F.lit(-1)).otherwise(F.get("nos", i - 1)) - 1), F.lit("1")))
-    masks = listed.groupBy("kept_doc").agg(F.first(F.split(F.array_join(gaps, ""), "")).alias("mask"))
+    of, mask, stays = fresh(docs.columns, "kept_doc", "mask", "kept_lines")
+    masks = listed.groupBy(F.col("kept_doc").alias(of)).agg(F.first(F.split(F.array_join(gaps, ""), "")).alias(mask))
     pieces = F.split(text_col, "\n")
-    stay = F.filter(pieces, lambda line, i: (F.length(line) < min_chars) | (F.coalesce(F.get("mask", i), F.lit("0")) == "1") | F.col(id_col).isNull())
-    out = docs.join(masks, docs[id_col] == masks["kept_doc"], "left").withColumn("mask", F.coalesce("mask", F.array().cast("array<string>"))).withColumn("kept_lines", stay)
-    columns = [F.array_join("kept_lines", "\n").alias(text_col) if c == text_col else docs[c] for c in docs.columns]
+    stay = F.filter(pieces, lambda line, i: (F.length(line) < min_chars) | (F.coalesce(F.get(mask, i), F.lit("0")) == "1") | F.col(id_col).isNull())
+    out = docs.join(masks, docs[id_col] == masks[of], "left").withColumn(stays, stay)
+    columns = [F.array_join(stays, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size(pieces), F.lit(0)).cast("bigint").alias(counts[0]), F.coalesce(F.size("kept_lines"), F.lit(0)).cast("bigint").alias(counts[1])]
+        columns += [F.coalesce(F.size(pieces), F.lit(0)).cast("bigint").alias(counts[0]), F.coalesce(F.size(stays), F.lit(0)).cast("bigint").alias(counts[1])]
     return out.select(*columns)
 
 
