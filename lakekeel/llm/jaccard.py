@@ -4,8 +4,9 @@ Method. A text's set is its distinct 5-word shingles, as 64-bit hashes. All shin
 ones by hash, then frequent ones (a list of fixed size, counted over the whole corpus) by frequency. The order is
 cut into fragments. (1) Equal sets become one class. (2) By the threshold, two sets that link share a
 shingle among the first ones of each in the global order; these prefix entries meet in their fragment and give
-candidate pairs. (3) For the classes in candidate pairs every fragment counts its part of each pair's overlap, and
-the parts are summed per pair. (4) Links join classes into components.
+candidate pairs. (3) Pairs whose size
+sketches rule the threshold out go; for the others every fragment counts its part of the overlap,
+with the sets that candidate pairs connect side by side, and the parts are summed per pair. (4) Links join classes into components.
 
 Large prefix groups are not expanded into all pairs at once: their members are first compared with one of them;
 when links have merged classes, only pairs of different components within a group are compared. This loses no
@@ -43,10 +44,15 @@ FREQUENT_OF_TASK = 2048
 FRAGMENTS = 1024
 #: Fragments in which overlaps are counted.
 OVERLAP_FRAGMENTS = 4
+#: Sets of a block that one task holds twice at most.
+BLOCK_SETS = 1000
+#: Parts of the hash range in a set's sketch.
+SKETCH = 256
 #: A prefix group up to this size gives all its pairs at once.
 SMALL_GROUP = 6
-#: Words of 64 bits in the filter of candidate classes: a bound on what is broadcast, whatever the corpus.
+#: Words of 64 bits in the filter of candidate documents: a bound on what is broadcast, whatever the corpus.
 FILTER_WORDS = 1 << 17
+FILTER_SHIFTS = (0, 20, 40)
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -71,6 +77,11 @@ def class_id(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
+def sketch(own: np.ndarray) -> bytes:
+    """How many shingles fall into each of SKETCH parts of the hash range (255: that or more)."""
+    return np.minimum(np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=SKETCH), 255).astype(np.uint8).tobytes()
+
+
 def texts_of(batches: Iterator[pa.RecordBatch], memo: HashMemo, k: int) -> Iterator[tuple[object, np.ndarray]]:
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
@@ -88,11 +99,11 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             top = np.flatnonzero(n >= 3)
             top = top[np.argsort(-n[top], kind="stable")][:FREQUENT_OF_TASK]
-            return {"kind": [1] * len(top), "doc": pa.nulls(len(top), pa.null()), "n": n[top].astype(np.int64), "c": h[top].astype(np.int64)}
+            return {"kind": [1] * len(top), "doc": pa.nulls(len(top), pa.null()), "n": n[top].astype(np.int64), "c": h[top].astype(np.int64), "sketch": pa.nulls(len(top), pa.binary())}
 
         for batch in batches:
             rows = [shingles(t, memo, k) for t in utf8(batch.column(1))]
-            yield {"kind": [0] * len(rows), "doc": batch.column(0), "n": [len(r) for r in rows], "c": [class_id(r) for r in rows]}
+            yield {"kind": [0] * len(rows), "doc": batch.column(0), "n": [len(r) for r in rows], "c": [class_id(r) for r in rows], "sketch": [sketch(r) for r in rows]}
             for row in rows:
                 held.append(row)
                 size += len(row)
@@ -102,7 +113,7 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
         if held:
             yield frequent()
 
-    return arrow_map(docs, step, f"kind int, doc {id_type}, n bigint, c bigint")
+    return arrow_map(docs, step, f"kind int, doc {id_type}, n bigint, c bigint, sketch binary")
 
 
 def prefix_lengths(n: int, percent: int) -> tuple[int, int]:
@@ -210,87 +221,114 @@ def groups(packed: DataFrame, percent: int) -> DataFrame:
     return arrow_map(packed, step, "a bigint, b bigint, h bigint, n bigint, first boolean")
 
 
-def class_filter(spark: SparkSession, nodes: DataFrame):
-    """A Bloom filter of fixed size over column c, as a broadcast array."""
+def bit_filter(spark: SparkSession, hashes: DataFrame):
+    """A Bloom filter of fixed size over column h (64-bit hashes), as a broadcast array."""
     bits = FILTER_WORDS * 64
-    hashed = nodes.select(F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(i), "c"), F.lit(bits)) for i in range(3)])).alias("p"))
-    words = hashed.groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
-    out = np.zeros(FILTER_WORDS, np.uint64)
+    at = F.explode(F.array(*[F.shiftrightunsigned("h", s).bitwiseAND(bits - 1) for s in FILTER_SHIFTS])).alias("p")
+    words = hashes.select(at).groupBy(F.expr("p div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("v"))
     got = words.toArrow()
+    out = np.zeros(FILTER_WORDS, np.uint64)
     out[got.column(0).to_numpy()] = got.column(1).to_numpy().astype(np.int64).view(np.uint64)
     return spark.sparkContext.broadcast(out)
 
 
-def filter_positions(c: int) -> list[int]:
-    """The filter's bit positions of a class, as Spark's xxhash64(i, c) gives them."""
-    return [xxh64_spark(c, xxh64_spark_int(i, 42)) % (FILTER_WORDS * 64) for i in range(3)]
-
-
-_M = (1 << 64) - 1
-_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
-
+def in_filter(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.ones(len(hashes), bool)
+    for s in FILTER_SHIFTS:
+        p = hashes.astype(np.int64).view(np.uint64) >> np.uint64(s) & np.uint64(FILTER_WORDS * 64 - 1)
+        out &= (words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+def segments(docs: DataFrame, wanted, k: int) -> DataFrame:
+    """The sets of wanted documents, cut into fragments: rows (doc, fragment, segment)."""
+    id_type = docs.schema[docs.columns[0]].dataType.simpleString()
+    own = docs.select(docs.columns[0], docs.columns[1], F.xxhash64(docs.columns[0]).alias("h"))
+    bounds = np.arange(1, OVERLAP_FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // OVERLAP_FRAGMENTS)
 
-def xxh64_spark(value: int, seed: int) -> int:
-    """xxHash64 of one 8-byte little-endian value."""
-    return _signed(xxhash.xxh64_intdigest((value & _M).to_bytes(8, "little"), seed & _M))
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        memo = HashMemo()
+        for batch in batches:
+            batch = batch.filter(pa.array(in_filter(wanted.value, batch.column(2).to_numpy())))
+            for at in range(0, batch.num_rows, 500):
+                out: dict = {"doc": [], "fragment": [], "segment": []}
+                for doc, own in texts_of(iter([batch.slice(at, 500)]), memo, k):
+                    for f, part in enumerate(np.split(own, np.searchsorted(own, bounds))):
+                        out["doc"].append(doc)
+                        out["fragment"].append(f)
+                        out["segment"].append(part.tobytes())
+                yield out
 
+    return arrow_map(own, step, f"doc {id_type}, fragment int, segment binary")
 
-def xxh64_spark_int(value: int, seed: int) -> int:
-    """xxHash64 of one 4-byte little-endian value."""
-    return _signed(xxhash.xxh64_intdigest((value & 0xFFFFFFFF).to_bytes(4, "little"), seed & _M))
 
-
-def segments(docs: DataFrame, wanted, k: int) -> DataFrame:
-    """The sets of wanted classes, cut into fragments: rows (c, fragment, size, segment)."""
+def promising(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes with a document and the size of each, without those whose sketches rule the threshold out: the
+    overlap is at most the sum of the smaller counts."""
+    left = known.select(F.col("c").alias("a"), F.col("doc").alias("doc_a"), F.col("n").alias("size_a"), F.col("sketch").alias("sketch_a"))
+    right = known.select(F.col("c").alias("b"), F.col("doc").alias("doc_b"), F.col("n").alias("size_b"), F.col("sketch").alias("sketch_b"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "doc_a", "doc_b", "size_a", "size_b", "sketch_a", "sketch_b")
+    id_type = known.schema["doc"].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        memo, seen, filt = HashMemo(), set(), wanted.value
-        out: dict = {"c": [], "fragment": [], "size": [], "segment": []}
-        for _, own in texts_of(batches, memo, k):
-            if not len(own):
-                continue
-            c = class_id(own)
-            if c in seen or not all(int(filt[p >> 6]) >> (p & 63) & 1 for p in filter_positions(c)):
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            if len(seen) > 500_000:
-                seen.clear()
-            seen.add(c)
-            cuts = np.searchsorted(own, np.arange(1, OVERLAP_FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // OVERLAP_FRAGMENTS))
-            for f, part in enumerate(np.split(own, cuts)):
-                out["c"].append(c)
-                out["fragment"].append(f)
-                out["size"].append(len(own))
-                out["segment"].append(part.tobytes())
-            if len(out["c"]) >= 2000:
-                yield out
-                out = {name: [] for name in out}
-        if out["c"]:
-            yield out
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, SKETCH) for i in (6, 7))
+            low = np.minimum(x, y)
+            most = np.where((low == 255).any(axis=1), np.int64(1) << 40, low.sum(axis=1, dtype=np.int64))
+            total = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+            keep = batch.filter(pa.array((100 + percent) * most >= percent * total))
+            yield {name: keep.column(i) for i, name in enumerate(("a", "b", "doc_a", "doc_b", "size_a", "size_b"))}
 
-    return arrow_map(docs, step, "c bigint, fragment int, size bigint, segment binary")
+    return arrow_map(both, step, f"a bigint, b bigint, doc_a {id_type}, doc_b {id_type}, size_a bigint, size_b bigint")
 
 
-def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets reach the threshold: partial overlaps by fragment, summed per pair."""
+def linked(pairs: DataFrame, known: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those pairs (a, b) of classes whose sets reach the threshold: partial overlaps by fragment, summed per pair."""
     spark = pairs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    parts = materialise(segments(docs, class_filter(spark, nodes), k).dropDuplicates(["c", "fragment"]), "uncompressed")
-    left = parts.select(F.col("c").alias("a"), "fragment", F.col("size").alias("size_a"), F.col("segment").alias("left"))
-    right = parts.select(F.col("c").alias("b"), "fragment", F.col("size").alias("size_b"), F.col("segment").alias("right"))
-    fragments = F.explode(F.array(*[F.lit(f) for f in range(OVERLAP_FRAGMENTS)])).alias("fragment")
-    both = pairs.select("a", "b", fragments).join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "size_a", "size_b", "left", "right")
+    likely = materialise(promising(pairs, known, percent))
+    wanted = bit_filter(spark, likely.select(F.explode(F.array(F.xxhash64("doc_a"), F.xxhash64("doc_b"))).alias("h")).distinct())
+    # blocks of classes that candidate pairs connect: a block's sets travel once, not once per pair; a large block is
+    # cut into a grid of cells, so that no task holds more than two times BLOCK_SETS of them
+    ends = F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("doc_a").alias("doc")), F.struct(F.col("b").alias("c"), F.col("doc_b").alias("doc")))).alias("e")
+    nodes = likely.select(ends).select("e.c", "e.doc").distinct().join(components(likely.select("a", "b")), F.col("c") == F.col("node"))
+    size = nodes.groupBy("component").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("side"))
+    nodes = nodes.join(size, "component").select("c", "doc", F.col("component").alias("block"), "side", F.pmod(F.xxhash64("c"), F.col("side")).cast("int").alias("sub"))
+    nodes = materialise(nodes)
+
+    def cell(x: str, y: str):
+        return F.xxhash64("block", "fragment", F.least(x, y), F.greatest(x, y)).alias("cell")
+
+    none = F.lit(None)
+    fragments = F.explode(F.sequence(F.lit(0), F.lit(OVERLAP_FRAGMENTS - 1))).alias("fragment")
+    at = nodes.select(F.col("c").alias("a"), "block", F.col("sub").alias("sub_a"))
+    both = likely.join(at, "a").join(nodes.select(F.col("c").alias("b"), F.col("sub").alias("sub_b")), "b").select("*", fragments)
+    asked = both.select(cell("sub_a", "sub_b"), F.lit(1).alias("kind"), "a", "b", "size_a", "size_b", none.cast("binary").alias("segment"))
+    # a set goes to the cells that ask for it
+    sides = F.explode(F.array(F.struct(F.col("doc_a").alias("doc"), F.col("a").alias("c")), F.struct(F.col("doc_b").alias("doc"), F.col("b").alias("c")))).alias("e")
+    needed = both.select(sides, "fragment", cell("sub_a", "sub_b")).select("e.doc", "e.c", "fragment", "cell").distinct()
+    given = segments(docs, wanted, k).join(needed, ["doc", "fragment"])
+    given = given.select("cell", F.lit(0).alias("kind"), F.col("c").alias("a"), F.lit(0).cast("bigint").alias("b"), none.cast("bigint").alias("size_a"), none.cast("bigint").alias("size_b"), "segment")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = given.unionByName(asked).repartition(n_parts, "cell").sortWithinPartitions("cell", "kind")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        current, own = None, {}
         for batch in batches:
-            lefts, rights = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True)) for x, y in zip(lefts, rights)]
-            yield {name: batch.column(i) for i, name in enumerate(("a", "b", "size_a", "size_b"))} | {"part": n}
+            out: dict = {"a": [], "b": [], "size_a": [], "size_b": [], "part": []}
+            for where, kind, a, b, size_a, size_b, segment in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if where != current:
+                    current, own = where, {}
+                if kind == 0:
+                    own[a] = np.frombuffer(segment, np.uint64)
+                else:
+                    both_n = len(np.intersect1d(own[a], own[b], assume_unique=True))
+                    for name, value in zip(out, (a, b, size_a, size_b, both_n)):
+                        out[name].append(value)
+            yield out
 
-    partial = arrow_map(both, count, "a bigint, b bigint, size_a bigint, size_b bigint, part bigint")
+    partial = arrow_map(dealt, count, "a bigint, b bigint, size_a bigint, size_b bigint, part bigint")
     total = partial.groupBy("a", "b").agg(F.sum("part").alias("both"), F.first("size_a").alias("sa"), F.first("size_b").alias("sb"))
     return total.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.col("sa") + F.col("sb") - F.col("both"))).select("a", "b")
 
@@ -319,18 +357,20 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     rank[np.lexsort((hot, count))] = np.arange(len(hot))
     frequent = spark.sparkContext.broadcast((hot[by_hash], rank[by_hash]))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = made.where("kind = 0 and n > 0 and doc is not null")
+    known = materialise(rows.groupBy("c").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     met = materialise(groups(entries(own, frequent, k, percent).repartition(n_parts, "fragment"), percent))
     pairs = materialise(met.where("b is not null").select("a", "b").distinct())
-    links = materialise(linked(pairs, own, k, percent))
+    links = materialise(linked(pairs, known, own, k, percent))
     parts = components(links)
     members = met.where("b is null").select(F.col("a").alias("c"), "h", "n", "first")
     rest = materialise(cross_pairs(members, parts, percent).join(pairs, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = materialise(linked(rest, own, k, percent).unionByName(links))
+        links = materialise(linked(rest, known, own, k, percent).unionByName(links))
         parts = components(links)
     rows = made.where("kind = 0").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "c")
     # smallest document of each class, then of each component; a set without shingles links with nothing
-    least = materialise(rows.where("n_shingles > 0").groupBy("c").agg(F.min(id_col).alias("least")))
+    least = known.select("c", F.col("doc").alias("least"))
     spread = least.join(parts.withColumnRenamed("node", "c"), "c")
     of_part = spread.groupBy("component").agg(F.min("least").alias("least"))
     of_class = materialise(
