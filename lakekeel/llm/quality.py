@@ -36,6 +36,8 @@ LABELLED_ROWS, TRAIN_ROWS = 20_000, 4_000
 STEMS, STEM_SUPPORT = 4096, 4
 #: Bytes of a word's stems.
 STEM_BYTES = (4, 5, 6, 7, 8)
+#: Words of a window in which distinct words are counted.
+WINDOW = 400
 HASH_BITS = 15
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-4
 
@@ -75,21 +77,24 @@ def _vote(bad: bool) -> int:
 
 def quality_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     """Marks among letters, words that end in doubled marks, capitals, words in capitals, repeated neighbours, few
-    distinct words, table bars, exclamation marks, few short words; and good: all of these well inside the usual."""
+    distinct words, table bars, exclamation marks, few short words; and good: all of these well inside the usual.
+    All shares are over the whole text; that of distinct words, which falls with length, is the mean of consecutive
+    windows of WINDOW words, weighted by their lengths."""
     n = len(words)
     if not n:
         return (BAD,) * QUALITY_LABELLERS
-    c = np.bincount(_CLASS[np.frombuffer(text, np.uint8)], minlength=9)
+    raw = np.frombuffer(text, np.uint8)
+    classes = _CLASS[raw]
+    c = np.bincount(classes, minlength=9)
     letters = int(c[_LOWER] + c[_UPPER] + c[_WIDE]) or 1
     ascii_letters = int(c[_LOWER] + c[_UPPER]) or 1
     marks, capitals = int(c[_MARK]) / letters, int(c[_UPPER]) / ascii_letters
     twice = sum(map(operator.eq, words, words[1:])) / n
     lengths = list(map(len, words))
     short = sum(map((4).__gt__, lengths)) / n
-    part = words[:400]
-    distinct = len(set(part)) / len(part)
-    doubled = sum(w[-1] == w[-2] and w[-1] in _DOUBLED for w in part if len(w) > 2) / len(part)
-    shouted = sum(map(bytes.isupper, part)) / len(part)
+    distinct = sum(len(set(words[i : i + WINDOW])) for i in range(0, n, WINDOW)) / n
+    doubled = doubled_ends(raw, classes) / n
+    shouted = sum(map(bytes.isupper, words)) / n
     bars, bangs = int(c[_PIPE]) / n, int(c[_BANG]) / n
     if n < 8:  # too short for shares of letters
         junk = bars > 0.2, doubled > 0.3, bangs > 0.3
@@ -102,7 +107,15 @@ def quality_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
 
 
 QUALITY_LABELLERS, TOXIC_LABELLERS = 10, 5
-_DOUBLED = frozenset(b"*$%&#!~^=+_@")
+_DOUBLED = np.zeros(256, bool)
+_DOUBLED[list(b"*$%&#!~^=+_@")] = True
+
+
+def doubled_ends(raw: np.ndarray, classes: np.ndarray) -> int:
+    """Words of three bytes or more that end in a doubled mark."""
+    at = np.flatnonzero((raw[2:] == raw[1:-1]) & _DOUBLED[raw[2:]]) + 2
+    at = at[classes[at - 2] != _SPACE]
+    return int((np.append(classes, _SPACE)[at + 1] == _SPACE).sum())
 
 
 def toxic_votes(words: list[bytes], stems: frozenset[bytes]) -> tuple[int, ...]:

@@ -198,6 +198,23 @@ def tables(spark):
     return spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
 
 
+def test_quality_votes_see_the_whole_text():
+    def votes(words):
+        text = " ".join(words).encode()
+        return quality.quality_votes(text, text.split())
+
+    start = [f"w{i} of" for i in range(200)]  # 400 usual words
+    assert votes(start)[-1] == quality.GOOD
+    for late, labeller in (([f"w{i % 9}" for i in range(4000)], 5), ([f"w{i}ord!!" for i in range(900)], 1), ([f"W{i}" for i in range(900)], 3)):
+        got = votes(start + late)
+        assert got[labeller] == quality.BAD and got[-1] == quality.NONE
+    rng = random.Random(3)
+    for _ in range(300):
+        text = "".join(rng.choice("ab!!**  \n\x1c\u2003") for _ in range(rng.randint(0, 30))).encode()
+        raw = np.frombuffer(text, np.uint8)
+        assert quality.doubled_ends(raw, quality._CLASS[raw]) == sum(w[-1] == w[-2] and w[-1] in b"*!" for w in text.split() if len(w) > 2)
+
+
 def test_quality_on_held_out_labels(spark, tables):
     docs, labels = tables
     train, held = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
