@@ -5,7 +5,8 @@ text, the positions of its words as numbers into the block's list of distinct wo
 shuffled by a hash of the word, so every distinct word of the corpus meets in one place and is encoded
 once there; the ids go back to the blocks, and each text is put together by position. Words and positions
 come from two readings of the input, so that positions are shuffled only once; blocks carry the hash of their
-contents, and readings that differ (an input that is not deterministic) end in an error. Decoding joins the
+contents, and readings that differ (an input that is not deterministic) end in an error. Blocks of one name (repeated
+rows) have the same distinct words; each of them is put together by its own positions. Decoding joins the
 ids with the table of token bytes (a fixed vocabulary of about 50,000 entries).
 
 Defined cases: null text counts as empty (no tokens); any text length; repeated rows give repeated
@@ -17,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +26,7 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_map, ranges
 
@@ -154,13 +157,11 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     groups = min(max(n, LEAST_GROUPS), MOST_GROUPS)
     words = blocks(own, pattern, groups, 1).select("block", "grp", "payload").repartition(n, "grp")
     coded = encoded_words(words, path, pattern)
-    both = blocks(own, pattern, groups, 0).unionByName(coded).repartition(n, "block").sortWithinPartitions("block", "kind")
+    both = blocks(own, pattern, groups, 0).unionByName(coded).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"))
     wide = len(vocabulary(path)[0]) > 65536
     out_cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
 
-    def finish(head: list[bytes] | None, coded: dict[int, list[bytes]]) -> dict:
-        if head is None:
-            raise RuntimeError("the input changed between its two readings; materialise it first")
+    def finish(head: list[bytes], coded: dict[int, list[bytes]]) -> dict:
         ids_raw, counts_raw, lanes_raw, group_raw = head
         group = np.frombuffer(group_raw, np.uint16)
         table: list[bytes] = [b""] * len(group)
@@ -198,19 +199,26 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         return cols
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        current, head, coded = None, None, {}
+        current, heads, coded, copies = None, 0, {}, Counter()
+
+        def agree() -> None:
+            """Each reading gave the block equally often."""
+            if current is not None and (not heads or any(k != heads for k in copies.values())):
+                raise RuntimeError("the input changed between its two readings; materialise it first")
+
         for batch in batches:
             for block, grp, kind, payload in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if block != current:
-                    if current is not None:
-                        yield finish(head, coded)
-                    current, head, coded = block, None, {}
-                if kind == 0:
-                    head = unpack(payload)
+                    agree()
+                    current, heads, coded, copies = block, 0, {}, Counter()
+                if kind == 0:  # after the block's words
+                    heads += 1
+                    yield finish(unpack(payload), coded)
                 else:
-                    coded[grp] = unpack(payload)
-        if current is not None:
-            yield finish(head, coded)
+                    copies[grp] += 1
+                    if grp not in coded:
+                        coded[grp] = unpack(payload)
+        agree()
 
     return arrow_map(both, step, f"{id_col} {id_type}, n_tokens bigint, {out_cols}")
 

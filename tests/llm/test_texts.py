@@ -47,6 +47,15 @@ def test_bpe_ids_and_empty(spark, docs):
     assert bpe.encode_decode(fixed.limit(0), VOCABULARY, P.PATTERN).count() == 0
 
 
+def test_bpe_repeated_rows_over_partitions(spark):
+    long = "word of many " * 20
+    one = spark.createDataFrame([(1, "x"), (None, "null id"), (2, long)], "doc_id bigint, text string").coalesce(1)
+    turned = [spark.createDataFrame([(3, t)], "doc_id bigint, text string").coalesce(1) for t in (" a a b b", " a b b a")]
+    df = one.unionByName(one).unionByName(one).unionByName(turned[0]).unionByName(turned[1])
+    got = sorted((r["doc_id"] or 0, bytes(r["decoded"]).decode()) for r in bpe.encode_decode(df, VOCABULARY, P.PATTERN, digests=False).collect())
+    assert got == sorted([(1, "x"), (0, "null id"), (2, long)] * 3 + [(3, " a a b b"), (3, " a b b a")])
+
+
 def test_splitter_pieces_encode_alone():
     own, split = bpe.encoder(VOCABULARY, P.PATTERN), bpe.splitter(P.PATTERN)
     rng = random.Random(3)
