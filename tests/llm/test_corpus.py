@@ -177,6 +177,36 @@ def test_fold_and_merge():
     assert "(c)?" in htmltext.render(htmltext.merge(a, b))
 
 
+def test_long_streams_keep_their_constants(spark):
+    def page(k):
+        return f"<body><div>Story {k} is told here</div>" + "".join(f"<x{k}y{i}></x{k}y{i}>" for i in range(1200)) + "<div>All rights are ours</div></body>"
+
+    df = spark.createDataFrame([(k, f"http://h/{k}", page(k)) for k in range(6)], "page_id bigint, url string, html string")
+    assert {r["text"] for r in htmltext.page_texts(df).collect()} == {f"Story {k} is told here" for k in range(6)}
+    wrapper = htmltext.infer_wrappers(df).first()
+    items = htmltext._load(wrapper["wrapper"])
+    assert htmltext.constants_of(items) == set(wrapper["constants"]) and len(items) > 6 * 2400
+
+
+def test_opcodes_in_parts(monkeypatch):
+    monkeypatch.setattr(htmltext, "PIECE", 7)
+    rng = random.Random(2)
+    for n in (0, 3, 30, 400):
+        for letters in (2, 50, 1000):
+            a, b = ([rng.randrange(letters) for _ in range(rng.randint(n // 2, n))] for _ in range(2))
+            b = rng.choice([b, a[: n // 3] + b + a[n // 3 :]])
+            at_a = at_b = 0
+            for op, i1, i2, j1, j2 in htmltext.opcodes(a, b):
+                assert (i1, j1) == (at_a, at_b) and (op == "equal") <= (a[i1:i2] == b[j1:j2])
+                at_a, at_b = i2, j2
+            assert (at_a, at_b) == (len(a), len(b))
+            merged = [x[1] for x in htmltext.merge([("t", str(x), False) for x in a], [("t", str(x), False) for x in b])]
+            rest = iter(merged)
+            assert all(str(x) in rest for x in a)
+            rest = iter(merged)
+            assert all(str(x) in rest for x in b)
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.15
