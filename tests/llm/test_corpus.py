@@ -207,6 +207,20 @@ def test_opcodes_in_parts(monkeypatch):
             assert all(str(x) in rest for x in b)
 
 
+def test_unclosed_elements_at_any_depth(spark):
+    options = "<select>" + "<option>land" * 300
+    rows = [
+        (1, f"<article><p>before</p>{options}</select><p>after</p></article><p>out</p>"), (2, f"<p>before</p><form>{options}</form><p>after</p>"),
+        (3, "<article>" + "<b>" * 300 + "in</article><p>out</p>"), (4, f"a {options}<select><option>b</select> c"),
+        (5, "a <select><optgroup><option>b<optgroup><option>c</select> d<article>e<select><option>f</article>g"),
+    ]
+    df = spark.createDataFrame([(i, f"http://h{i}/", h) for i, h in rows], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.page_texts(df).collect()}
+    assert got == {1: "before\nafter", 2: "before\nafter", 3: "in", 4: "a\nc", 5: "e"}
+    page = htmltext.Page(f"a{options}<select><option>b<p>c<option>d</select>e")
+    assert page._stack == [] and max(len(x) for x in page._open.values()) == 0
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.15
