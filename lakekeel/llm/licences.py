@@ -1,6 +1,7 @@
 """Operator 4: licence scans with a positional rare-token index.
 
-Method. The phrases and notices form an index from a template's rarest words to (template, position in it).
+Method. The phrases and notices form an index from a template's rarest word to (template, position in it); that of a
+notice is the rarest of its mandatory key phrase, so that no notice which counts is missed.
 Rarity is measured on the corpus: the document frequencies of the templates' words over all documents. For a
 file, its words that the index holds, that is its highest-IDF licence words, are looked up; each posting gives
 a start for its template, starts are intersected with the template's other words by relative position, and a notice
@@ -51,8 +52,6 @@ NOTICES = (
 )
 
 NOTICE_SHARE = 0.75
-#: Rarest words by which a notice can be found; a base phrase, which needs all its words, has one.
-ANCHORS = 3
 
 
 class LicenceIndex:
@@ -67,9 +66,10 @@ class LicenceIndex:
                 at = next((i, i + len(k)) for i in range(len(words)) if words[i : i + len(k)] == k)
             number = len(self.templates)
             self.templates.append((label, words, at))
-            ranked = sorted(set(words), key=lambda w: (-idf[w], w))
-            for word in ranked[: 1 if key is None else ANCHORS]:
-                self.postings.setdefault(word, []).extend((number, i) for i, w in enumerate(words) if w == word)
+            # every phrase or notice that counts holds all these words in their places, so one of them finds it
+            first, last = at or (0, len(words))
+            place = min(range(first, last), key=lambda i: (-idf[words[i]], words[i]))
+            self.postings.setdefault(words[place], []).append((number, place))
         self.anchors = frozenset(self.postings)
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], set[str], float]:

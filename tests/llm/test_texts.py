@@ -328,6 +328,26 @@ def test_licences(spark):
     assert got[6]["labels"] == "gpl-3" and got[6]["score"] == 1.0 and got[0]["labels"] == "" and got[7]["labels"] == ""
 
 
+def test_every_notice_with_its_key_phrase_is_found():
+    rng = random.Random(7)
+    vocabulary = sorted({w for t in [*licences.BASE, *licences.NOTICES] for w in t[1].encode().split()})
+    for _ in range(20):
+        idf = {w: rng.random() for w in vocabulary}
+        index = licences.LicenceIndex(idf)
+        for label, notice, key in licences.NOTICES:
+            words, k = notice.encode().split(), key.encode().split()
+            a = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
+            free = [i for i in range(len(words)) if not a <= i < a + len(k)]
+            rarest = sorted(free, key=lambda i: -idf[words[i]])
+            changed = rarest[: int((1 - licences.NOTICE_SHARE) * len(words))]
+            text = [b"other" if i in changed else w for i, w in enumerate(words)]
+            _, _, labels, score = index.scan([b"start", *text, b"end"])
+            assert label in labels and score >= (len(words) - len(changed)) / len(words)
+    isc = next(n for label, n, _ in licences.NOTICES if label == "isc")
+    idf = {w: 1.0 + (w in (b"copy", b"modify", b"distribute")) for w in vocabulary}
+    assert "isc" in licences.LicenceIndex(idf).scan(isc.replace("copy modify and or distribute", "x y and or z").encode().split())[2]
+
+
 def test_globs_equal_brute_force():
     import re
 
