@@ -54,6 +54,8 @@ def test_bpe_repeated_rows_over_partitions(spark):
     df = one.unionByName(one).unionByName(one).unionByName(turned[0]).unionByName(turned[1])
     got = sorted((r["doc_id"] or 0, bytes(r["decoded"]).decode()) for r in bpe.encode_decode(df, VOCABULARY, P.PATTERN, digests=False).collect())
     assert got == sorted([(1, "x"), (0, "null id"), (2, long)] * 3 + [(3, " a a b b"), (3, " a b b a")])
+    twice = spark.createDataFrame([(1, "x"), (1, "x")], "doc_id bigint, text string").repartition(2)
+    assert bpe.encode_decode(twice, VOCABULARY, P.PATTERN).count() == 2
 
 
 def test_splitter_pieces_encode_alone():
