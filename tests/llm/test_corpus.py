@@ -115,15 +115,32 @@ def test_jaccard_equals_brute_force(spark):
 
 
 def test_large_prefix_groups_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", 2)
+    """Near copies of one text, some of them linked only through others, and a passage that many texts share."""
+    for name, value in (("CELL_MEMBERS", 5), ("CELL_PAIRS", 3), ("ROWS", 2), ("BLOCK_SHINGLES", 500), ("FREQUENT", 8)):
+        monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
-    shared = [f"s{i}" for i in range(40)]
-    docs = [" ".join(shared + [f"t{k % 4}_{i}" for i in range(6)] + [f"u{k}_{rng.randint(0, 1)}"]) for k in range(24)]
+    base = [f"s{i}" for i in range(90)]
+    docs = []
+    for _ in range(60):
+        own = list(base)
+        for i in rng.sample(range(len(own)), rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            own[i] = f"e{rng.randrange(12)}"
+        docs.append(" ".join(own[: rng.choice([90, 90, 80])]))
+    passage = " ".join(f"p{i}" for i in range(30))
+    docs += [" ".join(f"q{k}_{i}" for i in range(k % 9)) + " " + passage for k in range(40)]
     rows = list(enumerate(docs))
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect()} == brute_components(rows)
 
 
+def test_repeated_ids_with_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (1, b), (3, b + " end"), (4, a), (1, None)], "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.classes(df).collect())
+    assert got == [(1, 0, 1), (1, 26, 1), (1, 26, 1), (3, 27, 1), (4, 26, 1)]
+
+
 def test_repeated_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(5, t), (5, t), (3, t), (None, t), (9, t + " tail")], "doc_id bigint, text string")
