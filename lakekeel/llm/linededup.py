@@ -1,8 +1,8 @@
 """Operator 1 [native]: line dedup by a segment-partition edit join.
 
-A line of at least MIN_CHARS code points is dropped if an equal line, or one within EDITS edits (insertions,
-deletions, substitutions of code points), stands earlier; earlier means a smaller (id, line number). Shorter lines
-always stay. What stays is joined by line feeds again.
+A line is dropped if an equal line stands earlier; earlier means a smaller (id, line number). A line of at least
+MIN_CHARS code points is also dropped if one of these within EDITS edits (insertions, deletions, substitutions of code points) stands
+earlier. Lines without any character but spaces always stay. What stays is joined by line feeds again.
 
 Method. Equal lines are found by hash: an aggregation gives the first place of each line. For the edit join every
 line is cut into EDITS + 1 segments, whose places depend on its length alone; two lines within EDITS edits share a
@@ -13,7 +13,8 @@ only one line has are dropped at once; of the lines that are left, pairs that me
 integer, advanced by a code point a step.
 
 All of it is DataFrame operations; no Python runs on the data. Of the most frequent lines (a list of bounded
-size) only the first place enters the edit join, so copies do not multiply there.
+size) only the first place enters the edit join, so copies do not multiply there. Lines that share a segment but differ in
+the counts of letters or digits by more than the edits can change never become pairs.
 
 Defined cases: null text stays null (no lines); a null id takes no part and keeps all its lines; rows with the same
 id count as one document for order, and a line that stays does so in each of them; any length; an empty table gives an empty result;
@@ -29,14 +30,14 @@ from .common import fresh, materialise
 
 #: Largest edit distance of lines that count as copies.
 EDITS = 2
-#: Shorter lines, in code points, always stay.
+#: Shorter lines, in code points, are compared for equality only.
 MIN_CHARS = 20
 #: Most frequent lines that are broadcast with their first place.
 FREQUENT_LINES = 1 << 16
 #: Shared keys whose line ids may be broadcast for verification; those of more are joined by shuffling.
 BROADCAST_IDS = 1 << 21
-#: Letters whose counts filter candidates.
-LETTERS = "etaoinsrhldcumpg"
+#: Characters whose counts filter candidates; digits keep numbered lines that share their segments apart.
+LETTERS = "etaoinsrhldcumpg0123456789"
 
 
 def cut(length: Column | int, i: int, edits: int) -> Column:
@@ -45,7 +46,7 @@ def cut(length: Column | int, i: int, edits: int) -> Column:
 
 
 def segment_key(length: Column, i: int, start: Column, past: Column, text: Column) -> Column:
-    return F.hash(length, F.lit(i), F.substring(text, start + 1, past - start))
+    return F.xxhash64(length, F.lit(i), F.substring(text, start + 1, past - start))
 
 
 def segment_keys(text: Column, n: Column, edits: int) -> Column:
@@ -140,9 +141,10 @@ def dedup_lines(
     if min_chars < 2 * edits + 1:
         raise ValueError("min_chars must exceed twice the edits")
     every = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    lines = every.withColumn("n", F.length("line")).where(F.col("n") >= min_chars).withColumn("id", F.xxhash64("line"))
+    lines = every.where(F.trim("line") != "").withColumn("n", F.length("line")).withColumn("id", F.xxhash64("line"))
     firsts = materialise(lines.groupBy("id").agg(F.min(F.struct("doc", "line_no")).alias("first"), F.count("*").alias("copies")))
 
+    lines = lines.where(F.col("n") >= min_chars)
     frequent = firsts.where("copies > 1").orderBy(F.desc("copies"), "id").limit(FREQUENT_LINES)
     known = frequent.select("id", F.col("first.doc").alias("first_doc"), F.col("first.line_no").alias("first_no"))
     single = lines.join(F.broadcast(known), "id", "left").where("first_doc is null or (doc = first_doc and line_no = first_no)")
@@ -182,7 +184,7 @@ def dedup_lines(
     of, mask, stays = fresh(docs.columns, "kept_doc", "mask", "kept_lines")
     masks = listed.groupBy(F.col("kept_doc").alias(of)).agg(F.first(F.split(F.array_join(gaps, ""), "")).alias(mask))
     pieces = F.split(text_col, "\n")
-    stay = F.filter(pieces, lambda line, i: (F.length(line) < min_chars) | (F.coalesce(F.get(mask, i), F.lit("0")) == "1") | F.col(id_col).isNull())
+    stay = F.filter(pieces, lambda line, i: (F.trim(line) == "") | (F.coalesce(F.get(mask, i), F.lit("0")) == "1") | F.col(id_col).isNull())
     out = docs.join(masks, docs[id_col] == masks[of], "left").withColumn(stays, stay)
     columns = [F.array_join(stays, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
@@ -198,8 +200,8 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = f"""
 with line as (
   select doc_id, i - 1 as line_no, s[i] as line from (select doc_id, string_split(text, chr(10)) as s from documents where text is not null), unnest(range(1, len(s) + 1)) as u(i)),
-firsts as (select line, min(doc_id * 10000000 + line_no) as place from line where length(line) >= {MIN_CHARS} group by line),
-sized as (select line, place, length(line) as n from firsts),
+firsts as (select line, min(doc_id * 10000000 + line_no) as place from line where trim(line) <> '' group by line),
+sized as (select line, place, length(line) as n from firsts where length(line) >= {MIN_CHARS}),
 probe as (select line, place, n, n - d as m from sized, (values (0), (1), (2)) t(d)),
 shifts as (select * from (values (-2), (-1), (0), (1), (2)) t(s)),
 middle as (select line, place, n, substr(line, n // 2 - 2, 6) as part, n // 2 - 2 as at from sized),
@@ -211,7 +213,7 @@ pair as (
 near as (select distinct case when pa > pb then a else b end as line from pair where a <> b and levenshtein(a, b) <= {EDITS}),
 stays as (
   select l.doc_id, l.line_no, l.line from line l left join firsts f on f.line = l.line
-  where length(l.line) < {MIN_CHARS} or (f.place = l.doc_id * 10000000 + l.line_no and l.line not in (select line from near))),
+  where trim(l.line) = '' or (f.place = l.doc_id * 10000000 + l.line_no and l.line not in (select line from near))),
 text_of as (select doc_id, count(*) as n_kept, string_agg(line, chr(10) order by line_no) as t from stays group by doc_id),
 size_of as (select doc_id, count(*) as n_lines from line group by doc_id)
 select d.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_kept, 0) as bigint) as n_kept,
