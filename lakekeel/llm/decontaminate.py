@@ -8,8 +8,8 @@ read from the automaton's states: the state of the last 13 words knows all items
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. A text is contaminated if it has hit words
 and at least one in twenty of its words is hit.
 
-The automaton is broadcast. Its size follows the benchmark, not the corpus; items beyond SHARD_BYTES of text go
-to further automata, and a text's spans from all of them are merged.
+One automaton holds SHARD_BYTES of item text at most, and only one is broadcast at a time. A benchmark of more text takes a
+pass over the documents for each automaton; the passes write the spans of the documents that are hit, which are then merged by document.
 
 Defined cases: null text has no words (n_words 0, not contaminated); null or wordless items are ignored; repeated
 items count by item_id; any text length; empty tables give empty or clean results; further columns of the
@@ -21,16 +21,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, folded_words, ship, utf8
+from .common import arrow_map, folded_words, fresh, materialise, ship, utf8
 
 WINDOW = 13
-#: Text bytes of benchmark items per automaton.
-SHARD_BYTES = 32 << 20
+#: Text bytes of benchmark items per automaton (a longer item has one of its own).
+SHARD_BYTES = 4 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
@@ -146,41 +147,80 @@ def merge_span(spans: list[list[int]], first: int, past: int) -> None:
     spans.append([first, past])
 
 
-def automata(spark: SparkSession, items: DataFrame, id_col: str, text_col: str, window: int) -> list:
-    """Broadcast automata over the items, one for each SHARD_BYTES of their text."""
+def shards_of(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]:
+    """The items, dealt by id into tables of about SHARD_BYTES of text."""
     own = items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null")
     size = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = -(-size // SHARD_BYTES) or 1
-    out = []
-    for k in range(shards):
-        part = own.where(F.pmod(F.xxhash64("i"), F.lit(shards)) == k) if shards > 1 else own
-        rows = sorted(((r["i"], folded_words(r["t"].encode())) for r in part.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
-        out.append(spark.sparkContext.broadcast(SuffixAutomaton([r for r in rows if r[1]], window)))
-    return out
+    n = -(-size // SHARD_BYTES) or 1
+    return [own.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) if n > 1 else own for k in range(n)]
 
 
-def scan_all(shards: list[SuffixAutomaton], words: list[bytes]) -> tuple[list[list[int]], set]:
-    if len(shards) == 1:
-        return shards[0].scan(words)
-    found = [s.scan(words) for s in shards]
+def automaton(shard: DataFrame, window: int):
+    """The broadcast automaton of one shard."""
+    rows = sorted(((r["i"], folded_words(r["t"].encode())) for r in shard.toLocalIterator()), key=lambda r: (str(r[0]), r[1]))
+    return shard.sparkSession.sparkContext.broadcast(SuffixAutomaton([r for r in rows if r[1]], window))
+
+
+def merged(parts: list[list[list[int]]]) -> list[list[int]]:
+    """Spans of several automata as one list."""
     spans: list[list[int]] = []
-    for first, past in sorted((s for own, _ in found for s in own), key=lambda s: (s[1], s[0])):
+    for first, past in sorted((s for own in parts for s in own), key=lambda s: (s[1], s[0])):
         merge_span(spans, first, past)
-    return spans, set().union(*(i for _, i in found))
+    return spans
+
+
+def hit_documents(docs: DataFrame, shards: list[DataFrame], window: int, key: str, text_col: str) -> DataFrame:
+    """Rows (key, parts, items) of the documents that are hit, from a pass for each shard."""
+
+    def scanned(shard: DataFrame) -> DataFrame:
+        shared = automaton(shard, window)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+            for batch in batches:
+                out: dict = {"key": [], "spans": [], "items": []}
+                for at, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
+                    spans, found = shared.value.scan(folded_words(text or b""))
+                    if spans:
+                        out["key"].append(at)
+                        out["spans"].append(spans)
+                        out["items"].append(sorted(map(str, found)))
+                yield out
+
+        got = materialise(arrow_map(docs.select(key, text_col).distinct(), step, "key bigint, spans array<array<bigint>>, items array<string>"))
+        shared.destroy()
+        return got
+
+    every = scanned(shards[0])
+    for shard in shards[1:]:
+        every = every.unionByName(scanned(shard))
+    return every.groupBy("key").agg(F.collect_list("spans").alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def with_hits(docs: DataFrame, items: DataFrame, window: int, id_col: str, text_col: str, item_col: str, item_text: str):
+    """The documents, and a function of (words, parts, items) that gives a document's spans and items. With one automaton the documents
+    come as they are; else two columns, parts and items, follow theirs."""
+    shards = shards_of(items, item_col, item_text)
+    if len(shards) == 1:
+        shared = automaton(shards[0], window)
+        return docs, lambda words, parts, found: shared.value.scan(words)
+    key, parts, found = fresh(docs.columns, "hit_key", "hit_parts", "hit_items")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    hits = materialise(hit_documents(keyed, shards, window, key, text_col)).select(F.col("key").alias(key), F.col("parts").alias(parts), F.col("items").alias(found))
+    joined = keyed.join(hits, key, "left").select(*docs.columns, parts, found)
+    return joined, lambda words, parts, found: (merged(parts or []), set(found or ()))
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: id_col, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words, past the last one)."""
-    shards = automata(docs.sparkSession, items, item_col, item_text, window)
+    rows, find = with_hits(docs.select(id_col, text_col), items, window, id_col, text_col, item_col, item_text)
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        own = [s.value for s in shards]
         for batch in batches:
             out: dict = {id_col: batch.column(0), "n_words": [], "n_hit": [], "n_items": [], "items_sha256": [], "contaminated": [], "spans": []}
-            for text in utf8(batch.column(1)):
+            for text, hits in zip(utf8(batch.column(1)), hits_of(batch, 2)):
                 words = folded_words(text or b"")
-                spans, found = scan_all(own, words)
+                spans, found = find(words, *hits)
                 hit = sum(b - a for a, b in spans)
                 out["n_words"].append(len(words))
                 out["n_hit"].append(hit)
@@ -190,21 +230,30 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
                 out["spans"].append(spans)
             yield out
 
-    return arrow_map(docs.select(id_col, text_col), step, f"{id_col} {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<bigint>>")
+    return arrow_map(rows, step, f"{id_col} {id_type}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, spans array<array<bigint>>")
+
+
+def hits_of(batch: pa.RecordBatch, own: int) -> Iterator[tuple]:
+    """The columns that with_hits put after the `own` ones of the documents, or nothing."""
+    if batch.num_columns == own:
+        return repeat((None, None))
+    return zip(batch.column(own).to_pylist(), batch.column(own + 1).to_pylist())
 
 
-def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents without contaminated ones; from the others the hit spans are cut. All columns stay."""
-    shards = automata(docs.sparkSession, items, item_col, item_text, window)
+    rows, find = with_hits(docs, items, window, id_col, text_col, item_col, item_text)
+    n = len(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [s.value for s in shards]
         for batch in batches:
+            hits = hits_of(batch, n)
+            batch = batch.select(range(n))
             at = batch.schema.get_field_index(text_col)
             texts, keep, changed = utf8(batch.column(at)), [], False
-            for k, text in enumerate(texts):
+            for k, (text, own) in enumerate(zip(texts, hits)):
                 words = folded_words(text or b"")
-                spans, _ = scan_all(own, words)
+                spans, _ = find(words, *own)
                 hit = sum(b - a for a, b in spans)
                 if not hit or 20 * hit < len(words):
                     keep.append(k)
@@ -219,7 +268,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
                 batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, pa.large_binary()).cast(pa.large_string()).cast(batch.schema.field(at).type))
             yield batch.take(pa.array(keep, pa.int64()))
 
-    return ship(docs).mapInArrow(run, docs.schema)
+    return ship(rows).mapInArrow(run, docs.schema)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
