@@ -1,11 +1,12 @@
 """Operator 4: licence scans with a positional rare-token index.
 
-Method. The phrases and notices form an index from a template's rarest word to (template, position in it); that of a
+Method. The phrases, notices and whole licence texts form an index from a template's rarest word to (template, position in it); that of a
 notice is the rarest of its mandatory key phrase, so that no notice which counts is missed.
 Rarity is measured on the corpus: the document frequencies of the templates' words over all documents. For a
 file, its words that the index holds, that is its highest-IDF licence words, are looked up; each posting gives
 a start for its template, starts are intersected with the template's other words by relative position, and a notice
-counts only if its mandatory key phrase stands in its place.
+counts only if its mandatory key phrase stands in its place. From the key phrase on, both ways, the notice's words are taken in order; up to GAP words that are
+put in, left out or replaced are stepped over.
 
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z are lower-cased. A base phrase needs all its words. A notice needs
 NOTICE_SHARE of its words and its key phrase; the score is the largest share found (1 for a base phrase).
@@ -18,40 +19,35 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, folded_words, utf8
+from .licence_texts import BASE, SHORT, WHOLE
 
-# The contract's base phrases and labels.
-BASE = (
-    ("mit", "under the mit license"),
-    ("apache-2", "apache license version 2"),
-    ("cc-by-nc", "cc by nc"),
-)
-
-# Notices (label, words, mandatory key phrase).
-NOTICES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    ("mit", "released under the mit license", "mit license"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("gpl-3", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms with or without modification"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "for any purpose with or without fee"),
-    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
-    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    ("cc0", "cc0 1 0 universal public domain dedication", "cc0 1 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software"),
-)
+NOTICES = (*SHORT, *((label, " ".join(w.decode() for w in folded_words(text.encode())), key) for label, text, key in WHOLE))
 
 NOTICE_SHARE = 0.75
+#: Words in a row that may differ between a notice and a file.
+GAP = 3
+
+
+def in_order(template: list[bytes], words: Sequence[bytes]) -> int:
+    """How many of a template's words stand in order at the beginning of words. At a difference the nearest place goes on
+    where both agree again, with at most GAP words left out on either side; the words beside it are skipped."""
+    i = j = same = 0
+    while i < len(template) and j < len(words):
+        if template[i] == words[j]:
+            i, j, same = i + 1, j + 1, same + 1
+            continue
+        steps = ((x, far - x) for far in range(1, 2 * GAP + 1) for x in range(max(0, far - GAP), min(far, GAP) + 1))
+        agree = (s for s in steps if i + s[0] < len(template) and j + s[1] < len(words) and template[i + s[0]] == words[j + s[1]])
+        x, y = next(agree, (1, 1))
+        i, j = i + x, j + y
+    return same
 
 
 class LicenceIndex:
@@ -88,11 +84,13 @@ class LicenceIndex:
                     labels.add(label)
                     score = 1.0
                 continue
-            same = sum(a == b for a, b in zip(template[max(0, -start) :], words[max(0, start) : max(0, start + len(template))]))
-            share = same / len(template)
             a, b = start + key[0], start + key[1]
             if a < 0 or b > n or words[a:b] != template[key[0] : key[1]]:
                 continue
+            reach = 2 * len(template)
+            after = in_order(template[key[1] :], words[b : b + reach])
+            before = in_order(template[: key[0]][::-1], words[max(0, a - reach) : a][::-1])
+            share = (key[1] - key[0] + after + before) / len(template)
             score = max(score, share)
             if share >= NOTICE_SHARE:
                 labels.add(label)
