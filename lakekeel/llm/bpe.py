@@ -2,12 +2,12 @@
 
 Method. A pre-tokeniser cuts each text into words. Texts are taken in blocks; a block keeps, for each
 text, the positions of its words as numbers into the block's list of distinct words. These lists are
-shuffled by a hash of the word, so every distinct word of the corpus meets in one place and is encoded
+shuffled by a hash of the word, so every distinct word of the corpus meets in one group and is encoded
 once there; the ids go back to the blocks, and each text is put together by position. Words and positions
-come from two readings of the input, so that positions are shuffled only once; blocks carry the hash of their
-contents, and readings that differ (an input that is not deterministic) end in an error. Blocks of one name (repeated
+come from two readings, so that positions are shuffled only once; an input that is not known to be read alike twice is
+written to the shared folder first. Blocks carry the hash of their contents. Blocks of one name (repeated
 rows) have the same distinct words; each of them is put together by its own positions. Decoding joins the
-ids with the table of token bytes (a fixed vocabulary of about 50,000 entries).
+ids with the table of token bytes. This table is broadcast; the vocabulary file bounds its size.
 
 Defined cases: null text counts as empty (no tokens); any text length; repeated rows give repeated
 results; an empty table gives an empty result; other columns are ignored.
@@ -20,6 +20,7 @@ import functools
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,27 +29,34 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ranges
+from .common import arrow_map, materialise, ranges
 
 #: Text characters per block of documents.
 BLOCK_CHARS = 8 << 20
 #: Bounds on the number of groups into which a block's distinct words are dealt by hash.
-LEAST_GROUPS, MOST_GROUPS = 16, 1024
+LEAST_GROUPS, MOST_GROUPS = 16, 1 << 14
 
 
 @functools.lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, bytes]]:
-    """Ranks of token bytes, and the bytes of each rank, from a .tiktoken file."""
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+def token_table(raw: bytes) -> tuple[dict[bytes, int], dict[int, bytes]]:
+    """Ranks of token bytes, and the bytes of each rank, from the contents of a .tiktoken file."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     return ranks, {rank: token for token, rank in ranks.items()}
 
 
+def vocabulary(path: str) -> tuple[dict[bytes, int], dict[int, bytes]]:
+    return token_table(Path(path).read_bytes())
+
+
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
+def encoder_of(raw: bytes, pattern: str):
     import tiktoken
 
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=vocabulary(path)[0], special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=token_table(raw)[0], special_tokens={})
+
+
+def encoder(path: str, pattern: str):
+    return encoder_of(Path(path).read_bytes(), pattern)
 
 
 @functools.lru_cache(maxsize=2)
@@ -124,41 +132,45 @@ def blocks(docs: DataFrame, pattern: str, groups: int, kind: int) -> DataFrame:
     return arrow_map(docs, step, "block string, grp int, kind int, payload binary")
 
 
-def encoded_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Each partition holds whole word groups; every distinct word in it is encoded once."""
+def encoded_words(words: DataFrame, vocab, pattern: str, width: type) -> DataFrame:
+    """words come sorted by group, and each partition holds whole groups; every distinct word of a group is encoded once."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(path, pattern).encode_ordinary
-        known: dict[bytes, bytes] = {}
+        encode = encoder_of(vocab.value, pattern).encode_ordinary
+        current, known = None, {}
         for batch in batches:
-            blocks_, grps, payloads = (batch.column(i).to_pylist() for i in range(3))
-            for block, grp, payload in zip(blocks_, grps, payloads):
+            for block, grp, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if grp != current:
+                    current, known = grp, {}
                 ids = []
                 for word in unpack(payload):
                     got = known.get(word)
                     if got is None:
-                        if len(known) > 400_000:
-                            known.clear()
-                        got = known[word] = np.array(encode(word.decode()), np.uint16 if len(vocabulary(path)[0]) <= 65536 else np.uint32).tobytes()
+                        got = known[word] = np.array(encode(word.decode()), width).tobytes()
                     ids.append(got)
                 yield {"block": [block], "grp": [grp], "kind": [1], "payload": [pack(ids)]}
 
     return arrow_map(words, step, "block string, grp int, kind int, payload binary")
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True) -> DataFrame:
-    """Per document the ids and the decoded bytes, or (digests) their counts and hashes.
+def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = True, stable: bool = False) -> DataFrame:
+    """Per document the ids and the decoded bytes, or (digests) their counts and hashes. stable: docs is a table, which gives the
+    same rows in the same order whenever it is read; other inputs are written first.
 
     Columns: id_col, n_tokens, then ids (array<int>) and decoded (binary), or ids_sha256 and decoded_sha256.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     own = docs.select(id_col, text_col)
+    if not stable:
+        own = materialise(own)
+    raw = Path(path).read_bytes()
+    vocab = docs.sparkSession.sparkContext.broadcast(raw)
+    width = np.uint16 if len(token_table(raw)[0]) <= 65536 else np.uint32
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     groups = min(max(n, LEAST_GROUPS), MOST_GROUPS)
-    words = blocks(own, pattern, groups, 1).select("block", "grp", "payload").repartition(n, "grp")
-    coded = encoded_words(words, path, pattern)
+    words = blocks(own, pattern, groups, 1).select("block", "grp", "payload").repartition(n, "grp").sortWithinPartitions("grp")
+    coded = encoded_words(words, vocab, pattern, width)
     both = blocks(own, pattern, groups, 0).unionByName(coded).repartition(n, "block").sortWithinPartitions("block", F.desc("kind"))
-    wide = len(vocabulary(path)[0]) > 65536
     out_cols = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
 
     def finish(head: list[bytes], coded: dict[int, list[bytes]]) -> dict:
@@ -174,8 +186,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         ids = pa.ipc.open_stream(ids_raw).read_all().column(0)
         counts = np.frombuffer(counts_raw, np.uint32)
         numbers = np.ascontiguousarray(np.frombuffer(lanes_raw, np.uint8).reshape(4, -1).T).view("<u4").ravel() if lanes_raw else np.zeros(0, np.uint32)
-        token_bytes = vocabulary(path)[1]
-        width = np.uint32 if wide else np.uint16
+        token_bytes = token_table(vocab.value)[1]
         each = [np.frombuffer(t, width).tolist() for t in table]
         lengths = np.array([len(e) for e in each], np.int64) if each else np.zeros(0, np.int64)
         plain = [b"".join(map(token_bytes.__getitem__, e)) for e in each]
@@ -227,4 +238,4 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    return encode_decode(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, stable=True)
