@@ -41,9 +41,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, with the digest of what they decode to."""
+    """Token ids of every document, with the digest of what they decode to. docs is the table that the stage before has written."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
+    return bpe.encode_decode(docs, path, public_tokenizers.PATTERN, stable=True)
 
 
 STAGES = [
