@@ -23,12 +23,13 @@ def brute_lines(docs, edits, least):
     firsts = {}
     for d, t in sorted((d, t) for d, t in docs if t is not None and d is not None):
         for n, line in enumerate(t.split("\n")):
-            if len(line) >= least:
+            if line.strip(" "):
                 firsts.setdefault(line, (d, n))
-    gone = {a for a in firsts for b in firsts if firsts[b] < firsts[a] and abs(len(a) - len(b)) <= edits and levenshtein(a, b) <= edits}
+    long = [x for x in firsts if len(x) >= least]
+    gone = {a for a in long for b in long if firsts[b] < firsts[a] and abs(len(a) - len(b)) <= edits and levenshtein(a, b) <= edits}
     out = []
     for d, t in docs:
-        keep = None if t is None else [x for n, x in enumerate(t.split("\n")) if d is None or len(x) < least or (firsts[x] == (d, n) and x not in gone)]
+        keep = None if t is None else [x for n, x in enumerate(t.split("\n")) if d is None or not x.strip(" ") or (firsts[x] == (d, n) and x not in gone)]
         out.append((d, None if keep is None else "\n".join(keep)))
     return out
 
@@ -45,7 +46,7 @@ def test_line_dedup_equals_brute_force(spark):
     base = ["".join(rng.choice("abcdé fg😀") for _ in range(rng.randint(20, 40))) for _ in range(12)]
     docs = []
     for d in range(30):
-        lines = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randint(1, 5))] + rng.choice([[], ["short"], [""]])
+        lines = [edited(rng, rng.choice(base), rng.choice([0, 0, 1, 2, 3, 4])) for _ in range(rng.randint(1, 5))] + rng.choice([[], ["short"], [""], ["  "], ["shirt"]])
         docs.append((d, "\n".join(lines)))
     docs += [(100, None), (101, ""), (None, base[0] + "\n" + base[0]), (102, base[1] + "\n" + base[1])]
     df = spark.createDataFrame([(d, t, "a", "b") for d, t in docs], "doc_id bigint, text string, mask string, line string")
@@ -58,6 +59,15 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_numbered_lines_share_segments(spark):
+    rng = random.Random(12)
+    lines = [f"Copyright of the whole work, page {rng.randint(10000, 99999)}" for _ in range(60)] + ["same line of many words here"] * 30
+    docs = [(d, x) for d, x in enumerate(lines)] + [(900, "x" * 50_000), (901, "x" * 50_001), (902, ("word " * 400 + "\n") * 3)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).collect()}
+    assert got == dict(brute_lines(docs[:-3], linededup.EDITS, linededup.MIN_CHARS)) | {900: docs[-3][1], 901: "", 902: "word " * 400 + "\n"}
+
+
 def test_within_edits(spark):
     rng = random.Random(8)
     rows = []
@@ -238,6 +248,67 @@ def test_unclosed_elements_at_any_depth(spark):
     assert page._stack == [] and max(len(x) for x in page._open.values()) == 0
 
 
+def brute_text(html):
+    """Main text of a page by its own groups."""
+    page = htmltext.Page(html)
+    stream = page.stream()
+    items, places = htmltext.fold_with_places([t for t, _, _ in stream], [i for _, _, i in stream])
+    levels = {}
+    htmltext.spread(htmltext.match(items, items), places, levels)
+    best = max(levels.values(), default=-1)
+    return "\n".join(page.blocks({i for i, level in levels.items() if level == best} if best >= 0 else set()))
+
+
+def test_marks_of_boilerplate():
+    for html, want in (
+        ("<article><p>one</p><section class='related-work'><h2>h</h2><p>Body</p></section></article>", "one\nh\nBody"),
+        ("<article><p>one</p><section class='related-posts'><h2>h</h2></section><div class='site_footer'>f</div></article>", "one"),
+        ('<article><p class="share">The share price rose</p><div class="share">Tell others</div><p class="ad">Buy</p></article>', "The share price rose"),
+        ("<article><p data-x=it's>Hello, don't go</p><p title='a > b'>second</p></article>", "Hello, don't go\nsecond"),
+        ("<aside><article>teaser</article></aside><main>m<article>a</article></main>", "a"),
+        ("<main><p>m</p><nav>n</nav></main><p>else</p>", "m"),
+        ("<div class=sidebar><article>a</article></div>x", "a"),
+        ("<p><a href=x>All of it a link</a></p><p>two</p>", "All of it a link\ntwo"),
+        ("<ul><li><a>A</a></li><li><a>B</a></li><li><a>C</a></li></ul><p>text</p>", "text"),
+        ("<p>a <b>b</b> <i>c</i></p></x></ y><p>d</p><p attr", "a b c\nd"), ("<title>t</title><script>x<p></script>y<textarea>z", "y"), ("", ""), ("a < b", "a < b"),
+    ):
+        assert brute_text(html) == want, html
+
+
+@pytest.mark.parametrize("part", ["<b ", '<b x=">" ', "<div>", '<a href="x>', "<!-", "<option>x", "<p>x</div>", "<", "</"])
+def test_broken_markup_is_read_in_one_pass(part):
+    import time
+
+    began = time.process_time()
+    htmltext.Page(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 8
+
+
+def test_menus_of_the_wrapper_and_repeated_rows(spark, monkeypatch):
+    """On one page of the host the list has text beside its links, so it is no menu there; on the other host it is."""
+    def page(h, k):
+        words = " with words" if h == "m" and k == 0 else ""
+        return f"<body><div>Top of site</div><ul>{f'<li><a>L{k}</a>{words}</li>' * 3}</ul><p>Story {k} of {h}</p></body>"
+
+    rows = [(k, f"http://{h}/{k}", page(h, k)) for h in "mn" for k in range(6)]
+    df = spark.createDataFrame(rows + rows[:3], "page_id bigint, url string, html string").repartition(4)
+    seen = []
+    for size in (htmltext.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(htmltext, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(htmltext, "SALT_PAGES", 2)
+        seen.append(sorted((r["url"], r["text"]) for r in htmltext.page_texts(df).collect()))
+    assert seen[0] == seen[1] and len(seen[0]) == 15
+    got = dict(seen[0])
+    assert got["http://n/2"] == "Story 2 of n" and got["http://m/2"] == "L2\nL2\nL2\nStory 2 of m" and got["http://m/0"] == "L0 with words\n" * 3 + "Story 0 of m"
+
+
+def test_every_row_of_an_article_equals_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] or "" for r in df.select("page_id", "html").collect()}
+    got = {r["page_id"]: r["text"] for r in htmltext.page_texts(df).collect()}
+    assert got == {i: brute_text(h) for i, h in html.items()}
+
+
 def test_em_recovers_accuracies():
     rng = np.random.default_rng(0)
     truth = rng.random(20000) < 0.15

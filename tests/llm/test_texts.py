@@ -29,7 +29,7 @@ def by_id(df, key="doc_id"):
 
 
 def test_bpe_equals_library_and_round_trips(docs):
-    got = by_id(bpe.encode_decode(docs.localCheckpoint(), VOCABULARY, P.PATTERN))
+    got = by_id(bpe.encode_decode(docs, VOCABULARY, P.PATTERN))
     own = bpe.encoder(VOCABULARY, P.PATTERN)
     assert len(got) == len(TEXTS)
     for i, t in enumerate(TEXTS):
@@ -56,6 +56,14 @@ def test_bpe_repeated_rows_over_partitions(spark):
     assert got == sorted([(1, "x"), (0, "null id"), (2, long)] * 3 + [(3, " a a b b"), (3, " a b b a")])
     twice = spark.createDataFrame([(1, "x"), (1, "x")], "doc_id bigint, text string").repartition(2)
     assert bpe.encode_decode(twice, VOCABULARY, P.PATTERN).count() == 2
+    many = spark.range(0, 20000, 1, 7).selectExpr("if(id % 2 = 0, 1, null) as doc_id", "if(id % 2 = 0, 'hello world', '') as text")
+    assert bpe.encode_decode(many, VOCABULARY, P.PATTERN).count() == 20000
+
+
+def test_bpe_of_rows_that_change_between_readings(spark):
+    df = spark.range(0, 300, 1, 3).selectExpr("id as doc_id", "cast(rand() as string) || ' ' || id as text")
+    got = {r["doc_id"]: bytes(r["decoded"]).decode() for r in bpe.encode_decode(df, VOCABULARY, P.PATTERN, digests=False).collect()}
+    assert len(got) == 300 and all(t.endswith(f" {i}") for i, t in got.items())
 
 
 def test_splitter_pieces_encode_alone():
@@ -306,6 +314,14 @@ def test_shards_merge(monkeypatch, spark):
     docs = spark.createDataFrame([(1, " ".join(t for _, t in items)), (2, items[3][1])], "doc_id bigint, text string")
     got = by_id(decontaminate.contamination(docs, spark.createDataFrame(items, "item_id bigint, text string")))
     assert (got[1]["n_hit"], got[1]["n_items"], got[2]["n_items"]) == (84, 6, 1)
+    texts = [*(f"{t} tail {items[0][1]} end" for _, t in items), None, "", " ".join(f"f{i}" for i in range(900)) + items[2][1]]
+    rows = [(i // 2 if i != 4 else None, t, "k") for i, t in enumerate(texts + texts)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, hit_key string")
+    got = decontaminate.contamination(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = sorted((i, *brute_contamination(t, items)) for i, t, _ in rows if i is not None)
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got if r["doc_id"] is not None) == want
+    kept = decontaminate.clean(df, spark.createDataFrame(items, "item_id bigint, text string"))
+    assert kept.columns == df.columns and kept.count() == 6
 
 
 def test_licences(spark):
@@ -341,15 +357,28 @@ def test_every_notice_with_its_key_phrase_is_found():
             a = next(i for i in range(len(words)) if words[i : i + len(k)] == k)
             free = [i for i in range(len(words)) if not a <= i < a + len(k)]
             rarest = sorted(free, key=lambda i: -idf[words[i]])
-            changed = rarest[: int((1 - licences.NOTICE_SHARE) * len(words))]
+            changed = rarest[: int((1 - licences.NOTICE_SHARE) * len(words))] if len(words) < 30 else rng.sample(free, len(words) // 10)
             text = [b"other" if i in changed else w for i, w in enumerate(words)]
             _, _, labels, score = index.scan([b"start", *text, b"end"])
-            assert label in labels and score >= (len(words) - len(changed)) / len(words)
+            assert label in labels and score >= (len(words) - len(changed)) / len(words) - (0.05 if len(words) >= 30 else 0)
     isc = next(n for label, n, _ in licences.NOTICES if label == "isc")
     idf = {w: 1.0 + (w in (b"copy", b"modify", b"distribute")) for w in vocabulary}
     assert "isc" in licences.LicenceIndex(idf).scan(isc.replace("copy modify and or distribute", "x y and or z").encode().split())[2]
 
 
+def test_notices_with_gaps(spark):
+    index = licences.LicenceIndex({w: 1.0 for t in [*licences.BASE, *licences.NOTICES] for w in t[1].encode().split()})
+    mit = next(n for label, n, _ in licences.NOTICES if label == "mit" and len(n.split()) > 100).encode().split()
+    for text in (mit[:3] + [b"x"] * 2 + mit[3:], mit[:90] + mit[93:], mit[:60] + [b"new", b"words"] + mit[62:], [b"z"] * 500 + mit + [b"z"] * 500):
+        _, _, labels, score = index.scan(text)
+        assert labels == {"mit"} and score > 0.95
+    assert index.scan(mit[30:60])[2] == set()
+    texts = [(1, "a " * 600_000 + "Released under the MIT license"), (1, "a " * 600_000 + "Released under the MIT license"), (2, None)]
+    got = licences.scan_licences(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["n_base"], r["labels"]) for r in got) == [(1, 600_005, 1, "mit")] * 2 + [(2, 0, 0, "")]
+    assert licences.scan_licences(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
 def test_globs_equal_brute_force():
     import re
 
