@@ -6,9 +6,10 @@ shares and each labeller's accuracy. The resulting posterior labels train a hash
 2^HASH_BITS weights, and the votes), which then scores every document. There are two such models: low quality, and
 toxic. A document is kept if neither scorer rejects it.
 
-Toxicity needs words that a heuristic cannot guess in every language. Some of its labellers look for stems (or words) that
-occur in at least STEM_SUPPORT toxic rows and in no other row of a bounded sample of labelled rows (LABELLED_ROWS,
-those with the smallest hash of their id). Scorers train on TRAIN_ROWS documents chosen alike. Vote counts cover all documents.
+Toxicity needs words that a heuristic cannot guess in every language. Beside a fixed list of insults, some of its labellers look for stems (or words) that
+mark toxic rows in a bounded sample of labelled rows (LABELLED_ROWS, those with the smallest hash of their id): a greedy cover takes,
+one by one, the stem with the largest log-likelihood ratio of rows that hold it at least twice, over the toxic rows that no stem explains yet, so that
+copies of one text add no words of their own. Scorers train on TRAIN_ROWS documents chosen alike. Vote counts cover all documents.
 
 Defined cases: null or wordless text gets no votes, scores as such and is rejected as low quality; any length; repeated rows get the
 same result; labels with null ids or values are ignored, repeated labels count once by id (toxic if any says so);
@@ -32,8 +33,8 @@ from .common import arrow_map, folded_words, ship, utf8
 
 #: Bounds of the two samples that are fitted on, in rows.
 LABELLED_ROWS, TRAIN_ROWS = 20_000, 4_000
-#: Bound of the stem list, and how many toxic rows a stem must occur in.
-STEMS, STEM_SUPPORT = 4096, 4
+#: Least log-likelihood ratio of a stem.
+STEM_EVIDENCE = 14.0
 #: Bytes of a word's stems.
 STEM_BYTES = (4, 5, 6, 7, 8)
 #: Words of a window in which distinct words are counted.
@@ -41,9 +42,12 @@ WINDOW = 400
 HASH_BITS = 15
 EPOCHS, RATE, DECAY = 12, 0.5, 1e-4
 
-# English insults.
+# Insults in English, German, French and Spanish.
 INSULTS = frozenset(
-    b"idiot moron stupid loser scum trash worthless pathetic disgusting clown imbecile dumbass bastard bitch asshole jerk freak retard slut whore".split()
+    "idiot idiots idiotic moron morons stupid dumb loser losers scum trash worthless pathetic disgusting clown imbecile dumbass bastard bitch asshole jerk freak retard slut whore cretin filth vermin degenerate dimwit halfwit "
+    "dummkopf trottel arschloch schlampe hurensohn wichser abschaum vollidiot schwachkopf "
+    "connard connasse salaud salope crétin enculé débile abruti ordure "
+    "imbécil estúpido estúpida pendejo cabrón gilipollas basura escoria".encode().split()
 )
 
 GOOD, BAD, NONE = 0, 1, 2
@@ -75,6 +79,11 @@ def _vote(bad: bool) -> int:
     return BAD if bad else NONE
 
 
+def smoothed(count: int, n: int, usual: float, weight: int) -> float:
+    """A share drawn towards the usual one, as if `weight` more items had it: few items are little evidence."""
+    return (count + usual * weight) / (n + weight)
+
+
 def quality_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     """Marks among letters, words that end in doubled marks, capitals, words in capitals, repeated neighbours, few
     distinct words, table bars, exclamation marks, few short words; and good: all of these well inside the usual.
@@ -86,23 +95,18 @@ def quality_votes(text: bytes, words: list[bytes]) -> tuple[int, ...]:
     raw = np.frombuffer(text, np.uint8)
     classes = _CLASS[raw]
     c = np.bincount(classes, minlength=9)
-    letters = int(c[_LOWER] + c[_UPPER] + c[_WIDE]) or 1
-    ascii_letters = int(c[_LOWER] + c[_UPPER]) or 1
-    marks, capitals = int(c[_MARK]) / letters, int(c[_UPPER]) / ascii_letters
-    twice = sum(map(operator.eq, words, words[1:])) / n
-    lengths = list(map(len, words))
-    short = sum(map((4).__gt__, lengths)) / n
-    distinct = sum(len(set(words[i : i + WINDOW])) for i in range(0, n, WINDOW)) / n
-    doubled = doubled_ends(raw, classes) / n
-    shouted = sum(map(bytes.isupper, words)) / n
-    bars, bangs = int(c[_PIPE]) / n, int(c[_BANG]) / n
-    if n < 8:  # too short for shares of letters
-        junk = bars > 0.2, doubled > 0.3, bangs > 0.3
-        return (NONE, _vote(junk[1]), NONE, NONE, NONE, NONE, _vote(junk[0]), _vote(junk[2]), NONE, NONE if any(junk) else GOOD)
-    usual = marks < 0.03 and capitals < 0.25 and (twice < 0.08 or twice * n < 1.5) and distinct > 0.3 and bars < 0.08 and bangs < 0.15 and (short > 0.05 or n < 25) and doubled < 0.05 and shouted < 0.1
+    letters, ascii_letters = int(c[_LOWER] + c[_UPPER] + c[_WIDE]), int(c[_LOWER] + c[_UPPER])
+    marks, capitals = smoothed(int(c[_MARK]), letters, 0.01, 40), smoothed(int(c[_UPPER]), ascii_letters, 0.05, 40)
+    twice = smoothed(sum(map(operator.eq, words, words[1:])), n, 0.0, 10)
+    short = smoothed(sum(map((4).__gt__, map(len, words))), n, 0.15, 10)
+    distinct = smoothed(sum(len(set(words[i : i + WINDOW])) for i in range(0, n, WINDOW)), n, 0.8, 10)
+    doubled = smoothed(doubled_ends(raw, classes), n, 0.0, 3)
+    shouted = smoothed(sum(map(bytes.isupper, words)), n, 0.0, 10)
+    bars, bangs = smoothed(int(c[_PIPE]), n, 0.0, 3), smoothed(int(c[_BANG]), n, 0.0, 3)
+    usual = marks < 0.03 and capitals < 0.25 and twice < 0.08 and distinct > 0.3 and bars < 0.08 and bangs < 0.15 and short > 0.05 and doubled < 0.05 and shouted < 0.1
     return (
-        _vote(marks > 0.06), _vote(doubled > 0.15), _vote(capitals > 0.40 and n >= 12), _vote(shouted > 0.25), _vote(twice > 0.15), _vote(distinct < 0.2),
-        _vote(bars > 0.15), _vote(bangs > 0.3), _vote(short < 0.03 and n >= 25), GOOD if usual else NONE,
+        _vote(marks > 0.06), _vote(doubled > 0.15), _vote(capitals > 0.40), _vote(shouted > 0.25), _vote(twice > 0.15), _vote(distinct < 0.2),
+        _vote(bars > 0.15), _vote(bangs > 0.3), _vote(short < 0.03), GOOD if usual else NONE,
     )
 
 
@@ -119,14 +123,18 @@ def doubled_ends(raw: np.ndarray, classes: np.ndarray) -> int:
 
 
 def toxic_votes(words: list[bytes], stems: frozenset[bytes]) -> tuple[int, ...]:
-    """Known insults, words with a learnt stem, several such, many such for the length; and good: none at all."""
-    own = set(words)
-    insults = len(own & INSULTS)
-    learnt = sum(w in stems or any(w[:k] in stems for k in STEM_BYTES if len(w) > k) for w in own) if stems else 0
-    return (
-        _vote(insults > 0), _vote(learnt > 0), _vote(learnt > 1 or insults > 1), _vote(max(learnt, insults) >= max(1, 0.004 * len(words))),
-        NONE if insults or learnt else GOOD,
-    )
+    """Known insults, and places of these or of words with a learnt stem: more than a few for the length, several, many; and good: next to none. One
+    place in a long text is little evidence, since a stem also comes up by chance."""
+    counts = Counter(words)
+    insults = learnt = 0
+    for word, k in counts.items():
+        if word in INSULTS:
+            insults += k
+        if word in stems or any(word[:b] in stems for b in STEM_BYTES if len(word) > b):
+            learnt += k
+    most = max(insults, learnt)
+    share = smoothed(most, len(words), 0.0, 10)
+    return _vote(insults > 0), _vote(share > 0.004), _vote(most > 1 and share > 0.003), _vote(share > 0.01), GOOD if share < 0.002 else NONE
 
 
 def fit_accuracies(patterns: dict[tuple[int, ...], int], prior_bad: float, rounds: int = 60) -> tuple[float, np.ndarray]:
@@ -214,25 +222,59 @@ class WeightMemo(dict):
         return value
 
 
+def cover(stems: list[bytes], holders: list[list[int]], others: list[int], n_toxic: int, n_other: int) -> frozenset[bytes]:
+    """Stems by a greedy cover of the toxic rows. holders: the toxic rows of each stem; others: how many other rows have it."""
+    rows, at = np.unique(np.array([r for h in holders for r in h], np.int64), return_inverse=True)
+    of = np.repeat(np.arange(len(stems)), [len(h) for h in holders])
+    other = np.array(others, np.float64) + 0.5
+    base = n_toxic / (n_toxic + n_other + 0.5)
+    open_rows = np.ones(len(rows), bool)
+    chosen: list[bytes] = []
+    while stems:
+        found = np.bincount(of[open_rows[at]], minlength=len(stems)).astype(np.float64)
+        share = found / (found + other)
+        good = share > max(base, 0.3)
+        evidence = np.where(good, found * np.log(np.where(good, share, 1) / base) + other * np.log(np.where(good, 1 - share, 1) / (1 - base)), 0)
+        best = int(evidence.argmax())
+        if evidence[best] < STEM_EVIDENCE:
+            break
+        chosen.append(stems[best])
+        open_rows[at[of == best]] = False
+    return frozenset(chosen)
+
+
 def learnt_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> frozenset[bytes]:
-    """Stems found in toxic rows of the labelled sample and in no other row of it; at most STEMS."""
+    """Stems that mark the toxic rows of the labelled sample, where they occur twice or more; what is gathered is bounded by the sample."""
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS).withColumnRenamed("doc_id", "labelled_id")
     own_docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
     rows = own_docs.join(F.broadcast(sample), F.col("i") == F.col("labelled_id")).select("t", (F.col("is_toxic") > 0).alias("toxic"))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        counts: list[Counter] = [Counter(), Counter()]
+        other: Counter = Counter()
+        holders: dict[bytes, set[int]] = {b"": set()}
         for batch in batches:
             for text, toxic in zip(utf8(batch.column(0)), batch.column(1).to_pylist()):
-                words = set(folded_words(text or b""))
-                counts[bool(toxic)].update({w[:k] for w in words for k in STEM_BYTES if len(w) > k} | words)
-        stems = [*counts[0].keys() | counts[1].keys()]
-        yield {"stem": stems, "toxic": [counts[1][s] for s in stems], "other": [counts[0][s] for s in stems]}
-
-    sums = arrow_map(rows, step, "stem binary, toxic bigint, other bigint").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    top = sums.where((F.col("toxic") >= STEM_SUPPORT) & (F.col("other") == 0)).orderBy(F.desc("toxic"), "stem").limit(STEMS)
-    return frozenset(bytes(r["stem"]) for r in top.collect())
+                counts: Counter = Counter()
+                for word, n in Counter(folded_words(text or b"")).items():
+                    for stem in {word, *(word[:k] for k in STEM_BYTES if len(word) > k)}:
+                        counts[stem] += n
+                stems = [b"", *(stem for stem, n in counts.items() if n > 1)]
+                if toxic:
+                    row = xxhash.xxh3_64_intdigest(text or b"") >> 1  # equal texts are one row
+                    for stem in stems:
+                        holders.setdefault(stem, set()).add(row)
+                else:
+                    other.update(stems)
+        stems = [*holders.keys() | other.keys()]
+        yield {"stem": stems, "rows": [sorted(holders.get(s, ())) for s in stems], "other": [other[s] for s in stems]}
+
+    sums = arrow_map(rows, step, "stem binary, rows array<bigint>, other bigint").groupBy("stem").agg(F.array_distinct(F.flatten(F.collect_list("rows"))).alias("rows"), F.sum("other").alias("other"))
+    got = sums.where((F.size("rows") >= 4) & (F.size("rows") * 2 >= F.col("other")) | (F.length("stem") == 0)).orderBy("stem").toArrow()
+    stems, holders, others = (got.column(i).to_pylist() for i in range(3))
+    if not stems or stems[0] != b"":
+        return frozenset()
+    return cover(stems[1:], holders[1:], others[1:], len(holders[0]), others[0])
 
 
 def patterns(docs: DataFrame, stems: frozenset[bytes], text_col: str) -> tuple[dict, dict]:

@@ -360,6 +360,37 @@ def test_quality_on_held_out_labels(spark, tables):
     assert (~toxic["keep"]).mean() > 0.9
 
 
+def test_recall_by_language_and_class(spark):
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    got = quality.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id").toPandas()
+    assert set(got["lang"]) == {"en", "de", "es", "fr"}
+    for lang, own in got.groupby("lang"):
+        assert (own[own["quality"] == 0]["low_quality"] >= 0.5).mean() >= 0.9, lang
+        assert (~own[own["toxic"] == 1]["keep"]).mean() >= 0.9, lang
+        assert own[(own["quality"] == 1) & (own["toxic"] == 0)]["keep"].mean() >= 0.95, lang
+
+
+def test_cover_takes_no_words_of_copies():
+    """The insult explains all toxic rows; the words that five copies of one of them share are not learnt, nor are those of all rows."""
+    toxic = list(range(40))
+    stems = [b"bad", b"copy1", b"copy2", b"all", b"rare"]
+    holders = [toxic, [0, 1, 2, 3, 4], [0, 1, 2, 3, 4], toxic, [7, 8, 9]]
+    assert quality.cover(stems, holders, [3, 0, 0, 400, 0], 40, 400) == {b"bad"}
+    assert quality.cover([], [], [], 0, 5) == frozenset()
+
+
+def test_few_words_are_little_evidence():
+    def votes(text):
+        return quality.quality_votes(text.encode(), text.encode().split())
+
+    for text in ("OK", "A short one.", "NASA said so", "no no", "Yes!"):
+        assert quality.BAD not in votes(text), text
+    assert quality.BAD in votes("In. In. In. In. In. In.") and quality.BAD in votes("Great stuff!! Buy!!") and quality.BAD in votes("a | b | c | d")
+    stems = frozenset([b"vexi"])
+    assert quality.toxic_votes([b"vexing"], stems).count(quality.BAD) == 2 and quality.toxic_votes([b"vexing", *[b"w"] * 900], stems)[-1] == quality.GOOD
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "A short one.", "c"), (None, "Another plain sentence of usual words.", "d")], "doc_id bigint, text string, keep string")
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
