@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import intervals
 
 
 def dedup_catalogue(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
@@ -51,13 +52,14 @@ def after(objects: DataFrame, last_id: str, key: str = "key") -> DataFrame:
     return objects.where(F.col(key) > C.resume_after(F.lit(last_id)))
 
 
-def block_summary(blocks: DataFrame, keys: list[str], tie: str = "hash") -> DataFrame:
-    """The block with the largest slot (else number) of each chunk: its hash and time in milliseconds. Columns that a
-    file lacks are passed over."""
+def block_summary(blocks: DataFrame, keys: list[str], row: str) -> DataFrame:
+    """The block with the largest slot (else number) of each chunk, of several the first row of the file (the smallest `row`): its hash and
+    time in milliseconds. Columns that a file lacks are passed over; a block without a hash is an error."""
     position = F.coalesce(*[F.col(c) for c in ("slot", "number") if c in blocks.columns])
     kind = dict(blocks.dtypes).get("timestamp")
     time = F.lit(0).cast("bigint") if kind is None else F.unix_millis("timestamp") if kind.startswith("timestamp") else F.col("timestamp").cast("bigint") * 1000
-    best = blocks.groupBy(*keys).agg(F.max_by(F.struct(F.col("number"), F.col("hash"), time.alias("ts")), F.struct(position.alias("p"), F.col(tie))).alias("b"))
+    block_hash = F.when(F.col("hash").isNull(), F.raise_error(F.lit("no hash of block found"))).otherwise(F.col("hash"))
+    best = blocks.groupBy(*keys).agg(F.max_by(F.struct(F.col("number"), block_hash.alias("hash"), time.alias("ts")), F.struct(position.alias("p"), (-F.col(row)).alias("r"))).alias("b"))
     return best.select(*keys, F.col("b.number").alias("last_block"), F.col("b.hash").alias("last_block_hash"), F.col("b.ts").alias("last_block_timestamp"))
 
 
@@ -80,8 +82,8 @@ def watermarks(datasets: DataFrame, chunks: DataFrame, meta: DataFrame) -> DataF
 
 def continuity_gaps(chunks: DataFrame) -> DataFrame:
     """Where a chunk does not begin right after the one before it (overlaps show too)."""
-    expected = F.lag("last_block").over(Window.partitionBy("dataset").orderBy("first_block")) + 1
-    return chunks.withColumn("expected", expected).where("first_block <> expected").select("dataset", "expected", "first_block", (F.col("first_block") - 1).alias("missing_to"))
+    own = intervals.before(chunks, "last_block", "_last").withColumn("expected", F.col("_last") + 1)
+    return own.where("first_block <> expected").select("dataset", "expected", "first_block", (F.col("first_block") - 1).alias("missing_to"))
 
 
 def dataset_stats(chunks: DataFrame) -> DataFrame:
@@ -114,19 +116,19 @@ def dataset_by_offset(rows: DataFrame, n: int, exclude: list[str]) -> DataFrame:
 
 def last_block_inference(chunks: DataFrame, last: DataFrame) -> DataFrame:
     """Last blocks where only first blocks are known: one before the next chunk's first, else the dataset's last."""
-    following = F.lead("first_block").over(Window.partitionBy("dataset").orderBy("first_block")) - 1
-    return chunks.withColumn("inferred_last", following).join(F.broadcast(last), "dataset", "left").withColumn("inferred_last", F.coalesce("inferred_last", "dataset_last")).drop("dataset_last")
+    own = intervals.following(chunks, "_next").join(last, "dataset", "left")
+    return own.withColumn("inferred_last", F.coalesce(F.col("_next") - 1, "dataset_last")).select(*chunks.columns, "inferred_last")
 
 
 def clear_last_block_hash(chunks: DataFrame) -> DataFrame:
     """Keep the hash on the last chunk of each dataset only."""
-    following = F.lead("first_block").over(Window.partitionBy("dataset").orderBy("first_block"))
-    return chunks.withColumn("last_block_hash", F.when(following.isNull(), F.col("last_block_hash")))
+    own = intervals.following(chunks, "_next")
+    return own.withColumn("last_block_hash", F.when(F.col("_next").isNull(), F.col("last_block_hash"))).select(*chunks.columns)
 
 
 def insert_with_datasets(rows: DataFrame, datasets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows of known datasets, and the names that are unknown."""
-    return rows.join(F.broadcast(datasets), "dataset"), rows.join(datasets, "dataset", "left_anti").select("dataset").distinct()
+    return rows.join(datasets, "dataset"), rows.join(datasets, "dataset", "left_anti").select("dataset").distinct()
 
 
 def missing_datasets(configured: DataFrame, existing: DataFrame) -> DataFrame:
@@ -134,7 +136,8 @@ def missing_datasets(configured: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def known_plus_new(known: DataFrame, new: DataFrame) -> DataFrame:
-    return known.unionByName(new)
+    """Known chunks, then the newly found ones; an id that is known stays as it is."""
+    return known.unionByName(new.join(known, ["dataset", "id"], "left_anti"))
 
 
 def apply_updates(rows: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
+
+from ..plans.state import checkpoint
 
 
 def overlaps(a_first, a_last, b_first, b_last) -> Column:
@@ -35,20 +38,70 @@ def overlap_probe(candidates: DataFrame, live: DataFrame, width: int) -> DataFra
     return a.join(b, hit, "left_semi").drop("bin").distinct()
 
 
+#: Blocks of a bin in which a dataset's ranges are sorted; what bins hand on to one another is a row each.
+BIN_BLOCKS = 1 << 20
+
+
+def _bins():
+    return Window.partitionBy("dataset").orderBy("_bin")
+
+
+def in_bins(ranges: DataFrame) -> DataFrame:
+    return ranges.withColumn("_bin", F.expr(f"first_block div {BIN_BLOCKS}"))
+
+
+def with_carry(binned_ranges: DataFrame, *carried: Column, over: Column) -> DataFrame:
+    """Bins with an aggregate of their rows, and `over` of it over the bins of the dataset as _carry, joined to the rows."""
+    sums = binned_ranges.groupBy("dataset", "_bin").agg(*carried)
+    return binned_ranges.join(sums.select("dataset", "_bin", over.alias("_carry")), ["dataset", "_bin"])
+
+
+def running_end(ranges: DataFrame, *order: str) -> DataFrame:
+    """Ranges with the largest end (_end) of those before them in their dataset, in order of (first block, order...). Rows are sorted
+    by bins, so that no task takes a whole dataset."""
+    own = with_carry(in_bins(ranges), F.max("last_block").alias("_top"), over=F.max("_top").over(_bins().rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("dataset", "_bin").orderBy("first_block", *order).rowsBetween(Window.unboundedPreceding, -1)
+    return own.select(*ranges.columns, F.greatest(F.max("last_block").over(w), "_carry").alias("_end"))
+
+
+def before(ranges: DataFrame, value: str, name: str) -> DataFrame:
+    """Ranges with `value` of the one before in their dataset, by first block; null at the first."""
+    last = F.max_by(value, "first_block").alias("_last")
+    own = with_carry(in_bins(ranges), last, over=F.lag("_last").over(_bins()))
+    here = F.lag(F.struct(value)).over(Window.partitionBy("dataset", "_bin").orderBy("first_block"))
+    return own.withColumn("_here", here).select(*ranges.columns, F.when(F.col("_here").isNull(), F.col("_carry")).otherwise(F.col(f"_here.{value}")).alias(name))
+
+
+def following(ranges: DataFrame, name: str) -> DataFrame:
+    """Ranges with the first block of the next one in their dataset; null at the last."""
+    own = with_carry(in_bins(ranges), F.min("first_block").alias("_least"), over=F.lead("_least").over(_bins()))
+    here = F.lead("first_block").over(Window.partitionBy("dataset", "_bin").orderBy("first_block"))
+    return own.withColumn("_here", here).select(*ranges.columns, F.coalesce("_here", "_carry").alias(name))
+
+
+def numbered(ranges: DataFrame, *order: str) -> DataFrame:
+    """Ranges with their number in their dataset, from 1, by (first block, order...)."""
+    own = with_carry(in_bins(ranges), F.count("*").alias("_n"), over=F.sum("_n").over(_bins().rowsBetween(Window.unboundedPreceding, -1)))
+    here = F.row_number().over(Window.partitionBy("dataset", "_bin").orderBy("first_block", *order))
+    return own.select(*ranges.columns, (here + F.coalesce("_carry", F.lit(0))).alias("number"))
+
+
 def islands(ranges: DataFrame, *order: str) -> DataFrame:
     """Ranges with the number of their island: a maximal run, in order of first block, without a gap. Nothing in one
     island overlaps anything in another."""
-    w = Window.partitionBy("dataset").orderBy("first_block", *order)
-    end = F.max("last_block").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(end.isNull() | (F.col("first_block") > end), 1).otherwise(0)
-    return ranges.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    new = F.when(F.col("_end").isNull() | (F.col("first_block") > F.col("_end")), 1).otherwise(0)
+    marked = running_end(ranges, *order).withColumn("_new", new).drop("_end")
+    own = with_carry(in_bins(marked), F.sum("_new").alias("_n"), over=F.sum("_n").over(_bins().rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("dataset", "_bin").orderBy("first_block", *order).rowsBetween(Window.unboundedPreceding, 0)
+    return own.select(*ranges.columns, (F.sum("_new").over(w) + F.coalesce("_carry", F.lit(0))).alias("island"))
 
 
 def settle(ranges: DataFrame, *order: str) -> DataFrame:
     """Greedy fold: in order of (first block, order...) a range is accepted if it begins after the last accepted one
     ends. Adds `accepted`. Islands of one range are accepted outright; the others are dealt out whole and folded in one
     streaming pass per partition, never gathered."""
-    made = islands(ranges, *order).withColumn("_n", F.count("*").over(Window.partitionBy("dataset", "island")))
+    made = checkpoint(islands(checkpoint(ranges), *order))  # used several times
+    made = made.withColumn("_n", F.count("*").over(Window.partitionBy("dataset", "island")))
     columns = [c for c in made.columns if c not in ("island", "_n")]
     alone = made.where("_n = 1").select(*columns, F.lit(True).alias("accepted"))
     rest = made.where("_n > 1").drop("_n")
@@ -66,21 +119,21 @@ def settle(ranges: DataFrame, *order: str) -> DataFrame:
                     end = last
             yield part[columns].assign(accepted=accepted)
 
-    schema = ranges.schema.add("accepted", "boolean")
+    schema = StructType([*ranges.schema.fields, StructField("accepted", BooleanType())])
     return alone.unionByName(rest.mapInPandas(fold, schema))
 
 
 def select_non_overlapping(candidates: DataFrame, existing: DataFrame, width: int, *order: str) -> DataFrame:
     """Candidates that overlap nothing existing, then settled among themselves; only accepted ones."""
     hit = overlap_probe(candidates, existing, width)
-    free = candidates.join(hit.select("dataset", "first_block", "last_block", *order), ["dataset", "first_block", "last_block", *order], "left_anti")
+    key = [*dict.fromkeys(("dataset", "first_block", "last_block", *order))]
+    free = candidates.join(hit.select(*key), key, "left_anti")
     return settle(free, *order).where("accepted").drop("accepted")
 
 
 def running_max_reject(ranges: DataFrame, *order: str) -> DataFrame:
     """Ranges that begin inside any earlier one, accepted or not, with the largest end before them."""
-    w = Window.partitionBy("dataset").orderBy("first_block", *order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranges.withColumn("covered_to", F.max("last_block").over(w)).where("first_block <= covered_to")
+    return running_end(ranges, *order).withColumnRenamed("_end", "covered_to").where("first_block <= covered_to")
 
 
 def portal_overlap_losers(visible: DataFrame, *order: str) -> DataFrame:

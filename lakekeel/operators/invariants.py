@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 PAIR = ["chunk_pk", "worker_pk"]
 
 
@@ -29,8 +31,7 @@ def retention_broken(before: DataFrame, after: DataFrame, min_r: int) -> DataFra
 
 def visible_overlaps(visible: DataFrame) -> DataFrame:
     """Visible chunks that begin inside an earlier one of their dataset."""
-    w = Window.partitionBy("dataset").orderBy("first_block", "chunk_pk").rowsBetween(Window.unboundedPreceding, -1)
-    return visible.withColumn("end_before", F.max("last_block").over(w)).where("first_block <= end_before").select("dataset", "chunk_pk")
+    return intervals.running_end(visible, "chunk_pk").where("first_block <= _end").select("dataset", "chunk_pk")
 
 
 def empty_routing(routing: DataFrame) -> DataFrame:
@@ -57,22 +58,45 @@ def unresolved_schemas(named: DataFrame, schemas: DataFrame) -> DataFrame:
     return named.join(schemas, "schema_id", "left_anti")
 
 
-def feasible_but_short(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, capacity: DataFrame, min_r: int) -> DataFrame:
-    """Chunks below the least replication although enough workers without them have room."""
-    load = pairs.join(chunks.select("chunk_pk", "size"), "chunk_pk").groupBy("worker_pk").agg(F.sum("size").alias("used"))
-    free = workers.select("worker_pk").join(load, "worker_pk", "left").crossJoin(F.broadcast(capacity)).select("worker_pk", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("free"))
+def _short(chunks: DataFrame, pairs: DataFrame, min_r: int) -> DataFrame:
     have = pairs.groupBy("chunk_pk").agg(F.count_distinct("worker_pk").alias("have"))
-    short = chunks.join(have, "chunk_pk", "left").withColumn("have", F.coalesce("have", F.lit(0))).where(F.col("have") < min_r).select("chunk_pk", "size", "have")
-    roomy = short.join(F.broadcast(free), F.col("free") >= F.col("size")).select(*PAIR, "have").join(pairs, PAIR, "left_anti")
-    return roomy.groupBy("chunk_pk", "have").agg(F.count("*").alias("roomy")).where(F.col("have") + F.col("roomy") >= min_r).select("chunk_pk", F.col("have").cast("bigint").alias("have"), "roomy")
+    own = chunks.select("chunk_pk", "size").join(have, "chunk_pk", "left").withColumn("have", F.coalesce("have", F.lit(0)))
+    return own.where(F.col("have") < min_r)
 
 
-def bonus_over_floor(chunks: DataFrame, pairs: DataFrame, min_r: int) -> DataFrame:
-    """Workers that hold a copy above some chunk's least replication while another chunk that fits there is short of it.
-    Returned per short chunk with the number of such workers."""
-    have = pairs.groupBy("chunk_pk").agg(F.count("*").alias("have"))
-    own = chunks.select("chunk_pk", "size").join(have, "chunk_pk", "left").withColumn("have", F.coalesce("have", F.lit(0)))
-    bonus = pairs.join(own.where(F.col("have") > min_r), "chunk_pk").groupBy("worker_pk").agg(F.sum("size").alias("bonus_bytes"))
-    short = own.where(F.col("have") < min_r).select("chunk_pk", "size")
-    met = short.join(F.broadcast(bonus), F.col("bonus_bytes") >= F.col("size")).select(*PAIR).join(pairs, PAIR, "left_anti")
-    return met.groupBy("chunk_pk").agg(F.count("*").alias("workers"))
+def _free(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, capacity: DataFrame) -> DataFrame:
+    load = pairs.join(chunks.select("chunk_pk", "size"), "chunk_pk").groupBy("worker_pk").agg(F.sum("size").alias("used"))
+    own = workers.where("inactive_since is null").select("worker_pk").join(load, "worker_pk", "left").crossJoin(F.broadcast(capacity))
+    return own.select("worker_pk", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("room"))
+
+
+def _with_hosts(short: DataFrame, pairs: DataFrame, room: DataFrame) -> DataFrame:
+    """Short chunks with the number of workers that have room for a copy and hold none. The rooms, one number a worker, travel as
+    one sorted array; workers that hold the chunk are counted apart, so no pair of chunk and worker is made."""
+    rooms = room.agg(F.sort_array(F.collect_list("room")).alias("rooms"))
+    holding = short.select("chunk_pk", "size").join(pairs.select(*PAIR).distinct(), "chunk_pk").join(room, "worker_pk").where("room >= size").groupBy("chunk_pk").agg(F.count("*").alias("holding"))
+    own = short.crossJoin(F.broadcast(rooms)).withColumn("fit", F.size(F.filter("rooms", lambda r: r >= F.col("size")))).drop("rooms")
+    return own.join(holding, "chunk_pk", "left").withColumn("hosts", (F.col("fit") - F.coalesce("holding", F.lit(0))).cast("bigint"))
+
+
+def feasible_but_short(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, capacity: DataFrame, min_r: int) -> DataFrame:
+    """Chunks below the least replication although enough active workers without them have room."""
+    own = _with_hosts(_short(chunks, pairs, min_r), pairs, _free(chunks, pairs, workers, capacity))
+    return own.where(F.col("have") + F.col("hosts") >= min_r).select("chunk_pk", F.col("have").cast("bigint").alias("have"), F.col("hosts").alias("roomy"))
+
+
+def bonus_over_floor(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, capacity: DataFrame, min_r: int) -> DataFrame:
+    """Chunks below the least replication although enough active workers without them have room, or would have it
+    without bonus copies of other chunks. A chunk's bonus copies are those beyond the least replication; for a chunk that needs one copy any of them
+    may go, for one that needs several those of each chunk's first workers, so that no chunk falls below its own floor."""
+    have = pairs.groupBy("chunk_pk").agg(F.count_distinct("worker_pk").alias("have"))
+    rank = F.row_number().over(Window.partitionBy("chunk_pk").orderBy("worker_pk"))
+    bonus = pairs.select(*PAIR).distinct().join(have.where(F.col("have") > min_r), "chunk_pk").join(chunks.select("chunk_pk", "size"), "chunk_pk").withColumn("rank", rank)
+    counted = F.when(F.col("rank") <= F.col("have") - min_r, F.col("size")).otherwise(0)
+    bonus = bonus.groupBy("worker_pk").agg(F.sum("size").alias("any"), F.sum(counted).alias("first"))
+    free = _free(chunks, pairs, workers, capacity).join(bonus, "worker_pk", "left")
+    room = {k: free.select("worker_pk", (F.greatest("room", F.lit(0)) + F.coalesce(k, F.lit(0))).alias("room")) for k in ("any", "first")}
+    short = _short(chunks, pairs, min_r)
+    one = _with_hosts(short.where(F.col("have") == min_r - 1), pairs, room["any"])
+    more = _with_hosts(short.where(F.col("have") < min_r - 1), pairs, room["first"])
+    return one.unionByName(more).where(F.col("have") + F.col("hosts") >= min_r).select("chunk_pk", F.col("have").cast("bigint").alias("have"), "hosts")

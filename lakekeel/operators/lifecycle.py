@@ -7,7 +7,7 @@ happened, a diff without workers that the chunk left the ideal.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -73,7 +73,7 @@ def orphaned_drains(ideal: DataFrame, stale: DataFrame, workers: DataFrame) -> t
 def tombstone_expired(meta: DataFrame, portal_log: DataFrame, stale: DataFrame, now: int, ticks: int) -> tuple[DataFrame, DataFrame]:
     """Chunks dropped from the portal at least `ticks` ago are tombstoned; their stale pairs go."""
     drop = portal_log.select(F.col("id").alias("dropped_portal"), "created_at")
-    aged = meta.join(F.broadcast(drop), "dropped_portal", "left")
+    aged = meta.join(drop, "dropped_portal", "left")
     due = F.col("dropped_worker").isNull() & (F.col("created_at") <= now - ticks)
     stamped = aged.withColumn("dropped_worker", F.when(due, F.lit(now).cast("bigint")).otherwise(F.col("dropped_worker"))).select(*meta.columns)
     gone = aged.where(due).select("chunk_pk")
@@ -90,10 +90,12 @@ def expire_stale(stale: DataFrame, portal_log: DataFrame, now: int, ticks: int)
 
 
 def drain_anchor(stale: DataFrame, portal_log: DataFrame) -> DataFrame:
-    """First portal assignment that confirms each stale pair's end. The log is reduced to its running ends and small."""
-    log = F.broadcast(portal_log.select(F.col("id").alias("portal_id"), "confirmed_up_to"))
-    ends = stale.select("superseded_at").distinct().join(log, F.col("confirmed_up_to") >= F.col("superseded_at"))
-    return stale.join(F.broadcast(ends.groupBy("superseded_at").agg(F.min("portal_id").alias("anchor"))), "superseded_at", "left").select(*PAIR, "anchor")
+    """First portal assignment that confirms each stale pair's end: over ends and log together, from the newest down, the smallest id so far."""
+    log = portal_log.groupBy(F.col("confirmed_up_to").alias("at")).agg(F.min("id").alias("portal_id"))
+    ends = stale.select(F.col("superseded_at").alias("at")).distinct().withColumn("portal_id", F.lit(None).cast("int"))
+    w = Window.orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)  # one row an assignment
+    anchors = log.unionByName(ends).withColumn("anchor", F.min("portal_id").over(w)).groupBy("at").agg(F.min("anchor").alias("anchor"))
+    return stale.join(anchors, stale["superseded_at"] == anchors["at"], "left").select(*PAIR, "anchor")
 
 
 def read_placement(chunks: DataFrame, meta: DataFrame, ideal: DataFrame, stale: DataFrame) -> DataFrame:
@@ -253,18 +255,29 @@ def rejected_by_dataset(chunks: DataFrame, verdicts: DataFrame) -> DataFrame:
     return chunks.join(verdicts.where("rejected"), "chunk_pk").groupBy("dataset").agg(F.count("*").alias("rejected"))
 
 
+def overlapping_incoming(new: DataFrame, chunks: DataFrame, meta: DataFrame, width: int) -> DataFrame:
+    """Incoming chunks that share a block with a claimant of another id: their place in the batch (idx) and the smallest claimant's id.
+    Claimants are pending chunks, which have no meta row, and live admitted ones; rejected, marked and dropped chunks give
+    their range free. new (idx, dataset, chunk_id, first_block, last_block)."""
+    gone = meta.where(~C.live_admitted()).select("chunk_pk")
+    claim = chunks.join(gone, "chunk_pk", "left_anti")
+    incoming = new.select("dataset", F.struct("idx", "chunk_id").alias("id"), "first_block", "last_block")
+    met = intervals.overlap_join(incoming, claim.select("dataset", F.col("chunk_id").alias("id"), "first_block", "last_block"), width)
+    other = met.where(F.col("left_id.chunk_id") != F.col("right_id"))
+    return other.groupBy(F.col("left_id.idx").alias("idx"), F.col("left_id.chunk_id").alias("chunk_id")).agg(F.min("right_id").alias("claimant"))
+
+
 def insert_chunks(new: DataFrame, chunks: DataFrame, meta: DataFrame, width: int) -> dict[str, DataFrame]:
-    """An ingest request: duplicates inside the batch, ranges that overlap inside it or with what is stored and not
-    rejected (pending included, the same id excluded), rows to insert, ids that were there already. new and chunks
-    (dataset, chunk_id, first_block, last_block, ...)."""
+    """An ingest request: duplicates inside the batch, ranges that overlap inside it or with a claimant (see
+    overlapping_incoming), rows to insert, ids that were there already. new and chunks
+    (dataset, chunk_id, first_block, last_block, ...); the batch's order is that of idx, else of its ids."""
     key = ["dataset", "chunk_id"]
-    claim = chunks.join(meta.where("rejected").select("chunk_pk"), "chunk_pk", "left_anti")
-    fresh = new.join(chunks.select(*key), key, "left_anti")
+    placed = new if "idx" in new.columns else new.withColumn("idx", F.row_number().over(Window.orderBy(*key)) - 1)  # a request's rows
+    hit = overlapping_incoming(placed, chunks, meta, width)
     return {
         "duplicate_in_batch": new.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key),
         "overlap_in_batch": intervals.running_max_reject(new, "chunk_id"),
-        "overlap_stored": intervals.overlap_probe(fresh.select(*key, "first_block", "last_block"), claim, width),
-        "inserted": fresh,
+        "overlap_stored": placed.join(hit.select("idx", "claimant"), "idx").select(*key, "first_block", "last_block", "idx", "claimant"),
+        "inserted": new.join(chunks.select(*key), key, "left_anti"),
         "duplicates": new.join(chunks.select(*key), key, "left_semi").select(*key),
     }
-

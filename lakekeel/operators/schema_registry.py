@@ -73,6 +73,13 @@ def read_schema_ids(names: DataFrame, read: DataFrame) -> DataFrame:
     return names.join(read.where("current").select("dataset", F.col("schema_id").alias("read_schema_id")), "dataset", "left")
 
 
+def schemas_by_id(wanted: DataFrame, schemas: DataFrame) -> DataFrame:
+    """The named schemas; an id that is not there is an error."""
+    own = wanted.select("schema_id").distinct().join(schemas.withColumn("_there", F.lit(True)), "schema_id", "left")
+    missing = F.raise_error(F.concat(F.lit("no schema with id "), F.col("schema_id").cast("string")))
+    return own.select(F.when(F.col("_there").isNull(), missing.cast("int")).otherwise(F.col("schema_id")).alias("schema_id"), *[c for c in schemas.columns if c != "schema_id"])
+
+
 def bundle_refs(published: DataFrame, schemas: DataFrame) -> DataFrame:
     """Published schema ids with their dataset; an id that resolves to nothing shows with a null dataset."""
     return published.join(schemas.select("schema_id", "dataset"), "schema_id", "left")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
+from . import intervals
+
 #: Defaults of the shapes.
 COUNT, BULK, EVERY = 1000, 10_000, 5
 
@@ -113,21 +116,22 @@ def generate_chunks(stats: DataFrame, n: int, seed: int) -> DataFrame:
     total = stats.agg(F.sum("chunk_count").alias("total"))
     upto = F.sum("chunk_count").over(Window.orderBy("dataset"))  # one row per dataset
     table = F.broadcast(stats.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("chunk_count")))
-    draws = stats.sparkSession.range(n).crossJoin(F.broadcast(total)).withColumn("draw", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("total")))
+    draws = stats.sparkSession.range(n).crossJoin(F.broadcast(total)).withColumn("draw", F.pmod(C.md5_60(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), F.col("total")))
     own = draws.join(table, (F.col("draw") >= F.col("from")) & (F.col("draw") < F.col("upto")))
     k = F.row_number().over(Window.partitionBy("dataset").orderBy("id"))
     first = F.col("head_block") + 1 + (k - 1) * F.col("avg_span")
     return own.select("dataset", first.alias("first_block"), (first + F.col("avg_span") - 1).alias("last_block"), F.col("avg_size").alias("size"))
 
 
-def copy_dataset(chunks: DataFrame, source: str, target: str, schema_id: int | None = None) -> DataFrame:
-    out = chunks.where(F.col("dataset") == source).withColumn("dataset", F.lit(target))
+def copy_dataset(chunks: DataFrame, meta: DataFrame, source: str, target: str, schema_id: int | None = None) -> DataFrame:
+    """Clones of a dataset's live admitted chunks in another one."""
+    live = meta.where(C.live_admitted()).select("chunk_pk")
+    out = chunks.where(F.col("dataset") == source).join(live, "chunk_pk", "left_semi").withColumn("dataset", F.lit(target))
     return out if schema_id is None else out.withColumn("schema_id", F.lit(schema_id))
 
 
 def replace_dataset(chunks: DataFrame, dataset: str, first_new_pk: int) -> DataFrame:
     """A correction of the same range for every chunk of a dataset: old_pk, new_pk and the new chunk's columns."""
-    from pyspark.sql import Window
-
-    own = chunks.where(F.col("dataset") == dataset)
-    return own.select(F.col("chunk_pk").alias("old_pk"), (F.lit(first_new_pk - 1) + F.row_number().over(Window.orderBy("first_block"))).cast("bigint").alias("new_pk"), "first_block", "last_block", "size")
+    own = chunks.where(F.col("dataset") == dataset).select("dataset", F.col("chunk_pk").alias("old_pk"), "first_block", "last_block", "size")
+    number = F.lit(first_new_pk - 1) + F.col("number")
+    return intervals.numbered(own, "old_pk").select("old_pk", number.cast("bigint").alias("new_pk"), "first_block", "last_block", "size")

@@ -194,9 +194,12 @@ def s3_listing_after(fx):
     return cut.select("p.prefix", "p.file_name", C.download_url(C.bucket_of("dataset"), "https://store.example.org", False).alias("url"))
 
 
-@query("select chunk, max(number) as last_block, arg_max(hash, struct_pack(n := number, h := hash)) as last_block_hash, arg_max(ts_s, struct_pack(n := number, h := hash)) * 1000 as last_block_timestamp from blocks group by chunk")
+# several blocks have the largest number of their chunk where it is counted in tens; the first row of the file is taken
+@query("""with b as (select chunk, number // 10 as number, hash, ts_s, number * 100000 + ts_s as file_row from blocks)
+select chunk, number as last_block, hash as last_block_hash, ts_s * 1000 as last_block_timestamp from b qualify row_number() over (partition by chunk order by number desc, file_row) = 1""")
 def block_summary(fx):
-    return catalogue.block_summary(fx.blocks.withColumnRenamed("ts_s", "timestamp"), ["chunk"])
+    own = fx.blocks.select("chunk", F.expr("number div 10").alias("number"), "hash", F.col("ts_s").alias("timestamp"), (F.col("number") * 100000 + F.col("ts_s")).alias("file_row"))
+    return catalogue.block_summary(own, ["chunk"], "file_row")
 
 
 @query("select chunk, cast(count(*) filter (number % 2 = 0) as bigint) as even_rows, cast(count(*) filter (number % 2 = 1) as bigint) as odd_rows from blocks group by chunk")
@@ -676,9 +679,9 @@ def inv_retention(fx):
     return invariants.retention_broken(fx.holders_before, fx.holders_after, MIN_R)
 
 
-@query("select dataset, chunk_pk from (select *, max(last_block) over (partition by dataset order by first_block, chunk_pk rows between unbounded preceding and 1 preceding) as e from (select dataset, first_block, last_block, l_partkey as chunk_pk from chunks_raw where first_block % 50 = 0)) where first_block <= e")
+@query("select dataset, chunk_pk from (select *, max(last_block) over (partition by dataset order by first_block, chunk_pk rows between unbounded preceding and 1 preceding) as e from (select dataset, first_block, last_block, l_partkey as chunk_pk from chunks_raw)) where first_block <= e")
 def inv_visible_disjoint(fx):
-    return invariants.visible_overlaps(fx.chunks_raw.where("first_block % 50 = 0").withColumnRenamed("l_partkey", "chunk_pk"))
+    return invariants.visible_overlaps(fx.chunks_raw.withColumnRenamed("l_partkey", "chunk_pk"))
 
 
 @query("select chunk_pk from difflog where worker_pk is null and assignment_id = 1")
@@ -707,21 +710,29 @@ def inv_bundle(fx):
     return invariants.unresolved_schemas(fx._spark.range(80).select((F.col("id") * 37).cast("int").alias("schema_id")), fx.schemas)
 
 
-_SHORT = """cap as (select cast(sum(size) * 4 // 100 as bigint) as capacity from chunks),
+_SHORT = f"""{_ACTIVE}, cap as (select cast(sum(size) * 4 // 100 as bigint) as capacity from chunks),
 hp as (select * from holders_after where (chunk_pk + worker_pk) % 9 <> 0),
-load as (select w.worker_pk, capacity - coalesce(sum(size), 0) as free from workers w cross join cap left join hp using (worker_pk) left join chunks using (chunk_pk) group by w.worker_pk, capacity),
+load as (select w.worker_pk, capacity - coalesce(sum(size), 0) as free from aw w cross join cap left join hp using (worker_pk) left join chunks using (chunk_pk) group by w.worker_pk, capacity),
 have as (select c.chunk_pk, size, count(worker_pk) as have from chunks c left join hp using (chunk_pk) group by c.chunk_pk, size)"""
 
 
+def _short_state(fx):
+    cap = fx.chunks.agg(F.expr("cast(sum(size) * 4 div 100 as bigint)").alias("capacity"))
+    return fx.chunks, fx.holders_after.where("(chunk_pk + worker_pk) % 9 <> 0"), fx.workers, cap, MIN_R
+
+
 @query(f"with {_SHORT} select h.chunk_pk, have, count(*) as roomy from have h join load l on l.free >= h.size where have < {MIN_R} and not exists (select 1 from hp where hp.chunk_pk = h.chunk_pk and hp.worker_pk = l.worker_pk) group by h.chunk_pk, have having have + count(*) >= {MIN_R}")
 def inv_floor_feasible(fx):
-    cap = fx.chunks.agg(F.expr("cast(sum(size) * 4 div 100 as bigint)").alias("capacity"))
-    return invariants.feasible_but_short(fx.chunks, fx.holders_after.where("(chunk_pk + worker_pk) % 9 <> 0"), fx.workers, cap, MIN_R)
+    return invariants.feasible_but_short(*_short_state(fx))
 
 
-@query(f"with {_SHORT}, bonus as (select worker_pk, sum(size) as bonus from hp join have using (chunk_pk) where have > {MIN_R} group by worker_pk) select h.chunk_pk, count(*) as workers from have h join bonus b on b.bonus >= h.size where have < {MIN_R} and not exists (select 1 from hp where hp.chunk_pk = h.chunk_pk and hp.worker_pk = b.worker_pk) group by h.chunk_pk")
+@query(f"""with {_SHORT}, bonus as (select worker_pk, size, have, row_number() over (partition by chunk_pk order by worker_pk) as rn from hp join have using (chunk_pk) where have > {MIN_R}),
+by_worker as (select worker_pk, sum(size) as any_bytes, sum(case when rn <= have - {MIN_R} then size else 0 end) as first_bytes from bonus group by worker_pk),
+room as (select l.worker_pk, greatest(free, 0) + coalesce(any_bytes, 0) as r1, greatest(free, 0) + coalesce(first_bytes, 0) as r2 from load l left join by_worker using (worker_pk))
+select h.chunk_pk, have, count(*) as hosts from have h join room on case when have = {MIN_R} - 1 then r1 else r2 end >= size
+where have < {MIN_R} and not exists (select 1 from hp where hp.chunk_pk = h.chunk_pk and hp.worker_pk = room.worker_pk) group by h.chunk_pk, have having have + count(*) >= {MIN_R}""")
 def inv_floors_before_bonus(fx):
-    return invariants.bonus_over_floor(fx.chunks, fx.holders_after.where("(chunk_pk + worker_pk) % 9 <> 0"), MIN_R)
+    return invariants.bonus_over_floor(*_short_state(fx))
 
 
 # ---- simulation
@@ -750,9 +761,9 @@ def sim_upgrade(fx):
     return simulate.upgrades(fx._spark, "1:0,5:0.25,20:0.75,30:0.4", _STEPS, 97)
 
 
-@query("select first_block, last_block, 's3://copy' as dataset from chunks where dataset = 's3://ds-3'")
+@query(f"with {_LIVE} select first_block, last_block, 's3://copy' as dataset from live where dataset = 's3://ds-3'")
 def sim_copy_dataset(fx):
-    return simulate.copy_dataset(fx.chunks, "s3://ds-3", "s3://copy").select("first_block", "last_block", "dataset")
+    return simulate.copy_dataset(fx.chunks, fx.meta, "s3://ds-3", "s3://copy").select("first_block", "last_block", "dataset")
 
 
 @query("select chunk_pk as old_pk, 20000 + row_number() over (order by first_block) - 1 as new_pk, first_block, last_block from chunks where dataset = 's3://ds-3'")
@@ -760,11 +771,144 @@ def sim_replace_dataset(fx):
     return simulate.replace_dataset(fx.chunks, "s3://ds-3", 20000).select("old_pk", "new_pk", "first_block", "last_block")
 
 
-@query()
+@query(
+    """with stats as (select dataset, count(*) as chunk_count, max(last_block) as head_block, cast(sum(last_block - first_block + 1) // count(*) as bigint) as avg_span, cast(sum(size) // count(*) as bigint) as avg_size from chunks group by dataset),
+t as (select *, sum(chunk_count) over (order by dataset) as upto, sum(chunk_count) over () as total from stats),
+draw as (select id, ('0x' || substr(md5(concat(cast(id as varchar), '-7')), 1, 15))::bigint % (select max(total) from t) as draw from range(500) r(id)),
+own as (select t.*, id, row_number() over (partition by dataset order by id) as k from draw join t on draw >= upto - chunk_count and draw < upto)
+select dataset, cast(head_block + 1 + (k - 1) * avg_span as bigint) as first_block, cast(head_block + k * avg_span as bigint) as last_block, avg_size as size from own"""
+)
 def sim_generate(fx):
     return simulate.generate_chunks(catalogue.dataset_stats(fx.chunks), 500, 7)
 
 
+# ---- further operators of the catalogue, the ingest and the cycle
+
+_STORED = "stored as (select chunk_pk, dataset, 'c-' || chunk_pk as chunk_id, first_block, last_block from chunks)"
+_CLAIM = f"{_STORED}, claim as (select s.* from stored s left join meta m using (chunk_pk) where m.chunk_pk is null or (not rejected and marked is null and dropped_portal is null and dropped_worker is null))"
+
+
+@query(f"""with {_CLAIM}, incoming as (select distinct first_block * 8 + last_block - first_block as idx, dataset, 'c-' || (first_block // 100 + first_block % 2) as chunk_id, first_block, last_block from chunks_raw)
+select idx, n.chunk_id, min(c.chunk_id) as claimant from incoming n join claim c on c.dataset = n.dataset and c.first_block <= n.last_block and n.first_block <= c.last_block and c.chunk_id <> n.chunk_id group by idx, n.chunk_id""")
+def ingest_overlap_probe(fx):
+    incoming = fx.chunks_raw.select(
+        (F.col("first_block") * 8 + F.col("last_block") - F.col("first_block")).alias("idx"), "dataset", F.concat(F.lit("c-"), (F.expr("first_block div 100") + F.col("first_block") % 2).cast("string")).alias("chunk_id"),
+        "first_block", "last_block",
+    ).distinct()
+    stored = fx.chunks.withColumn("chunk_id", F.concat(F.lit("c-"), F.col("chunk_pk").cast("string")))
+    return lifecycle.overlapping_incoming(incoming, stored, fx.meta, BIN)
+
+
+@query("select dataset, chunk_pk from chunks where dataset in ('s3://ds-1', 's3://ds-4') union all select dataset, -1 from (select distinct dataset from chunks where dataset not in ('s3://ds-1', 's3://ds-4'))")
+def ingest_insert_datasets(fx):
+    """Rows of known datasets; the unknown names with -1."""
+    known = fx.chunks.select("dataset").where("dataset in ('s3://ds-1', 's3://ds-4')").distinct()
+    rows, unknown = catalogue.insert_with_datasets(fx.chunks.select("dataset", "chunk_pk"), known)
+    return rows.select("dataset", "chunk_pk").unionByName(unknown.select("dataset", F.lit(-1).cast("bigint").alias("chunk_pk")))
+
+
+@query("select dataset, chunk_pk as id, case when chunk_pk % 3 = 0 then size else size + 1 end as size from chunks where chunk_pk % 3 = 0 or chunk_pk % 2 = 0")
+def catalog_known_plus_new(fx):
+    """What is known keeps its size; of the new ones only unknown ids come in."""
+    own = fx.chunks.select("dataset", F.col("chunk_pk").alias("id"), "size")
+    return catalogue.known_plus_new(own.where("id % 3 = 0"), own.where("id % 2 = 0").withColumn("size", F.col("size") + 1))
+
+
+@query("select chunk_pk, case when (last_block - first_block) % 2 = 0 then 'x' end as none, case when chunk_pk % 4 = 0 then 'last block precedes first' when chunk_pk % 4 = 1 then 'span is too large' when chunk_pk % 4 = 2 then 'size is too large' end as refused, case when chunk_pk % 3 = 0 then null else cast(chunk_pk as int) end as applied_id, 'host/' || chunk_pk as place from chunks")
+def ingest_values(fx):
+    """Ranges that cannot be stored, numeric echoes, places without their scheme."""
+    k = F.col("chunk_pk")
+    last = F.when(k % 4 == 0, F.col("first_block") - 1).when(k % 4 == 1, F.col("first_block") + 2**31).otherwise(F.col("last_block"))
+    size = F.when(k % 4 == 2, F.lit(2**31)).otherwise(F.lit(1)).cast("bigint")
+    echo = F.when(k % 3 == 0, F.concat(F.lit("x"), k.cast("string"))).otherwise(k.cast("string"))
+    return fx.chunks.select(
+        "chunk_pk", F.when((F.col("last_block") - F.col("first_block")) % 2 == 0, "x").alias("none"), C.validate_chunk_range(F.col("first_block"), last, size).alias("refused"), C.parse_applied_id(echo).alias("applied_id"),
+        C.strip_scheme(F.concat(F.lit("s3://host/"), k.cast("string"))).alias("place"),
+    )
+
+
+@query("select chunk_pk, applied_worker is not null as entered_worker, applied_portal is not null as entered_portal, marked is not null as in_removal, dropped_worker is null and not rejected as is_active, applied_worker is not null and dropped_worker is null and not rejected as servable, coalesce(applied_worker <= 4, false) as confirmed from meta")
+def mvcc_predicates(fx):
+    return fx.meta.select(
+        "chunk_pk", C.entered_worker().alias("entered_worker"), C.entered_portal().alias("entered_portal"), C.in_removal().alias("in_removal"), C.active().alias("is_active"), C.worker_servable().alias("servable"),
+        C.confirmed_by(4).alias("confirmed"),
+    )
+
+
+@query("""with i as (select chunk_pk, list_sort(list(worker_pk)) as w from holders_after group by chunk_pk), s as (select chunk_pk, list_sort(list(worker_pk)) as w from stale group by chunk_pk)
+select c.chunk_pk, list_sort(list_distinct(list_concat(coalesce(i.w, []), coalesce(s.w, [])))) as holders from chunks c join meta m using (chunk_pk) left join i using (chunk_pk) left join s using (chunk_pk) where dropped_worker is null and not rejected""")
+def mvcc_read_placement(fx):
+    return lifecycle.read_placement(fx.chunks, fx.meta, fx.holders_after, fx.stale).select("chunk_pk", "holders")
+
+
+@query("select chunk_pk, worker_pk, superseded_at from stale where chunk_pk % 7 <> 0")
+def mvcc_evict_pairs(fx):
+    return lifecycle.evict_pairs(fx.stale, fx.stale.where("chunk_pk % 7 = 0").select("chunk_pk", "worker_pk"))
+
+
+@query("select chunk_pk, worker_pk, cast(1 as int) as superseded_at from holders_before b where not exists (select 1 from holders_after a where a.chunk_pk = b.chunk_pk and a.worker_pk = b.worker_pk)")
+def mvcc_cancel_flipflop(fx):
+    return lifecycle.cancel_flipflop(fx.holders_before.withColumn("superseded_at", F.lit(1).cast("int")), fx.holders_after)
+
+
+_DELTAS = f"""{_ACTIVE}, st0 as (select * from stale where (chunk_pk + worker_pk) % 2 = 0),
+minted as (select b.chunk_pk, b.worker_pk, cast(9 as int) as superseded_at from holders_before b join aw using (worker_pk)
+ where not exists (select 1 from holders_after a where a.chunk_pk = b.chunk_pk and a.worker_pk = b.worker_pk) and b.chunk_pk not in (select chunk_pk from meta where dropped_portal is not null)
+ and not exists (select 1 from st0 where st0.chunk_pk = b.chunk_pk and st0.worker_pk = b.worker_pk))"""
+
+
+def _deltas(fx):
+    stale = fx.stale.where("(chunk_pk + worker_pk) % 2 = 0")
+    return lifecycle.apply_deltas(fx.holders_before, fx.holders_after, stale, stale.where("chunk_pk % 7 = 0").select("chunk_pk", "worker_pk"), fx.workers, fx.meta, 9)
+
+
+@query(f"with {_DELTAS} select chunk_pk, worker_pk, superseded_at from (select * from st0 union all select * from minted) x where not (chunk_pk % 7 = 0 and superseded_at <> 9) and not exists (select 1 from holders_after a where a.chunk_pk = x.chunk_pk and a.worker_pk = x.worker_pk)")
+def mvcc_deltas_stale(fx):
+    return _deltas(fx)["stale"]
+
+
+@query(f"with {_DIFF} select cast(9 as int) as assignment_id, coalesce(x.chunk_pk, y.chunk_pk) as chunk_pk, coalesce(n, []) as worker_ids from x full outer join y on x.chunk_pk = y.chunk_pk where o is distinct from n")
+def mvcc_deltas_difflog(fx):
+    return _deltas(fx)["difflog"]
+
+
+@query("select cast(coalesce(max(id), 0) as int) as watermark from portal_log where id <= 4")
+def fleet_confirmation_watermark(fx):
+    return lifecycle.confirmation_watermark(fx.portal_log.where("id <= 4"))
+
+
+@query("with c as (select chunk_pk, case when chunk_pk % 13 = 0 then 77 end as old_mark from chunks) select m.chunk_pk, coalesce(m.marked, case when m.chunk_pk % 13 = 0 then 60 end) as marked from meta m")
+def mvcc_mark_for_removal(fx):
+    return lifecycle.mark_for_removal(fx.meta, fx.chunks.where("chunk_pk % 13 = 0"), NOW).select("chunk_pk", "marked")
+
+
+@query(f"{_SETTLE} select dataset, first_block, last_block from walk where not accepted")
+def iv_portal_losers(fx):
+    return intervals.portal_overlap_losers(fx.chunks_raw.select("dataset", "first_block", "last_block").distinct(), "last_block")
+
+
+@query(f"""with recursive {_LIVE}, s as (select dataset, first_block, last_block, row_number() over (partition by dataset order by first_block, last_block) as rn
+ from (select distinct dataset, first_block, last_block from chunks_raw r where not exists (select 1 from live l where l.dataset = r.dataset and l.first_block <= r.last_block and r.first_block <= l.last_block))),
+walk as (select dataset, rn, first_block, last_block, true as accepted, last_block as e from s where rn = 1
+ union all select s.dataset, s.rn, s.first_block, s.last_block, s.first_block > walk.e, case when s.first_block > walk.e then s.last_block else walk.e end from walk join s on s.dataset = walk.dataset and s.rn = walk.rn + 1)
+select dataset, first_block, last_block from walk where accepted""")
+def iv_select_non_overlapping(fx):
+    live = fx.chunks.join(fx.meta.where(C.live_admitted()).select("chunk_pk"), "chunk_pk", "left_semi")
+    return intervals.select_non_overlapping(fx.chunks_raw.select("dataset", "first_block", "last_block").distinct(), live, BIN, "last_block")
+
+
+@query("select dataset, table_name as hash from (select distinct dataset, table_name from schemas) where (dataset, table_name) not in (select dataset, table_name from schemas where n_fields > 10)")
+def reg_register_write_schemas(fx):
+    own = fx.schemas.withColumnRenamed("table_name", "hash")
+    return schema_registry.register_write_schemas(own.where("n_fields > 10").select("dataset", "hash", "schema_id"), own.select("dataset", "hash"))
+
+
+@query("select p.schema_id, s.dataset, s.table_name as hash from (select cast(k * 37 as int) as schema_id from range(80) t(k)) p join schemas s using (schema_id)")
+def reg_schemas_by_id(fx):
+    wanted = fx._spark.range(80).select((F.col("id") * 37).cast("int").alias("schema_id"))
+    return schema_registry.schemas_by_id(wanted.join(fx.schemas.select("schema_id"), "schema_id", "left_semi"), fx.schemas.withColumnRenamed("table_name", "hash").select("schema_id", "dataset", "hash"))
+
+
 # ---- kernels: sequential, so rows only; their invariants are tested
 
 
@@ -814,3 +958,22 @@ def stream_latest(fx):
     q = latest.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("worker_id", "version", "stored_bytes", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+
+
+@query("select 'overcommitted' as broken, cast(0 as bigint) as n union all select 'short', 0 union all select 'twice', 0")
+def place_two_pass_invariants(fx):
+    """The second kernel's own output: no worker beyond its room, no chunk below the least replication, no copy twice."""
+    (chunks, keys, fleet_, worker_keys, _), room = _kernel_input(fx)
+    reliable = [k % 10 != 0 for k in worker_keys]
+    pairs = _cut(placement.holders_frame(fx.chunks, placement.two_pass(chunks, fleet_, reliable, [room] * len(worker_keys), MIN_R), keys, worker_keys))
+    none = pairs.limit(0)
+    over = invariants.overcommitted(pairs, none, fx.chunks, fx._spark.range(1).select(F.lit(room).cast("bigint").alias("capacity")))
+    short = fx.chunks.join(pairs.groupBy("chunk_pk").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_R), "chunk_pk", "left_anti")
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("broken"), "n") for name, df in (("overcommitted", over), ("short", short), ("twice", invariants.duplicate_replicas(pairs)))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    from .state import checkpoint
+
+    return checkpoint(df)

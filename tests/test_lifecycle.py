@@ -91,6 +91,10 @@ def test_insert_chunks(spark):
     assert {r["chunk_id"] for r in got["overlap_in_batch"].collect()} == {"c", "f"}
     assert {r["chunk_id"] for r in got["duplicates"].collect()} == {"a"}
     assert {r["chunk_id"] for r in got["inserted"].collect()} == {"c", "e", "f"}
+    assert {r["claimant"] for r in got["overlap_stored"].collect()} == {"a"}
+    # a tombstoned, marked or portal-dropped chunk gives its range free; a pending and a live one do not
+    for row, hit in (((1, False, 1, 1, None, None, 30), False), ((1, False, 1, 1, 20, None, None), False), ((1, False, 1, 1, 20, 3, None), False), ((1, False, 1, 1, None, None, None), True)):
+        assert lifecycle.insert_chunks(new, stored, meta(spark, (2, True, None, None, None, None, None), row), 8)["overlap_stored"].isEmpty() != hit
 
 
 def test_movement_counts(spark):
