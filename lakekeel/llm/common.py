@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -87,12 +88,14 @@ def arrow_map(df: DataFrame, step: Callable[[Iterator[pa.RecordBatch]], Iterator
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is set only where none is configured (tests)."""
+    """The shared folder of the cluster; a local one is set only where none is configured and driver and executors are one process (tests)."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lakekeel-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
