@@ -122,18 +122,34 @@ def doubled_ends(raw: np.ndarray, classes: np.ndarray) -> int:
     return int((np.append(classes, _SPACE)[at + 1] == _SPACE).sum())
 
 
-def toxic_votes(words: list[bytes], stems: frozenset[bytes]) -> tuple[int, ...]:
+class Words(dict):
+    """A code for each word: its hash bucket, and above it a bit for an insult and one for a learnt stem. Remembered up to `cap`
+    words, so memory stays bounded."""
+
+    def __init__(self, stems: frozenset[bytes], cap: int = 300_000):
+        super().__init__()
+        self.stems, self.cap = stems, cap
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.cap:
+            self.clear()
+        stems = self.stems
+        learnt = bool(stems) and (word in stems or not stems.isdisjoint([word[:k] for k in STEM_BYTES if len(word) > k]))
+        value = self[word] = bucket(word) | (word in INSULTS) << HASH_BITS | learnt << HASH_BITS + 1
+        return value
+
+    def codes(self, text: bytes | None) -> np.ndarray:
+        words = folded_words(text or b"")
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
+def toxic_votes(codes: np.ndarray) -> tuple[int, ...]:
     """Known insults, and places of these or of words with a learnt stem: more than a few for the length, several, many; and good: next to none. One
     place in a long text is little evidence, since a stem also comes up by chance."""
-    counts = Counter(words)
-    insults = learnt = 0
-    for word, k in counts.items():
-        if word in INSULTS:
-            insults += k
-        if word in stems or any(word[:b] in stems for b in STEM_BYTES if len(word) > b):
-            learnt += k
+    marks = np.bincount(codes >> HASH_BITS, minlength=4)
+    insults, learnt = int(marks[1] + marks[3]), int(marks[2] + marks[3])
     most = max(insults, learnt)
-    share = smoothed(most, len(words), 0.0, 10)
+    share = smoothed(most, len(codes), 0.0, 10)
     return _vote(insults > 0), _vote(share > 0.004), _vote(most > 1 and share > 0.003), _vote(share > 0.01), GOOD if share < 0.002 else NONE
 
 
@@ -169,10 +185,10 @@ def bucket(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word) & ((1 << HASH_BITS) - 1)
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashed words with counts over the number of words: part of a vector of length at most one."""
-    counts = Counter(map(bucket, words))
-    return np.array(list(counts), np.int64), np.array(list(counts.values()), np.float64) / (len(words) or 1)
+    at, counts = np.unique(codes & ((1 << HASH_BITS) - 1), return_counts=True)
+    return at, counts / (len(codes) or 1)
 
 
 class Scorer:
@@ -201,27 +217,13 @@ class Scorer:
                 self.words[at] += step * value - rate * DECAY * self.words[at]
         return self
 
-    def score(self, votes: tuple[int, ...], words: list[bytes], memo: dict) -> float:
+    def score(self, votes: tuple[int, ...], buckets: np.ndarray) -> float:
         """P(bad)."""
-        total = 0.0
-        if words:
-            total = sum(map(memo.__getitem__, words)) / len(words)
+        total = float(self.words[buckets].mean()) if len(buckets) else 0.0
         logit = self.bias + sum(self.votes[i, v] for i, v in enumerate(votes)) + total
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, logit))))
 
 
-class WeightMemo(dict):
-    def __init__(self, weights: np.ndarray, cap: int = 300_000):
-        super().__init__()
-        self.weights, self.cap = weights.tolist(), cap
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) >= self.cap:
-            self.clear()
-        value = self[word] = self.weights[bucket(word)]
-        return value
-
-
 def cover(stems: list[bytes], holders: list[list[int]], others: list[int], n_toxic: int, n_other: int) -> frozenset[bytes]:
     """Stems by a greedy cover of the toxic rows. holders: the toxic rows of each stem; others: how many other rows have it."""
     rows, at = np.unique(np.array([r for h in holders for r in h], np.int64), return_inverse=True)
@@ -282,11 +284,11 @@ def patterns(docs: DataFrame, stems: frozenset[bytes], text_col: str) -> tuple[d
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: Counter = Counter()
+        words = Words(stems)
         for batch in batches:
             for text in utf8(batch.column(0)):
-                words = folded_words(text or b"")
                 counts[0, quality_votes(text or b"", (text or b"").split())] += 1
-                counts[1, toxic_votes(words, stems)] += 1
+                counts[1, toxic_votes(words.codes(text))] += 1
         yield {"model": [m for m, _ in counts], "votes": ["".join(map(str, v)) for _, v in counts], "n": [*counts.values()]}
 
     out: tuple[dict, dict] = {}, {}
@@ -299,17 +301,16 @@ class Model:
     def __init__(self, stems: frozenset[bytes], quality: Scorer, toxic: Scorer):
         self.stems, self.quality, self.toxic = stems, quality, toxic
 
-    def memos(self) -> tuple[WeightMemo, WeightMemo]:
-        return WeightMemo(self.quality.words), WeightMemo(self.toxic.words)
-
-    def judge(self, text: bytes | None, memos: tuple[WeightMemo, WeightMemo]) -> tuple[float, float, bool]:
+    def judge(self, text: bytes | None, words: Words) -> tuple[float, float, bool]:
         """P(low quality), P(toxic), kept."""
         text = text or b""
-        plain, words = text.split(), folded_words(text)
+        plain = text.split()
         if not plain:
             return 1.0, 0.0, False
-        low = self.quality.score(quality_votes(text, plain), words, memos[0])
-        toxic = self.toxic.score(toxic_votes(words, self.stems), words, memos[1])
+        codes = words.codes(text)
+        buckets = codes & ((1 << HASH_BITS) - 1)
+        low = self.quality.score(quality_votes(text, plain), buckets)
+        toxic = self.toxic.score(toxic_votes(codes), buckets)
         return low, toxic, low < 0.5 and toxic < 0.5
 
 
@@ -320,13 +321,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("i") == F.col("train_id")).select("train_id", "t")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        words = Words(stems)
         for batch in batches:
             out: dict = {"id": batch.column(0), "quality": [], "toxic": [], "at": [], "value": []}
             for text in utf8(batch.column(1)):
-                words = folded_words(text or b"")
-                at, value = word_features(words)
+                codes = words.codes(text)
+                at, value = word_features(codes)
                 out["quality"].append(quality_votes(text or b"", (text or b"").split()))
-                out["toxic"].append(toxic_votes(words, stems))
+                out["toxic"].append(toxic_votes(codes))
                 out["at"].append(at.astype(np.int16 if HASH_BITS < 16 else np.int32).tobytes())
                 out["value"].append(value.astype(np.float32).tobytes())
             yield out
@@ -355,9 +357,9 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        memos = shared.value.memos()
+        words = Words(shared.value.stems)
         for batch in batches:
-            judged = [shared.value.judge(t, memos) for t in utf8(batch.column(1))]
+            judged = [shared.value.judge(t, words) for t in utf8(batch.column(1))]
             yield {id_col: batch.column(0), "low_quality": [round(j[0], 6) for j in judged], "toxicity": [round(j[1], 6) for j in judged], "keep": [j[2] for j in judged]}
 
     return arrow_map(docs.select(id_col, text_col), step, f"{id_col} {id_type}, low_quality double, toxicity double, keep boolean")
@@ -368,10 +370,10 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos = shared.value.memos()
+        words = Words(shared.value.stems)
         for batch in batches:
             texts = utf8(batch.column(batch.schema.get_field_index(text_col)))
-            yield batch.filter(pa.array([shared.value.judge(t, memos)[2] for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([shared.value.judge(t, words)[2] for t in texts], pa.bool_()))
 
     return ship(docs).mapInArrow(run, docs.schema)
 

@@ -387,8 +387,9 @@ def test_few_words_are_little_evidence():
     for text in ("OK", "A short one.", "NASA said so", "no no", "Yes!"):
         assert quality.BAD not in votes(text), text
     assert quality.BAD in votes("In. In. In. In. In. In.") and quality.BAD in votes("Great stuff!! Buy!!") and quality.BAD in votes("a | b | c | d")
-    stems = frozenset([b"vexi"])
-    assert quality.toxic_votes([b"vexing"], stems).count(quality.BAD) == 2 and quality.toxic_votes([b"vexing", *[b"w"] * 900], stems)[-1] == quality.GOOD
+    words = quality.Words(frozenset([b"vexi"]), 3)
+    assert quality.toxic_votes(words.codes(b"vexing")).count(quality.BAD) == 2 and quality.toxic_votes(words.codes(b"Vexing" + b" w" * 900))[-1] == quality.GOOD
+    assert quality.toxic_votes(words.codes(b"you idiot, a b c d vexing e"))[0] == quality.BAD and quality.toxic_votes(words.codes(None))[-1] == quality.GOOD
 
 
 def test_quality_edges(spark):
