@@ -4,7 +4,8 @@ Method. The vocabulary is a trie over bytes. Each node has a failure link and th
 are popped on taking it, both computed beforehand, so that greedy longest-match-first segmentation of a word
 takes one pass over its bytes and yields the number of pieces without building any. Words are runs of
 characters other than ASCII white space; each is matched with one leading space, which pieces that begin a
-word carry. Words met again in a task are answered from a bounded memo.
+word carry. The automaton is built once and broadcast; the vocabulary bounds its size. Words met again in a task are
+answered from a bounded memo.
 
 Defined cases: null text counts as empty (0 words, 0 tokens); a byte that starts no piece makes its whole
 word one unknown piece, as greedy word pieces do; any text length, one word of any length included (the pass is
@@ -19,6 +20,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import vocabulary
 from .common import arrow_map, utf8
 
 
@@ -26,56 +28,56 @@ class LongestMatch:
     """Greedy longest-match piece counts in linear time."""
 
     def __init__(self, vocabulary: Iterable[bytes], memo: int = 200_000):
-        go: list[dict[int, int]] = [{}]
+        go: dict[int, int] = {}  # child by node << 8 | byte; children have larger numbers than their parents
         final = [False]
         for piece in vocabulary:
             node = 0
             for byte in piece:
-                if byte not in go[node]:
-                    go[node][byte] = len(go)
-                    go.append({})
+                child = go.get(node << 8 | byte)
+                if child is None:
+                    child = go[node << 8 | byte] = len(final)
                     final.append(False)
-                node = go[node][byte]
+                node = child
             final[node] = node != 0
-        self.go, self.final = go, final
-        # fail[v]: where the rest stands after popping pops[v] pieces from the text of v; None if that cannot be
-        self.fail: list[int | None] = [None] * len(go)
-        self.pops = [0] * len(go)
+        self.go = go
+        # fail[v]: where the rest stands after popping pops[v] pieces from the text of v; -1 if that cannot be
+        self.fail, self.pops = [-1] * len(final), [0] * len(final)
+        children: list[list[tuple[int, int]]] = [[] for _ in final]
+        for edge, child in go.items():
+            children[edge >> 8].append((edge & 255, child))
         queue = deque([0])
         while queue:
             node = queue.popleft()
-            for byte, child in go[node].items():
+            for byte, child in children[node]:
                 if final[child]:
                     self.fail[child], self.pops[child] = 0, 1
                 else:
                     at, count = self.fail[node], self.pops[node]
-                    while at is not None and byte not in go[at]:
+                    while at >= 0 and at << 8 | byte not in go:
                         count += self.pops[at]
                         at = self.fail[at]
-                    if at is not None:
-                        self.fail[child], self.pops[child] = go[at][byte], count
+                    if at >= 0:
+                        self.fail[child], self.pops[child] = go[at << 8 | byte], count
                 queue.append(child)
         self.memo: dict[bytes, int] = {}
         self.cap = memo
 
     def count(self, word: bytes) -> int:
         """Pieces of the word; one if it cannot be cut."""
-        go, fail, pops = self.go, self.fail, self.pops
+        child, fail, pops = self.go.get, self.fail, self.pops
         node = total = 0
         for byte in word:
-            while byte not in go[node]:
-                nxt = fail[node]
-                if nxt is None:
+            while (nxt := child(node << 8 | byte)) is None:
+                if fail[node] < 0:
                     return 1
                 total += pops[node]
-                node = nxt
-            node = go[node][byte]
+                node = fail[node]
+            node = nxt
         while node:  # the rest
-            nxt = fail[node]
-            if nxt is None:
+            if fail[node] < 0:
                 return 1
             total += pops[node]
-            node = nxt
+            node = fail[node]
         return total
 
     def remembered(self, word: bytes) -> int:
@@ -93,10 +95,10 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """Columns: id_col, n_words, n_tokens (pieces), n_unsplit (words of one piece), longest (most pieces in a word)."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        from .bpe import vocabulary
+    shared = docs.sparkSession.sparkContext.broadcast(LongestMatch(vocabulary(path)[0]))
 
-        counter = LongestMatch(vocabulary(path)[0])
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        counter = shared.value
         for batch in batches:
             out: dict = {id_col: batch.column(0), "n_words": [], "n_tokens": [], "n_unsplit": [], "longest": []}
             for text in utf8(batch.column(1)):
