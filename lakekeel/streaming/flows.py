@@ -1,14 +1,50 @@
-"""The stream-shaped parts: latest pings, the confirmation watermark, replay of the diff log, drains."""
+"""The stream-shaped parts: latest pings, the confirmation watermark, replay of the diff log, drains.
+
+What a stream must remember lies in tables by batch id (Snapshots), so a restarted query goes on where it was, and a
+batch that comes again writes the same snapshot again.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..operators import fleet, lifecycle
-from ..plans.state import checkpoint
+from ..plans.state import shared_folder
+
+
+class Snapshots:
+    """A state table: one snapshot for each batch that changed it, in `folder` (a new one in the shared folder by default)."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, folder: str | None = None):
+        self.spark, self.schema = spark, schema
+        self.folder = folder or f"{shared_folder(spark.range(0))}/stream-{uuid.uuid4().hex}"
+
+    def rows(self) -> DataFrame:
+        """All snapshots, with their batch."""
+        try:
+            return self.spark.read.schema(StructType([*self.schema.fields]).add("batch", LongType())).parquet(self.folder)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], StructType([*self.schema.fields]).add("batch", LongType()))
+
+    def before(self, batch_id: int | None, first: DataFrame) -> DataFrame:
+        """The newest snapshot older than the batch (None: of all), or `first`."""
+        known = self.rows() if batch_id is None else self.rows().where(F.col("batch") < batch_id)
+        last = known.agg(F.max("batch")).first()[0]
+        return first if last is None else self.at(last)
+
+    def at(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={batch_id}")
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
 
 
 def latest_pings(pings: DataFrame, horizon: str = "1 day") -> DataFrame:
@@ -20,35 +56,71 @@ class ConfirmationWatermark:
     """Monotone quorum watermark for foreachBatch: echoes of a batch can only raise it. Ids above `latest` are ignored but
     their workers count in the quorum."""
 
-    def __init__(self, latest: int, percent: int):
-        self.latest, self.percent, self.value = latest, percent, 0
+    def __init__(self, latest: int, percent: int, folder: str | None = None):
+        self.latest, self.percent, self.folder = latest, percent, folder
+        self.state: Snapshots | None = None
+
+    def _table(self, spark: SparkSession) -> tuple[Snapshots, DataFrame]:
+        nothing = spark.createDataFrame([(0,)], "value bigint")
+        if self.state is None:
+            self.state = Snapshots(spark, nothing.schema, self.folder)
+        return self.state, nothing
+
+    @property
+    def value(self) -> int:
+        state, nothing = self._table(SparkSession.active())
+        return state.before(None, nothing).first()[0]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        got = fleet.quorum_watermark(batch.withColumn("applied_id", F.when(F.col("applied_id") <= self.latest, F.col("applied_id"))), self.latest, self.percent).first()
-        self.value = max(self.value, (got and got[0]) or 0)
+        state, nothing = self._table(batch.sparkSession)
+        known = batch.withColumn("applied_id", F.when(F.col("applied_id") <= self.latest, F.col("applied_id")))
+        got = fleet.quorum_watermark(known, self.latest, self.percent).select(F.col("watermark").cast("bigint").alias("value"))
+        state.write(state.before(batch_id, nothing).unionByName(got).agg(F.coalesce(F.max("value"), F.lit(0)).alias("value")), batch_id)
 
 
 class DiffReplay:
     """Idempotent replay for foreachBatch: the routing after all diffs up to the largest id seen. A batch that comes again
     changes nothing."""
 
-    def __init__(self, routing: DataFrame, confirmed: int = 0):
-        self.routing, self.confirmed = routing, confirmed
+    def __init__(self, routing: DataFrame, confirmed: int = 0, folder: str | None = None):
+        self.first = routing.select("chunk_pk", "worker_ids")
+        spark = routing.sparkSession
+        self.table = Snapshots(spark, self.first.schema, folder and f"{folder}/routing")
+        self.start = spark.createDataFrame([(confirmed,)], "confirmed bigint")
+        self.marks = Snapshots(spark, self.start.schema, folder and f"{folder}/confirmed")
+
+    @property
+    def routing(self) -> DataFrame:
+        return self.table.before(None, self.first)
+
+    @property
+    def confirmed(self) -> int:
+        return self.marks.before(None, self.start).first()[0]
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        confirmed = self.marks.before(batch_id, self.start).first()[0]
         target = batch.agg(F.max("assignment_id")).first()[0] or 0
-        if target > self.confirmed:
-            self.routing = checkpoint(lifecycle.replay(self.routing, batch, self.confirmed, target))
-            self.confirmed = target
+        if target > confirmed:
+            self.table.write(lifecycle.replay(self.table.before(batch_id, self.first), batch, confirmed, target), batch_id)
+            self.marks.write(batch.sparkSession.createDataFrame([(target,)], self.start.schema), batch_id)
 
 
 class DrainTimer:
     """Drains for foreachBatch over portal log rows: stale pairs expire as aged portal assignments confirm them. `now` gives
-    the tick of a batch."""
+    the tick of a batch. The log grows by the rows of each batch; nothing of it is written twice."""
+
+    def __init__(self, stale: DataFrame, ticks: int, now: Callable[[int], int], folder: str | None = None):
+        self.first, self.ticks, self.now, self.folder = stale, ticks, now, folder
+        self.table = Snapshots(stale.sparkSession, stale.schema, folder and f"{folder}/stale")
+        self.log: Snapshots | None = None
 
-    def __init__(self, stale: DataFrame, ticks: int, now: Callable[[int], int]):
-        self.stale, self.ticks, self.now, self.log = stale, ticks, now, None
+    @property
+    def stale(self) -> DataFrame:
+        return self.table.before(None, self.first)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        self.log = checkpoint(batch if self.log is None else self.log.unionByName(batch))
-        self.stale = checkpoint(lifecycle.expire_stale(self.stale, self.log, self.now(batch_id), self.ticks))
+        if self.log is None:
+            self.log = Snapshots(batch.sparkSession, batch.schema, self.folder and f"{self.folder}/log")
+        self.log.write(batch, batch_id)
+        log = self.log.rows().where(F.col("batch") <= batch_id).drop("batch")
+        self.table.write(lifecycle.expire_stale(self.table.before(batch_id, self.first), log, self.now(batch_id), self.ticks), batch_id)

@@ -129,3 +129,26 @@ def test_stream_steps(spark):
     drain = flows.DrainTimer(stale(spark, [(1, 1, 1), (1, 2, 3)]), 20, lambda b: 60)
     drain(spark.createDataFrame([(1, 30, 2)], "id int, created_at bigint, confirmed_up_to int"), 0)
     assert drain.stale.count() == 1
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    echo = lambda *ids: spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "worker int, applied_id int")
+    flows.ConfirmationWatermark(10, 75, f"{tmp_path}/w")(echo(5, 5, 5, 5), 0)
+    again = flows.ConfirmationWatermark(10, 75, f"{tmp_path}/w")
+    again(echo(2, 2, 2, 2), 1)
+    again(echo(2, 2, 2, 2), 1)
+    assert again.value == 5
+    routing = spark.createDataFrame([(1, [1]), (9, [9])], "chunk_pk bigint, worker_ids array<bigint>")
+    diffs = "assignment_id int, chunk_pk bigint, worker_ids array<bigint>"
+    flows.DiffReplay(routing, 0, f"{tmp_path}/r")(spark.createDataFrame([(1, 1, [2]), (2, 2, [3])], diffs), 0)
+    replay = flows.DiffReplay(routing, 0, f"{tmp_path}/r")
+    assert replay.confirmed == 2
+    for _ in range(2):
+        replay(spark.createDataFrame([(2, 1, [7]), (3, 9, [])], diffs), 1)
+        assert {r["chunk_pk"]: r["worker_ids"] for r in replay.routing.collect()} == {1: [2], 2: [3]}
+    first = stale(spark, [(1, 1, 1), (1, 2, 3), (1, 3, 9)])
+    log = lambda *rows: spark.createDataFrame(list(rows), "id int, created_at bigint, confirmed_up_to int")
+    flows.DrainTimer(first, 20, lambda b: 60, f"{tmp_path}/d")(log((1, 30, 2)), 0)
+    drain = flows.DrainTimer(first, 20, lambda b: 60, f"{tmp_path}/d")
+    drain(log((2, 35, 4)), 1)
+    assert [r["worker_pk"] for r in drain.stale.collect()] == [3] and drain.log.rows().count() == 2
