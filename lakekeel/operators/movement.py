@@ -116,3 +116,15 @@ def min_replication_by_weight(chunks: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def invert(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("chunk_pk").agg(F.array_sort(F.collect_list("worker_pk")).alias("worker_ids"))
+
+
+def compare_report(before: DataFrame, after: DataFrame, sizes: DataFrame, sample: int | None = None, unit: int = 1 << 30) -> DataFrame:
+    """A line for each worker with what it held, lost, got and holds, in units of bytes; departed and new workers have one figure. sample: only
+    the first workers by key."""
+    own = worker_reshuffle(before, after, sizes)
+    if sample is not None:
+        own = own.orderBy("worker_pk").limit(sample)
+    show = lambda c: F.format_string("%.2f", F.col(c) / unit)
+    full = F.concat(show("before_bytes"), F.lit("GB -"), show("removed"), F.lit("GB +"), show("added"), F.lit("GB ="), show("after_bytes"), F.lit("GB"))
+    line = F.when(F.col("presence") == "departed", F.concat(F.lit("-"), show("removed"), F.lit("GB"))).when(F.col("presence") == "new", F.concat(F.lit("+"), show("added"), F.lit("GB"))).otherwise(full)
+    return own.select("worker_pk", line.alias("line"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,20 @@ def build_rings(workers: DataFrame, rings: int = RINGS, peer: str = "peer_id") -
     return hashed.withColumn("pos", F.row_number().over(Window.partitionBy("ring").orderBy("hash", "worker_pk")) - 1)
 
 
+def cached_rings(workers: DataFrame, folder: str, rings: int = RINGS, peer: str = "peer_id") -> DataFrame:
+    """The rings as a table in `folder`, named by a fingerprint of the workers; built only when their list has changed."""
+    listed = workers.agg(F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(F.concat_ws(":", F.col("worker_pk").cast("string"), peer)))), 256)).first()[0]  # fleet-sized
+    path = f"{folder}/rings-{rings}-{listed[:32]}"
+    spark = workers.sparkSession
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+    build_rings(workers, rings, peer).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def replica_hashes(chunks: DataFrame, replicas, id_col: str = "chunk_id") -> DataFrame:
     """Rows (chunk_pk, tag, hash, ring) for tags 0 to replicas - 1."""
     tagged = chunks.select("chunk_pk", "dataset", id_col, F.explode(F.sequence(F.lit(0), replicas - 1)).alias("tag"))

@@ -80,6 +80,20 @@ def schemas_by_id(wanted: DataFrame, schemas: DataFrame) -> DataFrame:
     return own.select(F.when(F.col("_there").isNull(), missing.cast("int")).otherwise(F.col("schema_id")).alias("schema_id"), *[c for c in schemas.columns if c != "schema_id"])
 
 
+def read_schemas_by_id(names: DataFrame, read: DataFrame) -> DataFrame:
+    """The current read schemas of the named datasets; one without a read schema has no row."""
+    return read.where("current").join(names.select("dataset").distinct(), "dataset", "left_semi").select("schema_id", "dataset", "hash")
+
+
+def generate_bundle(published: DataFrame, schemas: DataFrame, read: DataFrame) -> tuple[str, DataFrame, DataFrame]:
+    """Id, write section and read section of the bundle for the published schema ids; an id that is not there is an error. A few
+    hundred rows, configuration-sized."""
+    write = schemas_by_id(published, schemas.select("schema_id", "dataset", "hash"))
+    own = read_schemas_by_id(write, read)
+    rows = lambda df: {r["schema_id"]: r["hash"] for r in df.collect()}
+    return bundle_id(rows(write), rows(own)), write, own
+
+
 def bundle_refs(published: DataFrame, schemas: DataFrame) -> DataFrame:
     """Published schema ids with their dataset; an id that resolves to nothing shows with a null dataset."""
     return published.join(schemas.select("schema_id", "dataset"), "schema_id", "left")

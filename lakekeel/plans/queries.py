@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import catalogue, fleet, intervals, invariants, lifecycle, movement, placement, rings, schema_registry, simulate, weights
+from ..sources import artifacts
 from ..sources.fixtures import Fixtures, oracle
 
 # Parameters that both engines share.
@@ -903,6 +904,32 @@ def reg_register_write_schemas(fx):
     return schema_registry.register_write_schemas(own.where("n_fields > 10").select("dataset", "hash", "schema_id"), own.select("dataset", "hash"))
 
 
+@query("select schema_id, dataset, table_name as hash from schemas where n_fields > 25 and schema_id % 3 <> 0 and dataset < 'Brand#30'")
+def reg_read_schemas_by_id(fx):
+    read = fx.schemas.where("n_fields > 25").withColumn("current", F.col("schema_id") % 3 != 0).withColumnRenamed("table_name", "hash")
+    return schema_registry.read_schemas_by_id(fx.schemas.where("dataset < 'Brand#30'").select("dataset"), read)
+
+
+@query(f"""with {_WR}, r as (select worker_pk, (kept + removed) / 1048576.0 as b, (kept + added) / 1048576.0 as a, removed / 1048576.0 as o, added / 1048576.0 as i, kept + removed = 0 as fresh, kept + added = 0 as gone from w0)
+select worker_pk, case when fresh then printf('+%.2fGB', i) when gone then printf('-%.2fGB', o) else printf('%.2fGB -%.2fGB +%.2fGB =%.2fGB', b, o, i, a) end as line from r""")
+def move_compare_report(fx):
+    return movement.compare_report(fx.holders_before, fx.holders_after, fx.chunks, unit=1 << 20)
+
+
+@query(f"""with {_STATUS}, p as (select dataset, size from holders_after join chunks using (chunk_pk)), g as (
+select 'dataset_chunks' as name, 'dataset' as k, dataset as v, count(*) as value from chunks group by dataset
+union all select 'dataset_size', 'dataset', dataset, sum(size) from chunks group by dataset
+union all select 'assigned_chunks', 'dataset', dataset, count(*) from p group by dataset
+union all select 'assigned_size', 'dataset', dataset, sum(size) from p group by dataset
+union all select 'worker_status', 'status', status, count(*) from st group by status
+union all select 'registration_rejected', 'dataset', dataset, count(*) from chunks join meta using (chunk_pk) where rejected group by dataset)
+select name, name || '{{' || k || '="' || v || '"}} ' || cast(cast(value as bigint) as varchar) as line from g""")
+def metrics_gauges(fx):
+    rejected = lifecycle.rejected_by_dataset(fx.chunks, fx.meta).withColumnRenamed("rejected", "n")
+    statuses = fleet.status_counts(fleet.worker_statuses(fx.pings, **STATUS))
+    return artifacts.open_metrics(artifacts.gauges(fx.chunks, fx.holders_after, statuses, rejected, rejected.limit(0)))
+
+
 @query("select p.schema_id, s.dataset, s.table_name as hash from (select cast(k * 37 as int) as schema_id from range(80) t(k)) p join schemas s using (schema_id)")
 def reg_schemas_by_id(fx):
     wanted = fx._spark.range(80).select((F.col("id") * 37).cast("int").alias("schema_id"))

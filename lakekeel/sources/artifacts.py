@@ -73,3 +73,23 @@ def append_catalogue(rows: DataFrame, path: str) -> None:
 def replace_table(df: DataFrame, path: str) -> None:
     """A new snapshot in place of the old one; it is complete before the old one goes."""
     checkpoint(df).write.mode("overwrite").parquet(path)
+
+
+def persist_assignment_schemas(schema_ids: DataFrame, path: str) -> None:
+    """The schema ids of the published assignment replace those of the one before."""
+    replace_table(schema_ids.select("schema_id").distinct(), path)
+
+
+def gauges(chunks: DataFrame, pairs: DataFrame, statuses: DataFrame, rejected: DataFrame, held_back: DataFrame) -> DataFrame:
+    """Rows (name, labels, value) of the gauge families that follow from the tables. statuses (status, workers); rejected and held_back
+    (dataset, n)."""
+
+    def family(rows: DataFrame, name: str, label: str, value: str) -> DataFrame:
+        return rows.select(F.lit(name).alias("name"), F.create_map(F.lit(label), F.col(label).cast("string")).alias("labels"), F.col(value).cast("bigint").alias("value"))
+
+    stored = chunks.groupBy("dataset").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    placed = pairs.join(chunks.select("chunk_pk", "dataset", "size"), "chunk_pk").groupBy("dataset").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    out = family(stored, "dataset_chunks", "dataset", "n").unionByName(family(stored, "dataset_size", "dataset", "bytes"))
+    out = out.unionByName(family(placed, "assigned_chunks", "dataset", "n")).unionByName(family(placed, "assigned_size", "dataset", "bytes"))
+    out = out.unionByName(family(statuses, "worker_status", "status", "workers"))
+    return out.unionByName(family(rejected, "registration_rejected", "dataset", "n")).unionByName(family(held_back, "promotion_held_back", "dataset", "n"))

@@ -87,3 +87,45 @@ def test_discovery(spark):
     rows = [("d/1", "blocks.parquet", 5), ("d/1", "logs.parquet", 1), ("d/2", "logs.parquet", 1), ("d/3", "blocks.parquet", 1), ("d/4", "logs.parquet", 1)]
     objects = spark.createDataFrame([("d", *r) for r in rows], "dataset string, prefix string, file_name string, size bigint")
     assert {r["prefix"]: r["state"] for r in catalogue.discover_chunks(objects).collect()} == {"d/1": "ok", "d/2": "error", "d/3": "ok", "d/4": "pending"}
+
+
+def test_rings_are_kept_until_the_workers_change(spark, tmp_path):
+    from lakekeel.operators import rings
+
+    workers = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "worker_pk bigint, peer_id string")
+    want = sorted(map(tuple, rings.build_rings(workers, 5).select("ring", "pos", "hash", "worker_pk").collect()))
+    for _ in range(2):
+        got = rings.cached_rings(workers, str(tmp_path), 5)
+        assert sorted(map(tuple, got.select("ring", "pos", "hash", "worker_pk").collect())) == want
+    assert len(list(tmp_path.glob("rings-5-*"))) == 1
+    assert rings.cached_rings(workers.where("worker_pk < 3"), str(tmp_path), 5).count() == 10
+    assert len(list(tmp_path.glob("rings-5-*"))) == 2
+
+
+def test_bundle_of_published_schemas(spark, tmp_path):
+    schemas = spark.createDataFrame([(1, "d", "h1"), (2, "d", "h2"), (3, "e", "h3")], "schema_id int, dataset string, hash string")
+    read = spark.createDataFrame([(7, "d", "r7", True), (6, "d", "r6", False), (8, "f", "r8", True)], "schema_id int, dataset string, hash string, current boolean")
+    published = spark.createDataFrame([(1,), (3,), (1,)], "schema_id int")
+    name, write, own = schema_registry.generate_bundle(published, schemas, read)
+    assert {r["schema_id"] for r in write.collect()} == {1, 3} and {r["schema_id"] for r in own.collect()} == {7}
+    assert name == schema_registry.bundle_id({1: "h1", 3: "h3"}, {7: "r7"}) != schema_registry.bundle_id({1: "h1", 3: "h3"}, {})
+    with pytest.raises(Exception, match="no schema with id"):
+        schema_registry.generate_bundle(spark.createDataFrame([(99,)], "schema_id int"), schemas, read)
+    for ids in (published, spark.createDataFrame([(2,)], "schema_id int")):
+        artifacts.persist_assignment_schemas(ids, f"{tmp_path}/schemas")
+    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/schemas").collect()] == [2]
+
+
+def test_block_summary_takes_the_first_row_and_needs_a_hash(spark):
+    rows = spark.createDataFrame([("c", 5, "zz", 1), ("c", 5, "aa", 0), ("c", 4, "bb", 2)], "chunk string, number bigint, hash string, r bigint")
+    assert catalogue.block_summary(rows, ["chunk"], "r").first()["last_block_hash"] == "aa"
+    with pytest.raises(Exception, match="no hash of block"):
+        catalogue.block_summary(spark.createDataFrame([("c", 5, None, 0)], rows.schema), ["chunk"], "r").collect()
+
+
+def test_assignments_and_status(spark):
+    pairs = spark.createDataFrame([(1, 7), (2, 7)], "chunk_pk bigint, worker_pk bigint")
+    chunks = spark.createDataFrame([(1, "d", 10, 19, 5), (2, "d", 0, 9, 6)], "chunk_pk bigint, dataset string, first_block bigint, last_block bigint, size bigint")
+    assert [c["chunk_pk"] for c in artifacts.assignment_frame(pairs, chunks).first()["chunks"]] == [2, 1]
+    status = json.loads(artifacts.status_json({"n": 1}, spark.createDataFrame([("w", "online")], "peer string, status string"), spark.createDataFrame([("d", 2)], "dataset string, chunks bigint"), 9))
+    assert status["assignment_timestamp_sec"] == 9 and status["workers"] == [{"peer": "w", "status": "online"}]
