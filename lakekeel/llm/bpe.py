@@ -84,6 +84,14 @@ def group_of(word: bytes, groups: int) -> int:
     return xxhash.xxh3_64_intdigest(word) % groups
 
 
+class Numbers(dict):
+    """Numbers words as they come."""
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        return number
+
+
 def blocks(docs: DataFrame, pattern: str, groups: int, kind: int) -> DataFrame:
     """Rows (block, grp, kind, payload) of one kind. 0: a block's documents as word numbers, with the group of each
     distinct word. 1: the distinct words of a block in one group. Blocks are named by their contents, so that the
@@ -96,31 +104,29 @@ def blocks(docs: DataFrame, pattern: str, groups: int, kind: int) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = batch.column(0)
             for a, b in ranges([len(t) for t in texts], BLOCK_CHARS):
-                index: dict[str, int] = {}
-                rows = []
+                # words by first appearance: frequent ones mostly come early, so that their numbers compress well
+                index, rows, sizes = Numbers(), [], []
                 for text in texts[a:b]:
                     found = words_of(text)
-                    rows.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.uint32, len(found)))
-                # numbers by falling frequency, so that they compress well
-                every = np.concatenate(rows)
-                order = np.argsort(-np.bincount(every, minlength=len(index)), kind="stable")
-                listed = [w.encode() for w in index]
-                words = [listed[i] for i in order.tolist()]
+                    sizes.append(len(found))
+                    if kind == 0:
+                        rows.append(np.fromiter(map(index.__getitem__, found), np.uint32, len(found)))
+                    else:
+                        index |= dict.fromkeys(found)
+                words = [w.encode() for w in index]
                 group = [group_of(w, groups) for w in words]
                 sink = pa.BufferOutputStream()
                 part = pa.RecordBatch.from_arrays([ids.slice(a, b - a)], ["i"])
                 with pa.ipc.new_stream(sink, part.schema) as out:
                     out.write_batch(part)
                 head = sink.getvalue().to_pybytes()
-                counts = np.array([len(r) for r in rows], np.uint32).tobytes()
+                counts = np.array(sizes, np.uint32).tobytes()
                 digest = xxhash.xxh3_128(head + counts)
                 for word in words:
                     digest.update(word)
                 block = digest.hexdigest()
                 if kind == 0:
-                    rank = np.empty(len(index), np.uint32)
-                    rank[order] = np.arange(len(index), dtype=np.uint32)
-                    lanes = rank[every].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+                    lanes = np.concatenate(rows).astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
                     yield {"block": [block], "grp": [-1], "kind": [0], "payload": [pack([head, counts, lanes, np.array(group, np.uint16).tobytes()])]}
                 else:
                     dealt: dict[int, list[bytes]] = {}
