@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 docs of the next. All stages but the last return the columns of documents.
+
+Defined cases, in every stage: rows with a null doc_id are judged by their text like others, but the line dedup and the Jaccard
+join leave them as they are; null, empty and wordless texts are rejected by the classifier and kept by the stages after it; texts of any
+length are taken whole; repeated rows get the same verdict, and of their lines only those of the first stay; an empty table gives an
+empty one; further columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from lakekeel.llm.common import materialise
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects (low quality or toxic) go."""
+    """Documents that the quality classifier rejects (low quality or toxic) go; without labels only the fixed words mark toxic ones."""
     return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -25,18 +30,18 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated lines go; so do documents none of whose lines stays."""
+    """Repeated lines go; so do documents none of whose lines stays. Documents without lines stay. Ties in place go to the smaller id."""
     out = linededup.dedup_lines(docs, counts=("lines_before", "lines_after"))
     return _with_size(out.where("lines_before = 0 or lines_after > 0").drop("lines_before", "lines_after"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates stays."""
+    """One document, that with the smallest id, of each group of near duplicates stays, in all its rows."""
     return jaccard.one_of_each(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; shorter benchmark spans are cut from the others."""
+    """Contaminated documents go; shorter benchmark spans are cut from the others. Items without text or id are passed over."""
     return _with_size(decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
 
 
