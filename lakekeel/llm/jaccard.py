@@ -141,6 +141,7 @@ def dealt(docs: DataFrame, frequent, k: int, fragments: int) -> DataFrame:
     in the block. Kind 1: the block's sets, with their frequent shingles; these pass through any fragment.
     fragments is a power of two."""
     shift = np.uint64(64 - fragments.bit_length() + 1)
+    most = min(max(BLOCK_SHINGLES, 16 * fragments), 4 * BLOCK_SHINGLES)  # so that a block has several in each fragment
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         memo, seen = HashMemo(), set()
@@ -186,7 +187,7 @@ def dealt(docs: DataFrame, frequent, k: int, fragments: int) -> DataFrame:
                         own, common, ranks = own[~here], own[here], rank[at[here]]
                 held.append((c, n, own, common, ranks))
                 size += n
-                if size >= BLOCK_SHINGLES or len(held) == BLOCK_SETS:
+                if size >= most or len(held) == BLOCK_SETS:
                     yield flush()
                     held.clear()
                     size, blocks = 0, blocks + 1
