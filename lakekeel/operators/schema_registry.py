@@ -38,6 +38,19 @@ def schema_hash(schema: dict) -> str:
     return hashlib.sha256(canonical(schema).encode()).hexdigest()
 
 
+def lower_chunks(new: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Ingest rows (schema_id, tables: names or null, ...) with `tables_present`, the bitmap over their schema's sorted table names (null for
+    all), and `refused`, why a row cannot be stored, or null. schemas (schema_id, document) are those of the rows' dataset."""
+    kind = "struct<tables: map<string, struct<fields: array<string>, default_fields: array<string>>>>"
+    known = schemas.select("schema_id", F.from_json("document", kind)["tables"].alias("_tables"))
+    own = new.join(known, "schema_id", "left")
+    strange = F.size(F.array_except("tables", F.map_keys("_tables"))) > 0
+    why = F.when(F.col("_tables").isNull(), "unknown schema").when(strange, "unknown table")
+    why = F.coalesce(C.validate_chunk_range("first_block", "last_block", "size"), why)
+    bitmap = F.when(F.col("refused").isNull(), C.resolve_tables("tables", "_tables"))
+    return own.withColumn("refused", why).withColumn("tables_present", bitmap).select(*new.columns, "tables_present", "refused")
+
+
 def active_schemas(schemas: DataFrame, chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """Schemas with `active`: used by a chunk that is pending, or admitted and not tombstoned. chunks (chunk_pk, schema_id)."""
     dead = meta.where(F.col("rejected") | C.tombstoned()).select("chunk_pk")

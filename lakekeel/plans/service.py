@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import catalogue, lifecycle, schema_registry
+from ..sources import artifacts
 from .state import checkpoint
 
 
@@ -61,24 +61,25 @@ class IngestService:
         return (200, {"hash": own["hash"]}) if own else (404, {})
 
     def post_chunks(self, name: str, rows: list[dict]) -> tuple[int, dict]:
-        """rows: chunk_id, first_block, last_block, size, schema_id. 409 on overlaps (nothing written) or for ids that were
-        there already (the new ones are written)."""
+        """rows: chunk_id, first_block, last_block, size, schema_id and optionally tables (names; all without). 400 for what cannot be
+        stored, 409 on overlaps (nothing written) or for ids that were there already (the new ones are written)."""
         if not self._known(name):
             return 404, {}
         if not rows:
             return 200, {}
         spark = self.chunks.sparkSession
         base = (self.chunks.agg(F.max("chunk_pk")).first()[0] or 0) + 1
-        new = spark.createDataFrame([(base + i, name, r["chunk_id"], r["first_block"], r["last_block"], r["size"], r["schema_id"]) for i, r in enumerate(rows)], self.chunks.schema)
-        bad = new.withColumn("why", C.validate_chunk_range("first_block", "last_block", "size")).where("why is not null").first()
-        known = {r[0] for r in self.schemas.where(F.col("dataset") == name).select("schema_id").collect()}
-        if bad or any(r["schema_id"] not in known for r in rows):
-            return 400, {"error": bad["why"] if bad else "unknown schema"}
+        columns = "chunk_pk bigint, dataset string, chunk_id string, first_block bigint, last_block bigint, size bigint, schema_id int, tables array<string>, idx bigint"
+        sent = [(base + i, name, r["chunk_id"], r["first_block"], r["last_block"], r["size"], r["schema_id"], r.get("tables"), i) for i, r in enumerate(rows)]
+        new = schema_registry.lower_chunks(spark.createDataFrame(sent, columns), self.schemas.where(F.col("dataset") == name))
+        if bad := new.where("refused is not null").orderBy("idx").first():
+            return 400, {"error": bad["refused"]}
         got = lifecycle.insert_chunks(new, self.chunks, self.meta, self.width)
         if not got["duplicate_in_batch"].isEmpty():
             return 400, {"error": "id repeats in the batch"}
         if not got["overlap_in_batch"].isEmpty() or not got["overlap_stored"].isEmpty():
-            return 409, {"error": "overlap"}
+            hit = got["overlap_stored"].orderBy("idx").first()
+            return 409, {"error": "overlap"} | ({"index": hit["idx"], "claimant": hit["claimant"]} if hit else {})
         duplicates = sorted(r["chunk_id"] for r in got["duplicates"].collect())
         self.chunks = checkpoint(self.chunks.unionByName(got["inserted"].select(*self.chunks.columns)))
         return (409, {"duplicates": duplicates}) if duplicates else (200, {})
@@ -106,5 +107,13 @@ class IngestService:
         own = lifecycle.chunk_status(self.chunks.where((F.col("dataset") == name) & (F.col("chunk_id") == chunk_id)), self.meta).first()
         return (200, {"status": own["status"]}) if own else (404, {"status": "not_found"})
 
+    def get_metrics(self) -> tuple[int, str]:
+        """The gauge families that follow from the stored tables."""
+        spark = self.chunks.sparkSession
+        counted = lambda df: df.groupBy("dataset").agg(F.count("*").alias("n"))
+        rejected = counted(self.chunks.join(self.meta.where("rejected").select("chunk_pk"), "chunk_pk", "left_semi"))
+        nothing = spark.createDataFrame([], "chunk_pk bigint, worker_pk bigint"), spark.createDataFrame([], "status string, workers bigint")
+        return 200, artifacts.metrics_text(artifacts.gauges(self.chunks, *nothing, rejected, rejected.limit(0)))
+
     def get_health(self) -> tuple[int, dict]:
         return 200, {"status": "ok"}

@@ -74,4 +74,19 @@ def test_service(spark):
     assert s.post_corrections("a", [{"old_pk": 1, **row("x2", 0, 8)}])[0] == 409
     assert s.post_corrections("a", [{"old_pk": 1, **row("x2", 0, 9)}])[0] == 200
     assert s.post_corrections("a", [{"old_pk": 1, **row("x3", 0, 9)}])[0] == 409
+    assert s.post_chunks("a", [{**row("t", 60, 69), "tables": ["blocks"]}, {**row("u", 70, 79), "tables": []}])[0] == 200
+    assert s.post_chunks("a", [{**row("v", 80, 89), "tables": ["logs"]}]) == (400, {"error": "unknown table"}) and s.post_chunks("a", [{**row("v", 80, 89), "schema_id": 9}]) == (400, {"error": "unknown schema"})
+    assert s.post_chunks("a", [row("v", 200, 209), row("k", 65, 66)]) == (409, {"error": "overlap", "index": 1, "claimant": "t"})
+    assert 'dataset_chunks{dataset="a"}' in s.get_metrics()[1]
     assert s.get_health()[0] == 200 and s.get_write_schema("a", 7)[0] == 400
+
+
+def test_lowering(spark):
+    from lakekeel.operators import schema_registry
+
+    schema = schema_registry.canonical({"tables": {n: {"fields": ["n"], "default_fields": []} for n in ("b", "a", "c")}})
+    schemas = spark.createDataFrame([(1, schema)], "schema_id int, document string")
+    rows = [(0, 1, None), (1, 1, ["c", "a"]), (2, 1, []), (3, 1, ["a", "b", "c"]), (4, 1, ["x"]), (5, 2, None)]
+    new = spark.createDataFrame([(i, k, t, 0, 9, 1) for i, k, t in rows], "idx int, schema_id int, tables array<string>, first_block bigint, last_block bigint, size bigint")
+    got = {r["idx"]: (r["tables_present"], r["refused"]) for r in schema_registry.lower_chunks(new, schemas).collect()}
+    assert got == {0: (None, None), 1: ("101", None), 2: ("000", None), 3: (None, None), 4: (None, "unknown table"), 5: (None, "unknown schema")}
