@@ -186,7 +186,7 @@ def hit_documents(docs: DataFrame, shards: list[DataFrame], window: int, key: st
                         out["items"].append(sorted(map(str, found)))
                 yield out
 
-        got = materialise(arrow_map(docs.select(key, text_col).distinct(), step, "key bigint, spans array<array<bigint>>, items array<string>"))
+        got = materialise(arrow_map(docs.select(key, text_col), step, "key bigint, spans array<array<bigint>>, items array<string>").distinct())
         shared.destroy()
         return got
 
