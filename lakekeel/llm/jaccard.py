@@ -167,7 +167,7 @@ def dealt(docs: DataFrame, frequent, k: int, fragments: int) -> DataFrame:
             head = [np.array([len(held)], np.uint64), np.array(c, np.int64), np.array(n, np.int64), counts, np.concatenate(common), np.concatenate(ranks)]
             where = fragment[begin].tolist()
             return {
-                "fragment": [*where, block % fragments], "kind": [0] * len(where) + [1], "block": [block] * (len(where) + 1),
+                "fragment": [*where, (31 * task + blocks) % fragments], "kind": [0] * len(where) + [1], "block": [block] * (len(where) + 1),
                 "payload": [*payloads, b"".join(x.tobytes() for x in head)],
             }
 
