@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, linededup, urlfilter
+from . import decontaminate, divergence, jaccard, linededup, resample, urlfilter
 from .bpe import op6_bpe
+from .chat import op12_chat
 from .decontaminate import op2_decontaminate
+from .divergence import op13_divergence
 from .htmltext import op3_html
 from .jaccard import op9_jaccard
 from .licences import op4_licences
 from .linededup import op1_line_dedup
 from .media import op7_media
 from .quality import op5_quality
+from .resample import op11_resample
 from .urlfilter import op8_url_filter
 from .wordpiece import op10_token_counts
 
@@ -25,6 +28,9 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard": op9_jaccard,
     "op10_token_counts": op10_token_counts,
+    "op11_resample": op11_resample,
+    "op12_chat": op12_chat,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
@@ -32,4 +38,6 @@ ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op8_url_filter": urlfilter.ORACLE,
     "op9_jaccard": jaccard.ORACLE,
+    "op11_resample": resample.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
