@@ -1,4 +1,4 @@
-"""Block ranges: overlaps by bins, greedy folds, running ends."""
+"""Block ranges: overlaps by nested bins, greedy folds, running ends."""
 
 from __future__ import annotations
 
@@ -12,30 +12,49 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from ..plans.state import checkpoint
 
 
-def overlaps(a_first, a_last, b_first, b_last) -> Column:
-    """Inclusive ranges that share a block."""
-    return (F.col(a_first) <= F.col(b_last)) & (F.col(b_first) <= F.col(a_last))
+def level_of(first: str, last: str) -> Column:
+    """The least level whose bins, 2^level blocks wide, are no shorter than the range: it touches at most two of them."""
+    span = F.col(last) - F.col(first)
+    return F.when(span <= 0, 0).otherwise(F.length(F.bin(span)))
 
 
-def binned(ranges: DataFrame, width: int, first: str = "first_block", last: str = "last_block") -> DataFrame:
-    return ranges.withColumn("bin", F.explode(F.sequence(F.expr(f"{first} div {width}"), F.expr(f"{last} div {width}"))))
+def nested(ranges: DataFrame, first: str, last: str) -> DataFrame:
+    """Ranges in the one or two bins (level, bin) that they touch at their level."""
+    own = ranges.withColumn("level", level_of(first, last))
+    return own.withColumn("bin", F.explode(F.expr(f"array_distinct(array(shiftright({first}, level), shiftright({last}, level)))")))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Pairs of ranges of the same dataset that overlap, each once: an equi-join on (dataset, bin), no nested loop. A pair
-    counts in the first bin that both touch. left and right (dataset, id, first_block, last_block)."""
-    a = binned(left.select("dataset", F.col("id").alias("left_id"), F.col("first_block").alias("lf"), F.col("last_block").alias("ll")), width, "lf", "ll")
-    b = binned(right.select("dataset", F.col("id").alias("right_id"), F.col("first_block").alias("rf"), F.col("last_block").alias("rl")), width, "rf", "rl")
-    once = F.col("bin") == F.greatest(F.expr(f"lf div {width}"), F.expr(f"rf div {width}"))
-    return a.join(b, ["dataset", "bin"]).where(overlaps("lf", "ll", "rf", "rl") & once).drop("bin")
+def visits(points: DataFrame, at: str, ranges: DataFrame) -> DataFrame:
+    """Points in one bin of each level that a range lies at; there are at most 64, so these travel as one row."""
+    levels = ranges.agg(F.array_sort(F.collect_set("level")).alias("levels"))
+    return points.crossJoin(F.broadcast(levels)).withColumn("level", F.explode("levels")).withColumn("bin", F.expr(f"shiftright({at}, level)")).drop("levels")
 
 
-def overlap_probe(candidates: DataFrame, live: DataFrame, width: int) -> DataFrame:
-    """Candidates that share a block with a live range of their dataset."""
-    a = binned(candidates, width).alias("a")
-    b = binned(live.select("dataset", F.col("first_block").alias("lf"), F.col("last_block").alias("ll")), width, "lf", "ll").alias("b")
-    hit = (F.col("a.dataset") == F.col("b.dataset")) & (F.col("a.bin") == F.col("b.bin")) & overlaps("first_block", "last_block", "lf", "ll")
-    return a.join(b, hit, "left_semi").drop("bin").distinct()
+_PLACE = ["dataset", "level", "bin"]
+
+
+def overlap_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of ranges of the same dataset that overlap, each once. Of two such ranges one begins inside the other, so ranges meet the
+    beginnings of the others in nested bins: one or two rows a range, one a level for a beginning, however long ranges are.
+    left and right (dataset, id, first_block, last_block)."""
+    a = left.select("dataset", F.col("id").alias("left_id"), F.col("first_block").alias("lf"), F.col("last_block").alias("ll"))
+    b = right.select("dataset", F.col("id").alias("right_id"), F.col("first_block").alias("rf"), F.col("last_block").alias("rl"))
+    na, nb = nested(a, "lf", "ll"), nested(b, "rf", "rl")
+    out = ["dataset", "left_id", "lf", "ll", "right_id", "rf", "rl"]
+    right_begins = na.join(visits(b, "rf", na), _PLACE).where("rf between lf and ll")
+    left_begins = nb.join(visits(a, "lf", nb), _PLACE).where("lf > rf and lf <= rl")
+    return right_begins.select(*out).unionByName(left_begins.select(*out))
+
+
+def overlap_probe(candidates: DataFrame, live: DataFrame) -> DataFrame:
+    """Candidates that share a block with a live range of their dataset, by nested bins as in overlap_join."""
+    there = live.select("dataset", F.col("first_block").alias("lf"), F.col("last_block").alias("ll"))
+    mine, theirs = nested(candidates, "first_block", "last_block"), nested(there, "lf", "ll")
+    same = lambda x, y: (x["dataset"] == y["dataset"]) & (x["level"] == y["level"]) & (x["bin"] == y["bin"])
+    points, seen = visits(there, "lf", mine), visits(candidates, "first_block", theirs)
+    holds = mine.join(points, same(mine, points) & F.expr("lf between first_block and last_block"), "left_semi")
+    begins = seen.join(theirs, same(seen, theirs) & F.expr("first_block between lf and ll"), "left_semi")
+    return holds.select(*candidates.columns).unionByName(begins.select(*candidates.columns)).distinct()
 
 
 #: Blocks of a bin in which a dataset's ranges are sorted; what bins hand on to one another is a row each.
@@ -64,6 +83,16 @@ def running_end(ranges: DataFrame, *order: str) -> DataFrame:
     return own.select(*ranges.columns, F.greatest(F.max("last_block").over(w), "_carry").alias("_end"))
 
 
+def running_cover(ranges: DataFrame, id_col: str) -> DataFrame:
+    """Ranges with the largest end before them (covered_to) and the id of the first range, in order of (first block, id), that reached it (covered_by)."""
+    best = F.struct(F.col("last_block").alias("end"), (-F.col("_place")).alias("place"), F.col(id_col).alias("id"))
+    placed = in_bins(numbered(ranges, id_col).withColumnRenamed("number", "_place"))
+    own = with_carry(placed, F.max(best).alias("_top"), over=F.max("_top").over(_bins().rowsBetween(Window.unboundedPreceding, -1)))
+    w = Window.partitionBy("dataset", "_bin").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+    top = F.greatest(F.max(best).over(w), "_carry")
+    return own.withColumn("_best", top).select(*ranges.columns, F.col("_best.end").alias("covered_to"), F.col("_best.id").alias("covered_by"))
+
+
 def before(ranges: DataFrame, value: str, name: str) -> DataFrame:
     """Ranges with `value` of the one before in their dataset, by first block; null at the first."""
     last = F.max_by(value, "first_block").alias("_last")
@@ -87,24 +116,60 @@ def numbered(ranges: DataFrame, *order: str) -> DataFrame:
 
 
 def islands(ranges: DataFrame, *order: str) -> DataFrame:
-    """Ranges with the number of their island: a maximal run, in order of first block, without a gap. Nothing in one
-    island overlaps anything in another."""
+    """Ranges with the number of their island: a maximal run, in order of first block, without a gap; `begins` at its first range, and `alone` where
+    that is seen to be all of it. Nothing in one island overlaps anything in another."""
     new = F.when(F.col("_end").isNull() | (F.col("first_block") > F.col("_end")), 1).otherwise(0)
-    marked = running_end(ranges, *order).withColumn("_new", new).drop("_end")
+    marked = checkpoint(running_end(ranges, *order).withColumn("_new", new).drop("_end"))
     own = with_carry(in_bins(marked), F.sum("_new").alias("_n"), over=F.sum("_n").over(_bins().rowsBetween(Window.unboundedPreceding, -1)))
-    w = Window.partitionBy("dataset", "_bin").orderBy("first_block", *order).rowsBetween(Window.unboundedPreceding, 0)
-    return own.select(*ranges.columns, (F.sum("_new").over(w) + F.coalesce("_carry", F.lit(0))).alias("island"))
-
-
-def settle(ranges: DataFrame, *order: str) -> DataFrame:
+    here = Window.partitionBy("dataset", "_bin").orderBy("first_block", *order)
+    number = F.sum("_new").over(here.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("_carry", F.lit(0))
+    alone = (F.col("_new") == 1) & F.coalesce(F.lead("_new").over(here) == 1, F.lit(False))
+    return own.select(*ranges.columns, number.alias("island"), (F.col("_new") == 1).alias("begins"), alone.alias("alone"))
+
+
+def reach(ranges: DataFrame, number: str = "number") -> DataFrame:
+    """Rows (dataset, at, to): for each range the number of the first one that begins after its end. ranges have their number in the dataset; sorted by bins."""
+    begin = ranges.select("dataset", F.col("first_block").alias("_key"), F.lit(1).alias("_one"), F.lit(None).cast("bigint").alias("at"))
+    end = ranges.select("dataset", F.col("last_block").alias("_key"), F.lit(0).alias("_one"), F.col(number).cast("bigint").alias("at"))
+    keys = begin.unionByName(end).withColumn("_bin", F.expr(f"_key div {BIN_BLOCKS}"))
+    own = with_carry(keys, F.sum("_one").alias("_n"), over=F.sum("_n").over(_bins().rowsBetween(Window.unboundedPreceding, -1)))
+    upto = F.sum("_one").over(Window.partitionBy("dataset", "_bin").orderBy("_key").rangeBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("to", upto + F.coalesce("_carry", F.lit(0)) + 1).where("at is not null").select("dataset", "at", F.col("to").cast("bigint").alias("to"))
+
+
+def lifted(ranges: DataFrame, *order: str) -> DataFrame:
+    """The greedy fold by pointer doubling: each range points to the first that begins after its end; from the islands' first ranges
+    (`begins`) on, marks are handed on over 1, 2, 4, ... such steps, in as many joins as the longest chain has binary digits. No task takes an island.
+    Adds `accepted`."""
+    own = checkpoint(numbered(ranges, *order))
+    jump = checkpoint(reach(own).join(own.select("dataset", F.col("number").cast("bigint").alias("to")), ["dataset", "to"], "left_semi"))
+    marks = checkpoint(own.where("begins").select("dataset", F.col("number").cast("bigint").alias("at")))
+    while not jump.isEmpty():
+        ahead = marks.join(jump, ["dataset", "at"]).select("dataset", F.col("to").alias("at"))
+        marks = checkpoint(marks.unionByName(ahead).distinct())
+        onward = jump.select("dataset", F.col("at").alias("to"), F.col("to").alias("far"))
+        jump = checkpoint(jump.join(onward, ["dataset", "to"]).select("dataset", "at", F.col("far").alias("to")))
+    return own.join(marks.select("dataset", F.col("at").alias("number"), F.lit(True).alias("accepted")), ["dataset", "number"], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False))).drop("number")
+
+
+#: Ranges of an island that one task folds in a stream; larger islands are folded by joins.
+ISLAND_ROWS = 200_000
+
+
+def settle(ranges: DataFrame, *order: str, island_rows: int | None = None) -> DataFrame:
     """Greedy fold: in order of (first block, order...) a range is accepted if it begins after the last accepted one
-    ends. Adds `accepted`. Islands of one range are accepted outright; the others are dealt out whole and folded in one
-    streaming pass per partition, never gathered."""
+    ends. Adds `accepted`. Islands of one range are accepted outright; others are dealt out whole and folded in one
+    streaming pass per partition, never gathered; those of more than ISLAND_ROWS ranges are folded by `lifted`."""
     made = checkpoint(islands(checkpoint(ranges), *order))  # used several times
-    made = made.withColumn("_n", F.count("*").over(Window.partitionBy("dataset", "island")))
-    columns = [c for c in made.columns if c not in ("island", "_n")]
-    alone = made.where("_n = 1").select(*columns, F.lit(True).alias("accepted"))
-    rest = made.where("_n > 1").drop("_n")
+    columns = [*ranges.columns, "accepted"]
+    alone = made.where("alone").withColumn("accepted", F.lit(True))
+    rest = made.where("not alone")
+    sizes = rest.groupBy("dataset", "island").agg(F.count("*").alias("n"))
+    large = checkpoint(sizes.where(F.col("n") > (ISLAND_ROWS if island_rows is None else island_rows)).drop("n"))
+    if not large.isEmpty():
+        big = lifted(rest.join(large, ["dataset", "island"], "left_semi"), *order)
+        alone = alone.select(*columns).unionByName(big.select(*columns))
+        rest = rest.join(large, ["dataset", "island"], "left_anti")
     rest = rest.repartition("dataset", "island").sortWithinPartitions("dataset", "island", "first_block", *order)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,26 +182,30 @@ def settle(ranges: DataFrame, *order: str) -> DataFrame:
                 accepted.append(end is None or first > end)
                 if accepted[-1]:
                     end = last
-            yield part[columns].assign(accepted=accepted)
+            yield part[columns[:-1]].assign(accepted=accepted)
 
     schema = StructType([*ranges.schema.fields, StructField("accepted", BooleanType())])
-    return alone.unionByName(rest.mapInPandas(fold, schema))
+    return alone.select(*columns).unionByName(rest.mapInPandas(fold, schema))
 
 
-def select_non_overlapping(candidates: DataFrame, existing: DataFrame, width: int, *order: str) -> DataFrame:
+def select_non_overlapping(candidates: DataFrame, existing: DataFrame, *order: str) -> DataFrame:
     """Candidates that overlap nothing existing, then settled among themselves; only accepted ones."""
-    hit = overlap_probe(candidates, existing, width)
+    hit = overlap_probe(candidates, existing)
     key = [*dict.fromkeys(("dataset", "first_block", "last_block", *order))]
     free = candidates.join(hit.select(*key), key, "left_anti")
     return settle(free, *order).where("accepted").drop("accepted")
 
 
-def running_max_reject(ranges: DataFrame, *order: str) -> DataFrame:
-    """Ranges that begin inside any earlier one, accepted or not, with the largest end before them."""
-    return running_end(ranges, *order).withColumnRenamed("_end", "covered_to").where("first_block <= covered_to")
+def running_max_reject(ranges: DataFrame, id_col: str) -> DataFrame:
+    """Ranges that begin inside any earlier one, accepted or not, with the largest end before them and the id of the range that has it (of
+    several the first). Order is (first block, id)."""
+    return running_cover(ranges, id_col).where("first_block <= covered_to")
 
 
-def portal_overlap_losers(visible: DataFrame, *order: str) -> DataFrame:
-    return settle(visible, *order).where("not accepted").drop("accepted")
+def first_offender(ranges: DataFrame, id_col: str) -> DataFrame:
+    """What a refused batch reports for each dataset: the first range inside an earlier one, and what covers it."""
+    return running_max_reject(ranges, id_col).groupBy("dataset").agg(F.min(F.struct("first_block", F.col(id_col).alias("id"), "covered_by")).alias("o")).select("dataset", F.col("o.id").alias("chunk_id"), "o.covered_by")
 
 
+def portal_overlap_losers(visible: DataFrame, *order: str) -> DataFrame:
+    return settle(visible, *order).where("not accepted").drop("accepted")

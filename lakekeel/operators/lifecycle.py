@@ -36,14 +36,14 @@ def candidates(chunks: DataFrame, meta: DataFrame, corrections: DataFrame) -> Da
     return pending.join(fix, "chunk_pk", "left").join(old, "old_pk", "left")
 
 
-def register_new_chunks(chunks: DataFrame, meta: DataFrame, corrections: DataFrame, width: int) -> DataFrame:
+def register_new_chunks(chunks: DataFrame, meta: DataFrame, corrections: DataFrame) -> DataFrame:
     """Pending chunks with `rejected`: a replacement is judged by its range alone (it must be that of the chunk it replaces), the
     others must neither overlap a live chunk nor an accepted one of this batch."""
     own = candidates(chunks, meta, corrections)
     exempt = own.where("old_pk is not null").select("chunk_pk", (~((F.col("first_block") == F.col("old_first")) & (F.col("last_block") == F.col("old_last")))).alias("rejected"))
     ordinary = own.where("old_pk is null").select("dataset", "chunk_pk", "first_block", "last_block")
     live = chunks.join(meta.where(C.live_admitted()).select("chunk_pk"), "chunk_pk", "left_semi")
-    hit = intervals.overlap_probe(ordinary, live, width).select("chunk_pk")
+    hit = intervals.overlap_probe(ordinary, live).select("chunk_pk")
     folded = intervals.settle(ordinary.join(hit, "chunk_pk", "left_anti"), "chunk_pk").select("chunk_pk", (~F.col("accepted")).alias("rejected"))
     return exempt.unionByName(hit.withColumn("rejected", F.lit(True))).unionByName(folded)
 
@@ -255,25 +255,25 @@ def rejected_by_dataset(chunks: DataFrame, verdicts: DataFrame) -> DataFrame:
     return chunks.join(verdicts.where("rejected"), "chunk_pk").groupBy("dataset").agg(F.count("*").alias("rejected"))
 
 
-def overlapping_incoming(new: DataFrame, chunks: DataFrame, meta: DataFrame, width: int) -> DataFrame:
+def overlapping_incoming(new: DataFrame, chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """Incoming chunks that share a block with a claimant of another id: their place in the batch (idx) and the smallest claimant's id.
     Claimants are pending chunks, which have no meta row, and live admitted ones; rejected, marked and dropped chunks give
     their range free. new (idx, dataset, chunk_id, first_block, last_block)."""
     gone = meta.where(~C.live_admitted()).select("chunk_pk")
     claim = chunks.join(gone, "chunk_pk", "left_anti")
     incoming = new.select("dataset", F.struct("idx", "chunk_id").alias("id"), "first_block", "last_block")
-    met = intervals.overlap_join(incoming, claim.select("dataset", F.col("chunk_id").alias("id"), "first_block", "last_block"), width)
+    met = intervals.overlap_join(incoming, claim.select("dataset", F.col("chunk_id").alias("id"), "first_block", "last_block"))
     other = met.where(F.col("left_id.chunk_id") != F.col("right_id"))
     return other.groupBy(F.col("left_id.idx").alias("idx"), F.col("left_id.chunk_id").alias("chunk_id")).agg(F.min("right_id").alias("claimant"))
 
 
-def insert_chunks(new: DataFrame, chunks: DataFrame, meta: DataFrame, width: int) -> dict[str, DataFrame]:
+def insert_chunks(new: DataFrame, chunks: DataFrame, meta: DataFrame) -> dict[str, DataFrame]:
     """An ingest request: duplicates inside the batch, ranges that overlap inside it or with a claimant (see
     overlapping_incoming), rows to insert, ids that were there already. new and chunks
     (dataset, chunk_id, first_block, last_block, ...); the batch's order is that of idx, else of its ids."""
     key = ["dataset", "chunk_id"]
     placed = new if "idx" in new.columns else new.withColumn("idx", F.row_number().over(Window.orderBy(*key)) - 1)  # a request's rows
-    hit = overlapping_incoming(placed, chunks, meta, width)
+    hit = overlapping_incoming(placed, chunks, meta)
     return {
         "duplicate_in_batch": new.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").select(*key),
         "overlap_in_batch": intervals.running_max_reject(new, "chunk_id"),

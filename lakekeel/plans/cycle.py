@@ -35,9 +35,9 @@ class State:
         return replace(self, **{k: checkpoint(v) for k, v in vars(self).items() if isinstance(v, DataFrame)})
 
 
-def register(state: State, width: int) -> State:
+def register(state: State) -> State:
     """Pending chunks become admitted or rejected."""
-    verdicts = lifecycle.register_new_chunks(state.chunks, state.meta, state.corrections, width)
+    verdicts = lifecycle.register_new_chunks(state.chunks, state.meta, state.corrections)
     none = [F.lit(None).cast(t).alias(c) for c, t in state.meta.dtypes if c not in ("chunk_pk", "rejected")]
     return replace(state, meta=state.meta.unionByName(verdicts.select("chunk_pk", "rejected", *none)))
 

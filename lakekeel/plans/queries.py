@@ -16,7 +16,7 @@ from ..sources.fixtures import Fixtures, oracle
 NOW, M_TICKS, GC_TICKS, MIN_R = 60, 20, 10, 2
 STATUS = {"min_version": "2.10.1", "stale_below": 500, "max_epoch_lag": 10, "inactive_timeout": "6 hours"}
 PERCENT, LATEST = 75, 55
-N_RINGS, BIN = 60, 64
+N_RINGS = 60
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -433,7 +433,7 @@ _LIVE = "live as (select c.* from chunks c join meta m using (chunk_pk) where no
 @query(f"with {_LIVE} select distinct r.dataset, r.first_block, r.last_block from chunks_raw r where exists (select 1 from live l where l.dataset = r.dataset and l.first_block <= r.last_block and r.first_block <= l.last_block)")
 def iv_overlap_probe(fx):
     live = fx.chunks.join(fx.meta.where(C.live_admitted()).select("chunk_pk"), "chunk_pk", "left_semi")
-    return intervals.overlap_probe(fx.chunks_raw.select("dataset", "first_block", "last_block"), live, BIN)
+    return intervals.overlap_probe(fx.chunks_raw.select("dataset", "first_block", "last_block"), live)
 
 
 _SETTLE = """with recursive s as (select dataset, first_block, last_block, row_number() over (partition by dataset order by first_block, last_block) as rn from (select distinct dataset, first_block, last_block from chunks_raw)),
@@ -446,15 +446,44 @@ def iv_settle_batch(fx):
     return intervals.settle(fx.chunks_raw.select("dataset", "first_block", "last_block").distinct(), "last_block")
 
 
-@query("select dataset, first_block, last_block, covered_to from (select *, max(last_block) over (partition by dataset order by first_block, last_block rows between unbounded preceding and 1 preceding) as covered_to from (select distinct dataset, first_block, last_block from chunks_raw)) where first_block <= covered_to")
+# every range before a row counts, and of those with the largest end the first one is named
+_COVER = """cov as (select dataset, first_block, last_block, first_block * 8 + last_block - first_block as id from (select distinct dataset, first_block, last_block from chunks_raw)),
+covered as (select *, max(last_block) over w as covered_to, arg_max(id, struct_pack(e := last_block, f := -first_block, i := -id)) over w as covered_by from cov window w as (partition by dataset order by first_block, id rows between unbounded preceding and 1 preceding))"""
+
+
+def _cover_input(fx) -> DataFrame:
+    own = fx.chunks_raw.select("dataset", "first_block", "last_block").distinct()
+    return own.withColumn("id", F.col("first_block") * 8 + F.col("last_block") - F.col("first_block"))
+
+
+@query(f"with {_COVER} select dataset, first_block, last_block, covered_to, covered_by from covered where first_block <= covered_to")
 def iv_running_max_reject(fx):
-    return intervals.running_max_reject(fx.chunks_raw.select("dataset", "first_block", "last_block").distinct(), "last_block")
+    return intervals.running_max_reject(_cover_input(fx), "id").drop("id")
+
+
+@query(f"with {_COVER} select dataset, id as chunk_id, covered_by from covered where first_block <= covered_to qualify row_number() over (partition by dataset order by first_block, id) = 1")
+def iv_first_offender(fx):
+    return intervals.first_offender(_cover_input(fx), "id")
+
+
+# mixed lengths: one range in 50 spans up to 2^31 blocks
+_LONG = "long as (select chunk_pk as id, concat('s3://ds-', cast(chunk_pk % 400 as string)) as dataset, first_block, first_block + case when chunk_pk % 50 = 0 then 2147483647 when chunk_pk % 7 = 0 then 5000 + chunk_pk else 9 end as last_block from chunks)"
+
+
+@query(f"with {_LONG} select a.id as left_id, b.id as right_id from long a join long b on a.dataset = b.dataset and a.first_block <= b.last_block and b.first_block <= a.last_block where a.id % 2 = 0 and b.id % 2 = 1 or a.dataset > 's3://ds-3' and a.id <> b.id")
+def iv_overlap_long(fx):
+    """Ranges of all lengths meet; half of the datasets by parity, the others all with all."""
+    k = F.col("chunk_pk")
+    last = F.col("first_block") + F.when(k % 50 == 0, F.lit(2**31 - 1)).when(k % 7 == 0, k + 5000).otherwise(9)
+    own = fx.chunks.select(k.alias("id"), F.concat(F.lit("s3://ds-"), (k % 400).cast("string")).alias("dataset"), "first_block", last.alias("last_block"))
+    met = intervals.overlap_join(own, own)
+    return met.where("left_id % 2 = 0 and right_id % 2 = 1 or dataset > 's3://ds-3' and left_id <> right_id").select("left_id", "right_id")
 
 
 @query("select x.chunk_pk as left_id, r.first_block as right_id from chunks x join chunks_raw r on x.dataset = r.dataset and x.first_block <= r.last_block and r.first_block <= x.last_block")
 def iv_overlap_join(fx):
     left = fx.chunks.withColumnRenamed("chunk_pk", "id")
-    return intervals.overlap_join(left, fx.chunks_raw.withColumn("id", F.col("first_block")), BIN).select("left_id", "right_id")
+    return intervals.overlap_join(left, fx.chunks_raw.withColumn("id", F.col("first_block"))).select("left_id", "right_id")
 
 
 # ---- lifecycle
@@ -528,7 +557,7 @@ select p.chunk_pk, exists (select 1 from live l where l.dataset = p.dataset and
 )
 def mvcc_admission(fx):
     """The fixture's ordinary chunks do not overlap one another, so the fold accepts what the probe leaves."""
-    return lifecycle.register_new_chunks(fx.chunks, fx.meta, fx.corrections, 128)
+    return lifecycle.register_new_chunks(fx.chunks, fx.meta, fx.corrections)
 
 
 @query(
@@ -797,7 +826,7 @@ def ingest_overlap_probe(fx):
         "first_block", "last_block",
     ).distinct()
     stored = fx.chunks.withColumn("chunk_id", F.concat(F.lit("c-"), F.col("chunk_pk").cast("string")))
-    return lifecycle.overlapping_incoming(incoming, stored, fx.meta, BIN)
+    return lifecycle.overlapping_incoming(incoming, stored, fx.meta)
 
 
 @query("select dataset, chunk_pk from chunks where dataset in ('s3://ds-1', 's3://ds-4') union all select dataset, -1 from (select distinct dataset from chunks where dataset not in ('s3://ds-1', 's3://ds-4'))")
@@ -895,7 +924,7 @@ walk as (select dataset, rn, first_block, last_block, true as accepted, last_blo
 select dataset, first_block, last_block from walk where accepted""")
 def iv_select_non_overlapping(fx):
     live = fx.chunks.join(fx.meta.where(C.live_admitted()).select("chunk_pk"), "chunk_pk", "left_semi")
-    return intervals.select_non_overlapping(fx.chunks_raw.select("dataset", "first_block", "last_block").distinct(), live, BIN, "last_block")
+    return intervals.select_non_overlapping(fx.chunks_raw.select("dataset", "first_block", "last_block").distinct(), live, "last_block")
 
 
 @query("select dataset, table_name as hash from (select distinct dataset, table_name from schemas) where (dataset, table_name) not in (select dataset, table_name from schemas where n_fields > 10)")

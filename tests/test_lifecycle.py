@@ -78,7 +78,7 @@ def test_admission(spark):
     chunks = spark.createDataFrame([(1, "d", 0, 9), (2, "d", 5, 12), (3, "d", 20, 29), (4, "d", 25, 27), (5, "d", 0, 9), (6, "d", 40, 41)], "chunk_pk bigint, dataset string, first_block bigint, last_block bigint")
     m = meta(spark, (1, False, 1, 1, None, None, None))
     fix = spark.createDataFrame([(1, 5, None), (1, 6, None)], "old_pk bigint, new_pk bigint, applied_portal int")
-    got = {r["chunk_pk"]: r["rejected"] for r in lifecycle.register_new_chunks(chunks, m, fix, 8).collect()}
+    got = {r["chunk_pk"]: r["rejected"] for r in lifecycle.register_new_chunks(chunks, m, fix).collect()}
     assert got == {2: True, 3: False, 4: True, 5: False, 6: True}
 
 
@@ -86,7 +86,7 @@ def test_insert_chunks(spark):
     cols = "chunk_pk bigint, dataset string, chunk_id string, first_block bigint, last_block bigint"
     stored = spark.createDataFrame([(1, "d", "a", 0, 9), (2, "d", "b", 50, 59)], cols)
     new = spark.createDataFrame([(None, "d", "a", 0, 9), (None, "d", "c", 8, 12), (None, "d", "e", 70, 75), (None, "d", "f", 74, 80)], cols).drop("chunk_pk")
-    got = lifecycle.insert_chunks(new, stored, meta(spark, (2, True, None, None, None, None, None)), 8)
+    got = lifecycle.insert_chunks(new, stored, meta(spark, (2, True, None, None, None, None, None)))
     assert {r["chunk_id"] for r in got["overlap_stored"].collect()} == {"c"}
     assert {r["chunk_id"] for r in got["overlap_in_batch"].collect()} == {"c", "f"}
     assert {r["chunk_id"] for r in got["duplicates"].collect()} == {"a"}
@@ -94,7 +94,7 @@ def test_insert_chunks(spark):
     assert {r["claimant"] for r in got["overlap_stored"].collect()} == {"a"}
     # a tombstoned, marked or portal-dropped chunk gives its range free; a pending and a live one do not
     for row, hit in (((1, False, 1, 1, None, None, 30), False), ((1, False, 1, 1, 20, None, None), False), ((1, False, 1, 1, 20, 3, None), False), ((1, False, 1, 1, None, None, None), True)):
-        assert lifecycle.insert_chunks(new, stored, meta(spark, (2, True, None, None, None, None, None), row), 8)["overlap_stored"].isEmpty() != hit
+        assert lifecycle.insert_chunks(new, stored, meta(spark, (2, True, None, None, None, None, None), row))["overlap_stored"].isEmpty() != hit
 
 
 def test_movement_counts(spark):
