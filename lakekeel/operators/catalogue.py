@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import hashes as H
 from . import intervals
 
 
@@ -102,8 +103,36 @@ def keyset_page(rows: DataFrame, after_dataset: str, after_id, limit: int, id_co
     return rows.where(beyond).orderBy("dataset", id_col).limit(limit)
 
 
-def shard(rows: DataFrame, shards: int, index: int, *keys: str) -> DataFrame:
-    return rows.where(F.pmod(C.md5_60(F.concat_ws("/", *keys)), F.lit(shards)) == index)
+def shard(rows: DataFrame, shards: int, index: int, *keys: str, counts: str | None = None) -> DataFrame:
+    """The rows of one shard of `shards` by sipHash64 of the keys; with `counts`, a map column, only those whose map is empty."""
+    mine = H.umod(H.siphash64_of(*keys), shards) == index
+    return rows.where(mine if counts is None else (F.size(counts) == 0) & mine)
+
+
+def copy_dataset(chunks: DataFrame, meta: DataFrame, source: str, target: str) -> DataFrame:
+    """Clones of a dataset's live admitted chunks in another one."""
+    live = meta.where(C.live_admitted()).select("chunk_pk")
+    return chunks.where(F.col("dataset") == source).join(live, "chunk_pk", "left_semi").withColumn("dataset", F.lit(target))
+
+
+def replace_dataset(chunks: DataFrame, dataset: str, first_new_pk: int) -> DataFrame:
+    """A correction of the same range for every chunk of a dataset: old_pk, new_pk and the new chunk's columns."""
+    own = chunks.where(F.col("dataset") == dataset).select("dataset", F.col("chunk_pk").alias("old_pk"), "first_block", "last_block", "size")
+    number = F.lit(first_new_pk - 1) + F.col("number")
+    return intervals.numbered(own, "old_pk").select("old_pk", number.cast("bigint").alias("new_pk"), "first_block", "last_block", "size")
+
+
+def extend_datasets(stats: DataFrame, n: int, seed: int) -> DataFrame:
+    """n new chunks after the datasets' heads: datasets drawn in proportion to their chunks, ranges of average span. Drawn by
+    hash, so that every run gives the same. stats as of dataset_stats, a row a dataset."""
+    total = stats.agg(F.sum("chunk_count").alias("total"))
+    upto = F.sum("chunk_count").over(Window.orderBy("dataset"))  # one row per dataset
+    table = F.broadcast(stats.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("chunk_count")))
+    draws = stats.sparkSession.range(n).crossJoin(F.broadcast(total)).withColumn("draw", F.pmod(C.md5_60(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(seed)))), F.col("total")))
+    own = draws.join(table, (F.col("draw") >= F.col("from")) & (F.col("draw") < F.col("upto")))
+    k = F.row_number().over(Window.partitionBy("dataset").orderBy("id"))
+    first = F.col("head_block") + 1 + (k - 1) * F.col("avg_span")
+    return own.select("dataset", first.alias("first_block"), (first + F.col("avg_span") - 1).alias("last_block"), F.col("avg_size").alias("size"))
 
 
 def page_offset(rows: DataFrame, page: int, size: int, *order: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import fleet, lifecycle, movement, placement
+from ..operators import fleet, lifecycle, movement
+from ..operators import rings as ring_tables
 from ..operators.weights import NotEnoughCapacity
 from .state import checkpoint
 
@@ -51,39 +52,26 @@ def housekeeping(state: State, now: int, ticks: int) -> State:
     return replace(state, meta=meta, ideal=ideal, stale=lifecycle.expire_stale(stale, state.portal_log, now, ticks)).saved()
 
 
-def schedule(state: State, room: int, saturation: float, min_r: int, rings: int) -> State:
-    """Place active chunks on active workers and swap in the result. Raises NotEnoughCapacity and leaves the state alone."""
+def schedule(state: State, copies: int, rings: int) -> State:
+    """Active chunks go to the next active workers of their rings, `copies` of each, and the result is swapped in. Raises NotEnoughCapacity if there are fewer workers
+    and leaves the state alone."""
     workers = state.workers.where("inactive_since is null")
+    if workers.count() < copies:
+        raise NotEnoughCapacity(f"fewer than {copies} active workers")
     active = state.chunks.join(state.meta.where(C.active()).select("chunk_pk"), "chunk_pk", "left_semi")
-    made, keys, fleet_, worker_keys, _ = placement.plan_fleet(active, workers, room, saturation, min_r, rings)
-    at_chunk, at_worker = {k: i for i, k in enumerate(keys)}, {k: i for i, k in enumerate(worker_keys)}
-
-    def lists(pairs: DataFrame) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in keys]
-        got = pairs.select("chunk_pk", "worker_pk").toArrow()
-        for c, w in zip(got.column(0).to_pylist(), got.column(1).to_pylist()):
-            if c in at_chunk and w in at_worker:
-                out[at_chunk[c]].append(at_worker[w])
-        return [sorted(set(x)) for x in out]
-
-    ideal = placement.distribute(made, fleet_, [int(room * saturation)] * len(worker_keys), min_r)
-    held = lists(state.ideal.select("chunk_pk", "worker_pk").unionByName(state.stale.select("chunk_pk", "worker_pk")))
-    routed = lists(lifecycle.visible_routing(state.routing, state.meta).select("chunk_pk", F.explode("worker_ids").alias("worker_pk")))
-    seen = {r[0] for r in state.meta.where(C.portal_visible()).select("chunk_pk").toLocalIterator()}
-    views = placement.Views(ideal, held, lists(state.ideal), routed, [k in seen for k in keys])
-    published, evicted = placement.reconcile(made, fleet_, room, views, min_r)
-    after = placement.holders_frame(state.chunks, published, keys, worker_keys)
-    gone = placement.holders_frame(state.chunks, [[w] for _, w in evicted], [keys[x] for x, _ in evicted], worker_keys)
+    keys = ring_tables.with_ring(ring_tables.replica_hashes(active, F.lit(1)), rings).withColumns({"minimum": F.lit(None).cast("string"), "copies": F.lit(copies)})
+    found = ring_tables.successors(keys, ring_tables.build_rings(workers, rings), workers, copies)
+    after = checkpoint(found.select("chunk_pk", F.explode("worker_ids").alias("worker_pk")))
     number = state.published + 1
-    new = lifecycle.apply_deltas(state.ideal, after, state.stale, gone, state.workers, state.meta, number)
+    new = lifecycle.apply_deltas(state.ideal, after, state.stale, after.limit(0), state.workers, state.meta, number)
     return replace(state, ideal=new["ideal"], stale=new["stale"], meta=new["meta"], difflog=state.difflog.unionByName(new["difflog"]), published=number).saved()
 
 
-def scheduling_cycle(state: State, now: int, ticks: int, room: int, saturation: float, min_r: int, rings: int) -> tuple[State, str | None]:
+def scheduling_cycle(state: State, now: int, ticks: int, copies: int, rings: int) -> tuple[State, str | None]:
     """The new state and, if the fleet is too small, why nothing was placed."""
     kept = housekeeping(state, now, ticks)
     try:
-        return schedule(kept, room, saturation, min_r, rings), None
+        return schedule(kept, copies, rings), None
     except NotEnoughCapacity as e:
         return kept, str(e)
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import catalogue, fleet, intervals, invariants, lifecycle, movement, placement, rings, schema_registry, simulate, weights
+from ..functions import hashes as H
+from ..operators import catalogue, fleet, intervals, invariants, lifecycle, movement, rings, schema_registry, weights
 from ..sources import artifacts
 from ..sources.fixtures import Fixtures, oracle
 
@@ -141,9 +142,60 @@ def catalog_keyset_page(fx):
     return catalogue.keyset_page(fx.chunks, "s3://ds-3", 500000, 1000, "first_block").select("dataset", "first_block", "chunk_pk")
 
 
-@query("select chunk_pk from chunks where ('0x' || substr(md5(concat(dataset, '/', cast(chunk_pk as varchar))), 1, 15))::bigint % 8 = 3")
+# 64-bit hashes in SQL, over hexadecimal digits: numbers modulo 2^64 as 128-bit ones, a list of steps folded into the state
+_M = "18446744073709551616::hugeint"
+
+
+def _blocks_sql(h: str) -> str:
+    return f"list_transform(range(0, (length({h}) + 15) // 16), lambda i: list_sum(list_transform(range(8), lambda j: cast('0x' || substr(rpad(substr({h}, i * 16 + 1, 16), 16, '0'), 2 * j + 1, 2) as hugeint) * ([1, 256, 65536, 16777216, 4294967296, 1099511627776, 281474976710656, 72057594037927936]::hugeint[])[j + 1])))"
+
+
+def _steps_sql(*steps: tuple[int, str]) -> str:
+    return "[" + ", ".join(f"[{op}, {m}, 0, 0, 0]::hugeint[]" for op, m in steps) + "]"
+
+
+def _sea_sql(h: str) -> str:
+    mul = lambda x: f"(({x}) * {H.MULTIPLIER}) % {_M}"
+    end = _steps_sql((3, f"(length({h}) // 2)"), (1, "0"), (4, "0"))
+    step = f"""case o[1] when 0 then [s[1], s[2], s[3], s[4], {mul('xor(s[1], o[2])')}] when 1 then [s[1], s[2], s[3], s[4], xor(s[5], (s[5] // 4294967296) // (1::hugeint << cast(s[5] // 1152921504606846976 as int)))]
+ when 2 then [s[2], s[3], s[4], {mul('s[5]')}, s[5]] when 3 then [s[1], s[2], s[3], s[4], {mul('xor(xor(xor(xor(s[1], s[2]), s[3]), s[4]), o[2])')}] else [s[1], s[2], s[3], s[4], {mul('s[5]')}] end"""
+    start = ", ".join(f"{v}" for v in (*H.SEA, 0))
+    return f"list_reduce(list_concat([[{start}]::hugeint[]], flatten(list_transform({_blocks_sql(h)}, lambda m: {_steps_sql((0, 'm'), (1, '0'), (2, '0'))})), {end}), lambda s, o: {step})[5]"
+
+
+def _sip_sql(h: str) -> str:
+    rot = lambda x, n: f"((({x}) * {1 << n}) % {_M} + ({x}) // {1 << (64 - n)})"
+    a, c, d, e = f"((s[1] + s[2]) % {_M})", f"((s[3] + s[4]) % {_M})", f"((s[1] + s[4]) % {_M})", f"((s[3] + s[2]) % {_M})"
+    step = f"""case o[1] when 0 then [s[1], s[2], s[3], xor(s[4], o[2]), 0] when 1 then [{rot(a, 32)}, xor({rot('s[2]', 13)}, {a}), {c}, xor({rot('s[4]', 16)}, {c}), 0]
+ when 2 then [{d}, xor({rot('s[2]', 17)}, {e}), {rot(e, 32)}, xor({rot('s[4]', 21)}, {d}), 0] when 3 then [xor(s[1], o[2]), s[2], s[3], s[4], 0] else [s[1], s[2], xor(s[3], o[2]), s[4], 0] end"""
+    turn = [(1, "0"), (2, "0")]
+    n = f"(length({h}) // 2)"
+    last = f"(case when {n} % 8 > 0 then {_blocks_sql(h)}[-1] else 0 end + ({n} % 256)::hugeint * 72057594037927936)"
+    blocks = f"list_concat({_blocks_sql(h)}[1:({n} // 8)], [{last}])"
+    start = ", ".join(str(v) for v in (*H.SIP, 0))
+    out = f"list_reduce(list_concat([[{start}]::hugeint[]], flatten(list_transform({blocks}, lambda m: {_steps_sql((0, 'm'), *turn, *turn, (3, 'm'))})), {_steps_sql((4, '255'), *turn * 4)}), lambda s, o: {step})"
+    return f"list_reduce({out}, lambda x, y: xor(x, y))"
+
+
+_LITTLE = "array_to_string(list_reverse(list_transform(range(8), lambda j: substr({0}, 2 * j + 1, 2))), '')"
+_SHARD = f"""a as (select chunk_pk, hex(encode(dataset)) as ha, hex(encode('c-' || chunk_pk)) as hb from chunks where chunk_pk % 3 = 0),
+b as (select chunk_pk, lpad(printf('%X', cast({_sip_sql('ha')} as ubigint)), 16, '0') as xa, lpad(printf('%X', cast({_sip_sql('hb')} as ubigint)), 16, '0') as xb from a),
+c as (select chunk_pk, {_LITTLE.format('xa')} || {_LITTLE.format('xb')} as hc from b)"""
+
+
+@query(f"with {_SHARD} select chunk_pk from c where {_sip_sql('hc')} % 8 = 3")
 def catalog_shard(fx):
-    return catalogue.shard(fx.chunks, 8, 3, "dataset", "chunk_pk").select("chunk_pk")
+    """One shard of the chunks without row counts."""
+    counts = F.when(F.col("chunk_pk") % 3 == 0, F.create_map().cast("map<string,bigint>")).otherwise(F.create_map(F.lit("blocks"), F.col("size")))
+    own = fx.chunks.select("chunk_pk", "dataset", F.concat(F.lit("c-"), F.col("chunk_pk").cast("string")).alias("id"), counts.alias("row_counts"))
+    return catalogue.shard(own, 8, 3, "dataset", "id", counts="row_counts").select("chunk_pk")
+
+
+@query(f"select chunk_pk, cast({_sea_sql('h')} as varchar) as seahash, cast({_sip_sql('h')} as varchar) as siphash from (select chunk_pk, hex(encode(repeat(dataset, 1 + chunk_pk % 3) || chunk_pk)) as h from chunks)")
+def hash_values(fx):
+    """Both hashes, unsigned, of texts of several lengths."""
+    text = F.concat(F.expr("repeat(dataset, cast(1 + chunk_pk % 3 as int))"), F.col("chunk_pk").cast("string"))
+    return fx.chunks.select("chunk_pk", H.udecimal(H.seahash(text)).cast("string").alias("seahash"), H.udecimal(H.siphash64(text)).cast("string").alias("siphash"))
 
 
 @query("select chunk_pk from chunks order by chunk_pk limit 500 offset 1000")
@@ -307,10 +359,14 @@ def repl_gauge(fx):
 
 # ---- rings
 
-_RING = f"""
-entry as (select ring, worker_pk, ('0x' || substr(md5(concat(peer_id, ':', cast(ring as varchar))), 1, 15))::bigint as h from workers, range({N_RINGS}) r(ring)),
-rep as (select chunk_pk, tag, ('0x' || substr(md5(concat(dataset, '/', cast(chunk_pk as varchar), ':', cast(tag as varchar))), 1, 15))::bigint as h from chunks, range(2) t(tag)),
-rr as (select *, h % {N_RINGS} as ring from rep),
+_U16 = "printf('%02X%02X', {0} % 256, {0} // 256)"
+_ORDERED = "cast({0} - 9223372036854775808 as bigint)"
+_ENTRY = f"""entry0 as (select ring, worker_pk, version, hex(encode(peer_id || ':')) || {_U16.format('ring')} as x from workers, range({N_RINGS}) r(ring)),
+entry as (select ring, worker_pk, version, {_ORDERED.format(_sea_sql('x'))} as h from entry0)"""
+_RING = f"""{_ENTRY},
+rep0 as (select chunk_pk, tag, hex(encode(concat(dataset, '/', cast(chunk_pk as varchar), ':'))) || {_U16.format('tag')} as x from chunks, range(2) t(tag)),
+rep as (select chunk_pk, tag, {_sea_sql('x')} as u from rep0),
+rr as (select chunk_pk, tag, {_ORDERED.format('u')} as h, cast(u % {N_RINGS} as int) as ring from rep),
 home as (select chunk_pk, tag, rr.ring, coalesce(arg_min(worker_pk, struct_pack(e := e.h, w := worker_pk)) filter (e.h >= rr.h), arg_min(worker_pk, struct_pack(e := e.h, w := worker_pk))) as worker_pk from rr join entry e on e.ring = rr.ring group by chunk_pk, tag, rr.ring, rr.h)"""
 
 
@@ -335,6 +391,21 @@ def ring_build(fx):
     return rings.build_rings(fx.workers, N_RINGS).select("ring", "worker_pk", "hash", "pos")
 
 
+_MINIMUM = "case weight when 12 then '2.10.0' when 6 then '2.13.0' when 2 then '9.0.0' end"
+
+
+@query(f"""with {_RING}, asked as (select chunk_pk, h, ring, {_MINIMUM} as minimum, 1 + chunk_pk % 3 as copies from rr join chunks using (chunk_pk) where tag = 0),
+found as (select a.chunk_pk, a.copies, worker_pk, row_number() over (partition by a.chunk_pk order by e.h < a.h, e.h, worker_pk) as n from asked a join entry e on e.ring = a.ring
+ where a.minimum is null or coalesce(({_sqlver('e.version')}) >= ({_sqlver('a.minimum')}), false))
+select chunk_pk, coalesce((select list(worker_pk order by n) from found f where f.chunk_pk = a.chunk_pk and n <= f.copies), []) as worker_ids from asked a""")
+def ring_successors(fx):
+    """The next one to three workers of a chunk's ring that its minimum version admits; no worker has the version that weight 2 asks for."""
+    keys = rings.with_ring(rings.replica_hashes(fx.chunks, F.lit(1), "chunk_pk"), N_RINGS).join(fx.chunks.select("chunk_pk", "weight"), "chunk_pk")
+    minimum = F.when(F.col("weight") == 12, "2.10.0").when(F.col("weight") == 6, "2.13.0").when(F.col("weight") == 2, "9.0.0")
+    asked = keys.select("chunk_pk", "hash", "ring", minimum.alias("minimum"), (1 + F.col("chunk_pk") % 3).alias("copies"))
+    return rings.successors(asked, rings.build_rings(fx.workers, N_RINGS), fx.workers, 3).select("chunk_pk", "worker_ids")
+
+
 # ---- placements
 
 
@@ -765,40 +836,17 @@ def inv_floors_before_bonus(fx):
     return invariants.bonus_over_floor(*_short_state(fx))
 
 
-# ---- simulation
-
-_STEPS = 40
-
-
-@query(
-    f"""with s as (select step from range(1, {_STEPS} + 1) t(step)) select 'constant' as shape, step, cast(7 as bigint) as count from s
-union all select 'ramp', step, cast(round(10 + 90 * ((step - 1) / {_STEPS - 1}.0)) as bigint) from s
-union all select 'triangle', step, cast(case when step <= 15 then round(500 * ((step - 1) / 14.0)) else round(500 - 500 * ((step - 15) / {_STEPS - 15}.0)) end as bigint) from s
-union all select 'gaussian', step, cast(round(1000 * exp(-power(step - 20, 2) / (2 * 5.0 * 5.0))) as bigint) from s
-union all select 'pulse', step, cast(case when step >= 20 and step < 23 then 900 else 3 end as bigint) from s
-union all select 'bursts', step, cast(case when step <= 30 and step % 5 = 0 then 10000 else 1 end as bigint) from s"""
-)
-def sim_rates(fx):
-    specs = ["constant:n=7", "ramp:from=10,to=100", "triangle:peak=500,center=15", "gaussian:peak=1000,sigma=5", "pulse:size=900,base=3,width=3", "bursts:base=1,until=30"]
-    return simulate.rates(fx._spark, specs, _STEPS)
-
-
-@query(
-    f"""with s as (select step from range(1, {_STEPS} + 1) t(step)), f as (select step, cast(case when step >= 30 then 0.4 when step >= 20 then 0.75 when step >= 5 then 0.25 else 0 end as double) as fraction from s)
-select step, fraction, cast(max(least(97, round(fraction * 97))) over (order by step) as bigint) as upgraded from f"""
-)
-def sim_upgrade(fx):
-    return simulate.upgrades(fx._spark, "1:0,5:0.25,20:0.75,30:0.4", _STEPS, 97)
+# ---- new datasets from old ones
 
 
 @query(f"with {_LIVE} select first_block, last_block, 's3://copy' as dataset from live where dataset = 's3://ds-3'")
 def sim_copy_dataset(fx):
-    return simulate.copy_dataset(fx.chunks, fx.meta, "s3://ds-3", "s3://copy").select("first_block", "last_block", "dataset")
+    return catalogue.copy_dataset(fx.chunks, fx.meta, "s3://ds-3", "s3://copy").select("first_block", "last_block", "dataset")
 
 
 @query("select chunk_pk as old_pk, 20000 + row_number() over (order by first_block) - 1 as new_pk, first_block, last_block from chunks where dataset = 's3://ds-3'")
 def sim_replace_dataset(fx):
-    return simulate.replace_dataset(fx.chunks, "s3://ds-3", 20000).select("old_pk", "new_pk", "first_block", "last_block")
+    return catalogue.replace_dataset(fx.chunks, "s3://ds-3", 20000).select("old_pk", "new_pk", "first_block", "last_block")
 
 
 @query(
@@ -809,7 +857,7 @@ own as (select t.*, id, row_number() over (partition by dataset order by id) as
 select dataset, cast(head_block + 1 + (k - 1) * avg_span as bigint) as first_block, cast(head_block + k * avg_span as bigint) as last_block, avg_size as size from own"""
 )
 def sim_generate(fx):
-    return simulate.generate_chunks(catalogue.dataset_stats(fx.chunks), 500, 7)
+    return catalogue.extend_datasets(catalogue.dataset_stats(fx.chunks), 500, 7)
 
 
 # ---- further operators of the catalogue, the ingest and the cycle
@@ -965,37 +1013,7 @@ def reg_schemas_by_id(fx):
     return schema_registry.schemas_by_id(wanted.join(fx.schemas.select("schema_id"), "schema_id", "left_semi"), fx.schemas.withColumnRenamed("table_name", "hash").select("schema_id", "dataset", "hash"))
 
 
-# ---- kernels: sequential, so rows only; their invariants are tested
-
-
-def _kernel_input(fx, copies: int = 6):
-    chunks = fx.chunks.withColumn("chunk_id", F.lpad(F.col("first_block").cast("string"), 10, "0"))
-    room = fx.chunks.agg(F.sum("size")).first()[0] * copies // fx.workers.count()
-    return placement.plan_fleet(chunks, fx.workers, room, 0.95, MIN_R, N_RINGS), room
-
-
-@query()
-def place_distribute(fx):
-    (chunks, keys, fleet_, worker_keys, _), room = _kernel_input(fx)
-    return placement.holders_frame(fx.chunks, placement.distribute(chunks, fleet_, [room] * len(worker_keys), MIN_R), keys, worker_keys)
-
-
-@query()
-def place_two_pass(fx):
-    (chunks, keys, fleet_, worker_keys, _), room = _kernel_input(fx)
-    reliable = [k % 10 != 0 for k in worker_keys]
-    return placement.holders_frame(fx.chunks, placement.two_pass(chunks, fleet_, reliable, [room] * len(worker_keys), MIN_R), keys, worker_keys)
-
-
-@query()
-def place_multistep(fx):
-    """A second cycle after a tenth of the ideal holders have moved."""
-    (chunks, keys, fleet_, worker_keys, _), room = _kernel_input(fx)
-    ideal = placement.distribute(chunks, fleet_, [room] * len(worker_keys), MIN_R)
-    held = [sorted({(w + (1 if i % 10 == 0 else 0)) % len(worker_keys) for w in own}) for i, own in enumerate(ideal)]
-    views = placement.Views(ideal, held, held, held, [i % 3 != 0 for i in range(len(held))])
-    published, _ = placement.reconcile(chunks, fleet_, int(room * 1.2), views, MIN_R)
-    return placement.holders_frame(fx.chunks, published, keys, worker_keys)
+# ---- streams
 
 
 @query(f"with {_LATEST} select worker_id, version, stored_bytes, ts, event_id from l")
@@ -1014,22 +1032,3 @@ def stream_latest(fx):
     q = latest.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("worker_id", "version", "stored_bytes", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
-
-
-@query("select 'overcommitted' as broken, cast(0 as bigint) as n union all select 'short', 0 union all select 'twice', 0")
-def place_two_pass_invariants(fx):
-    """The second kernel's own output: no worker beyond its room, no chunk below the least replication, no copy twice."""
-    (chunks, keys, fleet_, worker_keys, _), room = _kernel_input(fx)
-    reliable = [k % 10 != 0 for k in worker_keys]
-    pairs = _cut(placement.holders_frame(fx.chunks, placement.two_pass(chunks, fleet_, reliable, [room] * len(worker_keys), MIN_R), keys, worker_keys))
-    none = pairs.limit(0)
-    over = invariants.overcommitted(pairs, none, fx.chunks, fx._spark.range(1).select(F.lit(room).cast("bigint").alias("capacity")))
-    short = fx.chunks.join(pairs.groupBy("chunk_pk").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_R), "chunk_pk", "left_anti")
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("broken"), "n") for name, df in (("overcommitted", over), ("short", short), ("twice", invariants.duplicate_replicas(pairs)))]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    from .state import checkpoint
-
-    return checkpoint(df)

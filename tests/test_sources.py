@@ -1,41 +1,12 @@
-"""Configuration, artifacts, schemas, simulated rates."""
+"""Tables that are published, schemas, listings, rings."""
 
-import datetime as dt
-import gzip
 import json
+import random
 
 import pytest
 
-from lakekeel.operators import catalogue, schema_registry, simulate
-from lakekeel.sources import artifacts, config
-
-CONFIG = {
-    "network": "main", "worker_storage_bytes": 100, "min_replication": 2,
-    "datasets": {"a": [{"from": 0, "weight": 1}, {"from": 100, "weight": 6, "minimum_worker_version": "2.0.0"}, {"from": -50, "weight": 9}]},
-}
-
-
-def test_config(spark):
-    got = config.load_config(json.dumps(CONFIG))
-    rows = config.segments_frame(spark, got).orderBy("position").collect()
-    assert [(r["dataset"], r["seg_from"], r["weight"]) for r in rows] == [("s3://a", 0, 1), ("s3://a", 100, 6), ("s3://a", -50, 9)]
-    bad = json.loads(json.dumps(CONFIG))
-    bad["datasets"]["a"][1]["from"] = 0
-    with pytest.raises(ValueError):
-        config.load_config(json.dumps(bad))
-
-
-def test_state(spark):
-    text = json.dumps({"workers": [{"peer_id": "p", "status": "online"}], "known_chunks": {"b": [{"id": "0/1-2-x", "size": 5, "files": ["a", "b"], "summary": {"lastBlockHash": "h", "lastBlockTimestamp": 3}}]}})
-    workers, chunks = config.load_state(spark, text)
-    assert workers.count() == 1 and chunks.first()["dataset"] == "s3://b" and chunks.first()["files"] == "a,b"
-
-
-def test_artifact():
-    name, key, packed = artifacts.artifact(b"x" * 100, "main", dt.datetime(2024, 5, 6, 7, 8, 9), "worker")
-    assert gzip.decompress(packed) == b"x" * 100
-    assert name.startswith("2024-05-06T07:08:09_") and key == f"assignments/main/worker/{name}.fb.gz"
-    assert json.loads(artifacts.network_state("main", "i", "u", 5))["assignment"] == {"id": "i", "url": "u"}
+from lakekeel.operators import catalogue, schema_registry
+from lakekeel.sources import artifacts
 
 
 def test_metrics_text(spark):
@@ -70,19 +41,6 @@ def test_read_pointer(spark):
     assert back.where("dataset = 'd' and current").collect()[0]["hash"] == "h1" and back.count() == 3
 
 
-def test_rates(spark):
-    counts = lambda spec, n: [r["count"] for r in simulate.rates(spark, [spec], n).orderBy("step").collect()]
-    assert counts("points:2=0,4=10,6=0", 7) == [0, 0, 5, 10, 5, 0, 0]
-    assert counts("triangle:peak=4", 5) == [0, 2, 4, 2, 0]
-    assert counts("pulse:size=9,base=1", 4) == [1, 9, 1, 1]
-    for bad in ("nothing", "gaussian:sigma=0", "pulse:width=0", "ramp:up=3"):
-        with pytest.raises(ValueError):
-            simulate.parse_rate(bad)
-    for bad in ("5:0.2,3:0.4", "1:1.5"):
-        with pytest.raises(ValueError):
-            simulate.parse_upgrades(bad)
-
-
 def test_discovery(spark):
     rows = [("d/1", "blocks.parquet", 5), ("d/1", "logs.parquet", 1), ("d/2", "logs.parquet", 1), ("d/3", "blocks.parquet", 1), ("d/4", "logs.parquet", 1)]
     objects = spark.createDataFrame([("d", *r) for r in rows], "dataset string, prefix string, file_name string, size bigint")
@@ -102,6 +60,24 @@ def test_rings_are_kept_until_the_workers_change(spark, tmp_path):
     assert len(list(tmp_path.glob("rings-5-*"))) == 2
 
 
+def test_ring_successors_equal_a_nested_search(spark):
+    from lakekeel.operators import rings
+
+    rng = random.Random(3)
+    versions = {w: rng.choice(["1.0.0", "2.0.0", "2.1.0-rc1", None]) for w in range(9)}
+    workers = spark.createDataFrame([(w, f"p{w}", v) for w, v in versions.items()], "worker_pk bigint, peer_id string, version string")
+    table = rings.build_rings(workers, 4)
+    keys = [(i, rng.randrange(-(2**63), 2**63), rng.randrange(4), rng.choice([None, "2.0.0", "2.1.0-rc1", "9.0.0"]), rng.randint(1, 3)) for i in range(300)]
+    keys += [(300 + r["worker_pk"], r["hash"], 0, None, 3) for r in table.where("ring = 0").collect()]  # right at an entry
+    asked = spark.createDataFrame(keys, "chunk_pk bigint, hash bigint, ring int, minimum string, copies int").repartition(3)
+    got = {r["chunk_pk"]: r["worker_ids"] for r in rings.successors(asked, table, workers, 3).collect()}
+    entries = [(r["ring"], r["hash"], r["worker_pk"]) for r in table.collect()]
+    able = {None: set(range(9)), "2.0.0": {w for w, v in versions.items() if v and v >= "2.0.0"}, "2.1.0-rc1": {w for w, v in versions.items() if v == "2.1.0-rc1"}, "9.0.0": set()}
+    for pk, h, ring, minimum, copies in keys:
+        walk = sorted((x < h, x, w) for r, x, w in entries if r == ring and w in able[minimum])
+        assert got[pk] == [w for *_, w in walk[:copies]], pk
+
+
 def test_bundle_of_published_schemas(spark, tmp_path):
     schemas = spark.createDataFrame([(1, "d", "h1"), (2, "d", "h2"), (3, "e", "h3")], "schema_id int, dataset string, hash string")
     read = spark.createDataFrame([(7, "d", "r7", True), (6, "d", "r6", False), (8, "f", "r8", True)], "schema_id int, dataset string, hash string, current boolean")
