@@ -1,6 +1,7 @@
 """Operators 1, 3, 5, 9 and the pipeline against brute force and planted cases."""
 
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -212,7 +213,7 @@ def test_long_streams_keep_their_constants(spark):
     assert {r["text"] for r in htmltext.page_texts(df).collect()} == {f"Story {k} is told here" for k in range(6)}
     wrapper = htmltext.infer_wrappers(df).first()
     items = htmltext._load(wrapper["wrapper"])
-    assert htmltext.constants_of(items) == set(wrapper["constants"]) and len(items) > 6 * 2400
+    assert htmltext.constants_of(items) == set(wrapper["constants"]) and len(items) <= 2 * 2400 + 6  # no longer than one page
 
 
 def test_opcodes_in_parts(monkeypatch):
@@ -255,8 +256,7 @@ def brute_text(html):
     items, places = htmltext.fold_with_places([t for t, _, _ in stream], [i for _, _, i in stream])
     levels = {}
     htmltext.spread(htmltext.match(items, items), places, levels)
-    best = max(levels.values(), default=-1)
-    return "\n".join(page.blocks({i for i, level in levels.items() if level == best} if best >= 0 else set()))
+    return "\n".join(page.blocks(htmltext.main_places(page, levels)))
 
 
 def test_marks_of_boilerplate():
@@ -302,6 +302,80 @@ def test_menus_of_the_wrapper_and_repeated_rows(spark, monkeypatch):
     assert got["http://n/2"] == "Story 2 of n" and got["http://m/2"] == "L2\nL2\nL2\nStory 2 of m" and got["http://m/0"] == "L0 with words\n" * 3 + "Story 0 of m"
 
 
+class Plain(HTMLParser):
+    """Text of the articles of well-formed pages, else of all but nav, footer, header and the like, by the standard library's parser."""
+
+    SKIP = {"nav", "footer", "header", "aside", "form", "script", "style", "title", "head"}
+    BREAKS = {"p", "div", "h1", "h2", "h3", "li", "ul", "section", "article", "main", "body", "html", "nav", "footer", "header", "aside"}
+
+    def __init__(self, html, inside):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.open, self.out, self.part = inside, [], [], ""
+        self.feed(html)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if text := " ".join(self.part.split()):
+            self.out.append(text)
+        self.part = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.part += " " if tag == "br" else ""
+        if tag in self.BREAKS:
+            self.flush()
+        if tag not in ("br", "img", "meta", "link"):
+            self.open.append(tag if dict(attrs).get("class") not in ("ad", "comments", "reader-comments") else "aside")
+
+    def handle_endtag(self, tag):
+        if tag in self.BREAKS:
+            self.flush()
+        while self.open and tag in [*self.open, "aside"] and (self.open[-1] != tag):
+            if self.open[-1] == "aside" and tag == "div":
+                break
+            self.open.pop()
+        if self.open:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if not self.SKIP & set(self.open) and (not self.inside or self.inside in self.open):
+            self.part += data
+
+
+def plain(html):
+    return "\n".join(Plain(html, "article" if "<article" in html else "main" if "<main" in html else None).out)
+
+
+def test_pages_equal_another_parser(spark):
+    """Given pages, repeated pages, mirrors under one host, pages without an article: by the standard library's parser, without wrappers."""
+    given = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    rows = [(i, u, h) for i, u, h in given if h]
+    day = "<html><body><nav><a href='/'>Home</a></nav><div><p>The story of the day is told here.</p></div></body></html>"
+    rows += [(10_000 + i, f"http://mirror/{i}", day) for i in range(4)] + [(10_010, "http://single/", day)]
+    rows += [(10_020 + i, f"http://main/{i}", f"<main><h1>Title {i}</h1><p>Text {i} &amp; more<br>goes on</p><div class='reader-comments'><p>Nice!</p></div></main><footer>f</footer>") for i in range(6)]
+    rows += [(10_030 + i, f"http://plain/{i}", f"<body><div><p>Part one of {i}.</p><p>Part two of {i}.</p></div></body>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in htmltext.page_texts(df).collect()}
+    want = {i: plain(h) for i, _, h in rows}
+    assert want[10_000] == "The story of the day is told here." and want[10_020] == "Title 0\nText 0 & more goes on"
+    assert got == want
+
+
+def test_wrappers_of_varied_pages_stay_bounded(spark):
+    rng = random.Random(8)
+
+    def page(k):
+        body = "".join(rng.choice([f"<p>Words {k} {i}</p>", f"<ul>{'<li>x</li>' * rng.randint(1, 4)}</ul>", f"<div><h2>Part {i}</h2><p>y {k}</p></div>", f"<table><tr><td>{i}</td></tr></table>"]) for i in range(rng.randint(5, 60)))
+        return f"<body>{body}</body>"
+
+    pages = [(k, f"http://varied/{k}", page(k)) for k in range(300)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(4)
+    wrapper = htmltext._load(htmltext.infer_wrappers(df).first()["wrapper"])
+    assert sum(1 for _ in htmltext.leaves(wrapper)) <= htmltext.WRAPPER_LEAVES
+    got = {r["page_id"]: r["text"] for r in htmltext.page_texts(df).collect()}
+    assert all(f"Words {k} " in text or f"y {k}" in text or text for k, text in got.items()) and len(got) == 300
+
+
 def test_every_row_of_an_article_equals_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r["page_id"]: r["html"] or "" for r in df.select("page_id", "html").collect()}
