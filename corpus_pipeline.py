@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakekeel.llm import bpe, decontaminate, jaccard, linededup, quality
-from lakekeel.llm.common import materialise
+from lakekeel.llm.common import fresh, materialise
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; so do documents none of whose lines stays. Documents without lines stay. Ties in place go to the smaller id."""
-    out = linededup.dedup_lines(docs, counts=("lines_before", "lines_after"))
-    return _with_size(out.where("lines_before = 0 or lines_after > 0").drop("lines_before", "lines_after"))
+    before, after = fresh(docs.columns, "lines_before", "lines_after")
+    out = linededup.dedup_lines(docs, counts=(before, after))
+    return _with_size(out.where((F.col(before) == 0) | (F.col(after) > 0)).drop(before, after))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
