@@ -12,13 +12,17 @@ equal or smaller length (positions that leave too many edits on one side are lef
 only one line has are dropped at once; of the lines that are left, pairs that meet and have similar letter counts are verified by banded bit-parallel edit distance: the band of 2 * EDITS + 1 diagonals is one
 integer, advanced by a code point a step.
 
+Keys that more than HOT_KEY lines share would make pairs of all these. Pairs that meet only there are sought among these lines alone by FINE segments in place of
+EDITS + 1: at most EDITS of them are touched, so of any EDITS + 1 segments of a line at least one is whole in its copy. Each line gives only its EDITS + 1 rarest
+segments to the index, which leaves out a beginning that all lines share, and probes with all it has. Nothing is lost by this; pairs are those of lines that share a rare part.
+
 All of it is DataFrame operations; no Python runs on the data. Of the most frequent lines (a list of bounded
 size) only the first place enters the edit join, so copies do not multiply there. Lines that share a segment but differ in
 the counts of letters or digits by more than the edits can change never become pairs.
 
 Defined cases: null text stays null (no lines); a null id takes no part and keeps all its lines; rows with the same
 id count as one document for order, and a line that stays does so in each of them; any length; an empty table gives an empty result;
-further columns pass through. Equality of lines is that of 64-bit hashes.
+further columns pass through, whatever their names (counts get other names if theirs are taken). Equality of lines is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,13 +40,15 @@ MIN_CHARS = 20
 FREQUENT_LINES = 1 << 16
 #: Shared keys whose line ids may be broadcast for verification; those of more are joined by shuffling.
 BROADCAST_IDS = 1 << 21
+#: Entries of a key beyond which its lines are compared by their rarest of FINE segments.
+HOT_KEY, FINE = 200, 12
 #: Characters whose counts filter candidates; digits keep numbered lines that share their segments apart.
 LETTERS = "etaoinsrhldcumpg0123456789"
 
 
-def cut(length: Column | int, i: int, edits: int) -> Column:
-    """Where segment i of a line of that length begins."""
-    return F.floor(length * F.lit(i) / F.lit(edits + 1)).cast("int")
+def cut(length: Column | int, i: int, parts: int) -> Column:
+    """Where segment i of `parts` of a line of that length begins."""
+    return F.floor(length * F.lit(i) / F.lit(parts)).cast("int")
 
 
 def segment_key(length: Column, i: int, start: Column, past: Column, text: Column) -> Column:
@@ -52,16 +58,52 @@ def segment_key(length: Column, i: int, start: Column, past: Column, text: Colum
 def segment_keys(text: Column, n: Column, edits: int) -> Column:
     """Structs (key, shorter): the line's own segments (shorter = -1, for the index), then the substrings that can be a
     segment of a line shorter by `shorter`."""
-    out = [F.struct(segment_key(n, i, cut(n, i, edits), cut(n, i + 1, edits), text).alias("key"), F.lit(-1).alias("shorter")) for i in range(edits + 1)]
+    out = [F.struct(segment_key(n, i, cut(n, i, edits + 1), cut(n, i + 1, edits + 1), text).alias("key"), F.lit(-1).alias("shorter")) for i in range(edits + 1)]
     for shorter in range(edits + 1):
         m = n - F.lit(shorter)
         for i in range(edits + 1):
-            start, past = cut(m, i, edits), cut(m, i + 1, edits)
+            start, past = cut(m, i, edits + 1), cut(m, i + 1, edits + 1)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
                 out.append(F.struct(segment_key(m, i, start + shift, past + shift, text).alias("key"), F.lit(shorter).alias("shorter")))
     return F.array(*out)
 
 
+def fine_keys(text: Column, n: Column, edits: int, fine: int) -> tuple[Column, Column]:
+    """The line's own keys by `fine` segments, and structs (key, shorter) of the substrings that can be such segments of a line shorter by
+    `shorter`: those moved by a shift need |shift| edits before and |shorter - shift| after them."""
+    own = [segment_key(n, i, cut(n, i, fine), cut(n, i + 1, fine), text) for i in range(fine)]
+    out = []
+    for shorter in range(edits + 1):
+        m = n - F.lit(shorter)
+        for i in range(fine):
+            start, past = cut(m, i, fine), cut(m, i + 1, fine)
+            for shift in range(-edits, edits + 1):
+                if abs(shift) + abs(shorter - shift) <= edits:
+                    inside = (start + shift >= 0) & (past + shift <= n) & (past > start)
+                    out.append(F.struct(F.when(inside, segment_key(m, i, start + shift, past + shift, text)).alias("key"), F.lit(shorter).alias("shorter")))
+    return F.array(*own), F.filter(F.array(*out), lambda p: p["key"].isNotNull())
+
+
+def meet(probe: DataFrame, index: DataFrame, edits: int) -> DataFrame:
+    """Pairs (a, b) of different lines that meet in a key and have similar letter counts. probe (key, a, letters_a, shorter), index (key, b, letters_b)."""
+    apart = (F.col("a") != F.col("b")) & ((F.col("shorter") > 0) | (F.col("a") < F.col("b")))
+    return probe.join(index, (probe["key"] == index["key"]) & apart & near_counts("letters_a", "letters_b", edits)).select("a", "b")
+
+
+def meet_in_rare_segments(lines: DataFrame, edits: int, fine: int) -> DataFrame:
+    """Pairs of lines (id, line, letters) that share one of the rarest segments of the shorter one."""
+    n = F.length("line")
+    own, probes = fine_keys(F.col("line"), n, edits, fine)
+    keys = materialise(lines.select("id", F.explode(F.array_distinct(own)).alias("key")))
+    counted = keys.join(keys.groupBy("key").agg(F.count("*").alias("n")), "key")
+    # equal segments have different keys in different places, so a line has `fine` of them unless some are empty
+    rarest = counted.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "key"))), 1, edits + 1).alias("rare"))
+    letters = lines.select("id", "letters")
+    index = rarest.select("id", F.explode("rare.key").alias("key")).join(letters, "id").select("key", F.col("id").alias("b"), F.col("letters").alias("letters_b"))
+    probe = lines.select("id", F.explode(probes).alias("p"), "letters").select("p.key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), "p.shorter")
+    return meet(probe, index, edits)
+
+
 def letter_counts(text: Column, n: Column) -> Column:
     """Counts of some letters."""
     return F.array(*[n - F.length(F.replace(text, F.lit(letter), F.lit(""))) for letter in LETTERS])
@@ -151,20 +193,22 @@ def dedup_lines(
     entries = single.select("id", F.explode(segment_keys(F.col("line"), F.col("n"), edits)).alias("p")).select("id", "p.key", "p.shorter")
     # keys that an index entry shares with another line: few, so all that follows is small
     w = Window.partitionBy("key")
-    seen = entries.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("least", F.min("shorter").over(w))
-    shared = materialise(seen.where("low <> high and least < 0").select("key", "id", "shorter"))
+    seen = entries.withColumn("low", F.min("id").over(w)).withColumn("high", F.max("id").over(w)).withColumn("least", F.min("shorter").over(w)).withColumn("size", F.count("*").over(w))
+    shared = materialise(seen.where("low <> high and least < 0").select("key", "id", "shorter", (F.col("size") > HOT_KEY).alias("hot")))
 
     wanted = shared.select("id").distinct()
     if shared.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = materialise(lines.join(wanted, "id").groupBy("id").agg(F.first("line").alias("line")))
     letters = materialise(texts.select("id", letter_counts(F.col("line"), F.length("line")).alias("letters")))
-    own = shared.dropDuplicates(["key", "id", "shorter"]).join(letters, "id")
+    own = shared.where("not hot").select("key", "id", "shorter").dropDuplicates(["key", "id", "shorter"]).join(letters, "id")
     index = own.where("shorter < 0").select("key", F.col("id").alias("b"), F.col("letters").alias("letters_b"))
     probe = own.where("shorter >= 0").select("key", F.col("id").alias("a"), F.col("letters").alias("letters_a"), "shorter")
-    apart = (F.col("a") != F.col("b")) & ((F.col("shorter") > 0) | (F.col("a") < F.col("b")))
-    met = probe.join(index, (probe["key"] == index["key"]) & apart & near_counts("letters_a", "letters_b", edits))
-    pairs = materialise(met.select("a", "b").distinct())
+    met = meet(probe, index, edits)
+    crowd = materialise(shared.where("hot").select("id").distinct())
+    if not crowd.isEmpty():
+        met = met.unionByName(meet_in_rare_segments(texts.join(crowd, "id").join(letters, "id"), edits, FINE))
+    pairs = materialise(met.distinct())
     chars = texts.select("id", characters(F.col("line")).alias("chars"))
     checked = (
         pairs.join(chars.select(F.col("id").alias("a"), F.col("chars").alias("x")), "a")
@@ -188,7 +232,8 @@ def dedup_lines(
     out = docs.join(masks, docs[id_col] == masks[of], "left").withColumn(stays, stay)
     columns = [F.array_join(stays, "\n").alias(c) if c == text_col else F.col(c) for c in docs.columns]
     if counts:
-        columns += [F.coalesce(F.size(pieces), F.lit(0)).cast("bigint").alias(counts[0]), F.coalesce(F.size(stays), F.lit(0)).cast("bigint").alias(counts[1])]
+        before, after = fresh(docs.columns, *counts)
+        columns += [F.coalesce(F.size(pieces), F.lit(0)).cast("bigint").alias(before), F.coalesce(F.size(stays), F.lit(0)).cast("bigint").alias(after)]
     return out.select(*columns)
 
 

@@ -69,6 +69,25 @@ def test_numbered_lines_share_segments(spark):
     assert got == dict(brute_lines(docs[:-3], linededup.EDITS, linededup.MIN_CHARS)) | {900: docs[-3][1], 901: "", 902: "word " * 400 + "\n"}
 
 
+@pytest.mark.parametrize("shared", [10, 24, 36])
+def test_lines_with_a_common_beginning_equal_brute_force(spark, shared, monkeypatch):
+    """Thousands of lines that share one, two or nearly all of their segments; all near copies are found."""
+    import duckdb
+
+    monkeypatch.setattr(linededup, "HOT_KEY", 20)
+    rng = random.Random(shared)
+    head = "".join(rng.choice("abcdefgh ") for _ in range(shared))
+    lines = [head + "".join(rng.choice("ijklmnopqrstuv") for _ in range(44 - shared)) for _ in range(1500)]
+    lines += [edited(rng, rng.choice(lines), rng.choice([1, 2, 3])).replace("é", "y").replace("😀", "z") for _ in range(400)]  # levenshtein() counts bytes
+    lines = sorted(set(lines), key=lambda x: rng.random())
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string").repartition(4)
+    got = {r["doc_id"] for r in linededup.dedup_lines(docs).where("n_kept = 0").collect()}
+    con = duckdb.connect()
+    table = docs.toPandas()  # noqa: F841
+    want = {r[0] for r in con.sql("select distinct b.doc_id from table a join table b on a.doc_id < b.doc_id and abs(length(a.text) - length(b.text)) <= 2 and levenshtein(a.text, b.text) <= 2".replace("table", '"table"')).fetchall()}
+    assert len(want) > 100 and got == want
+
+
 def test_within_edits(spark):
     rng = random.Random(8)
     rows = []

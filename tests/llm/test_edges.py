@@ -4,14 +4,14 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from lakekeel.llm import bpe, decontaminate, htmltext, jaccard, licences, linededup, media, quality, urlfilter, wordpiece
+from lakekeel.llm import bpe, chat, decontaminate, divergence, htmltext, jaccard, licences, linededup, media, quality, resample, urlfilter, wordpiece
 
 VOCABULARY = P.path("byte_bpe_multi_50k.tiktoken")
 LONG = "A long text of words that goes on, line after line.\n" * 24_000  # 1.2 MB
 PLAIN = "The same words stand here twice, and here once more."
 ROWS = [(None, PLAIN), (None, None), (1, None), (2, ""), (3, LONG), (4, PLAIN), (4, PLAIN), (5, PLAIN), (5, "Other words under an id that is there already."), (6, " \n\t ")]
 #: Names that operators use inside or give to their results.
-CLASHES = "labels score spans block kind c h n key id line mask n_words n_tokens n_lines keep fragment payload ids parts first hit_key text_"
+CLASHES = "labels score spans block kind c h n key id line mask n_words n_tokens n_lines keep fragment payload ids parts first hit_key text_ n_kept lines_before lines_after kept_doc rank place rest"
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def labels(spark):
 
 
 OPERATORS = {
-    "line dedup": lambda docs, bench, labels: linededup.dedup_lines(docs.drop("n_lines")),
+    "line dedup": lambda docs, bench, labels: linededup.dedup_lines(docs),
     "decontamination": lambda docs, bench, labels: decontaminate.contamination(docs, bench),
     "licence scan": lambda docs, bench, labels: licences.scan_licences(docs),
     "quality classifier": lambda docs, bench, labels: quality.classify(docs, labels),
@@ -58,8 +58,21 @@ def test_rows_in_and_out(name, docs, bench, labels):
     assert run(docs.where("doc_id = 2"), bench.limit(0), labels.limit(0)).count() == 1
 
 
+def test_operators_on_groups_and_draws(docs, bench):
+    """Those that return no row a document: all documents count, clashing columns stay out of the way."""
+    drawn = resample.resample(docs, bench, percent=100, least_words=0)
+    assert drawn.columns == [*docs.columns, "rank_"] and sorted(r["rank_"] for r in drawn.collect()) == list(range(1, len(ROWS) + 1))
+    assert resample.resample(docs.limit(0), bench.limit(0)).count() == 0
+    groups = docs.withColumns({"lang": F.lit("en"), "source": F.when(F.col("doc_id") != 3, F.col("doc_id").cast("string"))})
+    got = divergence.audit(groups, least_docs=2).collect()
+    assert {r["source"] for r in got if r["part"] == "pair"} == {"", "1", "2", "4", "5", "6"} and sum(r["part"] == "pair" for r in got) == 30
+    turns = docs.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(None).cast("bigint"), "role": F.lit(None).cast("string")})
+    windows = chat.windows(turns, VOCABULARY).collect()
+    assert sum(r["n_turns"] for r in windows) == len(ROWS) and {r["conv_id"] for r in windows} == {i for i, _ in ROWS}
+
+
 def test_results_of_edge_rows(docs, bench):
-    lines = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs.drop("n_lines")).where("doc_id in (1, 2, 3, 6)").collect()}
+    lines = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(docs).where("doc_id in (1, 2, 3, 6)").collect()}
     assert lines == {1: None, 2: "", 3: LONG.split("\n")[0] + "\n", 6: " \n\t "}
     hits = {(r["doc_id"], r["n_words"]): r["n_hit"] for r in decontaminate.contamination(docs, bench).collect()}
     assert hits[3, 264_000] == 264_000 and hits[1, 0] == hits[6, 0] == 0 and hits[4, 10] == 10
