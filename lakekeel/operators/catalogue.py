@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -70,6 +70,31 @@ def row_counts(rows: DataFrame, chunk: str, table: str) -> DataFrame:
     return counts.groupBy(chunk).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(table, "n")))).alias("row_counts"))
 
 
+def footer_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (chunk, table, n) of Parquet files under folder/chunk=.../table=..., from their footers alone: the count is pushed into the scan, which the
+    second version of the source can do by partition columns. Files that cannot be read, and files without rows, have no row here."""
+    own = spark.newSession()  # its settings are not the caller's
+    for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true")):
+        own.conf.set(name, value)
+    files = own.read.schema("chunk string, table string").option("basePath", folder).option("ignoreCorruptFiles", "true").parquet(folder)
+    return files.groupBy("chunk", "table").agg(F.count("*").alias("n"))
+
+
+#: Bytes up to which a file without a counted row may be one without rows.
+EMPTY_FILE_BYTES = 1 << 16
+
+
+def file_row_counts(spark: SparkSession, folder: str, expected: DataFrame) -> DataFrame:
+    """Rows (chunk, row_counts): a map of table to rows for each chunk, null if one of its expected files (chunk, table) is missing or cannot be read. An empty file is
+    told from a broken one by its first and last bytes, which are read of small files only."""
+    small = spark.read.format("binaryFile").option("basePath", folder).load(folder).where(F.col("length") <= EMPTY_FILE_BYTES)
+    magic = F.lit("PAR1").cast("binary")
+    sound = small.where((F.substring("content", 1, 4) == magic) & (F.substring("content", -4, 4) == magic)).select("chunk", "table").distinct().withColumn("empty", F.lit(0).cast("bigint"))
+    found = expected.join(footer_counts(spark, folder), ["chunk", "table"], "left").join(sound, ["chunk", "table"], "left")
+    counted = found.withColumn("n", F.coalesce("n", "empty")).groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("table", "n"))).alias("t"), F.bool_or(F.col("n").isNull()).alias("bad"))
+    return counted.select("chunk", F.when(~F.col("bad"), F.map_from_entries("t")).alias("row_counts"))
+
+
 def head(chunks: DataFrame, meta: DataFrame) -> DataFrame:
     """Resume point of each dataset: the last block of its highest chunk that is not rejected; pending ones count."""
     own = chunks.join(meta.select("chunk_pk", "rejected"), "chunk_pk", "left").where(~F.coalesce("rejected", F.lit(False)))

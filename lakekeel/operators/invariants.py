@@ -34,8 +34,8 @@ def visible_overlaps(visible: DataFrame) -> DataFrame:
     return intervals.running_end(visible, "chunk_pk").where("first_block <= _end").select("dataset", "chunk_pk")
 
 
-def empty_routing(routing: DataFrame) -> DataFrame:
-    return routing.where(F.size("worker_ids") == 0).select("chunk_pk")
+def empty_routing(routing: DataFrame, *keys: str) -> DataFrame:
+    return routing.where(F.size("worker_ids") == 0).select(*(keys or ("chunk_pk",)))
 
 
 def duplicate_replicas(pairs: DataFrame) -> DataFrame:

@@ -86,9 +86,17 @@ def fleet_quorum_watermark(fx):
     return fleet.quorum_watermark(fleet.latest_pings(fx.pings), LATEST, PERCENT)
 
 
-@query("select id, coalesce(lag(id, 2) over (order by id), first_value(id) over (order by id)) as watermark from portal_log")
+# assignments are published every hour with events; the id is the number of the hour
+_PUBLISHED = "published as (select distinct cast(epoch(date_trunc('hour', ts)) // 3600 as bigint) as id from events)"
+
+
+def _published(fx) -> DataFrame:
+    return fx.events.select(F.expr("unix_seconds(timestamp(date_trunc('hour', ts))) div 3600").alias("id")).distinct()
+
+
+@query(f"with {_PUBLISHED} select id, coalesce(lag(id, 2) over (order by id), first_value(id) over (order by id)) as watermark from published")
 def fleet_lagged_watermark(fx):
-    return fleet.lagged_watermark(fx.portal_log, 2)
+    return fleet.lagged_watermark(_published(fx), 2)
 
 
 @query(f"with {_STATUS} select worker_id, case when status = 'unsupported_version' then status when status <> 'online' then 'unreliable' when ({_sqlver('version')}) < ({_sqlver(chr(39) + '2.13.1' + chr(39))}) then 'deprecated_version' else 'ok' end as portal_status from st")
@@ -261,6 +269,23 @@ def row_counts_map(fx):
     return counts.select("chunk", F.coalesce(F.col("row_counts")["even"], F.lit(0)).alias("even_rows"), F.coalesce(F.col("row_counts")["odd"], F.lit(0)).alias("odd_rows"))
 
 
+@query("""with c as (select 'c-' || (number % 40) as chunk, cast(count(*) filter (l % 2 = 0) as bigint) as even_rows, cast(count(*) filter (l % 2 = 1) as bigint) as odd_rows from (select number, number // 8 as l from blocks) group by 1)
+select chunk, case when chunk <> 'c-7' then even_rows end as even_rows, case when chunk = 'c-9' then 0 when chunk <> 'c-7' then odd_rows end as odd_rows from c""")
+def row_counts_footer(fx):
+    """Rows of the blocks' files, one a chunk and table, from their footers. One file is no Parquet file, so its chunk has no counts; one has no rows."""
+    from .state import new_folder
+
+    folder = new_folder(fx._spark, "blocks")
+    odd = F.expr("number div 8 % 2 = 1")
+    own = fx.blocks.select(F.concat(F.lit("c-"), (F.col("number") % 40).cast("string")).alias("chunk"), F.when(odd, "odd").otherwise("even").alias("table"), "number", "hash")
+    whole = own.where("not (chunk in ('c-7', 'c-9') and table = 'odd')")
+    whole.repartition("chunk", "table").write.partitionBy("chunk", "table").parquet(folder)
+    fx._spark.createDataFrame([("no footer here",)], "value string").write.text(f"{folder}/chunk=c-7/table=odd")
+    own.limit(0).select("number", "hash").write.parquet(f"{folder}/chunk=c-9/table=odd")
+    counts = catalogue.file_row_counts(fx._spark, folder, own.select("chunk", "table").distinct())
+    return counts.select("chunk", F.col("row_counts")["even"].alias("even_rows"), F.col("row_counts")["odd"].alias("odd_rows"))
+
+
 @query("select chunk, number, hash from blocks where number = 4242 or number = 31337")
 def block_point_lookup(fx):
     return fx.blocks.where("number = 4242 or number = 31337").select("chunk", "number", "hash")
@@ -785,10 +810,11 @@ def inv_visible_disjoint(fx):
     return invariants.visible_overlaps(fx.chunks_raw.withColumnRenamed("l_partkey", "chunk_pk"))
 
 
-@query("select chunk_pk from difflog where worker_pk is null and assignment_id = 1")
+@query("select assignment_id, chunk_pk from difflog where worker_pk is null")
 def inv_empty_routing(fx):
-    own = fx.difflog.where("assignment_id = 1").select("chunk_pk", F.when(F.col("worker_pk").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("worker_pk")).alias("worker_ids"))
-    return invariants.empty_routing(own)
+    """Of every assignment of the log."""
+    own = fx.difflog.select("assignment_id", "chunk_pk", F.when(F.col("worker_pk").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("worker_pk")).alias("worker_ids"))
+    return invariants.empty_routing(own, "assignment_id", "chunk_pk")
 
 
 @query("select chunk_pk, worker_pk, count(*) as copies from (select * from holders_before union all select * from holders_after) group by all having count(*) > 1")
@@ -950,9 +976,9 @@ def mvcc_deltas_difflog(fx):
     return _deltas(fx)["difflog"]
 
 
-@query("select cast(coalesce(max(id), 0) as int) as watermark from portal_log where id <= 4")
+@query(f"with {_PUBLISHED} select cast(coalesce(max(id), 0) as int) as watermark from published")
 def fleet_confirmation_watermark(fx):
-    return lifecycle.confirmation_watermark(fx.portal_log.where("id <= 4"))
+    return lifecycle.confirmation_watermark(_published(fx))
 
 
 @query("with c as (select chunk_pk, case when chunk_pk % 13 = 0 then 77 end as old_mark from chunks) select m.chunk_pk, coalesce(m.marked, case when m.chunk_pk % 13 = 0 then 60 end) as marked from meta m")

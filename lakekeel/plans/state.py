@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -21,6 +21,17 @@ def shared_folder(df: DataFrame) -> str:
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a folder of its own in the shared folder."""
+    return f"{shared_folder(spark.range(0))}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a run's folder, wherever the shared folder lies."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Written and read back: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df)}/state-{uuid.uuid4().hex}"

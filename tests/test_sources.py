@@ -47,6 +47,20 @@ def test_discovery(spark):
     assert {r["prefix"]: r["state"] for r in catalogue.discover_chunks(objects).collect()} == {"d/1": "ok", "d/2": "error", "d/3": "ok", "d/4": "pending"}
 
 
+def test_row_counts_come_from_footers(spark, tmp_path):
+    folder = f"{tmp_path}/files"
+    rows = spark.range(1000).selectExpr("concat('c-', id % 5) as chunk", "if(id % 3 = 0, 'a', 'b') as table", "id as v")
+    rows.repartition("chunk", "table").write.partitionBy("chunk", "table").parquet(folder)
+    plan = catalogue.footer_counts(spark, folder)._jdf.queryExecution().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan and "PushedGroupBy: [chunk, table]" in plan
+    (tmp_path / "files/chunk=c-6/table=a").mkdir(parents=True)
+    (tmp_path / "files/chunk=c-6/table=a/x.parquet").write_text("PAR1 no footer")
+    rows.where("false").select("v").write.parquet(f"{folder}/chunk=c-7/table=a")
+    expected = rows.select("chunk", "table").distinct().unionByName(spark.createDataFrame([("c-6", "a"), ("c-7", "a"), ("c-8", "a"), ("c-0", "lost")], "chunk string, table string"))
+    got = {r["chunk"]: r["row_counts"] for r in catalogue.file_row_counts(spark, folder, expected).collect()}
+    assert got == {f"c-{i}": {"a": len([x for x in range(1000) if x % 5 == i and x % 3 == 0]), "b": len([x for x in range(1000) if x % 5 == i and x % 3])} for i in range(1, 5)} | {"c-0": None, "c-6": None, "c-7": {"a": 0}, "c-8": None}
+
+
 def test_rings_are_kept_until_the_workers_change(spark, tmp_path):
     from lakekeel.operators import rings
 
