@@ -1058,3 +1058,37 @@ def stream_latest(fx):
     q = latest.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name).select("worker_id", "version", "stored_bytes", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id")
+
+
+def _stream_of(table: DataFrame):
+    """The rows as a stream, from a table of their own, and a folder for what comes of it."""
+    from .state import checkpoint, new_folder
+
+    spark = table.sparkSession
+    written = checkpoint(table)
+    return spark.readStream.schema(written.schema).parquet(written.inputFiles()[0].rsplit("/", 1)[0]), new_folder(spark, "stream")
+
+
+_NEXT = "select *, lead(ms) over (partition by k order by ms, event_id) as next_ms, max(ms) over () as last_ms from"
+_RUN_OUT = "next_ms > ms + {0} or next_ms is null and ms + {0} <= last_ms"
+
+
+@query(f"""select k as worker_id, ms as started, ms + 21600000 as expired from ({_NEXT} (select user_id as k, epoch_us(ts) // 1000 as ms, event_id from events)) where {_RUN_OUT.format(21600000)}""")
+def stream_offline(fx):
+    """Silences of more than six hours, by timers in the state of a stream that is run to its end."""
+    from ..streaming import timers
+
+    timers.use_rocksdb(fx._spark)
+    source, folder = _stream_of(fx.events.select(F.col("user_id").alias("worker_id"), "ts", "event_id"))
+    return timers.run_to_end(fx._spark, timers.offline_workers(source, 21_600_000), folder)
+
+
+@query(f"""select k as pair, ms as started, ms + 7200000 as expired from ({_NEXT} (select concat(user_id % 40, '-', event_id % 3) as k, epoch_us(ts) // 1000 as ms, event_id, event_type from events)) where event_type <> 'purchase' and ({_RUN_OUT.format(7200000)})""")
+def stream_drains(fx):
+    """Drains of two hours; a later row of the pair starts them anew, a purchase takes them back."""
+    from ..streaming import timers
+
+    timers.use_rocksdb(fx._spark)
+    pair = F.concat((F.col("user_id") % 40).cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string"))
+    source, folder = _stream_of(fx.events.select(pair.alias("pair"), "ts", (F.col("event_type") != "purchase").alias("begins"), "event_id"))
+    return timers.run_to_end(fx._spark, timers.drained(source, 7_200_000), folder)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..operators import fleet, lifecycle
-from ..plans.state import shared_folder
+from ..plans.state import remove_folder, shared_folder
 
 
 class Snapshots:
@@ -43,6 +43,10 @@ class Snapshots:
     def at(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={batch_id}")
 
+    def remove(self) -> None:
+        """Removes the folder with all snapshots, once nobody reads them any more."""
+        remove_folder(self.spark, self.folder)
+
     def write(self, df: DataFrame, batch_id: int) -> None:
         df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.folder}/batch={batch_id}")
 
