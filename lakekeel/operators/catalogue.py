@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -199,3 +201,9 @@ def apply_updates(rows: DataFrame, updates: DataFrame, keys: list[str], columns:
     fresh = updates.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
     joined = rows.join(fresh, keys, "left")
     return joined.select(*[F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows (table_name, n)."""
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, counts)

@@ -65,6 +65,13 @@ def worker_bytes(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs.join(sizes.select("chunk_pk", "size"), "chunk_pk").groupBy("worker_pk").agg(F.count("*").alias("chunks"), F.sum("size").alias("bytes"))
 
 
+def least_load(pairs: DataFrame, sizes: DataFrame, stale_below: int) -> DataFrame:
+    """One row: the least bytes of a worker that holds anything, how many hold less than the bound, and whether that calls for a warning."""
+    loads = worker_bytes(pairs, sizes)
+    below = F.count(F.when(F.col("bytes") < stale_below, 1))
+    return loads.agg(F.min("bytes").alias("least"), below.alias("below"), F.coalesce(F.min("bytes") < stale_below, F.lit(False)).alias("warned"))
+
+
 def worker_reshuffle(before: DataFrame, after: DataFrame, sizes: DataFrame) -> DataFrame:
     """Per worker bytes before, after, removed, added and kept; churn in percent of what it held."""
     pairs = pair_flags(before, after).join(sizes.select("chunk_pk", "size"), "chunk_pk")

@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 
 
-class SchemaError(ValueError):
-    pass
-
-
-def validate(schema: dict) -> None:
-    """tables: {name: {fields, default_fields}}; names are plain file stems, unique without regard to case."""
-    seen = set()
-    for name, table in schema["tables"].items():
-        if not name or name in (".", "..") or any(c in name for c in "/\\\0"):
-            raise SchemaError(f"bad table name: {name!r}")
-        if name.lower() in seen:
-            raise SchemaError(f"table name repeats: {name}")
-        seen.add(name.lower())
-        if extra := set(table["default_fields"]) - set(table["fields"]):
-            raise SchemaError(f"{name}: default fields that are no fields: {sorted(extra)}")
-
-
-def canonical(schema: dict) -> str:
-    """One text for all ways to write a schema: keys and fields sorted, fields distinct."""
-    tables = {n: {k: sorted(set(t[k])) for k in ("fields", "default_fields")} for n, t in schema["tables"].items()}
-    return json.dumps({"tables": tables}, sort_keys=True, separators=(",", ":"))
-
-
-def schema_hash(schema: dict) -> str:
-    return hashlib.sha256(canonical(schema).encode()).hexdigest()
+def read_documents(documents: DataFrame, key: str = "doc_key", document: str = "document") -> DataFrame:
+    """Schema documents (JSON texts) as rows (key, error, canonical, hash): each is parsed once into a VARIANT, its tables are exploded, and all of them are judged in one
+    plan. Right documents have one canonical text for all ways to write a schema, tables by name, fields sorted and distinct, and its SHA-256; wrong
+    ones have the first reason by table name instead. Names are plain file stems, unique without regard to case; default fields must be fields. A null document is no JSON.
+
+    A document is {"tables": {name: {"fields": [...], "default_fields": [...]}}}."""
+    spark = documents.sparkSession
+    own = documents.select(F.col(key).alias("k"), F.expr(f"try_parse_json(`{document}`)").alias("v")).withColumn("v", F.expr("try_variant_get(v, '$.tables', 'variant')"))
+    tables = spark.sql("select d.k, t.key as name, try_variant_get(t.value, '$.fields', 'array<string>') as fields, try_variant_get(t.value, '$.default_fields', 'array<string>') as defaults from {d} d, lateral variant_explode(d.v) t where schema_of_variant(d.v) like 'OBJECT%'", d=own)
+    tables = tables.withColumn("folded", F.count("*").over(Window.partitionBy("k", F.lower("name"))))  # a document's tables
+    bad_name = (F.length("name") == 0) | F.col("name").isin(".", "..") | F.col("name").contains("/") | F.col("name").contains("\\") | F.col("name").contains("\0")
+    strange = F.array_sort(F.array_except("defaults", "fields"))
+    why = (
+        F.when(bad_name, F.concat(F.lit("bad table name: "), "name"))
+        .when(F.col("folded") > 1, F.concat(F.lit("table name repeats: "), F.lower("name")))
+        .when(F.col("fields").isNull() | F.col("defaults").isNull(), F.concat("name", F.lit(": no lists of fields")))
+        .when(F.size(strange) > 0, F.concat("name", F.lit(": default fields that are no fields: "), F.array_join(strange, ",")))
+    )
+    part = F.struct(F.array_sort(F.array_distinct("defaults")).alias("default_fields"), F.array_sort(F.array_distinct("fields")).alias("fields"))
+    judged = tables.groupBy("k").agg(F.min(F.struct("name", why.alias("why"))).alias("any"), F.min(F.when(why.isNotNull(), F.struct("name", why.alias("why")))).alias("first"), F.array_sort(F.collect_list(F.struct("name", part.alias("table")))).alias("tables"))
+    known = own.select("k", F.expr("coalesce(schema_of_variant(v) like 'OBJECT%', false)").alias("shaped")).join(judged, "k", "left")
+    error = F.when(~F.col("shaped"), "no object of tables").otherwise(F.col("first.why"))
+    listed = F.coalesce(F.to_json(F.map_from_entries(F.when(F.col("first").isNull(), F.col("tables")))), F.lit("{}"))
+    canonical = F.when(F.col("error").isNull(), F.concat(F.lit('{"tables":'), listed, F.lit("}")))
+    out = known.withColumn("error", error).withColumn("canonical", canonical)
+    return out.select(F.col("k").alias(key), "error", "canonical", F.sha2("canonical", 256).alias("hash"))
 
 
 def lower_chunks(new: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -98,13 +96,27 @@ def read_schemas_by_id(names: DataFrame, read: DataFrame) -> DataFrame:
     return read.where("current").join(names.select("dataset").distinct(), "dataset", "left_semi").select("schema_id", "dataset", "hash")
 
 
-def generate_bundle(published: DataFrame, schemas: DataFrame, read: DataFrame) -> tuple[str, DataFrame, DataFrame]:
-    """Id, write section and read section of the bundle for the published schema ids; an id that is not there is an error. A few
-    hundred rows, configuration-sized."""
+def bundle_ids(published: DataFrame, schemas: DataFrame, read: DataFrame) -> DataFrame:
+    """The bundle id of every assignment at once: published (assignment_id, schema_id), schemas (schema_id, dataset, hash), read as in read_schemas_by_id. An id is the
+    SHA-256 of the write schemas and the current read schemas of their datasets, each in the order of ids; tags keep the two sections and their entries apart. An id
+    that is not there is an error."""
+    own = published.select("assignment_id", "schema_id").distinct()
+    write = own.join(schemas_by_id(own, schemas.select("schema_id", "dataset", "hash")), "schema_id")
+    current = read.where("current").select("schema_id", "dataset", "hash")
+    theirs = write.select("assignment_id", "dataset").distinct().join(current, "dataset")
+    lines = write.select("assignment_id", F.lit(0).alias("section"), "schema_id", "hash").unionByName(theirs.select("assignment_id", F.lit(1).alias("section"), "schema_id", "hash"))
+    text = F.concat(F.col("schema_id").cast("string"), F.lit(":"), F.length("hash").cast("string"), F.lit(":"), "hash")
+    sections = lines.withColumn("line", text).groupBy("assignment_id", "section").agg(F.expr("listagg(line, '') within group (order by schema_id)").alias("body"))
+    both = sections.groupBy("assignment_id").agg(*[F.coalesce(F.max(F.when(F.col("section") == i, F.col("body"))), F.lit("")).alias(n) for i, n in enumerate(("w", "r"))])
+    whole = F.concat(F.lit("schema-bundle\0write\0"), "w", F.lit("read\0"), "r")
+    return both.select("assignment_id", F.sha2(whole, 256).alias("bundle_id"))
+
+
+def generate_bundle(published: DataFrame, schemas: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Id (one row), write section and read section of the bundle for the published schema ids; an id that is not there is an error."""
     write = schemas_by_id(published, schemas.select("schema_id", "dataset", "hash"))
-    own = read_schemas_by_id(write, read)
-    rows = lambda df: {r["schema_id"]: r["hash"] for r in df.collect()}
-    return bundle_id(rows(write), rows(own)), write, own
+    ids = bundle_ids(published.select(F.lit(0).alias("assignment_id"), "schema_id"), schemas, read)
+    return ids.select("bundle_id"), write, read_schemas_by_id(write, read)
 
 
 def bundle_refs(published: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -112,16 +124,6 @@ def bundle_refs(published: DataFrame, schemas: DataFrame) -> DataFrame:
     return published.join(schemas.select("schema_id", "dataset"), "schema_id", "left")
 
 
-def bundle_id(write: dict[int, str], read: dict[int, str]) -> str:
-    """Digest of a bundle: domain and section tags keep ids and schemas of the two kinds apart."""
-    digest = hashlib.sha256(b"schema-bundle\0")
-    for tag, part in ((b"write\0", write), (b"read\0", read)):
-        digest.update(tag)
-        for key in sorted(part):
-            digest.update(f"{key}:{len(part[key])}:{part[key]}".encode())
-    return digest.hexdigest()
-
-
 def routable_schemas(chunks: DataFrame, meta: DataFrame, ideal: DataFrame) -> DataFrame:
     """Schema ids that workers may need: of chunks that entered and are not tombstoned, and of the new ideal."""
     entered = chunks.join(meta.where(C.entered_worker() & ~C.tombstoned()).select("chunk_pk"), "chunk_pk", "left_semi")

@@ -60,11 +60,11 @@ def replication_factors(sizes: DataFrame, capacity: DataFrame, min_r: int, max_r
         F.sum("size").alias("_total"),
     )
     factor = F.least(F.lit(max_r), F.greatest(F.lit(min_r), F.floor(F.col("weight") * F.col("multiplier"))))
-    return own.crossJoin(F.broadcast(pick)).select("weight", "size", factor.cast("bigint").alias("factor"), (F.col("_total") * min_r <= F.col("capacity")).alias("enough"))
+    return own.crossJoin(F.broadcast(pick)).select("weight", "size", factor.cast("bigint").alias("factor"), (F.col("_total") * min_r <= F.col("capacity")).alias("enough"), "multiplier")
 
 
 def solve_replication(sizes: dict[int, int], capacity: int, min_r: int, max_r: int) -> dict[int, int]:
-    """The same on the driver, for the placement kernel: a handful of weights."""
+    """The same for a handful of weights in a dict."""
     weights = sorted(sizes)
     if sum(sizes.values()) * min_r > capacity:
         raise NotEnoughCapacity(f"{capacity} bytes do not hold {min_r} copies")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import fleet, lifecycle, movement
+from ..operators import fleet, lifecycle, movement, schema_registry
 from ..operators import rings as ring_tables
 from ..operators.weights import NotEnoughCapacity
 from .state import checkpoint
@@ -94,6 +94,14 @@ def visibility_cycle(state: State, now: int) -> State:
     return replace(state, meta=meta, corrections=corrections, portal_log=state.portal_log.unionByName(row), portal=number).saved()
 
 
+def portal_view(state: State, read: DataFrame) -> dict[str, DataFrame]:
+    """What a visibility cycle publishes: the visible routing, and the current read schema of each dataset that it names (null if none was promoted).
+    read as in schema_registry.read_schema_ids."""
+    routing = lifecycle.visible_routing(state.routing, state.meta)
+    named = state.chunks.join(routing.select("chunk_pk"), "chunk_pk", "left_semi").select("dataset").distinct()
+    return {"routing": routing, "read_schemas": schema_registry.read_schema_ids(named, read)}
+
+
 def update_workers(state: State, active: DataFrame, now: int, gc_ticks: int) -> State:
     merged = fleet.worker_set(state.workers, active, now)
     top = state.workers.agg(F.coalesce(F.max("worker_pk"), F.lit(0))).first()[0]

@@ -374,7 +374,7 @@ def _capacity(fx) -> DataFrame:
 
 @query(f"with {_SOLVER} select weight, cast(size as bigint) as size, cast(least(100, greatest(2, floor(weight * pick.mult))) as bigint) as factor, total * 2 <= capacity as enough from m cross join pick")
 def repl_factors(fx):
-    return weights.replication_factors(weights.size_by_weight(fx.chunks), _capacity(fx), MIN_R, 100)
+    return weights.replication_factors(weights.size_by_weight(fx.chunks), _capacity(fx), MIN_R, 100).drop("multiplier")
 
 
 @query(f"with {_SOLVER} select s.dataset, s.seg_from, f.factor from segments s left join (select weight, cast(least(100, greatest(2, floor(weight * pick.mult))) as bigint) as factor from m cross join pick) f on f.weight = s.weight")
@@ -731,13 +731,23 @@ def mvcc_register_corrections(fx):
     return lifecycle.register_corrections(new, fx.corrections, fx.chunks, fx.meta)
 
 
-@query("select 'chunks' as table_name, count(*) as n from chunks union all select 'meta', count(*) from meta union all select 'stale', count(*) from stale union all select 'difflog', count(*) from difflog union all select 'corrections', count(*) from corrections union all select 'workers', count(*) from workers")
+_TABLES = {
+    "datasets": "select distinct dataset from chunks", "chunks": "select chunk_pk from chunks", "sched_worker_assignments": "select distinct assignment_id from difflog", "sched_portal_assignments": "select id from portal_log",
+    "sched_workers": "select worker_pk from workers", "sched_worker_confirmations": "select distinct worker_id from pings where applied_id > 0", "sched_chunk_metadata": "select chunk_pk from meta",
+    "sched_ideal_chunk_workers": "select chunk_pk from holders_after", "sched_confirmed_chunk_workers": "select chunk_pk from holders_before", "sched_worker_assignment_diffs": "select chunk_pk from difflog",
+    "sched_stale_mappings": "select chunk_pk from stale", "chunk_corrections": "select old_pk from corrections",
+}
+
+
+@query(" union all ".join(f"select '{name}' as table_name, count(*) as n from ({sql})" for name, sql in _TABLES.items()))
 def table_sizes(fx):
-    out = None
-    for name in ("chunks", "meta", "stale", "difflog", "corrections", "workers"):
-        one = getattr(fx, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("table_name"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All twelve tables of the scheduler."""
+    chunks = fx.chunks
+    return catalogue.table_sizes({
+        "datasets": chunks.select("dataset").distinct(), "chunks": chunks, "sched_worker_assignments": fx.difflog.select("assignment_id").distinct(), "sched_portal_assignments": fx.portal_log, "sched_workers": fx.workers,
+        "sched_worker_confirmations": fx.pings.where("applied_id > 0").select("worker_id").distinct(), "sched_chunk_metadata": fx.meta, "sched_ideal_chunk_workers": fx.holders_after,
+        "sched_confirmed_chunk_workers": fx.holders_before, "sched_worker_assignment_diffs": fx.difflog, "sched_stale_mappings": fx.stale, "chunk_corrections": fx.corrections,
+    })
 
 
 # ---- schemas
@@ -1039,6 +1049,109 @@ def reg_schemas_by_id(fx):
     return schema_registry.schemas_by_id(wanted.join(fx.schemas.select("schema_id"), "schema_id", "left_semi"), fx.schemas.withColumnRenamed("table_name", "hash").select("schema_id", "dataset", "hash"))
 
 
+# ---- published ids, documents, gauges
+
+_BUNDLE = """pub as (select distinct assignment_id, cast(1 + chunk_pk % 1500 as int) as schema_id from difflog),
+w as (select p.assignment_id, p.schema_id, s.dataset, s.table_name as hash from pub p join schemas s using (schema_id)),
+rd as (select distinct w.assignment_id, s.schema_id, s.table_name as hash from w join schemas s on s.dataset = w.dataset and s.n_fields > 25 and s.schema_id % 3 <> 0),
+wt as (select assignment_id, string_agg(schema_id || ':' || length(hash) || ':' || hash, '' order by schema_id) as t from w group by assignment_id),
+rt as (select assignment_id, string_agg(schema_id || ':' || length(hash) || ':' || hash, '' order by schema_id) as t from rd group by assignment_id)"""
+
+
+@query(f"with {_BUNDLE} select assignment_id, sha256('schema-bundle' || chr(0) || 'write' || chr(0) || wt.t || 'read' || chr(0) || coalesce(rt.t, '')) as bundle_id from wt left join rt using (assignment_id)")
+def reg_bundle_ids(fx):
+    """The bundle of every assignment of the log at once."""
+    own = fx.schemas.withColumnRenamed("table_name", "hash")
+    published = fx.difflog.select("assignment_id", (1 + F.col("chunk_pk") % 1500).cast("int").alias("schema_id"))
+    read = own.where("n_fields > 25").withColumn("current", F.col("schema_id") % 3 != 0)
+    return schema_registry.bundle_ids(published, own.select("schema_id", "dataset", "hash"), read)
+
+
+# a document for each part: its second table and its default fields are wrong for some, its text is no JSON for others
+_DOCUMENT = """case when p_partkey % 19 = 0 then '{"tables": {' when p_partkey % 23 = 0 then '[1, 2]' else concat('{"tables": {"blocks": {"default_fields": ["', case when p_partkey % 11 = 0 then 'zz' else 'number' end, '"], "fields": ["number", "f',
+ cast(p_partkey % 5 as string), '", "f', cast(p_partkey % 3 as string), '"]}, "', case when p_partkey % 13 = 0 then 'Blocks' when p_partkey % 17 = 0 then 'a/b' else 'logs' end, '": {"fields": ["x"], "default_fields": []}}}') end"""
+_DOCUMENTS = """doc as (select p_partkey as k, p_partkey % 19 = 0 or p_partkey % 23 = 0 as shapeless, case when p_partkey % 11 = 0 then 'zz' end as strange, case when p_partkey % 13 = 0 then 'Blocks' when p_partkey % 17 = 0 then 'a/b' else 'logs' end as second,
+ list_sort(list_distinct(['number', 'f' || (p_partkey % 5), 'f' || (p_partkey % 3)])) as fields from part),
+judged as (select *, case when shapeless then 'no object of tables' when second = 'a/b' then 'bad table name: a/b' when second = 'Blocks' then 'table name repeats: blocks' when strange is not null then 'blocks: default fields that are no fields: zz' end as error from doc),
+texts as (select k, error, case when error is null then '{"tables":{"blocks":{"default_fields":["number"],"fields":["' || array_to_string(fields, '","') || '"]},"logs":{"default_fields":[],"fields":["x"]}}}' end as canonical from judged)"""
+
+
+@query(f"with {_DOCUMENTS} select k as doc_key, error, canonical, case when error is null then sha256(canonical) end as hash from texts")
+def reg_schema_documents(fx):
+    """Thousands of schema documents validated, made canonical and hashed in one plan; errors are rows."""
+    documents = fx.part.select(F.col("p_partkey").alias("doc_key"), F.expr(_DOCUMENT).alias("document"))
+    return schema_registry.read_documents(documents)
+
+
+@query("with l as (select worker_pk, sum(size) as bytes from holders_before join chunks using (chunk_pk) group by worker_pk) select cast(min(bytes) as bigint) as least, count(*) filter (bytes < 40000000) as below, min(bytes) < 40000000 as warned from l")
+def place_least_load(fx):
+    return movement.least_load(fx.holders_before, fx.chunks, 40_000_000)
+
+
+@query(
+    f"""with {_H}, ph as (select ba.chunk_pk, b, a, a or s.chunk_pk is not null as pa from ba left join stale s on s.chunk_pk = ba.chunk_pk and s.worker_pk = ba.worker_pk),
+c as (select chunk_pk, bool_or(b) as was, bool_or(pa) as isnow, count(*) filter (pa and not b) as gained, count(*) filter (b and not a) as dropped from ph group by chunk_pk),
+t as (select cast(sum(least(gained, dropped)) as bigint) as copies, sum(least(gained, dropped) * size) as moved, sum(greatest(0, gained - dropped) * size) as more from c join chunks using (chunk_pk) where was and isnow)
+select copies as shuffled_copies, round(case when moved + more > 0 then moved * 100.0 / (moved + more) else 0 end, 6) as shuffle_share from t"""
+)
+def move_shuffle_share(fx):
+    """Copies that moved, and the share of moves in the downloads of chunks that were there."""
+    moved = movement.data_movement(fx.holders_before, fx.holders_after, fx.chunks, None, fx.stale)
+    return movement.shuffle_share(moved).select("shuffled_copies", F.round(F.col("shuffle_share").cast("double"), 6).alias("shuffle_share"))
+
+
+_VISIBLE = "vis as (select distinct dataset, first_block, last_block, (first_block * 8 + last_block - first_block) * 10 + cast(substr(dataset, 9) as bigint) as chunk_pk from chunks_raw)"
+
+
+@query(f"""with recursive {_VISIBLE}, s as (select *, row_number() over (partition by dataset order by first_block, chunk_pk) as rn from vis where chunk_pk % 7 <> 0),
+walk as (select dataset, rn, true as accepted, last_block as e from s where rn = 1 union all select s.dataset, s.rn, s.first_block > walk.e, case when s.first_block > walk.e then s.last_block else walk.e end from walk join s on s.dataset = walk.dataset and s.rn = walk.rn + 1)
+select dataset, count(*) as held_back from walk where not accepted group by dataset""")
+def mvcc_held_back(fx):
+    """Visible chunks that leave the portal again because they overlap, by dataset; one in seven is not visible."""
+    own = fx.chunks_raw.select("dataset", "first_block", "last_block").distinct()
+    own = own.withColumn("chunk_pk", (F.col("first_block") * 8 + F.col("last_block") - F.col("first_block")) * 10 + F.substring("dataset", 9, 9).cast("bigint"))
+    meta = own.select("chunk_pk", F.when(F.col("chunk_pk") % 7 != 0, 1).cast("int").alias("applied_portal"), F.lit(None).cast("int").alias("dropped_portal"))
+    return lifecycle.evict_overlaps(meta, own)[1]
+
+
+_FAMILIES = f"""{_STATUS}, {_SEG}, {_SOLVER},
+u as (select c.dataset, position, count(*) as n, sum(c.size) as s from chunks c join seg on seg.dataset = c.dataset and first_block >= seg_start and (seg_end is null or first_block < seg_end) group by all),
+stats as (select seg.dataset, seg_from, coalesce(n, 0) as n, coalesce(s, 0) as s from seg left join u using (dataset, position) where seg_start <= lf or position = 0),
+one as (select dataset, count(*) = 1 as sole from stats group by dataset),
+lab as (select st.*, 'dataset="' || dataset || '",dataset_segment="' || case when sole and seg_from = 0 then dataset else dataset || '[' || seg_from || '..]' end || '"' as l from stats st join one using (dataset)),
+fac as (select s.dataset, s.seg_from, cast(least(100, greatest(2, floor(s.weight * pick.mult))) as bigint) as factor, coalesce(sole, false) as sole from segments s cross join pick left join one on one.dataset = s.dataset),
+load as (select worker_pk, count(*) as n, sum(c.size) as b from holders_after join chunks c using (chunk_pk) group by worker_pk),
+g as (select 'dataset_segment_chunks' as name, l, cast(n as double) as value from lab union all select 'dataset_segment_size', l, s from lab
+union all select 'replication_factor', 'dataset="' || dataset || '",dataset_segment="' || case when sole and seg_from = 0 then dataset else dataset || '[' || seg_from || '..]' end || '"', factor from fac
+union all select 'weight_multiplier', '', mult from pick
+union all select 'worker_assigned_chunks', 'worker="' || worker_pk || '"', n from load union all select 'worker_assigned_size', 'worker="' || worker_pk || '"', b from load
+union all select 'worker_in_status', 'status="' || status || '",worker="' || worker_id || '"', 1 from st
+union all select 'failure', 'target="min_assignment"', 1 from (select min(b) as b from load) where b < 40000000
+union all select 'assignment_timestamp', '', max(created_at) from portal_log)"""
+
+
+@query(f"with {_FAMILIES} select name, case when l = '' then name else name || '{{' || l || '}}' end as series, round(value, 6) as value from g")
+def metrics_families(fx):
+    """Gauges by segment and by worker, with the failure that a least load below the bound is."""
+    factors = weights.replication_factors(weights.size_by_weight(fx.chunks), _capacity(fx), MIN_R, 100)
+    multiplier = factors.agg(F.max("multiplier").alias("multiplier"))
+    loads = movement.worker_bytes(fx.holders_after, fx.chunks).withColumnRenamed("worker_pk", "worker")
+    statuses = fleet.worker_statuses(fx.pings, **STATUS).select(F.col("worker_id").alias("worker"), "status")
+    rows = artifacts.fleet_gauges(weights.segment_stats(fx.chunks, _segments(fx)), weights.replication_gauge(fx.segments, factors), multiplier, loads, statuses, 40_000_000, fx.portal_log.agg(F.max("created_at").alias("at")))
+    return artifacts.open_metrics(rows).select("name", F.regexp_extract("line", r"^(.*) [^ ]*$", 1).alias("series"), F.round(F.regexp_extract("line", r" ([^ ]*)$", 1).cast("double"), 6).alias("value"))
+
+
+@query("select 's3_keys_listed' as name, count(*) as value from objects union all select 's3_bytes_listed', cast(sum(size) as bigint) from objects union all select 's3_blocks_listed', count(*) filter (file_name = 'blocks.parquet') from objects")
+def metrics_observed(fx):
+    """What a listing gives rise to is counted while its chunks are written; nothing is read twice."""
+    from .state import checkpoint
+
+    seen, watch = artifacts.observed(fx.objects, s3_keys_listed=F.count("*"), s3_bytes_listed=F.sum("size"), s3_blocks_listed=F.count(F.when(F.col("file_name") == "blocks.parquet", 1)))
+    listed = seen.groupBy("dataset", "prefix").agg(F.sum("size").alias("size"), F.count("*").alias("n_files"))
+    checkpoint(listed)
+    return artifacts.observed_gauges(fx._spark, watch).select("name", "value")
+
+
 # ---- streams
 
 

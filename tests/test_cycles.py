@@ -1,5 +1,7 @@
 """Cycles end to end, with the invariants after every step."""
 
+import json
+
 from lakekeel.operators import invariants, lifecycle
 from lakekeel.plans import cycle
 from lakekeel.sources import schemas as S
@@ -31,6 +33,9 @@ def test_walk(spark):
     assert why is None and state.published == 1
     state = cycle.visibility_cycle(cycle.confirm(state, 1), 10)
     check(state)
+    read = spark.createDataFrame([(7, "d0", True), (6, "d1", False)], "schema_id int, dataset string, current boolean")
+    view = cycle.portal_view(state, read)
+    assert view["routing"].count() == 40 and {r["dataset"]: r["read_schema_id"] for r in view["read_schemas"].collect()} == {"d0": 7, "d1": None}
     assert state.routing.count() == 40 and state.meta.where("applied_portal = 1").count() == 40
     # a worker leaves, one comes
     active = spark.createDataFrame([(f"peer{w}", "2.0.0") for w in (0, 1, 2, 3, 4, 9)], "peer_id string, version string")
@@ -53,7 +58,7 @@ def test_walk(spark):
 def test_lowering(spark):
     from lakekeel.operators import schema_registry
 
-    schema = schema_registry.canonical({"tables": {n: {"fields": ["n"], "default_fields": []} for n in ("b", "a", "c")}})
+    schema = json.dumps({"tables": {n: {"fields": ["n"], "default_fields": []} for n in ("b", "a", "c")}})
     schemas = spark.createDataFrame([(1, schema)], "schema_id int, document string")
     rows = [(0, 1, None), (1, 1, ["c", "a"]), (2, 1, []), (3, 1, ["a", "b", "c"]), (4, 1, ["x"]), (5, 2, None)]
     new = spark.createDataFrame([(i, k, t, 0, 9, 1) for i, k, t in rows], "idx int, schema_id int, tables array<string>, first_block bigint, last_block bigint, size bigint")

@@ -1,9 +1,11 @@
 """Tables that are published, schemas, listings, rings."""
 
+import hashlib
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakekeel.operators import catalogue, schema_registry
 from lakekeel.sources import artifacts
@@ -22,15 +24,31 @@ def test_catalogue_sink_round_trip(spark, tmp_path):
     assert {tuple(r) for r in got.collect()} == {("d", "i", 4), ("e", "j", 1)}
 
 
-def test_schema_documents():
-    a = {"tables": {"t": {"fields": ["b", "a", "a"], "default_fields": ["a"]}}}
-    b = {"tables": {"t": {"fields": ["a", "b"], "default_fields": ["a"]}}}
-    schema_registry.validate(a)
-    assert schema_registry.schema_hash(a) == schema_registry.schema_hash(b)
-    for bad in ({"t/x": b["tables"]["t"]}, {"T": b["tables"]["t"], "t": b["tables"]["t"]}, {"t": {"fields": [], "default_fields": ["z"]}}):
-        with pytest.raises(schema_registry.SchemaError):
-            schema_registry.validate({"tables": bad})
-    assert schema_registry.bundle_id({1: "x"}, {}) != schema_registry.bundle_id({}, {1: "x"})
+def test_schema_documents(spark):
+    text = lambda tables: json.dumps({"tables": tables})
+    t = {"fields": ["a", "b"], "default_fields": ["a"]}
+    rows = {
+        1: text({"t": {"fields": ["b", "a", "a"], "default_fields": ["a"]}, "s": t}), 2: text({"s": t, "t": t}), 3: text({"t/x": t}), 4: text({"T": t, "t": t}), 5: text({"t": {"fields": [], "default_fields": ["z"]}}),
+        6: "{", 7: None, 8: "[]", 9: text({}), 10: text({"": t}), 11: text({"..": t}), 12: text({"t": {"fields": 3}}), 13: '{"tables": 5}', 14: text({"a\\b": t}),
+    }
+    df = spark.createDataFrame(list(rows.items()), "doc_key int, document string").repartition(3)
+    got = {r["doc_key"]: r for r in schema_registry.read_documents(df).collect()}
+    assert got.keys() == rows.keys()
+    assert {k for k, r in got.items() if r["error"] is None} == {1, 2, 9}
+    want = json.dumps({"tables": {n: {"default_fields": ["a"], "fields": ["a", "b"]} for n in ("s", "t")}}, separators=(",", ":"), sort_keys=True)
+    assert got[1]["canonical"] == got[2]["canonical"] == want and got[1]["hash"] == hashlib.sha256(want.encode()).hexdigest()
+    assert got[9]["canonical"] == '{"tables":{}}' and got[3]["error"] == "bad table name: t/x" and got[4]["error"] == "table name repeats: t" and got[5]["error"].endswith("no fields: z")
+    assert all(got[k]["error"] == "no object of tables" and got[k]["hash"] is None for k in (6, 7, 8, 13))
+
+
+def bundle_id(write, read):
+    """Of {id: hash} sections."""
+    digest = hashlib.sha256(b"schema-bundle\0")
+    for tag, part in ((b"write\0", write), (b"read\0", read)):
+        digest.update(tag)
+        for key in sorted(part):
+            digest.update(f"{key}:{len(part[key])}:{part[key]}".encode())
+    return digest.hexdigest()
 
 
 def test_read_pointer(spark):
@@ -98,12 +116,35 @@ def test_bundle_of_published_schemas(spark, tmp_path):
     published = spark.createDataFrame([(1,), (3,), (1,)], "schema_id int")
     name, write, own = schema_registry.generate_bundle(published, schemas, read)
     assert {r["schema_id"] for r in write.collect()} == {1, 3} and {r["schema_id"] for r in own.collect()} == {7}
-    assert name == schema_registry.bundle_id({1: "h1", 3: "h3"}, {7: "r7"}) != schema_registry.bundle_id({1: "h1", 3: "h3"}, {})
+    assert name.first()[0] == bundle_id({1: "h1", 3: "h3"}, {7: "r7"}) != bundle_id({1: "h1", 3: "h3"}, {})
+    many = spark.createDataFrame([(1, 10), (1, 9), (2, 10), (2, 10)], "assignment_id int, schema_id int")
+    wide = spark.createDataFrame([(9, "d", "nine"), (10, "g", "ten")], "schema_id int, dataset string, hash string")
+    got = {r["assignment_id"]: r["bundle_id"] for r in schema_registry.bundle_ids(many, wide, read).collect()}
+    assert got == {1: bundle_id({9: "nine", 10: "ten"}, {7: "r7"}), 2: bundle_id({10: "ten"}, {})}
     with pytest.raises(Exception, match="no schema with id"):
-        schema_registry.generate_bundle(spark.createDataFrame([(99,)], "schema_id int"), schemas, read)
-    for ids in (published, spark.createDataFrame([(2,)], "schema_id int")):
-        artifacts.persist_assignment_schemas(ids, f"{tmp_path}/schemas")
-    assert [r[0] for r in spark.read.parquet(f"{tmp_path}/schemas").collect()] == [2]
+        schema_registry.generate_bundle(spark.createDataFrame([(99,)], "schema_id int"), schemas, read)[0].collect()
+
+
+def test_a_table_is_replaced_by_moving_a_pointer(spark, tmp_path):
+    path = f"{tmp_path}/schemas"
+    for k in range(4):
+        artifacts.persist_assignment_schemas(spark.createDataFrame([(k,), (k,)], "schema_id int"), path)
+        assert [r[0] for r in artifacts.current_table(spark, path).collect()] == [k]
+    assert len(list(tmp_path.glob("schemas/v-*"))) == 2  # the current one and the one before
+    broken = spark.range(3).select(F.when(F.col("id") == 2, F.raise_error(F.lit("no"))).cast("int").alias("schema_id"))
+    with pytest.raises(Exception, match="no"):
+        artifacts.replace_table(broken, path)
+    assert [r[0] for r in artifacts.current_table(spark, path).collect()] == [3]
+
+
+def test_observed_counts_take_no_second_pass(spark, tmp_path):
+    spark.range(50).selectExpr("id % 7 as k", "id as size").write.parquet(f"{tmp_path}/in")
+    seen, watch = artifacts.observed(spark.read.parquet(f"{tmp_path}/in"), keys=F.count("*"), bytes=F.sum("size"))
+    out = seen.groupBy("k").agg(F.sum("size").alias("size"))
+    plan = out._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1 and "CollectMetrics" in plan
+    out.write.parquet(f"{tmp_path}/out")
+    assert {r["name"]: r["value"] for r in artifacts.observed_gauges(spark, watch).collect()} == {"keys": 50, "bytes": 1225}
 
 
 def test_block_summary_takes_the_first_row_and_needs_a_hash(spark):
@@ -117,5 +158,6 @@ def test_assignments_and_status(spark):
     pairs = spark.createDataFrame([(1, 7), (2, 7)], "chunk_pk bigint, worker_pk bigint")
     chunks = spark.createDataFrame([(1, "d", 10, 19, 5), (2, "d", 0, 9, 6)], "chunk_pk bigint, dataset string, first_block bigint, last_block bigint, size bigint")
     assert [c["chunk_pk"] for c in artifacts.assignment_frame(pairs, chunks).first()["chunks"]] == [2, 1]
-    status = json.loads(artifacts.status_json({"n": 1}, spark.createDataFrame([("w", "online")], "peer string, status string"), spark.createDataFrame([("d", 2)], "dataset string, chunks bigint"), 9))
-    assert status["assignment_timestamp_sec"] == 9 and status["workers"] == [{"peer": "w", "status": "online"}]
+    lines = artifacts.status_lines('{"n":1}', spark.createDataFrame([("w", "online")], "peer string, status string"), spark.createDataFrame([("d", 2)], "dataset string, chunks bigint"), 9)
+    status = {r["part"]: json.loads(r["line"]) for r in lines.collect()}
+    assert status["head"]["assignment_timestamp_sec"] == 9 and status["worker"] == {"peer": "w", "status": "online"} and status["dataset"] == {"dataset": "d", "chunks": 2}
