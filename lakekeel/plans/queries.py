@@ -248,6 +248,42 @@ def s3_chunk_assembly(fx):
     return catalogue.discover_chunks(fx.objects).select("dataset", "prefix", "size", "n_files", "state")
 
 
+_LISTED = """g as (select replace(dataset, 's3://', '') as bucket, replace(prefix, 's3://', '') as p, cast(sum(size) as bigint) as size, cast(count(*) as int) as n_files, bool_or(file_name = 'blocks.parquet') as whole from objects group by all),
+n as (select *, p = max(p) over (partition by bucket) as latest, cast(regexp_extract(p, '(\\d+)-(\\d+)$', 1) as bigint) as f, cast(regexp_extract(p, '(\\d+)-(\\d+)$', 2) as bigint) as e from g),
+x as (select *, last_value(case when whole then e end ignore nulls) over (partition by bucket order by p rows between unbounded preceding and 1 preceding) + 1 as expected from n)
+select 's3://' || bucket as dataset, p as prefix, f as first_block, e as last_block, size, n_files, case when not whole then 'incomplete' when expected is not null and f <> expected then 'gap' else 'ok' end as state from x where whole or not latest"""
+
+
+def _inventory(fx) -> str:
+    """The objects as inventory files by bucket, sorted by key."""
+    from .state import new_folder
+
+    folder = new_folder(fx._spark, "inventory")
+    bucket = C.bucket_of("dataset")
+    own = fx.objects.select(bucket.alias("bucket"), F.concat(C.strip_scheme("prefix"), F.lit("/"), "file_name").alias("key"), "size")
+    own.repartition("bucket").sortWithinPartitions("bucket", "key").write.partitionBy("bucket").parquet(folder)
+    return folder
+
+
+@query(f"with {_LISTED}")
+def s3_chunk_pages(fx):
+    """Chunks from paged listings, a partition a bucket; pages end inside chunks."""
+    from ..sources import listing
+
+    return listing.read_chunks(fx._spark, listing.manifest(_inventory(fx)), page=100)
+
+
+@query(f"with {_LISTED}")
+def s3_chunk_stream(fx):
+    """The same chunks by the stream over the listing."""
+    from ..sources import listing
+    from ..streaming import timers
+    from .state import new_folder
+
+    rows = listing.read_chunks(fx._spark, listing.manifest(_inventory(fx)), page=100, stream=True)
+    return timers.run_to_end(fx._spark, rows, new_folder(fx._spark, "stream"))
+
+
 @query("select prefix, file_name, concat('https://', regexp_replace(dataset, '^s3://', ''), '.store.example.org') as url from objects where prefix || '/' || file_name > 's3://ds-4/0000500000-0000500099' || '0'")
 def s3_listing_after(fx):
     keyed = fx.objects.withColumn("key", F.concat_ws("/", "prefix", "file_name"))
