@@ -250,7 +250,8 @@ def learnt_stems(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str)
     own = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
     sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_ROWS).withColumnRenamed("doc_id", "labelled_id")
     own_docs = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    rows = own_docs.join(F.broadcast(sample), F.col("i") == F.col("labelled_id")).select("t", (F.col("is_toxic") > 0).alias("toxic"))
+    rows = own_docs.join(F.broadcast(sample), F.col("i") == F.col("labelled_id"))
+    rows = rows.groupBy("labelled_id").agg(F.min_by("t", F.xxhash64("t")).alias("t"), (F.max("is_toxic") > 0).alias("toxic")).select("t", "toxic")  # one row an id, however many it has
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         other: Counter = Counter()
@@ -318,7 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     stems = learnt_stems(docs, labels, id_col, text_col)
     quality, toxic = patterns(docs, stems, text_col)
     ids = docs.select(F.col(id_col).alias("train_id")).where("train_id is not null").distinct().orderBy(F.xxhash64("train_id"), "train_id").limit(TRAIN_ROWS)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("i") == F.col("train_id")).select("train_id", "t")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).join(F.broadcast(ids), F.col("i") == F.col("train_id"))
+    rows = rows.groupBy("train_id").agg(F.min_by("t", F.xxhash64("t")).alias("t"))  # one row an id, however many it has
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words = Words(stems)
