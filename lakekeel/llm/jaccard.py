@@ -45,6 +45,8 @@ FREQUENT = 1 << 15
 FREQUENT_OF_TASK = 2048
 #: Shingles and sets that a task holds before it deals them out as one block.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 1 << 16
+#: Shingles of a fragment of the order, on average; their number is counted, so a task's share stays the same at any size.
+FRAGMENT_SHINGLES = 1 << 22
 #: Where the order is cut for the overlaps: numbers of sets that hold a shingle, then the frequent ones.
 CUTS = (3, 6, 1 << 31)
 #: Parts of the hash range in the sketch of a set's shared shingles.
@@ -416,7 +418,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     own = docs.select(id_col, text_col)
     made = materialise(sets(own, k))
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    fragments = 1 << max(6, (4 * n_parts - 1).bit_length())
+    shingles = made.where("kind = 0").agg(F.sum("n")).first()[0] or 0
+    fragments = 1 << max(6, (4 * n_parts - 1).bit_length(), (shingles // FRAGMENT_SHINGLES).bit_length())
     entries = dealt(own.select(text_col), frequent_shingles(made), k, fragments).repartition(n_parts, "fragment").sortWithinPartitions("fragment", "block")
     parts = shared_shingles(entries).repartition(n_parts, "block").sortWithinPartitions("block", "kind")
     known = materialise(linkable(parts, percent))

@@ -146,7 +146,7 @@ def test_jaccard_equals_brute_force(spark):
 
 def test_large_prefix_groups_lose_nothing(spark, monkeypatch):
     """Near copies of one text, some of them linked only through others, and a passage that many texts share."""
-    for name, value in (("CELL_MEMBERS", 5), ("CELL_PAIRS", 3), ("ROWS", 2), ("BLOCK_SHINGLES", 500), ("FREQUENT", 8)):
+    for name, value in (("FRAGMENT_SHINGLES", 4), ("CELL_MEMBERS", 5), ("CELL_PAIRS", 3), ("ROWS", 2), ("BLOCK_SHINGLES", 500), ("FREQUENT", 8)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(9)
     base = [f"s{i}" for i in range(90)]
