@@ -50,12 +50,16 @@ def version_distribution(workers: DataFrame) -> DataFrame:
 def quorum_watermark(echoes: DataFrame, latest: int, percent: int) -> DataFrame:
     """The k-th largest echoed id in (0, latest], k = max(1, ceil(n * percent / 100)); n counts silent workers too.
     percent 0 gives `latest`; fewer than k echoes give null. Counts per id are aggregated before they are ranked."""
-    n = echoes.agg(F.count("*").alias("n"))
-    counts = echoes.where(F.col("applied_id").between(1, latest)).groupBy("applied_id").agg(F.count("*").alias("c"))
-    running = counts.withColumn("reached", F.sum("c").over(Window.orderBy(F.desc("applied_id"))))
-    k = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)).cast("bigint")
     if percent == 0:
-        return n.select(F.lit(latest).cast("int").alias("watermark"))
+        return echoes.agg(F.lit(latest).cast("int").alias("watermark"))
+    return quorum_of_counts(echoes.groupBy("applied_id").agg(F.count("*").alias("c")), latest, percent)
+
+
+def quorum_of_counts(counts: DataFrame, latest: int, percent: int) -> DataFrame:
+    """The same from counts (applied_id, c) of all echoes, silent ones too: a row for each id."""
+    n = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
+    running = counts.where(F.col("applied_id").between(1, latest)).withColumn("reached", F.sum("c").over(Window.orderBy(F.desc("applied_id"))))  # as many rows as assignments are echoed
+    k = F.greatest(F.lit(1), F.ceil(F.col("n") * percent / 100)).cast("bigint")
     return n.join(running, F.col("reached") >= k, "left").agg(F.max("applied_id").cast("int").alias("watermark"))
 
 

@@ -1241,3 +1241,23 @@ def stream_drains(fx):
     pair = F.concat((F.col("user_id") % 40).cast("string"), F.lit("-"), (F.col("event_id") % 3).cast("string"))
     source, folder = _stream_of(fx.events.select(pair.alias("pair"), "ts", (F.col("event_type") != "purchase").alias("begins"), "event_id"))
     return timers.run_to_end(fx._spark, timers.drained(source, 7_200_000), folder)
+
+
+_ECHO = """e0 as (select user_id, epoch_us(ts) // 1000 as ms, case when event_id % 60 between 1 and 55 then event_id % 60 end as id, row_number() over (partition by user_id order by epoch_us(ts) // 1000 desc, event_id desc) as rn, max(epoch_us(ts) // 1000) over () as last_ms from events),
+e as (select * from e0 where rn = 1)"""
+_QUORUM = "(select max(id) from (select id, sum(count(*)) over (order by id desc) as reached from e where id is not null {0} group by id) where reached >= (select greatest(1, cast(ceil(count(*) * 75 / 100.0) as bigint)) from e where true {0}))"
+
+
+@query(f"with {_ECHO} select cast(greatest(coalesce({_QUORUM.format('')}, 0), coalesce({_QUORUM.format('and ms + 21600000 > last_ms')}, 0)) as bigint) as watermark")
+def stream_confirmation(fx):
+    """The monotone watermark of a stream of pings: first over all workers, then without those whose last ping is six hours old."""
+    from ..streaming import flows, timers
+    from .state import new_folder
+
+    spark = fx._spark
+    timers.use_rocksdb(spark)
+    source, folder = _stream_of(fx.pings.select("worker_id", "ts", "applied_id", "event_id"))
+    quorum = flows.EchoQuorum(spark, LATEST, PERCENT, new_folder(spark, "quorum"))
+    query_ = timers.echo_changes(source, 21_600_000).writeStream.option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).foreachBatch(quorum).start()
+    query_.awaitTermination()
+    return spark.createDataFrame([(quorum.value,)], "watermark bigint")

@@ -43,6 +43,12 @@ class Snapshots:
     def at(self, batch_id: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/batch={batch_id}")
 
+    def keep(self, n: int) -> None:
+        """Removes all snapshots but the newest n."""
+        batches = sorted(r[0] for r in self.rows().select("batch").distinct().collect())  # one a snapshot that is there
+        for old in batches[:-n]:
+            remove_folder(self.spark, f"{self.folder}/batch={old}")
+
     def remove(self) -> None:
         """Removes the folder with all snapshots, once nobody reads them any more."""
         remove_folder(self.spark, self.folder)
@@ -82,6 +88,30 @@ class ConfirmationWatermark:
         state.write(state.before(batch_id, nothing).unionByName(got).agg(F.coalesce(F.max("value"), F.lit(0)).alias("value")), batch_id)
 
 
+class EchoQuorum:
+    """Monotone quorum watermark for foreachBatch over changes of echoes (timers.echo_changes). What it keeps is a count for each echoed id and the last
+    value, one small snapshot a batch, of which only the last two stay."""
+
+    def __init__(self, spark: SparkSession, latest: int, percent: int, folder: str | None = None):
+        self.latest, self.percent = latest, percent
+        self.start = spark.createDataFrame([], "kind string, id bigint, c bigint")
+        self.table = Snapshots(spark, self.start.schema, folder)
+
+    @property
+    def value(self) -> int:
+        row = self.table.before(None, self.start).where("kind = 'value'").first()
+        return row["id"] if row else 0
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        known = self.table.before(batch_id, self.start)
+        side = lambda c, sign: batch.where(F.col(c).isNotNull()).select(F.lit("count").alias("kind"), F.col(c).alias("id"), F.lit(sign).cast("bigint").alias("c"))
+        counts = known.where("kind = 'count'").unionByName(side("now", 1)).unionByName(side("before", -1)).groupBy("kind", "id").agg(F.sum("c").alias("c")).where("c > 0")
+        got = fleet.quorum_of_counts(counts.select(F.col("id").alias("applied_id"), "c"), self.latest, self.percent).select(F.col("watermark").cast("bigint").alias("id"))
+        value = known.where("kind = 'value'").select("id").unionByName(got).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"))
+        self.table.write(counts.unionByName(value.select(F.lit("value").alias("kind"), "id", F.lit(1).cast("bigint").alias("c"))), batch_id)
+        self.table.keep(2)
+
+
 class DiffReplay:
     """Idempotent replay for foreachBatch: the routing after all diffs up to the largest id seen. A batch that comes again
     changes nothing."""

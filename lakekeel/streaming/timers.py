@@ -92,6 +92,55 @@ def drained(rows: DataFrame, ticks_ms: int, delay: str = "0 seconds") -> DataFra
     return expiries(rows, "pair", "ts", F.col("begins"), "event_id", ticks_ms, delay)
 
 
+def echo(after: int) -> StatefulProcessor:
+    """The processor of `echo_changes`."""
+
+    class Echo(StatefulProcessor):
+        """Of pings (key, ts, id): keeps the id of the key's last ping and when it came; gives (worker_id, before, now, at) when the id changes, with null for none. A key
+        without a ping for `after` milliseconds is forgotten, which is a change to none."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.last = handle.getValueState("last", "id bigint, seen bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            part = pd.concat(list(rows)).sort_values(["ts", "tie"], kind="stable").iloc[-1]
+            old = self.last.get() if self.last.exists() else None
+            seen, now = int(part["ts"]), int(part["id"])
+            out = []
+            if old is None or seen >= old[1]:
+                if old is not None:
+                    self.handle.deleteTimer(old[1] + after)
+                if old is None or old[0] != now:
+                    out.append((key[0], None if old is None else old[0], now, seen))
+                self.last.update((now, seen))
+                self.handle.registerTimer(seen + after)
+            yield pd.DataFrame(out, columns=names).astype({"before": "Int64", "now": "Int64"})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            out = []
+            if self.last.exists():
+                old, seen = self.last.get()
+                if seen + after == expiredTimerInfo.getExpiryTimeInMs():
+                    out.append((key[0], old, None, seen + after))
+                    self.last.clear()
+            yield pd.DataFrame(out, columns=names).astype({"before": "Int64", "now": "Int64"})
+
+        def close(self) -> None:
+            pass
+
+    names = ["worker_id", "before", "now", "at"]
+    return Echo()
+
+
+def echo_changes(pings: DataFrame, after_ms: int, delay: str = "0 seconds") -> DataFrame:
+    """A stream's pings (worker_id, ts, applied_id, event_id) as changes (worker_id, before, now, at) of what workers that are online echo; -1 is an echo of nothing."""
+    at = F.col("ts").cast("timestamp")
+    own = pings.select("worker_id", at.alias("_at"), F.unix_millis(at).alias("ts"), F.coalesce(F.col("applied_id").cast("bigint"), F.lit(-1)).alias("id"), F.col("event_id").alias("tie")).withWatermark("_at", delay)
+    schema = StructType().add("worker_id", pings.schema["worker_id"].dataType).add("before", "long").add("now", "long").add("at", "long")
+    return own.groupBy("worker_id").transformWithStateInPandas(echo(after_ms), outputStructType=schema, outputMode="append", timeMode="eventTime")
+
+
 def run_to_end(spark: SparkSession, out: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """The stream over what its source holds now, as a table in `folder`; a second call goes on from the first one's checkpoint."""
     query = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").outputMode(mode).trigger(availableNow=True).start()

@@ -51,6 +51,29 @@ def test_offline_workers(spark, tmp_path):
     assert sorted((r["worker_id"], minute(r)) for r in got) == [(1, 10), (2, 1)]
 
 
+def test_quorum_of_online_workers_over_a_restart(spark, tmp_path):
+    """Four workers echo 3, 3, 3, 1; then three fall silent and the fourth goes on to 2: the watermark stays at 3, and only the fourth is left."""
+    timers.use_rocksdb(spark)
+    schema = "worker_id bigint, ts timestamp, applied_id int, event_id bigint"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        quorum = flows.EchoQuorum(spark, 10, 75, f"{tmp_path}/quorum")
+        changes = timers.echo_changes(source, 3_600_000)
+        changes.writeStream.option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).foreachBatch(quorum).start().awaitTermination()
+        counts = {r["id"]: r["c"] for r in quorum.table.before(None, quorum.start).where("kind = 'count'").collect()}
+        assert quorum.table.rows().select("batch").distinct().count() <= 2
+        return quorum.value, counts
+
+    minute = lambda m: START + timedelta(minutes=m)
+    assert step([(w, minute(w), 3 if w < 4 else 1, w) for w in (1, 2, 3, 4)] + [(4, minute(1), 9, 0)]) == (3, {3: 3, 1: 1})
+    assert step([(4, minute(200), 2, 9), (4, minute(90), None, 8)]) == (3, {2: 1})
+    assert step([(5, minute(201), None, 10), (4, minute(202), 5, 11)]) == (3, {5: 1, -1: 1})
+    assert step([(5, minute(203), 6, 12)]) == (5, {5: 1, 6: 1})
+
+
 def test_snapshots_can_be_removed(spark, tmp_path):
     rows = spark.createDataFrame([(1,)], "value bigint")
     table = flows.Snapshots(spark, rows.schema, f"{tmp_path}/s")
