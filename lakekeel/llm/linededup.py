@@ -70,18 +70,26 @@ def segment_keys(text: Column, n: Column, edits: int) -> Column:
 
 def fine_keys(text: Column, n: Column, edits: int, fine: int) -> tuple[Column, Column]:
     """The line's own keys by `fine` segments, and structs (key, shorter) of the substrings that can be such segments of a line shorter by
-    `shorter`: those moved by a shift need |shift| edits before and |shorter - shift| after them."""
-    own = [segment_key(n, i, cut(n, i, fine), cut(n, i + 1, fine), text) for i in range(fine)]
-    out = []
-    for shorter in range(edits + 1):
-        m = n - F.lit(shorter)
-        for i in range(fine):
-            start, past = cut(m, i, fine), cut(m, i + 1, fine)
-            for shift in range(-edits, edits + 1):
-                if abs(shift) + abs(shorter - shift) <= edits:
-                    inside = (start + shift >= 0) & (past + shift <= n) & (past > start)
-                    out.append(F.struct(F.when(inside, segment_key(m, i, start + shift, past + shift, text)).alias("key"), F.lit(shorter).alias("shorter")))
-    return F.array(*own), F.filter(F.array(*out), lambda p: p["key"].isNotNull())
+    `shorter`: those moved by a shift need |shift| edits before and |shorter - shift| after them. Written as transforms over small arrays, since a
+    hundred expressions in one generated method cost much memory to compile."""
+    begin = lambda m, i: F.floor(m * i / F.lit(fine)).cast("int")
+    key = lambda m, i, start, past: F.xxhash64(m, i, F.substring(text, start + 1, past - start))
+    segments = F.sequence(F.lit(0), F.lit(fine - 1))
+    moves = [(shorter, shift) for shorter in range(edits + 1) for shift in range(-edits, edits + 1) if abs(shift) + abs(shorter - shift) <= edits]
+    table = F.array(*[F.struct(F.lit(a).alias("shorter"), F.lit(b).alias("shift")) for a, b in moves])
+
+    def moved(move: Column) -> Column:
+        m, shift = n - move["shorter"], move["shift"]
+
+        def probe(i: Column) -> Column:
+            start, past = begin(m, i), begin(m, i + 1)
+            inside = (start + shift >= 0) & (past + shift <= n) & (past > start)
+            return F.struct(F.when(inside, key(m, i, start + shift, past + shift)).alias("key"), move["shorter"].alias("shorter"))
+
+        return F.transform(segments, probe)
+
+    own = F.transform(segments, lambda i: key(n, i, begin(n, i), begin(n, i + 1)))
+    return own, F.filter(F.flatten(F.transform(table, moved)), lambda p: p["key"].isNotNull())
 
 
 def meet(probe: DataFrame, index: DataFrame, edits: int) -> DataFrame:
