@@ -164,6 +164,7 @@ def shares(docs: DataFrame, least_docs: int = LEAST_DOCS, width: int = WIDTH, te
     kept = materialise(known.drop("docs"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     blocks = kept.join(langs, "lang").withColumn("block", F.expr(f"pmod(xxhash64(term), 1 + v div {width})"))
+    blocks = blocks.repartition("lang", "block")  # else the window below would stay with the join's tasks, one a lang
     here = Window.partitionBy("lang", "block")
     order = here.orderBy(F.desc("total"), "term")
     terms = materialise(blocks.select("lang", "term", "block", "v", (F.row_number().over(order) - 1).alias("col"), F.count("*").over(here).alias("cols"), _share("total", "lang_n", "v").alias("q")))
