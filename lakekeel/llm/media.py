@@ -15,7 +15,7 @@ All arithmetic of the transform is on integers (in float64, far below 2^53), so
 how pictures are batched.
 
 Defined cases: null text counts as empty, which still makes one padded unit; equal texts give equal
-values; texts beyond the format's 65,535 x 65,535 picture raise an error; other columns are ignored.
+values; repeated rows give repeated results; an empty table gives an empty one; texts beyond the format's 65,535 x 65,535 picture raise an error; other columns are ignored.
 """
 
 from __future__ import annotations
