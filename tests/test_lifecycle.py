@@ -152,3 +152,12 @@ def test_streams_go_on_after_a_restart(spark, tmp_path):
     drain = flows.DrainTimer(first, 20, lambda b: 60, f"{tmp_path}/d")
     drain(log((2, 35, 4)), 1)
     assert [r["worker_pk"] for r in drain.stale.collect()] == [3] and drain.log.rows().count() == 2
+
+
+def test_corrections_of_chunks_beyond_the_catalogue(spark, tmp_path):
+    from lakekeel.plans.queries import QUERIES
+
+    orders = [(k, 1, 10.0, "5-LOW") for k in (14994, 14996, 15006, 15055)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_totalprice double, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    got = sorted((r["old_pk"], r["refused"]) for r in QUERIES["mvcc_register_corrections"](spark, str(tmp_path)).collect())
+    assert got == [(14994, None), (14996, "not live"), (15006, "unknown chunk"), (15055, "unknown chunk"), (15055, "unknown chunk")]
