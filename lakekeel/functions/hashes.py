@@ -1,14 +1,17 @@
 """sipHash64 and seahash as column expressions.
 
-Spark's bigint arithmetic raises on overflow, so sums and products modulo 2^64 are put together from halves that cannot
-overflow; xor, shifts and rotations are as they are. A hash is an unsigned number held in a bigint; `ordered`, `umod` and `udecimal` read it as one.
-Bytes are folded in 8-byte little-endian blocks with `aggregate`, one small step at a time, so any length works and no Python runs.
+A hash is an unsigned number held in a bigint; `ordered`, `umod` and `udecimal` read it as one.
+Bytes are folded in 8-byte little-endian blocks, those of an Arrow batch side by side in unsigned 64-bit arithmetic, so any length works and a row costs a few
+array operations.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,101 +41,88 @@ def high(x: Column) -> Column:
     return F.shiftrightunsigned(x, 32)
 
 
-def add64(a: Column, b: Column) -> Column:
-    below = low(a) + low(b)
-    return F.shiftleft(high(a) + high(b) + high(below), 32).bitwiseOR(low(below))
-
-
-def mul64(x: Column, by: int) -> Column:
-    """x times a constant, from products of 32 by 16 bits."""
-    c0, c1, c2, c3 = ((by >> s) & 0xFFFF for s in (0, 16, 32, 48))
-    cut = lambda y: F.shiftleft(y.bitwiseAND(F.lit(0xFFFF)), 16)
-    below = low(x) * c0 + cut(low(x) * c1)
-    above = high(below) + F.shiftrightunsigned(low(x) * c1, 16) + low(x) * c2 + cut(low(x) * c3) + high(x) * c0 + cut(high(x) * c1)
-    return F.shiftleft(above, 32).bitwiseOR(low(below))
-
-
-def rotl(x: Column, n: int) -> Column:
-    return F.shiftleft(x, n).bitwiseOR(F.shiftrightunsigned(x, 64 - n))
-
-
-def _of_bytes(x: Column | str, body: Callable[[Column], Column]) -> Column:
-    """body(bytes of x), which are computed once; null for null."""
-    data = col(x).cast("binary")
-    return F.get(F.transform(F.array(data), lambda d: F.when(d.isNotNull(), body(d))), F.lit(0))
-
-
-def _blocks(data: Column) -> Column:
-    """The little-endian numbers of the 8-byte blocks of a binary column; the last block may be short."""
-    n = F.octet_length(data)
-    offsets = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(8))).otherwise(F.array().cast("array<int>"))
-    digits = F.transform(offsets, lambda at: F.reverse(F.rpad(F.hex(F.substring(data, at + 1, F.lit(8))), 16, "0")))
-    # reversed digits of a little-endian number are those of the number with the two digits of each byte swapped
-    plain = F.transform(digits, lambda d: F.regexp_replace(d, "(.)(.)", "$2$1"))
-    part = lambda d, i: F.conv(F.substring(d, i, 8), 16, 10).cast("bigint")
-    return F.transform(plain, lambda d: F.shiftleft(part(d, 1), 32).bitwiseOR(part(d, 9)))
-
-
-def _steps(*pairs: tuple[int, Column]) -> Column:
-    return F.array(*[F.struct(F.lit(op).alias("op"), m.cast("bigint").alias("m")) for op, m in pairs])
-
-
-def _fold(start: Column, steps: Column, cases: dict[int, Callable[[list[Column], Column], list[Column]]], n: int) -> Column:
-    """The state of n numbers after all steps; each step is one of the cases, so that expressions stay flat."""
-
-    def step(s: Column, x: Column) -> Column:
-        state, out = [F.get(s, F.lit(i)) for i in range(n)], s
-        for op, case in cases.items():
-            out = F.when(x["op"] == op, F.array(*case(state, x["m"]))).otherwise(out)
-        return out
-
-    return F.aggregate(steps, start, step)
+def _of_blocks(x: Column | str, start: Callable, step: Callable, end: Callable, tail: bool) -> Column:
+    """A hash over the little-endian 8-byte blocks of a string or binary column, as a bigint of the same bits; null for null. The batch's values go side by side,
+    longest first: start(n rows) gives their states, step(states, blocks) takes a block of each that has one, end(states, lengths) gives the hashes. With
+    `tail` the last block is always short and carries the length in its highest byte."""
+
+    @F.arrow_udf("bigint")
+    def hashed(column: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        order = np.argsort(-lengths, kind="stable")
+        lengths = lengths[order]
+        counts = lengths // 8 + 1 if tail else -(-lengths // 8)
+        data, offsets = np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+        if buffers := column.buffers():
+            width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+            if len(column) and buffers[1] is not None:
+                offsets = np.frombuffer(buffers[1], width)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            if buffers[2] is not None:
+                data = np.frombuffer(buffers[2], np.uint8)
+        begins = offsets[:-1][order]
+        state, lane = start(len(order)), np.arange(8)
+        for i in range(int(counts.max(initial=0))):
+            n = int(np.searchsorted(-counts, -i))  # rows with more than i blocks
+            at = begins[:n, None] + (8 * i + lane)
+            inside = 8 * i + lane < lengths[:n, None]
+            taken = np.where(inside, data[np.where(inside, at, 0)] if len(data) else np.uint8(0), np.uint8(0))
+            if tail:
+                taken[:, 7] = np.where(counts[:n] == i + 1, (lengths[:n] & 255).astype(np.uint8), taken[:, 7])
+            block = np.ascontiguousarray(taken).view("<u8")[:, 0]
+            for whole, part in zip(state, step([s[:n] for s in state], block)):
+                whole[:n] = part
+        out = np.empty(len(order), np.int64)
+        out[order] = end(state, lengths.astype(np.uint64)).view(np.int64)
+        return pa.array(out, mask=column.is_null().to_numpy(zero_copy_only=False))
+
+    return hashed(col(x).cast("binary"))
 
 
 def seahash(x: Column | str) -> Column:
     """seahash (the reference hash) of the bytes of a string or binary column, as a bigint of the same bits; null for null."""
-    none = F.lit(0)
-    cases = {
-        0: lambda s, m: [*s[:4], mul64(s[0].bitwiseXOR(m), MULTIPLIER)],
-        1: lambda s, m: [*s[:4], s[4].bitwiseXOR(F.call_function("shiftrightunsigned", high(s[4]), F.shiftrightunsigned(s[4], 60).cast("int")))],
-        2: lambda s, m: [s[1], s[2], s[3], mul64(s[4], MULTIPLIER), s[4]],
-        3: lambda s, m: [*s[:4], mul64(s[0].bitwiseXOR(s[1]).bitwiseXOR(s[2]).bitwiseXOR(s[3]).bitwiseXOR(m), MULTIPLIER)],
-        4: lambda s, m: [*s[:4], mul64(s[4], MULTIPLIER)],
-    }
+    seeds, by = SEA, MULTIPLIER
+
+    def diffused(v):
+        v = v * np.uint64(by)
+        v = v ^ ((v >> np.uint64(32)) >> (v >> np.uint64(60)))
+        return v * np.uint64(by)
 
-    def body(data: Column) -> Column:
-        blocks = F.flatten(F.transform(_blocks(data), lambda m: _steps((0, m), (1, none), (2, none))))
-        end = _steps((3, F.octet_length(data)), (1, none), (4, none))
-        return F.get(_fold(F.array(*[lit64(v) for v in (*SEA, 0)]), F.concat(blocks, end), cases, 5), F.lit(4))
+    def start(n):
+        return [np.full(n, v, np.uint64) for v in seeds]
 
-    return _of_bytes(x, body)
+    def step(s, block):
+        return [s[1].copy(), s[2].copy(), s[3].copy(), diffused(s[0] ^ block)]
+
+    return _of_blocks(x, start, step, lambda s, lengths: diffused(s[0] ^ s[1] ^ s[2] ^ s[3] ^ lengths), False)
 
 
 def siphash64(x: Column | str, key: tuple[int, int] = (0, 0)) -> Column:
     """sipHash-2-4 of the bytes of a string or binary column, as a bigint of the same bits; null for null."""
-    none = F.lit(0)
-    xor = lambda a, b: a.bitwiseXOR(b)
+    seeds = [v ^ key[i & 1] for i, v in enumerate(SIP)]
+
+    def rotated(v, n: int):
+        return v << np.uint64(n) | v >> np.uint64(64 - n)
 
-    def one(v, m):
-        a, c = add64(v[0], v[1]), add64(v[2], v[3])
-        return [rotl(a, 32), xor(rotl(v[1], 13), a), c, xor(rotl(v[3], 16), c)]
+    def turn(a, b, c, d):
+        a, c = a + b, c + d
+        b, d, a = rotated(b, 13) ^ a, rotated(d, 16) ^ c, rotated(a, 32)
+        a, c = a + d, c + b
+        return a, rotated(b, 17) ^ c, rotated(c, 32), rotated(d, 21) ^ a
 
-    def two(v, m):
-        a, c = add64(v[0], v[3]), add64(v[2], v[1])
-        return [a, xor(rotl(v[1], 17), c), rotl(c, 32), xor(rotl(v[3], 21), a)]
+    def start(n):
+        return [np.full(n, v, np.uint64) for v in seeds]
 
-    cases = {0: lambda v, m: [*v[:3], xor(v[3], m)], 1: one, 2: two, 3: lambda v, m: [xor(v[0], m), *v[1:]], 4: lambda v, m: [v[0], v[1], xor(v[2], m), v[3]]}
-    turn = [(1, none), (2, none)]
+    def step(s, block):
+        a, b, c, d = turn(*turn(s[0], s[1], s[2], s[3] ^ block))
+        return [a ^ block, b, c, d]
 
-    def body(data: Column) -> Column:
-        n, blocks = F.octet_length(data), _blocks(data)
-        short = F.when(n % 8 > 0, F.element_at(blocks, -1)).otherwise(F.lit(0).cast("bigint")).bitwiseOR(F.shiftleft((n % 256).cast("bigint"), 56))
-        whole = F.when(n % 8 > 0, F.slice(blocks, 1, F.greatest(F.size(blocks) - 1, F.lit(0)))).otherwise(blocks)
-        steps = F.flatten(F.transform(F.concat(whole, F.array(short)), lambda m: _steps((0, m), *turn, *turn, (3, m))))
-        out = _fold(F.array(*[lit64(v ^ key[i & 1]) for i, v in enumerate(SIP)]), F.concat(steps, _steps((4, F.lit(0xFF)), *turn * 4)), cases, 4)
-        return F.aggregate(out, F.lit(0).cast("bigint"), xor)
+    def end(s, lengths):
+        a, b, c, d = s[0], s[1], s[2] ^ np.uint64(255), s[3]
+        for _ in range(4):
+            a, b, c, d = turn(a, b, c, d)
+        return a ^ b ^ c ^ d
 
-    return _of_bytes(x, body)
+    return _of_blocks(x, start, step, end, True)
 
 
 def siphash64_of(*xs: Column | str) -> Column:

@@ -70,3 +70,13 @@ def test_unsigned_readings(spark):
     two = spark.createDataFrame([("s3://a", "c-1"), ("", "x")], "a string, b string")
     word = lambda t: sip(t.encode()).to_bytes(8, "little")
     assert [r[0] & ALL for r in two.select(H.siphash64_of("a", "b")).collect()] == [sip(word(a) + word(b)) for a, b in (("s3://a", "c-1"), ("", "x"))]
+
+
+def test_hashes_of_a_batch_of_all_lengths(spark):
+    """Texts of every length side by side, in no order, with nulls and slices between them; no step of the plan is interpreted row by row."""
+    texts = [bytes((i * n + 11) % 256 for i in range(n)) for n in [*range(0, 70), 500, 3, 64, 0, 8, 8, 1000, 7]]
+    rows = spark.createDataFrame([(i, bytearray(t) if i % 9 else None) for i, t in enumerate(texts)], "i int, x binary").coalesce(1)
+    own = rows.where("i > 4").select("i", H.seahash("x").alias("sea"), H.siphash64("x").alias("sip"))
+    assert "ArrowEvalPython" in own._jdf.queryExecution().toString()
+    for r in own.collect():
+        assert (r["sea"], r["sip"]) == (None, None) if r["i"] % 9 == 0 else (r["sea"] & ALL, r["sip"] & ALL) == (sea(texts[r["i"]]), sip(texts[r["i"]]))
