@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.state import checkpoint
 from . import intervals
 
 PAIR = ["chunk_pk", "worker_pk"]
@@ -70,18 +71,32 @@ def _free(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, capacity: Dat
     return own.select("worker_pk", (F.col("capacity") - F.coalesce("used", F.lit(0))).alias("room"))
 
 
+#: Bytes of a bin in which sizes and rooms are ranked.
+BIN_BYTES = 1 << 12
+
+
+def _fits(sizes: DataFrame, room: DataFrame) -> DataFrame:
+    """Rows (size, fit): the number of rooms that are no smaller than each size. Sizes and rooms are ranked together, by bins; what bins hand on is a row
+    each, so that no row meets all workers."""
+    both = sizes.select(F.col("size").alias("value"), F.lit(0).alias("n")).distinct().unionByName(room.groupBy(F.col("room").alias("value")).agg(F.count("*").alias("n")))
+    own = checkpoint(both.groupBy("value").agg(F.sum("n").alias("n")).withColumn("_bin", F.expr(f"value div {BIN_BYTES}")))
+    above = F.sum("sum").over(Window.orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1))
+    carry = own.groupBy("_bin").agg(F.sum("n").alias("sum")).select("_bin", above.alias("_carry"))
+    here = F.sum("n").over(Window.partitionBy("_bin").orderBy(F.desc("value")).rowsBetween(Window.unboundedPreceding, 0))
+    return own.join(carry, "_bin").select(F.col("value").alias("size"), (here + F.coalesce("_carry", F.lit(0))).alias("fit"))
+
+
 def _with_hosts(short: DataFrame, pairs: DataFrame, room: DataFrame) -> DataFrame:
-    """Short chunks with the number of workers that have room for a copy and hold none. The rooms, one number a worker, travel as
-    one sorted array; workers that hold the chunk are counted apart, so no pair of chunk and worker is made."""
-    rooms = room.agg(F.sort_array(F.collect_list("room")).alias("rooms"))
-    holding = short.select("chunk_pk", "size").join(pairs.select(*PAIR).distinct(), "chunk_pk").join(room, "worker_pk").where("room >= size").groupBy("chunk_pk").agg(F.count("*").alias("holding"))
-    own = short.crossJoin(F.broadcast(rooms)).withColumn("fit", F.size(F.filter("rooms", lambda r: r >= F.col("size")))).drop("rooms")
-    return own.join(holding, "chunk_pk", "left").withColumn("hosts", (F.col("fit") - F.coalesce("holding", F.lit(0))).cast("bigint"))
+    """Short chunks with the number of workers that have room for a copy and hold none. Workers with room are counted by the rank of the chunk's size among
+    all rooms; those that hold the chunk are counted apart, so no pair of chunk and worker is made. short is used several times."""
+    holding = short.select("chunk_pk", "size").join(pairs.select(*PAIR).distinct(), "chunk_pk").join(F.broadcast(room), "worker_pk").where("room >= size").groupBy("chunk_pk").agg(F.count("*").alias("holding"))
+    own = short.join(_fits(short, room), "size", "left").join(holding, "chunk_pk", "left")
+    return own.withColumn("hosts", (F.coalesce("fit", F.lit(0)) - F.coalesce("holding", F.lit(0))).cast("bigint")).drop("fit")
 
 
 def feasible_but_short(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, capacity: DataFrame, min_r: int) -> DataFrame:
     """Chunks below the least replication although enough active workers without them have room."""
-    own = _with_hosts(_short(chunks, pairs, min_r), pairs, _free(chunks, pairs, workers, capacity))
+    own = _with_hosts(checkpoint(_short(chunks, pairs, min_r)), pairs, checkpoint(_free(chunks, pairs, workers, capacity)))
     return own.where(F.col("have") + F.col("hosts") >= min_r).select("chunk_pk", F.col("have").cast("bigint").alias("have"), F.col("hosts").alias("roomy"))
 
 
@@ -94,9 +109,9 @@ def bonus_over_floor(chunks: DataFrame, pairs: DataFrame, workers: DataFrame, ca
     bonus = pairs.select(*PAIR).distinct().join(have.where(F.col("have") > min_r), "chunk_pk").join(chunks.select("chunk_pk", "size"), "chunk_pk").withColumn("rank", rank)
     counted = F.when(F.col("rank") <= F.col("have") - min_r, F.col("size")).otherwise(0)
     bonus = bonus.groupBy("worker_pk").agg(F.sum("size").alias("any"), F.sum(counted).alias("first"))
-    free = _free(chunks, pairs, workers, capacity).join(bonus, "worker_pk", "left")
+    free = checkpoint(_free(chunks, pairs, workers, capacity).join(bonus, "worker_pk", "left"))
     room = {k: free.select("worker_pk", (F.greatest("room", F.lit(0)) + F.coalesce(k, F.lit(0))).alias("room")) for k in ("any", "first")}
-    short = _short(chunks, pairs, min_r)
+    short = checkpoint(_short(chunks, pairs, min_r))
     one = _with_hosts(short.where(F.col("have") == min_r - 1), pairs, room["any"])
     more = _with_hosts(short.where(F.col("have") < min_r - 1), pairs, room["first"])
     return one.unionByName(more).where(F.col("have") + F.col("hosts") >= min_r).select("chunk_pk", F.col("have").cast("bigint").alias("have"), "hosts")
