@@ -51,3 +51,18 @@ def test_admission_joins_all_chunks_once(spark, tmp_path):
     own = lifecycle.register_new_chunks(chunks, meta, corrections)
     assert f"{tmp_path}/chunks" not in {f.rsplit("/", 1)[0].removeprefix("file://").removeprefix("file:") for f in own.inputFiles()}
     assert sorted(map(tuple, own.collect())) == [(4, False), (5, False), (6, True), (8, True)]
+
+
+def test_ranges_visit_only_levels_near_them(spark):
+    """Long ranges far away cost short ones no rows; rows do not grow with the number of lengths that there are."""
+    short = [("d", i, i * 100, i * 100 + 9) for i in range(400)]
+    far = [("d", 1000 + k, (40 + k) << 27, ((40 + k) << 27) + (1 << k)) for k in range(8, 27)]
+    schema = "dataset string, id bigint, first_block bigint, last_block bigint"
+    own = spark.createDataFrame(short + far, schema)
+    levels = intervals._levels(own)
+    assert intervals._in_bins(own, levels, 0, True).where("r.id < 1000").count() <= 2 * len(short)
+    rng = random.Random(9)
+    mixed = [("d%d" % (i % 2), i, a := rng.choice((0, 1 << 26, 1 << 33)) + rng.randint(-500, 1 << rng.choice((6, 12, 28))), a + rng.choice((0, 1, 8, 300, 70_000, 1 << 27, (1 << 27) + 1, 1 << 31))) for i in range(160)]
+    left, right = mixed[::2] + mixed[:9], mixed[1::2] + mixed[:40]
+    got = intervals.overlap_join(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)).select("left_id", "right_id").collect()
+    assert sorted(map(tuple, got)) == sorted((x[1], y[1]) for x in left for y in right if x[0] == y[0] and x[2] <= y[3] and y[2] <= x[3])
