@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..operators import fleet, lifecycle
-from ..plans.state import remove_folder, shared_folder
+from ..plans.state import new_folder, remove_folder, shared_folder
 
 
 class Snapshots:
@@ -104,11 +104,16 @@ class EchoQuorum:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         known = self.table.before(batch_id, self.start)
-        side = lambda c, sign: batch.where(F.col(c).isNotNull()).select(F.lit("count").alias("kind"), F.col(c).alias("id"), F.lit(sign).cast("bigint").alias("c"))
-        counts = known.where("kind = 'count'").unionByName(side("now", 1)).unionByName(side("before", -1)).groupBy("kind", "id").agg(F.sum("c").alias("c")).where("c > 0")
+        moves = F.explode(F.array(F.struct(F.col("now").alias("id"), F.lit(1).alias("c")), F.struct(F.col("before").alias("id"), F.lit(-1).alias("c"))))
+        own = batch.select(moves.alias("m")).select("m.id", "m.c").where(F.col("id").isNotNull()).groupBy("id").agg(F.sum("c").alias("c"))
+        folder = new_folder(batch.sparkSession, "moves")
+        own.write.parquet(folder)  # the batch is read once; each read would run the stateful step again
+        own = batch.sparkSession.read.schema(own.schema).parquet(folder).select(F.lit("count").alias("kind"), "id", "c")
+        counts = known.where("kind = 'count'").unionByName(own).groupBy("kind", "id").agg(F.sum("c").alias("c")).where("c > 0")
         got = fleet.quorum_of_counts(counts.select(F.col("id").alias("applied_id"), "c"), self.latest, self.percent).select(F.col("watermark").cast("bigint").alias("id"))
         value = known.where("kind = 'value'").select("id").unionByName(got).agg(F.coalesce(F.max("id"), F.lit(0)).alias("id"))
         self.table.write(counts.unionByName(value.select(F.lit("value").alias("kind"), "id", F.lit(1).cast("bigint").alias("c"))), batch_id)
+        remove_folder(batch.sparkSession, folder)
         self.table.keep(2)
 
 

@@ -74,6 +74,42 @@ def test_quorum_of_online_workers_over_a_restart(spark, tmp_path):
     assert step([(5, minute(203), 6, 12)]) == (5, {5: 1, 6: 1})
 
 
+def test_buckets_hold_many_keys(spark, tmp_path, monkeypatch):
+    """Keys that share a bucket, null and text keys, late rows and a timer that ends with the last row, against a plain walk; a call serves all keys of a bucket."""
+    monkeypatch.setattr(timers, "BUCKETS", 2)
+    timers.use_rocksdb(spark)
+    rng = random.Random(12)
+    base = int((START - datetime(1970, 1, 1)).total_seconds() * 1000)
+    rows = sorted(((rng.choice([None, "", "a", "=", *(f"k{i}" for i in range(20))]), base + rng.randrange(900) * 1000, rng.random() < 0.8, i) for i in range(300)), key=lambda r: (r[1], r[3]))
+    rows += [("edge", rows[-1][1], True, 500), ("last", rows[-1][1] + AFTER, True, 501)]
+    schema = "pair string, ts timestamp, begins boolean, event_id bigint"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+    for part in (rows[:150], rows[150:]):
+        spark.createDataFrame([(k, START + timedelta(milliseconds=ms - base), s, i) for k, ms, s, i in part], schema).write.mode("append").parquet(f"{tmp_path}/in")
+        got = timers.run_to_end(spark, timers.drained(source, AFTER), f"{tmp_path}/run")
+    assert got.schema == source.select("pair").schema.add("started", "long").add("expired", "long")
+    order = lambda x: (x[0] or "", x[0] is None, x[1])
+    want = [(k, ms, e) for k in {r[0] for r in rows} for _, ms, e in walk([("x", *r[1:]) for r in rows if r[0] == k] + [("y", rows[-1][1], False, 0)])]
+    assert sorted(map(tuple, got.collect()), key=order) == sorted(want, key=order)
+
+
+def test_quorum_reads_a_batch_once(spark, tmp_path):
+    """A second read of a stream's batch would run its stateful step again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(frames):
+        for frame in frames:
+            read.add(len(frame))
+            yield frame
+
+    batch = spark.createDataFrame([(i, None if i % 3 else 2, 5) for i in range(30)], "worker_id bigint, before bigint, now bigint").mapInPandas(count, "worker_id bigint, before bigint, now bigint")
+    quorum = flows.EchoQuorum(spark, 10, 75, f"{tmp_path}/quorum")
+    quorum(batch, 0)
+    assert quorum.value == 5 and read.value == 30
+    assert {r["id"]: r["c"] for r in quorum.table.before(None, quorum.start).where("kind = 'count'").collect()} == {5: 30}
+
+
 def test_snapshots_can_be_removed(spark, tmp_path):
     rows = spark.createDataFrame([(1,)], "value bigint")
     table = flows.Snapshots(spark, rows.schema, f"{tmp_path}/s")
