@@ -8,10 +8,11 @@ of the host share stay as constants. What remains is the host's wrapper, a regul
 Then each page is matched against its host's wrapper, and its texts are those of the slots that hold main text: article slots if the page fills
 any, else slots of a main part, else all slots but those of boilerplate and of menus; where a main part has more text outside its articles than these hold, they are
 teasers beside it, and both count. Constants are no slots, unless a page would have no text at all without them. A menu is a repeated group of the wrapper with links and no
-other text on any page of the host; what the wrapper does not match is judged by the page's own groups.
+other text on any page of the host; a group that the wrapper does not match is judged with all those of the host that are alike (`alike`).
 
-A wrapper takes up new parts as long as it has no more than WRAPPER_LEAVES tokens; after that, pages still merge with the parts it has, and parts that it lacks
-are judged by the pages' own groups. So a wrapper is no longer than that or the longest page, however varied a host is. Pages count by
+A wrapper takes up new parts as long as it has no more than WRAPPER_LEAVES tokens; after that, pages still merge with the parts it has.
+So a wrapper is no longer than that or the longest page, however varied a host is. What it leaves out is counted apart, over all pages: its groups note
+links and texts that their bodies do not hold, constants are those of the host's table, and groups that it lacks are aggregated by host and place. Pages count by
 their distinct streams of text, so a crawl's repeated rows and mirrors change nothing.
 
 Blocks are what block-level tags separate; inside a block white space turns into one space, character references
@@ -244,7 +245,8 @@ def text_hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text) >> 1
 
 
-# A wrapper is a list of items (kind, body, optional): kind "t" a token, kind "+" a repeated group of items.
+# A wrapper is a list of items (kind, body, optional): kind "t" a token, kind "+" a repeated group of items. Of a group, optional is a number: 1 if it is,
+# and the group's kinds of text (`kinds`) that its body does not hold, times 2.
 
 
 def fold_with_places(tokens: list[str], at: list[int] | None = None) -> tuple[list, list]:
@@ -336,16 +338,19 @@ def opcodes(a: list, b: list) -> Iterator[tuple[str, int, int, int, int]]:
 
 
 def merge(a, b, grow: bool = True) -> list:
-    """Align two wrappers: common items stay, the others become optional. No item is lost, unless `grow` is off: then b's own items are not taken up."""
+    """Align two wrappers: common items stay, the others become optional. No item is lost, unless `grow` is off: then b's own items are not taken up, but the
+    groups that both have note what texts there are."""
     out: list = []
     ka, kb = [key(x) for x in a], [key(x) for x in b]
     for op, i1, i2, j1, j2 in opcodes(ka, kb):
         if op == "equal":
             for x, y in zip(a[i1:i2], b[j1:j2]):
-                body = x[1] if x[0] == "t" else tuple(merge(x[1], y[1], grow))
-                out.append((x[0], body, x[2] or y[2]))
+                if x[0] == "t":
+                    out.append((x[0], x[1], x[2] or y[2]))
+                else:
+                    out.append((x[0], tuple(merge(x[1], y[1], grow)), x[2] | y[2] | (0 if grow else kinds(y) << 1)))
         else:
-            out += [(x[0], x[1], True) for x in (*a[i1:i2], *(b[j1:j2] if grow else ()))]
+            out += [(x[0], x[1], x[2] | 1) for x in (*a[i1:i2], *(b[j1:j2] if grow else ()))]
     return out
 
 
@@ -354,7 +359,7 @@ def render(items) -> str:
     parts = []
     for kind, body, optional in items:
         text = body if kind == "t" else f"({render(body)})+"
-        parts.append(f"({text})?" if optional else text)
+        parts.append(f"({text})?" if optional & 1 else text)
     return " ".join(parts)
 
 
@@ -376,10 +381,29 @@ def leaves(items) -> Iterator[str]:
             yield body
 
 
-def is_menu(body) -> bool:
+def kinds(group) -> int:
+    """What texts a group has: 1 links, 2 others."""
+    found = {t for t in leaves(group[1]) if t.startswith("#")}
+    return group[2] >> 1 | ("#l" in found) | (0 if found.isdisjoint(("#m", "#n", "#a")) else 2)
+
+
+def is_menu(group) -> bool:
     """A repeated group with links and no other text."""
-    kinds = {t for t in leaves(body) if t.startswith("#")}
-    return "#l" in kinds and kinds.isdisjoint(("#m", "#n", "#a"))
+    return kinds(group) == 1
+
+
+def alike(place: int, items, i: int) -> int:
+    """The place of the group that is item i: equal for groups that begin alike after two equal items, inside groups whose places are equal."""
+    return text_hash(repr((place, [key(x) for x in items[max(0, i - 2) : i]], key(items[i]))))
+
+
+def groups(items, place: int = 0) -> Iterator[tuple[int, int]]:
+    """Place and kinds of text of each group."""
+    for i, x in enumerate(items):
+        if x[0] == "+":
+            at = alike(place, items, i)
+            yield at, kinds(x)
+            yield from groups(x[1], at)
 
 
 def level_of(token: str, menu: bool) -> int:
@@ -389,17 +413,21 @@ def level_of(token: str, menu: bool) -> int:
     return {"#a": 2, "#n": 1, "#m": 0}.get(token, -1)
 
 
-def match(items, wrapper, menu: bool = False) -> list:
+def match(items, wrapper, menu: bool = False, menus: dict[int, bool] | None = None, place: int = 0) -> list:
     """The level of each token of a page's items by the wrapper's slots, in the shape of the items; groups that are not matched
-    are judged by themselves."""
+    are judged by `menus` at their places, and where it has none by themselves."""
     own = [level_of(x[1], menu) if x[0] == "t" else None for x in items]
-    for op, i1, i2, j1, _ in opcodes([key(x) for x in items], [key(x) for x in wrapper]):
+    for op, i1, i2, j1, _ in opcodes([key(x) for x in items], [key(x) for x in wrapper]) if wrapper else ():
         if op == "equal":
             for i in range(i1, i2):
                 if items[i][0] == "+":
-                    body = wrapper[j1 + i - i1][1]
-                    own[i] = match(items[i][1], body, menu or is_menu(body))
-    return [match(x[1], x[1], menu or is_menu(x[1])) if level is None else level for x, level in zip(items, own)]
+                    group = wrapper[j1 + i - i1]
+                    own[i] = match(items[i][1], group[1], menu or is_menu(group), menus, alike(place, items, i) if menus else 0)
+    for i, x in enumerate(items):
+        if own[i] is None:
+            at = alike(place, items, i) if menus else 0
+            own[i] = match(x[1], (), menu or (menus or {}).get(at, is_menu(x)), menus, at)
+    return own
 
 
 def spread(levels: list, places: list, out: dict[int, int]) -> None:
@@ -432,7 +460,8 @@ def _html(value: bytes | None) -> str:
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Rows (host, wrapper, constants): the wrapper of each host as JSON, and the hashes of its constant texts."""
+    """Rows (host, wrapper, constants, menus): the wrapper of each host as JSON, the hashes of its constant texts, and for places of groups whether they are menus, where
+    some group there would be judged otherwise by itself."""
     own = pages.select(url_col, html_col)
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -467,6 +496,20 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     level = arrow_map(with_host, streams, "host string, wrapper string, page bigint").groupBy("host", "wrapper").agg(F.count_distinct("page").alias("n"))
     level = materialise(level)
 
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict = {"host": [], "at": [], "kinds": []}
+            for host, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = sorted(set(groups(_load(items))))
+                out["host"] += [host] * len(found)
+                out["at"] += [at for at, _ in found]
+                out["kinds"] += [k for _, k in found]
+            yield out
+
+    found = arrow_map(level.select("host", "wrapper"), judged, "host string, at bigint, kinds int").groupBy("host", "at").agg(F.bit_or("kinds").alias("all"), F.max(F.col("kinds") == 1).alias("some"), F.min("kinds").alias("least"))
+    mixed = found.select("host", "at", (F.col("all") == 1).alias("menu")).where(F.when(F.col("all") == 1, F.col("least") == 0).otherwise(F.col("some")))
+    menus = materialise(mixed.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("at", "menu"))).alias("menus")))
+
     def align(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["n", "wrapper"], ascending=[False, True])
         loaded = [_load(w) for w in part["wrapper"]]
@@ -484,7 +527,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         bins = many.withColumn("bin", F.pmod(F.xxhash64("wrapper"), F.greatest(F.lit(1), F.ceil(F.col("k") * 2 / FAN_IN).cast("bigint"))))
         merged = bins.select("host", "bin", "wrapper", "n").groupBy("host", "bin").applyInPandas(align, "host string, wrapper string, n bigint")
         level = materialise(level.join(sizes.where("k = 1").select("host"), "host", "left_semi").unionByName(merged))
-    return level.join(constant, "host", "left").select("host", "wrapper", "constants")
+    return level.join(constant, "host", "left").join(menus, "host", "left").select("host", "wrapper", "constants", "menus")
 
 
 def _host(url_col: str) -> Column:
@@ -515,16 +558,16 @@ class Matcher:
     """Texts of pages by their hosts' wrappers, with what a task has loaded and matched before."""
 
     def __init__(self) -> None:
-        self._wrappers: dict[str, tuple[list, set[int]]] = {}
+        self._wrappers: dict[str, tuple[list, set[int], dict[int, bool]]] = {}
         self._known: dict[tuple, list] = {}
 
     def blocks(self, html: str, host: str, wrapper: str) -> list[str]:
         if host not in self._wrappers:
             if len(self._wrappers) >= REMEMBERED:
                 self._wrappers.clear()
-            items = _load(wrapper)
-            self._wrappers[host] = items, constants_of(items)
-        items, constants = self._wrappers[host]
+            given = json.loads(wrapper)
+            self._wrappers[host] = _load(given["wrapper"]), set(given.get("constants", ())), {int(at): menu for at, menu in given.get("menus", {}).items()}
+        items, constants, menus = self._wrappers[host]
         page = Page(html)
         stream = page.stream()
         own, places = fold_with_places([f"={h}" if h in constants else t for t, h, _ in stream], [i for _, _, i in stream])
@@ -532,7 +575,7 @@ class Matcher:
         if known not in self._known:
             if len(self._known) >= REMEMBERED:
                 self._known.clear()
-            self._known[known] = match(own, items)
+            self._known[known] = match(own, items, menus=menus)
         levels: dict[int, int] = {}
         spread(self._known[known], places, levels)
         if max(levels.values(), default=-1) < 0:  # all of it is constant or boilerplate: constants count as what they are on the page
@@ -544,7 +587,7 @@ class Matcher:
 def page_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Columns: id_col, url_col, text, n_chars, n_blocks."""
     spark = pages.sparkSession
-    wrappers = materialise(infer_wrappers(pages, url_col, html_col).select("host", "wrapper"))
+    wrappers = materialise(infer_wrappers(pages, url_col, html_col).select("host", F.to_json(F.struct("wrapper", "constants", "menus")).alias("wrapper")))
     size = wrappers.agg(F.sum(F.octet_length("wrapper") + F.octet_length("host"))).first()[0] or 0
     own = pages.select(id_col, url_col, F.col(html_col).cast("string").alias("html"), _host(url_col).alias("host"))
     small = None

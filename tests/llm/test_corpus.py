@@ -395,6 +395,35 @@ def test_wrappers_of_varied_pages_stay_bounded(spark):
     assert all(f"Words {k} " in text or f"y {k}" in text or text for k, text in got.items()) and len(got) == 300
 
 
+def test_what_a_full_wrapper_leaves_out_is_counted(spark):
+    """The pages seen most fill the wrapper. Of the others, a text that most pages share is a constant, a list with text on some page is no menu, and one without is."""
+    full = "".join(f"<x{i}></x{i}>" for i in range(htmltext.WRAPPER_LEAVES))
+    rows = [(i, f"http://h/{i}", f"<body><div>Long {i}</div>{full}</body>") for i in range(4)]
+
+    def other(k):
+        near = "".join(f"<li><a href=x>Near {k} {i}</a>{' said of it' if k % 2 else ''}</li>" for i in range(2))
+        far = "".join(f"<dd><a href=x>Far {k} {i}</a></dd>" for i in range(2))
+        return f"<body><z{k}></z{k}><p>Story {k}</p><section><ul>{near}</ul></section><section><dl>{far}</dl></section><pre>All rights are ours</pre></body>"
+
+    rows += [(10 + k, f"http://h/{10 + k}", other(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    host = htmltext.infer_wrappers(df).first()
+    assert not set(htmltext.leaves(htmltext._load(host["wrapper"]))) & {"<ul>", "<z1>", "<pre>"}
+    got = {r["page_id"]: r["text"] for r in htmltext.page_texts(df).collect()}
+    tail = lambda k: " said of it" if k % 2 else ""
+    want = {10 + k: "\n".join([f"Story {k}", *(f"Near {k} {i}{tail(k)}" for i in range(2))]) for k in range(6)}
+    assert got == {i: f"Long {i}" for i in range(4)} | want
+
+
+def test_groups_note_texts_that_they_do_not_hold():
+    link, text = (htmltext.fold(list(x) * 2) for x in (["<li>", "#l", "</li>"], ["<li>", "#l", "#m", "</li>"]))
+    kept = htmltext.merge(link, text, grow=False)
+    assert list(htmltext.leaves(kept)) == list(htmltext.leaves(link)) and not htmltext.is_menu(kept[0]) and htmltext.is_menu(link[0])
+    again = htmltext.merge(htmltext._load(htmltext._dump(kept)), link)
+    assert htmltext.kinds(again[0]) == 3 and htmltext.render(again) == "(<li> #l </li>)+"
+    assert [htmltext.match(link, w) for w in (kept, link, [])] == [[[-1, 0, -1]], [[-1, -1, -1]], [[-1, -1, -1]]]
+
+
 def test_every_row_of_an_article_equals_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     html = {r["page_id"]: r["html"] or "" for r in df.select("page_id", "html").collect()}
